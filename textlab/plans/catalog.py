@@ -418,6 +418,57 @@ def q_accuracy(spark, sf):
     return EV.accuracy(_pred_truth(spark, sf))
 
 
+# ----------------------------------------------------------------------------------- tree
+def tree_inputs(spark, sf):
+    """Rows ``(id, label)`` of the labelled data and non-zeros over its ``TREE_TERMS`` most frequent terms."""
+    lab = labeled(spark, sf)
+    rows = lab.select("id", F.col("sentiment").alias("label"))
+    terms = FE.doc_terms(lab, "id", "preprocessed_text")
+    vocab = FE.top_terms(terms, TREE_TERMS)
+    nz = terms.join(F.broadcast(vocab.select("term")), "term").select("id", "term", "tf")
+    return rows, nz
+
+
+def q_gain_ratio_root(spark, sf):
+    from textlab.operators import tree as TR
+    rows, nz = tree_inputs(spark, sf)
+    assign = rows.withColumn("node", F.lit(""))
+    cnt = TR.label_counts(assign)
+    g = TR.gain_ratios(assign, nz, cnt, TR.node_summary(cnt))
+    return g.select("term", F.round("info_gain", 9).alias("info_gain"), F.round("split_info", 9).alias("split_info"),
+                    F.round("gain_ratio", 9).alias("gain_ratio"), "n_values")
+
+
+def q_gain_ratio_best(spark, sf):
+    from textlab.operators import tree as TR
+    rows, nz = tree_inputs(spark, sf)
+    assign = rows.withColumn("node", F.lit(""))
+    cnt = TR.label_counts(assign)
+    b = TR.best_split(TR.gain_ratios(assign, nz, cnt, TR.node_summary(cnt)))
+    return b.select("term", F.round("gain_ratio", 9).alias("gain_ratio"))
+
+
+def _tree(spark, sf):
+    from textlab.operators import tree as TR
+    rows, nz = tree_inputs(spark, sf)
+    from textlab.sources.scratch import materialize
+    return TR.build_tree(rows, materialize(nz, "tree-nz"))
+
+
+def q_tree_nodes(spark, sf):
+    return _tree(spark, sf)
+
+
+def q_tree_rules_text(spark, sf):
+    from textlab.operators import tree as TR
+    return TR.tree_rules_text(_tree(spark, sf))
+
+
+def q_tree_edges(spark, sf):
+    from textlab.operators import tree as TR
+    return TR.tree_edges(_tree(spark, sf))
+
+
 # ----------------------------------------------------------------------------------- registry
 QUERIES = {
     "clean_text": q_clean_text, "tokenize": q_tokenize, "remove_stopwords": q_remove_stopwords,
@@ -444,4 +495,6 @@ QUERIES = {
     "top_terms": q_top_terms, "term_counts": q_term_counts, "tfidf": q_tfidf, "lemma_lookup": q_lemma_lookup,
     "confusion_matrix": q_confusion_matrix, "classification_report": q_classification_report,
     "accuracy": q_accuracy,
+    "gain_ratio_root": q_gain_ratio_root, "gain_ratio_best": q_gain_ratio_best, "tree_nodes": q_tree_nodes,
+    "tree_rules_text": q_tree_rules_text, "tree_edges": q_tree_edges,
 }

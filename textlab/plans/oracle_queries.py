@@ -109,6 +109,28 @@ def _likes_int(x: str) -> str:
     return f"coalesce(TRY_CAST(trunc(TRY_CAST({x} AS DOUBLE)) AS INTEGER), 0)"
 
 
+GAIN_ROOT = f""",
+lab AS (SELECT id, sentiment AS label FROM labeled),
+gdt AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tokens_sql('preprocessed_text')}) AS term FROM labeled)
+        GROUP BY id, term),
+gtop AS (SELECT term FROM (SELECT term, sum(tf) AS n FROM gdt GROUP BY term) ORDER BY n DESC, term LIMIT {C.TREE_TERMS}),
+nz AS (SELECT gdt.* FROM gdt JOIN gtop ON gdt.term = gtop.term),
+cnt AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
+tot AS (SELECT sum(n) AS n FROM cnt),
+hroot AS (SELECT -sum(cnt.n / tot.n * log2(cnt.n / tot.n)) AS h FROM cnt, tot),
+c AS (SELECT nz.term, nz.tf AS v, lab.label, count(*) AS c FROM nz JOIN lab ON nz.id = lab.id GROUP BY ALL),
+zs AS (SELECT term, label, sum(c) AS s FROM c GROUP BY ALL),
+terms AS (SELECT DISTINCT term FROM c),
+zero AS (SELECT t.term, 0 AS v, cnt.label, cnt.n - coalesce(zs.s, 0) AS c
+         FROM terms t CROSS JOIN cnt LEFT JOIN zs ON zs.term = t.term AND zs.label = cnt.label),
+br AS (SELECT term, v, label, c FROM c UNION ALL SELECT term, v, label, c FROM zero WHERE c > 0),
+bw AS (SELECT *, sum(c) OVER (PARTITION BY term, v) AS nb FROM br),
+hb AS (SELECT term, v, any_value(nb) AS nb, -sum(c / nb * log2(c / nb)) AS h FROM bw GROUP BY term, v),
+g AS (SELECT term, sum(nb / tot.n * h) AS we, -sum(nb / tot.n * log2(nb / tot.n)) AS si, count(*) AS n_values
+      FROM hb, tot GROUP BY term),
+gr AS (SELECT term, hroot.h - we AS info_gain, si AS split_info,
+              CASE WHEN si > 0 THEN (hroot.h - we) / si ELSE 0.0 END AS gain_ratio, n_values FROM g, hroot)"""
+
 SQL = {
     # clean
     "clean_text": f"""SELECT 'documents' AS kind, doc_id AS id, {clean_sql('text')} AS preprocessed_text FROM documents
@@ -320,6 +342,11 @@ SQL = {
                                sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM y
               UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM y)
         SELECT cls AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM u""",
+    "gain_ratio_root": "WITH " + LABELED_CTE + GAIN_ROOT + """
+        SELECT term, round(info_gain, 9) AS info_gain, round(split_info, 9) AS split_info,
+               round(gain_ratio, 9) AS gain_ratio, n_values FROM gr""",
+    "gain_ratio_best": "WITH " + LABELED_CTE + GAIN_ROOT + """
+        SELECT term, round(gain_ratio, 9) AS gain_ratio FROM gr ORDER BY round(gain_ratio, 12) DESC, term LIMIT 1""",
     "accuracy": "WITH " + BASE_CTE + PRED + """
         SELECT count(*) AS n, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pt""",
 }

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 # splits skewed partitions and coalesces small ones at runtime).
 BASE_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -47,7 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset (local tests) a scratch folder is created and registered.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    cur = sc.getCheckpointDir()
+    if cur:
+        return cur
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="textlab-ckpt-")
     sc.setCheckpointDir(d)

@@ -13,3 +13,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir`` (shared storage on a cluster, never machine-local)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/textlab-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared scratch folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but also resets plan statistics to the file size, which matters
+    in iterative jobs (a checkpointed plan keeps its origin's estimates, and join estimates multiply).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
