@@ -469,6 +469,44 @@ def q_tree_edges(spark, sf):
     return TR.tree_edges(_tree(spark, sf))
 
 
+# ----------------------------------------------------------------------------------- stream
+STREAM_FILES = 4
+
+
+def _stream_run(spark, sf):
+    """Stage ``documents`` as arriving files, then run the labelling and statistics streams to the end."""
+    from textlab.streaming import labeling as ST_
+    docs = table(spark, sf, "documents")
+    inbox = ST_.stage_inbox(docs, scratch_path(spark, "inbox"), STREAM_FILES)
+    out = scratch_path(spark, "stream-out")
+    vec, ev = table(spark, sf, "embeddings"), table(spark, sf, "events")
+    lab = ST_.label_stream(ST_.read_inbox(spark, inbox, docs.schema), vec, ev, shipped_conf_rules())
+    q1 = ST_.run_labeling(spark, lab, out)
+    lab2 = ST_.label_stream(ST_.read_inbox(spark, inbox, docs.schema), vec, ev)
+    q2 = ST_.run_running_stats(spark, ST_.running_stats(lab2), f"{out}/stats")
+    q1.awaitTermination()
+    q2.awaitTermination()
+    return out
+
+
+def q_stream_sentiment_counts(spark, sf):
+    out = _stream_run(spark, sf)
+    st = spark.read.parquet(f"{out}/stats")
+    return st.select("sentiment", "n", F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+def q_stream_label_posts(spark, sf):
+    out = _stream_run(spark, sf)
+    return spark.read.parquet(f"{out}/labeled").select("id", "sentiment", "confidence", "confidence_level")
+
+
+def q_stream_progress_totals(spark, sf):
+    from textlab.streaming import labeling as ST_
+    led = ST_.batch_ledger(spark, _stream_run(spark, sf))
+    return led.agg(F.sum("rows").alias("rows"), F.sum("saved").alias("saved"), F.sum("skipped").alias("skipped"),
+                   F.max("done").alias("done"), F.max("percent").alias("percent"))
+
+
 # ----------------------------------------------------------------------------------- registry
 QUERIES = {
     "clean_text": q_clean_text, "tokenize": q_tokenize, "remove_stopwords": q_remove_stopwords,
@@ -497,4 +535,6 @@ QUERIES = {
     "accuracy": q_accuracy,
     "gain_ratio_root": q_gain_ratio_root, "gain_ratio_best": q_gain_ratio_best, "tree_nodes": q_tree_nodes,
     "tree_rules_text": q_tree_rules_text, "tree_edges": q_tree_edges,
+    "stream_sentiment_counts": q_stream_sentiment_counts, "stream_label_posts": q_stream_label_posts,
+    "stream_progress_totals": q_stream_progress_totals,
 }

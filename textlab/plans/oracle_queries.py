@@ -349,4 +349,14 @@ SQL = {
         SELECT term, round(gain_ratio, 9) AS gain_ratio FROM gr ORDER BY round(gain_ratio, 12) DESC, term LIMIT 1""",
     "accuracy": "WITH " + BASE_CTE + PRED + """
         SELECT count(*) AS n, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pt""",
+    # stream (the streams read the same documents as files; results equal the batch plan)
+    "stream_sentiment_counts": "WITH " + LABELED_CTE + """
+        SELECT sentiment, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM labeled GROUP BY sentiment""",
+    "stream_label_posts": "WITH " + LABELED_CTE + f"""
+        SELECT id, sentiment, confidence, {_tier_case('confidence')} AS confidence_level
+        FROM labeled WHERE text IS NOT NULL AND text <> ''""",
+    "stream_progress_totals": "WITH " + LABELED_CTE + """
+        SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count_if(text IS NOT NULL AND text <> '') AS BIGINT) AS saved,
+               CAST(count_if(text IS NULL OR text = '') AS BIGINT) AS skipped, CAST(count(*) AS BIGINT) AS done,
+               100.0 AS percent FROM labeled""",
 }

@@ -24,30 +24,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents JOIN embeddings on ``vec_id = doc_id mod |embeddings|`` with logits, probabilities and class.
+def score_documents(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pair each document with a class-score vector (``vec_id = doc_id mod |vectors|``) and classify it.
 
     The vector count is a scalar subquery inside the plan (no driver round trip); the join is an
     equi-join on an expression key, so AQE picks broadcast only when the vector table is small enough
-    and sort-merge otherwise.
+    and sort-merge otherwise. ``docs`` may be a streaming DataFrame (stream-static join); a stream
+    cannot run a scalar subquery, so there the count is taken once (one number) before the stream starts.
     """
-    d = table(spark, sf_dir, "documents")
-    v = table(spark, sf_dir, "embeddings")
-    n_vec = v.select(F.count(F.lit(1))).scalar()
-    dv = d.join(v, F.pmod(d["doc_id"], n_vec) == v["vec_id"], "inner")
+    if docs.isStreaming:
+        n_vec = F.lit(vectors.count())
+    else:
+        n_vec = vectors.select(F.count(F.lit(1))).scalar()
+    dv = docs.join(vectors, F.pmod(docs["doc_id"], n_vec) == vectors["vec_id"], "inner")
     logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * F.lit(LOGIT_SCALE))
     out = dv.select(
-        d["doc_id"].alias("id"), "text", F.col("source").alias("source_dataset"), "lang",
+        docs["doc_id"].alias("id"), "text", F.col("source").alias("source_dataset"), "lang",
         logits.alias("logits"))
     out = out.withColumn("probs", softmax("logits"))
     cls = classify("probs")
     return out.withColumn("sentiment", cls["sentiment"]).withColumn("confidence", F.round(cls["confidence"], 6))
 
 
-def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical labelled record (10 view columns plus ``logits``/``probs``/``lang``)."""
-    s = scored_documents(spark, sf_dir)
-    e = (table(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents JOIN embeddings with logits, probabilities, sentiment and confidence."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
+
+
+def label_documents(docs: DataFrame, vectors: DataFrame, events: DataFrame) -> DataFrame:
+    """The canonical labelled record for ``docs`` (batch or streaming): scored, cleaned, with metadata."""
+    s = score_documents(docs, vectors)
+    e = (events.filter(F.col("event_type") != "error")
          .select("event_id", "ts", "user_id", "event_type", "value"))
     j = s.join(e, s["id"] == e["event_id"], "left")
     return j.select(
@@ -59,6 +66,12 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").isNotNull().alias("has_metadata"))
 
 
+def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical labelled record (10 view columns plus ``logits``/``probs``/``lang``)."""
+    return label_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"),
+                           table(spark, sf_dir, "events"))
+
+
 def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """``texts``, ``sentiments`` and ``metadata`` as projections of :func:`labeled` (metadata only where matched)."""
     lab = labeled(spark, sf_dir)
