@@ -66,3 +66,57 @@ def path_rules_node(rules) -> Column:
             cond = cond & _OPS[op](F.col(feat).cast("double"), F.lit(float(thr)))
         out = F.when(cond, F.lit(node)) if out is None else out.when(cond, F.lit(node))
     return out if out is not None else F.lit(None).cast("int")
+
+
+# ---------------------------------------------------------------------------------------------- P2
+def score_with(df, make_scorer, text_col: str = "preprocessed_text", id_col: str = "id"):
+    """Class logits from a Python scorer, run over Arrow batches with ``mapInPandas``.
+
+    ``make_scorer()`` is called once per task (load a model there, not per row) and returns a function
+    ``list[str] -> list[list[float]]``. If a batch fails, its rows are retried one by one and a row
+    that still fails gets null logits and its message in ``_error`` (F3), so one bad row never drops
+    the batch. The result keeps ``id`` and ``text_col``; join it back for other columns.
+    """
+    import pandas as pd
+
+    def run(batches):
+        scorer = make_scorer()
+        for pdf in batches:
+            texts = pdf[text_col].fillna("").astype(str).tolist()
+            errors = [None] * len(texts)
+            try:
+                logits = [list(map(float, x)) for x in scorer(texts)]
+            except Exception:  # noqa: BLE001 - isolate the failing rows
+                logits = []
+                for i, t in enumerate(texts):
+                    try:
+                        logits.append([float(x) for x in scorer([t])[0]])
+                    except Exception as ex:  # noqa: BLE001
+                        logits.append(None)
+                        errors[i] = f"{type(ex).__name__}: {ex}"[:500]
+            yield pd.DataFrame({id_col: pdf[id_col], text_col: pdf[text_col], "logits": logits, "_error": errors})
+
+    schema = f"{id_col} long, {text_col} string, logits array<double>, _error string"
+    return df.select(id_col, text_col).mapInPandas(run, schema)
+
+
+def classify_logits(df, logits_col: str = "logits"):
+    """P1 after P2: probabilities, sentiment and confidence (6 decimals) from a logits column."""
+    x = df.withColumn("probs", softmax(logits_col))
+    cls = classify("probs")
+    return x.withColumn("sentiment", cls["sentiment"]).withColumn("confidence", F.round(cls["confidence"], 6))
+
+
+def lexicon_scorer(positive: list[str], negative: list[str], neutral_bias: float = 1.0):
+    """A small scorer factory for P2: logits ``[#negative words, bias, #positive words]`` per text."""
+    def make():
+        pos, neg = frozenset(positive), frozenset(negative)
+
+        def score(texts):
+            out = []
+            for t in texts:
+                words = t.split(" ") if t else []
+                out.append([float(sum(w in neg for w in words)), neutral_bias, float(sum(w in pos for w in words))])
+            return out
+        return score
+    return make

@@ -117,6 +117,14 @@ def q_path_rules(spark: SparkSession, sf: str) -> DataFrame:
                     path_rules_node(S.SHIPPED_PATH_RULES).alias("node_id"))
 
 
+def q_python_scorer(spark: SparkSession, sf: str) -> DataFrame:
+    """A Python lexicon scorer over Arrow batches, then P1 as SQL functions."""
+    from textlab.functions.scoring import classify_logits, lexicon_scorer, score_with
+    lab = labeled(spark, sf)
+    scored = classify_logits(score_with(lab, lexicon_scorer(POSITIVE_WORDS, NEGATIVE_WORDS)))
+    return scored.select("id", "sentiment", "confidence", "_error")
+
+
 # ----------------------------------------------------------------------------------- ingest
 def _posts_csv(spark, sf) -> str:
     """Write the labelled rows as a tweet CSV (K1) under the shared scratch folder; return its path."""
@@ -469,6 +477,13 @@ def q_tree_edges(spark, sf):
     return TR.tree_edges(_tree(spark, sf))
 
 
+def q_tree_model_report(spark, sf):
+    """M8 + A17: train the ML decision tree on 80 % of the labelled rows, report on the other 20 %."""
+    from textlab.operators import train as TRN
+    r = TRN.train(labeled(spark, sf), TRN.TrainParams(split_percent=TRAIN_PERCENT))
+    return TRN.evaluate(spark, r.predictions)["report"]
+
+
 # ----------------------------------------------------------------------------------- stream
 STREAM_FILES = 4
 
@@ -511,7 +526,7 @@ def q_stream_progress_totals(spark, sf):
 QUERIES = {
     "clean_text": q_clean_text, "tokenize": q_tokenize, "remove_stopwords": q_remove_stopwords,
     "softmax_classify": q_softmax_classify, "label_posts": q_label_posts, "feature_score": q_feature_score,
-    "path_rules": q_path_rules,
+    "path_rules": q_path_rules, "python_scorer": q_python_scorer,
     "scan_posts": q_scan_posts, "scorable_posts": q_scorable_posts, "missing_columns": q_missing_columns,
     "preview_rows": q_preview_rows, "parse_created_at": q_parse_created_at, "import_defaults": q_import_defaults,
     "union_tagged": q_union_tagged,
@@ -535,6 +550,7 @@ QUERIES = {
     "accuracy": q_accuracy,
     "gain_ratio_root": q_gain_ratio_root, "gain_ratio_best": q_gain_ratio_best, "tree_nodes": q_tree_nodes,
     "tree_rules_text": q_tree_rules_text, "tree_edges": q_tree_edges,
+    "tree_model_report": q_tree_model_report,
     "stream_sentiment_counts": q_stream_sentiment_counts, "stream_label_posts": q_stream_label_posts,
     "stream_progress_totals": q_stream_progress_totals,
 }
