@@ -39,9 +39,41 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``textlab`` importable in Python workers (pandas UDFs, ``applyInPandas``, ``mapInPandas``).
+
+    The package is zipped once per process next to its source and added with ``addPyFile``, which
+    serves it from the driver to every executor of this application (also executors added later).
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    dist = os.path.join(root, ".dist")
+    try:
+        os.makedirs(dist, exist_ok=True)
+    except OSError:
+        dist = tempfile.mkdtemp(prefix="textlab-dist-")
+    path = os.path.join(dist, f"textlab-{os.getpid()}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
