@@ -26,6 +26,7 @@ from textlab.functions.text import TOKEN_RE, english_stop_words
 from textlab.operators import evaluate as EV
 from textlab.operators.features import top_terms
 from textlab.operators.split import train_test_split
+from textlab.sources.scratch import materialize
 
 # DecisionTreeClassifier refuses depths above 30; "no limit" becomes the deepest allowed tree.
 MAX_TREE_DEPTH = 30
@@ -112,14 +113,14 @@ def train(df: DataFrame, p: TrainParams | None = None, id_col: str = "id", text_
           label_col: str = "sentiment") -> TrainResult:
     """M8: split, fit features and tree on the training rows, predict the test rows.
 
-    The split is materialised once (checkpoint in the shared folder) so fit and predict read the same
-    rows even if a task is recomputed.
+    The split is materialised once (a Parquet table in the shared checkpoint folder) so fit and
+    predict read the same rows even if a task is recomputed.
     """
     p = p or TrainParams()
     log = p.log
     data = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("preprocessed_text"),
                      F.col(label_col).alias("sentiment"))
-    split = train_test_split(data, "id", p.split_percent, p.seed).checkpoint(eager=True)
+    split = materialize(train_test_split(data, "id", p.split_percent, p.seed), "train-split")
     train_df = split.filter(F.col("split_type") == "train")
     test_df = split.filter(F.col("split_type") == "test")
     counts = split.groupBy("split_type").count().collect()          # two rows

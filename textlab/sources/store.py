@@ -24,10 +24,13 @@ def allocate_ids(df: DataFrame, natural_key: str, start: int = 1, out: str = "te
     table, ranks per bucket (see :func:`textlab.operators.split.dense_index`). Buckets come from the
     key's hash-free range so the order is kept: xxhash would lose it, so we bucket by key range.
     """
-    lo = df.select(F.min(natural_key)).scalar()
-    hi = df.select(F.max(natural_key)).scalar()
-    span = (hi - lo + 1).cast("double")
-    bucket = F.floor((F.col(natural_key) - lo).cast("double") / span * 4096).cast("int")
+    # two numbers, fetched with one aggregate (a scalar subquery here would nest inside the input's own
+    # subqueries, which adaptive execution refuses to run)
+    lo, hi = df.agg(F.min(natural_key), F.max(natural_key)).first()
+    if lo is None:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
+    span = float(hi - lo + 1)
+    bucket = F.floor((F.col(natural_key) - F.lit(lo)).cast("double") / F.lit(span) * 4096).cast("int")
     x = dense_index(df, bucket, [F.col(natural_key)], out="_idx")
     return x.withColumn(out, (F.col("_idx") + F.lit(start)).cast("bigint")).drop("_idx", "_n_total")
 
@@ -36,11 +39,12 @@ def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str
                  mode: str = "overwrite") -> dict[str, str]:
     """K3 / K4: store labelled records as three tables sharing one allocated ``text_id``.
 
-    The id allocation is materialised once (reliable checkpoint in the shared checkpoint folder), so
+    The id allocation is materialised once (a Parquet table in the shared checkpoint folder), so
     the three writes cannot see different ids even if a task is recomputed after executor loss.
     Rows without metadata (``has_metadata`` false, when the column exists) get no metadata row.
     """
-    x = allocate_ids(df, natural_key).checkpoint(eager=True)
+    from textlab.sources.scratch import materialize
+    x = materialize(allocate_ids(df, natural_key), "allocated-ids")
     has_meta = F.col("has_metadata") if "has_metadata" in df.columns else F.lit(True)
     paths = {t: f"{base.rstrip('/')}/{t}" for t in ("texts", "sentiments", "metadata")}
     x.select(F.col("text_id").alias("id"), "text", "preprocessed_text", "created_at", "source_dataset") \

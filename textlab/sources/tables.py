@@ -27,15 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def score_documents(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pair each document with a class-score vector (``vec_id = doc_id mod |vectors|``) and classify it.
 
-    The vector count is a scalar subquery inside the plan (no driver round trip); the join is an
+    The vector count is one number fetched before the plan runs (Parquet answers it from file
+    footers). It is not a scalar subquery on purpose: plans that reuse this input twice (self-joins for
+    offsets, streams) cannot run a subquery nested in an adaptive broadcast stage. The join is an
     equi-join on an expression key, so AQE picks broadcast only when the vector table is small enough
-    and sort-merge otherwise. ``docs`` may be a streaming DataFrame (stream-static join); a stream
-    cannot run a scalar subquery, so there the count is taken once (one number) before the stream starts.
+    and sort-merge otherwise. ``docs`` may be a streaming DataFrame (stream-static join).
     """
-    if docs.isStreaming:
-        n_vec = F.lit(vectors.count())
-    else:
-        n_vec = vectors.select(F.count(F.lit(1))).scalar()
+    n_vec = F.lit(vectors.count())
     dv = docs.join(vectors, F.pmod(docs["doc_id"], n_vec) == vectors["vec_id"], "inner")
     logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * F.lit(LOGIT_SCALE))
     out = dv.select(
