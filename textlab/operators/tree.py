@@ -86,10 +86,12 @@ def _parent_of(path: str):
 
 
 def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
-    """Grow the subtree of one small node in memory (numpy), with the same rules as the level job.
+    """Grow the subtree of one small node inside one task, with the same rules as the level job.
 
-    ``pdf`` holds the node's rows (``term`` null) and its non-zeros. Bounded by the caller's cell
-    limit (rows x vocabulary), so the dense block fits in one task. Iterative, no recursion limit.
+    ``pdf`` holds the node's rows (``term`` null) and its non-zeros; the caller bounds it by its cell
+    limit. The matrix stays sparse (row-sorted non-zeros): for every node, the counts per (term, value,
+    class) come from one ``np.unique`` over the node's non-zeros, the zero branch is the node's class
+    counts minus those, and all gain ratios of the node are array arithmetic. Iterative, no recursion.
     """
     import numpy as np
     import pandas as pd
@@ -99,58 +101,85 @@ def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
     sv0 = pdf["split_value"].iloc[0]
     rows = pdf[pdf["term"].isna()][["id", "label"]].drop_duplicates("id").sort_values("id")
     ids = rows["id"].to_numpy()
-    labels = rows["label"].to_numpy().astype(str)
+    classes, y = np.unique(rows["label"].to_numpy().astype(str), return_inverse=True)
+    n_cls = len(classes)
     nzp = pdf[pdf["term"].notna()]
-    terms = np.array(sorted(nzp["term"].unique()), dtype=object)
-    t_index = {t: i for i, t in enumerate(terms)}
-    r_index = {v: i for i, v in enumerate(ids)}
-    X = np.zeros((len(ids), len(terms)), dtype=np.int64)
-    if len(nzp):
-        X[[r_index[i] for i in nzp["id"]], [t_index[t] for t in nzp["term"]]] = nzp["tf"].astype(np.int64).to_numpy()
-    classes, y = np.unique(labels, return_inverse=True)
-
-    def ent_terms(counts):
-        counts = counts[counts > 0].astype(float)
-        n = counts.sum()
-        return np.log2(n) - (counts * np.log2(counts)).sum() / n
+    terms, t_all = np.unique(nzp["term"].to_numpy().astype(str), return_inverse=True)
+    n_terms = len(terms)
+    r_all = np.searchsorted(ids, nzp["id"].to_numpy())
+    v_all = nzp["tf"].to_numpy().astype(np.int64)
+    order = np.lexsort((t_all, r_all))                      # CSR by row
+    r_all, t_all, v_all = r_all[order], t_all[order], v_all[order]
+    row_ptr = np.searchsorted(r_all, np.arange(len(ids) + 1))
+    vspan = int(v_all.max()) + 1 if len(v_all) else 1
+
+    def xlogx(a):
+        a = np.asarray(a, dtype=float)
+        return np.where(a > 0, a * np.log2(np.where(a > 0, a, 1.0)), 0.0)
+
+    def node_nz(idx):
+        lens = row_ptr[idx + 1] - row_ptr[idx]
+        total = int(lens.sum())
+        if total == 0:
+            return np.empty(0, np.int64)
+        starts = np.repeat(row_ptr[idx] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens)
+        return starts + np.arange(total)
+
+    def best_term(idx, cnt):
+        n = len(idx)
+        pos = node_nz(idx)
+        if len(pos) == 0:
+            return None, None
+        t, v, c = t_all[pos], v_all[pos], y[r_all[pos]]
+        key = (t * vspan + v) * n_cls + c
+        ukey, kc = np.unique(key, return_counts=True)
+        tv = ukey // n_cls
+        utv, inv = np.unique(tv, return_inverse=True)
+        nb = np.bincount(inv, weights=kc)
+        sc = np.bincount(inv, weights=xlogx(kc))
+        bt = utv // vspan
+        tc = (ukey // n_cls) // vspan * n_cls + ukey % n_cls
+        nzsum = np.bincount(tc, weights=kc, minlength=n_terms * n_cls).reshape(n_terms, n_cls)
+        zc = cnt[None, :] - nzsum                                   # zero branch per (term, class)
+        zn = zc.sum(axis=1)
+        a = np.bincount(bt, weights=xlogx(nb) - sc, minlength=n_terms) + xlogx(zn) - xlogx(zc).sum(axis=1)
+        p = nb / n
+        si = np.bincount(bt, weights=-p * np.log2(p), minlength=n_terms)
+        pz = zn / n
+        si = si - np.where(pz > 0, pz * np.log2(np.where(pz > 0, pz, 1.0)), 0.0)
+        n_br = np.bincount(bt, minlength=n_terms) + (zn > 0)
+        h = np.log2(n) - xlogx(cnt).sum() / n
+        gain = h - a / n
+        gr = np.where(si > 0, gain / np.where(si > 0, si, 1.0), 0.0)
+        gr = np.round(gr, TIE_DECIMALS)
+        cand = n_br >= 2
+        if not cand.any():
+            return None, None
+        gr_c = np.where(cand, gr, -np.inf)
+        j = int(np.argmax(gr_c))                                    # first max = alphabetically first term
+        return j, float(gr_c[j])
 
     out = []
     stack = [(node0, sv0, depth0, np.arange(len(ids)))]
     while stack:
         path, sv, depth, idx = stack.pop()
-        yy = y[idx]
-        cnt = np.bincount(yy, minlength=len(classes))
+        cnt = np.bincount(y[idx], minlength=n_cls).astype(float)
         n = len(idx)
-        order = sorted(range(len(classes)), key=lambda k: (-cnt[k], classes[k]))
-        majority = classes[order[0]]
-        best_t, best_g = None, None
+        majority = classes[sorted(range(n_cls), key=lambda k: (-cnt[k], classes[k]))[0]]
+        j, g = (None, None)
         if (cnt > 0).sum() > 1 and (max_depth is None or depth < max_depth):
-            h = ent_terms(cnt)
-            Xn = X[idx]
-            for j in range(len(terms)):
-                col = Xn[:, j]
-                vals = np.unique(col)
-                if len(vals) < 2:
-                    continue
-                we, si = 0.0, 0.0
-                for v in vals:
-                    m = col == v
-                    nb = int(m.sum())
-                    p = nb / n
-                    we += p * ent_terms(np.bincount(yy[m], minlength=len(classes)))
-                    si -= p * np.log2(p)
-                g = (h - we) / si if si > 0 else 0.0
-                g_r = round(g, TIE_DECIMALS)
-                if best_g is None or g_r > best_g:
-                    best_t, best_g = j, g_r
-        if best_t is None or abs(best_g) < eps:
+            j, g = best_term(idx, cnt)
+        if j is None or abs(g) < eps:
             out.append((path, _parent_of(path), sv, depth, None, majority, majority, n, True))
             continue
-        out.append((path, _parent_of(path), sv, depth, terms[best_t], None, majority, n, False))
-        col = X[idx, best_t]
-        for v in sorted(np.unique(col), reverse=True):
+        out.append((path, _parent_of(path), sv, depth, terms[j], None, majority, n, False))
+        vals = np.zeros(n, np.int64)
+        pos = node_nz(idx)
+        hit = pos[t_all[pos] == j]
+        vals[np.searchsorted(idx, r_all[hit])] = v_all[hit]
+        for v in np.unique(vals)[::-1]:
             child = f"{path}/{str(int(v)).zfill(VALUE_WIDTH)}"
-            stack.append((child, str(int(v)), depth + 1, idx[col == v]))
+            stack.append((child, str(int(v)), depth + 1, idx[vals == v]))
     return pd.DataFrame(out, columns=["node_id", "parent_id", "split_value", "depth", "feature", "class",
                                       "majority", "n", "is_leaf"])
 

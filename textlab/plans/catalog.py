@@ -381,8 +381,11 @@ def q_batch_progress(spark, sf):
 
 # ----------------------------------------------------------------------------------- features
 def _doc_terms(spark, sf):
+    """Documents and their ``(id, term, tf)``; the term table feeds the vocabulary and the counts, so it is
+    written once to the shared scratch folder rather than tokenised twice."""
+    from textlab.sources.scratch import materialize
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), clean_col("text").alias("t"))
-    return d, FE.doc_terms(d, "id", "t")
+    return d, materialize(FE.doc_terms(d, "id", "t"), "doc-terms")
 
 
 def q_top_terms(spark, sf):
@@ -429,9 +432,12 @@ def q_accuracy(spark, sf):
 # ----------------------------------------------------------------------------------- tree
 def tree_inputs(spark, sf):
     """Rows ``(id, label)`` of the labelled data and non-zeros over its ``TREE_TERMS`` most frequent terms."""
+    from textlab.sources.scratch import materialize
     lab = labeled(spark, sf)
     rows = lab.select("id", F.col("sentiment").alias("label"))
-    terms = FE.doc_terms(lab, "id", "preprocessed_text")
+    # cleaning and tokenising is the heavy part; it feeds both the vocabulary and the matrix, so it is
+    # written once to the shared scratch folder instead of being computed twice
+    terms = materialize(FE.doc_terms(lab, "id", "preprocessed_text"), "tree-terms")
     vocab = FE.top_terms(terms, TREE_TERMS)
     nz = terms.join(F.broadcast(vocab.select("term")), "term").select("id", "term", "tf")
     return rows, nz
