@@ -20,6 +20,8 @@ HASH_RE = "#"
 NON_WORD_RE = rf"[^{WORD}{SPACE}]"
 SPACES_RE = rf"[{SPACE}]+"
 TOKEN_RE = rf"[{WORD}]{{2,}}"
+# largest word table that is broadcast to every task
+BROADCAST_MAX_WORDS = 1_000_000
 
 
 def _col(c) -> Column:
@@ -66,10 +68,14 @@ def remove_stopwords_df(df: DataFrame, id_col: str, text_col: str, stop_df: Data
                         out_col: str = "text_nostop") -> DataFrame:
     """T9 with a stop-word table: explode words with their position, anti-join the table, rebuild.
 
-    The stop-word table is a bounded set (a vocabulary cut), so it is broadcast.
+    The stop-word table is broadcast only after its size is checked (at most ``BROADCAST_MAX_WORDS``);
+    a larger table goes through a shuffle anti-join, where AQE splits skewed word partitions.
     """
     words = df.select(id_col, F.posexplode(split_words(text_col)).alias("pos", "word"))
-    kept = words.join(F.broadcast(stop_df.select(F.col(stop_df.columns[0]).alias("word"))), "word", "left_anti")
+    stop = stop_df.select(F.col(stop_df.columns[0]).alias("word"))
+    if stop.limit(BROADCAST_MAX_WORDS + 1).count() <= BROADCAST_MAX_WORDS:
+        stop = F.broadcast(stop)
+    kept = words.join(stop, "word", "left_anti")
     rebuilt = kept.groupBy(id_col).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]),
                      " ").alias(out_col))

@@ -29,12 +29,13 @@ def dataset_counts(df: DataFrame) -> DataFrame:
 def sentiment_stats(texts: DataFrame, sentiments: DataFrame, metadata: DataFrame) -> DataFrame:
     """A3: totals and means over the base tables (AVG skips nulls), one row.
 
-    Three independent single-row aggregates; the combining joins are on one-row sides.
+    Three independent single-row aggregates (each scan is combined map-side), joined on a constant
+    key: equi-joins of one-row sides, never a cartesian product.
     """
-    t = texts.agg(F.count(F.lit(1)).alias("total"))
-    s = sentiments.agg(F.avg("confidence").alias("avg_confidence"))
-    m = metadata.agg(F.avg("favorite_count").alias("avg_favorite_count"))
-    return (t.join(F.broadcast(s), how="inner").join(F.broadcast(m), how="inner")
+    t = texts.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
+    s = sentiments.agg(F.avg("confidence").alias("avg_confidence")).withColumn("_k", F.lit(1))
+    m = metadata.agg(F.avg("favorite_count").alias("avg_favorite_count")).withColumn("_k", F.lit(1))
+    return (t.join(s, "_k").join(m, "_k")
              .select("total", F.round("avg_confidence", 6).alias("avg_confidence"),
                      F.round("avg_favorite_count", 6).alias("avg_favorite_count")))
 

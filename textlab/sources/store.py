@@ -17,22 +17,24 @@ from textlab import schema as S
 from textlab.operators.split import dense_index
 
 
-def allocate_ids(df: DataFrame, natural_key: str, start: int = 1, out: str = "text_id") -> DataFrame:
+def allocate_ids(df: DataFrame, natural_key: str, start: int = 1, out: str = "text_id",
+                 n_buckets: int = 4096) -> DataFrame:
     """K3 id allocation: dense ids ``start..start+n-1`` in natural-key order.
 
-    Deterministic (a recomputation gives the same ids) and distributed: bucket offsets on a small
-    table, ranks per bucket (see :func:`textlab.operators.split.dense_index`). Buckets come from the
-    key's hash-free range so the order is kept: xxhash would lose it, so we bucket by key range.
+    Deterministic (a recomputation gives the same ids) and distributed: rows are cut into key ranges
+    at approximate quantiles of the key (``n_buckets`` boundaries, a bounded list), so every range holds
+    about ``n / n_buckets`` rows however the keys are spread; range sizes are summed into offsets on
+    the small range table and each range is ranked on its own (see
+    :func:`textlab.operators.split.dense_index`). The range lookup is ``Bucketizer``'s binary search.
     """
-    # two numbers, fetched with one aggregate (a scalar subquery here would nest inside the input's own
-    # subqueries, which adaptive execution refuses to run)
-    lo, hi = df.agg(F.min(natural_key), F.max(natural_key)).first()
-    if lo is None:
-        return df.withColumn(out, F.lit(None).cast("bigint"))
-    span = float(hi - lo + 1)
-    bucket = F.floor((F.col(natural_key) - F.lit(lo)).cast("double") / F.lit(span) * 4096).cast("int")
-    x = dense_index(df, bucket, [F.col(natural_key)], out="_idx")
-    return x.withColumn(out, (F.col("_idx") + F.lit(start)).cast("bigint")).drop("_idx", "_n_total")
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    cuts = df.approxQuantile(natural_key, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
+    splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_key_d", outputCol="_range")
+    x = b.transform(df.withColumn("_key_d", F.col(natural_key).cast("double")))
+    x = dense_index(x, F.col("_range").cast("int"), [F.col(natural_key)], out="_idx")
+    return x.withColumn(out, (F.col("_idx") + F.lit(start)).cast("bigint")).drop("_idx", "_n_total", "_key_d", "_range")
 
 
 def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str = "id",
