@@ -69,15 +69,19 @@ def path_rules_node(rules) -> Column:
 
 
 # ---------------------------------------------------------------------------------------------- P2
-def score_with(df, make_scorer, text_col: str = "preprocessed_text", id_col: str = "id"):
+def score_with(df, make_scorer, text_col: str = "preprocessed_text", id_col: str = "id", keep: list[str] | None = None):
     """Class logits from a Python scorer, run over Arrow batches with ``mapInPandas``.
 
     ``make_scorer()`` is called once per task (load a model there, not per row) and returns a function
     ``list[str] -> list[list[float]]``. If a batch fails, its rows are retried one by one and a row
     that still fails gets null logits and its message in ``_error`` (F3), so one bad row never drops
-    the batch. The result keeps ``id`` and ``text_col``; join it back for other columns.
+    the batch. The result keeps ``id``, ``text_col`` and the ``keep`` columns (passed through the same
+    Arrow batch, so no join back is needed).
     """
     import pandas as pd
+    from pyspark.sql import types as T
+
+    cols = [id_col, text_col] + [c for c in (keep or []) if c not in (id_col, text_col)]
 
     def run(batches):
         scorer = make_scorer()
@@ -94,10 +98,15 @@ def score_with(df, make_scorer, text_col: str = "preprocessed_text", id_col: str
                     except Exception as ex:  # noqa: BLE001
                         logits.append(None)
                         errors[i] = f"{type(ex).__name__}: {ex}"[:500]
-            yield pd.DataFrame({id_col: pdf[id_col], text_col: pdf[text_col], "logits": logits, "_error": errors})
-
-    schema = f"{id_col} long, {text_col} string, logits array<double>, _error string"
-    return df.select(id_col, text_col).mapInPandas(run, schema)
+            out = pdf[cols].copy()
+            out["logits"] = logits
+            out["_error"] = errors
+            yield out
+
+    base = df.select(*cols)
+    schema = T.StructType(base.schema.fields + [T.StructField("logits", T.ArrayType(T.DoubleType())),
+                                                T.StructField("_error", T.StringType())])
+    return base.mapInPandas(run, schema)
 
 
 def classify_logits(df, logits_col: str = "logits"):

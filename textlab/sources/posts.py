@@ -93,10 +93,10 @@ def scorable(df: DataFrame, text_col: str = S.REQUIRED_COLUMN) -> DataFrame:
     return df.filter(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
 
 
-def posts_record(df: DataFrame) -> DataFrame:
-    """F4 + T10 + T12: the typed post record used by labelling."""
+def posts_record(df: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
+    """F4 + T10 + T12: the typed post record used by labelling (``keep`` columns pass through)."""
     df = add_missing_columns(df)
-    return df.select(
+    return df.select(*keep,
         F.col("id_str").cast("bigint").alias("id") if "id_str" in df.columns else F.lit(None).cast("bigint").alias("id"),
         F.col("full_text"),
         likes_to_int("favorite_count").alias("favorite_count"),
