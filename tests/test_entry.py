@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from textlab.sources.tables import TABLES
 
-ROWS_ONLY = {"tree_nodes", "tree_rules_text", "tree_edges", "tree_model_report"}
+ROWS_ONLY = {"tree_nodes", "tree_rules_text", "tree_edges", "tree_model_report", "stem_text"}
 SAMPLE = ["clean_text", "label_posts", "python_scorer", "parse_created_at", "mine_confidence_rules", "rules_text",
           "stats_grouping_sets", "likes_boxplot", "confidence_histogram", "labeled_view", "train_test_split",
           "data_distribution", "tfidf", "classification_report", "gain_ratio_best", "batch_progress"]

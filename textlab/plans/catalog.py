@@ -125,6 +125,22 @@ def q_python_scorer(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("id", "sentiment", "confidence", "_error")
 
 
+def q_label_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """P4 end to end: labelled rows written as a post CSV, then read, checked, cleaned, scored by the
+    Python lexicon scorer, given the shipped rules and stored as three tables."""
+    from textlab.functions.scoring import lexicon_scorer
+    from textlab.plans.labelling import label_file
+    res = label_file(spark, _posts_csv(spark, sf), scratch_path(spark, "label-csv-store"),
+                     lexicon_scorer(POSITIVE_WORDS, NEGATIVE_WORDS))
+    return res.labeled.select("id", "sentiment", "confidence", "favorite_count", "confidence_level", "popularity")
+
+
+def q_stem_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cleaned document with its words replaced by their Porter stems."""
+    from textlab.functions.stem import stem_text
+    return stem_text(_clean_docs(spark, sf), "id", "t", "stemmed").select("id", "stemmed")
+
+
 # ----------------------------------------------------------------------------------- ingest
 def _posts_csv(spark, sf) -> str:
     """Write the labelled rows as a tweet CSV (K1) under the shared scratch folder; return its path."""
@@ -532,7 +548,8 @@ def q_stream_progress_totals(spark, sf):
 QUERIES = {
     "clean_text": q_clean_text, "tokenize": q_tokenize, "remove_stopwords": q_remove_stopwords,
     "softmax_classify": q_softmax_classify, "label_posts": q_label_posts, "feature_score": q_feature_score,
-    "path_rules": q_path_rules, "python_scorer": q_python_scorer,
+    "path_rules": q_path_rules, "python_scorer": q_python_scorer, "label_csv": q_label_csv,
+    "stem_text": q_stem_text,
     "scan_posts": q_scan_posts, "scorable_posts": q_scorable_posts, "missing_columns": q_missing_columns,
     "preview_rows": q_preview_rows, "parse_created_at": q_parse_created_at, "import_defaults": q_import_defaults,
     "union_tagged": q_union_tagged,
