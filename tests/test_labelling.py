@@ -82,3 +82,50 @@ def test_resolve_rules_fallback_chain(spark, tmp_path):
     f = tmp_path / "rules.json"
     f.write_text(json.dumps({"confidence_rules": {"x_high": {"threshold": 0.7, "count": 3, "label": "X"}}}))
     assert rule_list(L.resolve_rules(spark, str(tmp_path / "none"), str(f))) == [("x_high", 0.7, "X")]
+
+
+def test_import_csv_with_defaults(spark, tmp_path):
+    p = tmp_path / "import.csv"
+    p.write_text("text,sentiment,confidence,favorite_count,created_at,source_dataset\n"
+                 "hello,positive,0.9,12.0,2024-12-30 14:24:08,a\n"
+                 ",,,,,\n")
+    paths = L.import_csv(spark, str(p), str(tmp_path / "store"))
+    from textlab.sources.store import load_view
+    rows = sorted(load_view(spark, str(tmp_path / "store")).collect(), key=lambda r: r.text)
+    assert [(r.text, r.sentiment, r.confidence, r.favorite_count, r.source_dataset) for r in rows] == \
+        [("", "neutral", 0.0, 0, "imported"), ("hello", "positive", 0.9, 12, "a")]
+    assert str(rows[1].created_at) == "2024-12-30 14:24:08"
+    assert set(paths) == {"texts", "sentiments", "metadata"}
+
+
+def test_resolve_labeled_source(spark, tmp_path):
+    assert L.resolve_labeled_source(spark, str(tmp_path / "no"), str(tmp_path / "no.csv"), str(tmp_path / "x.csv")) \
+        is None
+    d = tmp_path / "default.csv"
+    d.write_text("full_text,favorite_count\nhi,1\n")
+    got = L.resolve_labeled_source(spark, str(tmp_path / "no"), str(tmp_path / "labeled_csv"), str(d))
+    assert [r.full_text for r in got.collect()] == ["hi"]
+    # the copy now exists and is preferred next time
+    again = L.resolve_labeled_source(spark, None, str(tmp_path / "labeled_csv"), None)
+    assert again.count() == 1
+
+
+def test_execute_query_with_parameters(spark):
+    from textlab.sources.store import execute_query
+    df = spark.createDataFrame([(1, "positive"), (2, "negative")], "id long, sentiment string")
+    out = execute_query(spark, "SELECT id FROM v WHERE sentiment = ?", ["negative"], {"v": df})
+    assert [r.id for r in out.collect()] == [2]
+
+
+def test_input_guards():
+    import pytest
+    from textlab.sources import posts as P
+    assert P.check_percent("80") == 80.0
+    for bad in (-1, 101):
+        with pytest.raises(ValueError):
+            P.check_percent(bad)
+    with pytest.raises(ValueError):
+        P.check_text("   ")
+    with pytest.raises(ValueError):
+        P.check_csv_path("data.xlsx")
+    assert P.check_csv_path("a.CSV") == "a.CSV"

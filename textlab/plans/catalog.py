@@ -198,14 +198,10 @@ def q_import_defaults(spark: SparkSession, sf: str) -> DataFrame:
     lab = labeled(spark, sf)
     likes_text = F.when(F.col("location") == "view", F.concat(F.col("favorite_count").cast("string"), F.lit(".0"))) \
         .otherwise(F.col("favorite_count").cast("string"))
-    x = lab.withColumn("likes_text", likes_text)
-    return x.select(
-        "id", F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce("preprocessed_text", F.lit("")).alias("preprocessed_text"),
-        F.coalesce("source_dataset", F.lit(S.IMPORT_DEFAULT_SOURCE)).alias("source_dataset"),
-        F.coalesce("sentiment", F.lit(S.IMPORT_DEFAULT_SENTIMENT)).alias("sentiment"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        likes_to_int("likes_text").alias("favorite_count"), "location", "username")
+    x = P.import_defaults(lab.select("id", "text", "preprocessed_text", "source_dataset", "sentiment", "confidence",
+                                     likes_text.alias("favorite_count"), "created_at", "location", "username"))
+    return x.select("id", "text", "preprocessed_text", "source_dataset", "sentiment", "confidence", "favorite_count",
+                    "location", "username")
 
 
 def q_union_tagged(spark: SparkSession, sf: str) -> DataFrame:

@@ -112,3 +112,46 @@ def create_labeled_dataset(spark: SparkSession, path_1: str, path_2: str, out: s
     if rules_out:
         ST.save_rules(mined, rules_out)
     return res, mined
+
+
+def _readable(spark: SparkSession, path: str | None, fmt: str) -> DataFrame | None:
+    if not path:
+        return None
+    try:
+        if fmt == "parquet":
+            return ST.load_view(spark, path)
+        return P.read_posts(spark, path)
+    except Exception:  # noqa: BLE001 - absent or unreadable: the next source is tried
+        return None
+
+
+def resolve_labeled_source(spark: SparkSession, store_base: str | None, labeled_csv: str | None,
+                           default_csv: str | None) -> DataFrame | None:
+    """Stored view if it has rows, else the labelled CSV, else the default CSV (copied to the labelled
+    path by the executors), else None."""
+    v = _readable(spark, store_base, "parquet")
+    if v is not None and not v.isEmpty():
+        return v
+    c = _readable(spark, labeled_csv, "csv")
+    if c is not None:
+        return c
+    d = _readable(spark, default_csv, "csv")
+    if d is None:
+        return None
+    if labeled_csv:
+        P.write_csv(d, labeled_csv)
+        return P.read_posts(spark, labeled_csv)
+    return d
+
+
+def import_csv(spark: SparkSession, path: str, store_base: str, mode: str = "overwrite") -> dict[str, str]:
+    """K4: bulk import of a labelled CSV into the three stored tables, with the import defaults.
+
+    ``mode='overwrite'`` replaces what is stored (the original asked before wiping), ``'append'`` adds.
+    """
+    from textlab.sources.scratch import materialize
+    raw = P.read_posts_with_fallback(spark, path)
+    rows = P.import_defaults(raw)
+    key = F.col("id").cast("bigint") if "id" in raw.columns else F.lit(None).cast("bigint")
+    rows = materialize(rows.withColumn("id", F.coalesce(key, F.monotonically_increasing_id())), "import-rows")
+    return ST.save_labeled(spark, rows, store_base, natural_key="id", mode=mode)

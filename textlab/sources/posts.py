@@ -115,3 +115,52 @@ def preview(df: DataFrame, order_col: str, n: int = 10) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: header CSV that round-trips through :func:`read_posts` (quotes doubled, spaces kept)."""
     df.write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
+
+
+# ------------------------------------------------------------------------------------- F10, T11
+def check_text(text: str | None) -> str:
+    """a single text to label must be non-empty."""
+    if text is None or not str(text).strip():
+        raise ValueError("text is empty")
+    return str(text)
+
+
+def check_percent(p) -> float:
+    """a split percentage must be a number in [0, 100]."""
+    v = float(p)
+    if not 0.0 <= v <= 100.0:
+        raise ValueError(f"percentage {v} is outside [0, 100]")
+    return v
+
+
+def check_csv_path(path: str) -> str:
+    """only ``.csv`` files are accepted (no size cap: the file is read by executors)."""
+    if not str(path).lower().endswith(".csv"):
+        raise ValueError(f"not a .csv file: {path}")
+    return path
+
+
+IMPORT_COLUMNS = ["text", "preprocessed_text", "source_dataset", "sentiment", "confidence", "favorite_count",
+                  "created_at", "location", "username"]
+
+
+def import_defaults(df: DataFrame) -> DataFrame:
+    """T11 + T12 + T10 (import path): null defaults of a bulk import of labelled rows.
+
+    Texts become ``''``, the source ``imported``, the sentiment ``neutral``, the confidence 0.0, likes
+    0 (text such as ``'12.0'`` is read through a double); dates are parsed in either format; location
+    and username stay null. Works on all-string CSV columns as well as typed ones.
+    """
+    df = add_missing_columns(df, IMPORT_COLUMNS)
+    keep = [c for c in df.columns if c not in IMPORT_COLUMNS]
+    return df.select(
+        *keep,
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.coalesce(F.col("preprocessed_text"), F.lit("")).alias("preprocessed_text"),
+        F.coalesce(F.col("source_dataset"), F.lit(S.IMPORT_DEFAULT_SOURCE)).alias("source_dataset"),
+        F.coalesce(F.col("sentiment"), F.lit(S.IMPORT_DEFAULT_SENTIMENT)).alias("sentiment"),
+        F.coalesce(F.expr("try_cast(confidence as double)"), F.lit(0.0)).alias("confidence"),
+        likes_to_int("favorite_count").alias("favorite_count"),
+        (F.col("created_at").cast("timestamp_ntz") if dict(df.dtypes)["created_at"].startswith("timestamp")
+         else parse_created_at("created_at")).alias("created_at"),
+        F.col("location").cast("string").alias("location"), F.col("username").cast("string").alias("username"))

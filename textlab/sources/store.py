@@ -162,3 +162,11 @@ def get_model(spark: SparkSession, base: str, name: str):
     if r is None:
         return None
     return PipelineModel.load(r[0]), r[1]
+
+
+def execute_query(spark: SparkSession, query: str, params: list | dict | None = None,
+                  views: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A parameterised SQL statement over named views (positional ``?`` or named ``:x`` markers)."""
+    for name, df in (views or {}).items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(query, args=params) if params else spark.sql(query)
