@@ -55,3 +55,12 @@ def test_export_csv(spark, tmp_path):
     assert ST.export_csv(view, str(tmp_path / "out")) is True
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert sorted(r.text for r in back.collect()) == ["a, b", "c"]
+
+
+def test_spread_only_underpartitioned_scans(spark, tmp_path):
+    from textlab.sources.tables import spread
+    target = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert spread(one, "id").rdd.getNumPartitions() == target
+    many = spark.range(100).repartition(target + 2)
+    assert spread(many, "id") is many                       # no shuffle added

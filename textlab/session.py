@@ -20,17 +20,33 @@ BASE_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
+# Starting point for a large cluster reading ~100 TB: many shuffle partitions that AQE coalesces to
+# ~256 MB at runtime, 256 MB input splits, skew splitting from 512 MB, broadcasts up to 64 MB (the
+# bounded tables here are far smaller), and the sort-free local shuffle reader.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.localShuffleReader.enabled": "true",
+}
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "textlab",
-              extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the configs above.
+              extra: dict | None = None, profile: str = "local") -> SparkSession:
+    """Build (or reuse) a session with the configs above (``profile='cluster'`` adds ``CLUSTER_CONF``).
 
     ``master`` defaults to whatever the launcher provides (cluster) or ``local[*]``.
     """
     b = SparkSession.builder.appName(app)
     if master or not os.environ.get("SPARK_MASTER"):
         b = b.master(master or "local[*]")
-    for k, v in BASE_CONF.items():
+    conf = {**BASE_CONF, **(CLUSTER_CONF if profile == "cluster" else {})}
+    for k, v in conf.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
