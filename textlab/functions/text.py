@@ -83,7 +83,19 @@ def remove_stopwords_df(df: DataFrame, id_col: str, text_col: str, stop_df: Data
 
 
 def english_stop_words() -> list[str]:
-    """Spark ML's built-in English stop-word list."""
+    """Spark ML's built-in English stop-word list (181 words), read from the Spark ML jar so that no
+    running JVM is needed (SQL text built before a session exists); falls back to the ML API."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    for j in jars:
+        with zipfile.ZipFile(j) as z:
+            name = "org/apache/spark/ml/feature/stopwords/english.txt"
+            if name in z.namelist():
+                return z.read(name).decode("utf-8").split()
     from pyspark.ml.feature import StopWordsRemover
     return StopWordsRemover.loadDefaultStopWords("english")
 

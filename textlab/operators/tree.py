@@ -31,18 +31,26 @@ def _log2(x: Column) -> Column:
 
 
 def label_counts(assign: DataFrame) -> DataFrame:
-    """``(node, label, c)`` and per node the total, distinct labels and majority (tie: smallest label)."""
-    return assign.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
+    """``(node, label, c)``; with the tree job's row columns also the non-zeros of those rows and the
+    node's parent key and branch value (constant per node)."""
+    aggs = [F.count(F.lit(1)).alias("c")]
+    if "row_nnz" in assign.columns:
+        aggs += [F.sum("row_nnz").alias("nnz"), F.any_value("parent").alias("parent"), F.any_value("v").alias("v"),
+                 F.min(F.struct("parent", "v")).alias("_lo"), F.max(F.struct("parent", "v")).alias("_hi")]
+    return assign.groupBy("node", "label").agg(*aggs)
 
 
 def node_summary(cnt: DataFrame) -> DataFrame:
     w = Window.partitionBy("node").orderBy(F.desc("c"), F.asc("label"))
     ranked = cnt.withColumn("_r", F.row_number().over(w))
+    extra = [F.sum("nnz").alias("nnz"), F.any_value("parent").alias("parent"), F.any_value("v").alias("v"),
+             (F.min("_lo") != F.max("_hi")).alias("collision")] if "nnz" in cnt.columns else []
     n = cnt.groupBy("node").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_labels"),
-                                F.sum(-(F.col("c") * _log2(F.col("c")))).alias("_s"))
+                                F.sum(-(F.col("c") * _log2(F.col("c")))).alias("_s"), *extra)
     maj = ranked.filter(F.col("_r") == 1).select("node", F.col("label").alias("majority"))
     # H(node) = log2(n) - sum(c log2 c)/n  (same quantity as -sum p log2 p)
-    return n.join(maj, "node").select("node", "n", "n_labels", "majority",
+    keep = ["nnz", "parent", "v", "collision"] if extra else []
+    return n.join(maj, "node").select("node", "n", "n_labels", "majority", *keep,
                                       (_log2(F.col("n")) + F.col("_s") / F.col("n")).alias("h"))
 
 
@@ -185,65 +193,92 @@ def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
 
 
 def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, checkpoint: bool = True,
-               local_cells: int = 4_000_000) -> DataFrame:
+               local_cells: int = 2_000_000) -> DataFrame:
     """M2: grow the multiway gain-ratio tree; returns the node table.
 
     ``rows``: ``(id, label)``; ``nz``: ``(id, term, tf)`` with ``tf > 0``.
     Node table: ``node_id, parent_id, split_value, depth, feature, class, majority, n, is_leaf``.
     Stops on a pure node, on ``max_depth``, or when the best gain ratio is zero (|.| < 1e-12).
 
-    Nodes whose dense block (rows x vocabulary) is at most ``local_cells`` are finished inside one
-    task each (``applyInPandas`` per node, a checked bound); larger nodes split as distributed levels.
-    ``local_cells=0`` keeps everything distributed.
+    Rows carry a compact 64-bit node key (a hash of the parent key and the branch value) and their
+    count of non-zeros; node paths live only in the per-level node table, so the row payload of
+    every shuffle stays the same however deep the tree grows. A node whose sparse size (non-zeros
+    plus rows) is at most ``local_cells`` is finished inside one task (``applyInPandas`` per node,
+    a checked bound); larger nodes split as distributed levels. ``local_cells=0`` keeps everything
+    distributed.
     """
-    n_vocab = nz.select(F.count_distinct("term")).first()[0] or 0
-    assign = rows.select("id", "label", F.lit("").alias("node"), F.lit(None).cast("string").alias("split_value"))
+    row_nnz = nz.groupBy("id").agg(F.count(F.lit(1)).alias("row_nnz"))
+    assign = (rows.join(row_nnz, "id", "left")
+                  .select("id", "label", F.coalesce("row_nnz", F.lit(0)).cast("long").alias("row_nnz"),
+                          F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"),
+                          F.lit(None).cast("long").alias("v")))
+    paths = None                       # (parent key -> parent path) of the nodes split at the previous level
     levels = []
     depth = 0
     while True:
         if checkpoint:
             assign = materialize(assign, f"tree-assign-{depth}")
         cnt = label_counts(assign)
-        summ = node_summary(cnt).join(assign.select("node", "split_value").distinct(), "node")
+        summ = node_summary(cnt)
+        if paths is None:
+            summ = summ.withColumn("path", F.lit("")).withColumn("split_value", F.lit(None).cast("string"))
+        else:
+            summ = (summ.join(paths, "parent")
+                        .withColumn("path", F.concat("ppath", F.lit("/"),
+                                                     F.lpad(F.col("v").cast("string"), VALUE_WIDTH, "0")))
+                        .withColumn("split_value", F.col("v").cast("string")).drop("ppath"))
         openable = F.col("n_labels") > 1
         if max_depth is not None and depth >= max_depth:
             openable = F.lit(False)
-        small = openable & (F.col("n") * F.lit(n_vocab) <= F.lit(local_cells))
+        small = openable & ((F.col("nnz") + F.col("n")) <= F.lit(local_cells))
         summ = summ.withColumn("mode", F.when(small, "local").when(openable, "dist").otherwise("leaf"))
         if checkpoint:
             summ = materialize(summ, f"tree-summary-{depth}")
-        local_nodes = summ.filter(F.col("mode") == "local").select("node")
-        if not local_nodes.isEmpty():
-            ra = assign.join(local_nodes, "node", "left_semi")
-            base = ra.select("node", "id", "label", "split_value", F.lit(None).cast("string").alias("term"),
+        stats = summ.groupBy("mode").agg(F.count(F.lit(1)), F.count_if("collision")).collect()   # <= 3 rows
+        if any(r[2] for r in stats):
+            raise RuntimeError("two tree nodes share a 64-bit key; grow the tree again with another key seed")
+        modes = {r[0]: r[1] for r in stats}
+        if modes.get("local"):
+            local_nodes = summ.filter(F.col("mode") == "local").select("node", "path", "split_value")
+            ra = assign.join(F.broadcast(local_nodes) if modes["local"] <= 100_000 else local_nodes, "node")
+            base = ra.select("node", "path", "id", "label", "split_value", F.lit(None).cast("string").alias("term"),
                              F.lit(None).cast("long").alias("tf"))
-            nzs = ra.join(nz, "id").select("node", "id", "label", "split_value", "term", F.col("tf").cast("long"))
-            long = base.unionByName(nzs).withColumn("depth", F.lit(depth))
+            nzs = ra.join(nz, "id").select("node", "path", "id", "label", "split_value", "term",
+                                           F.col("tf").cast("long"))
+            long = (base.unionByName(nzs).withColumn("depth", F.lit(depth))
+                        .withColumnRenamed("node", "gkey").withColumnRenamed("path", "node"))
             md = max_depth
-            sub = long.groupBy("node").applyInPandas(lambda pdf: _finish_local(pdf, md), NODE_SCHEMA)
+            sub = long.groupBy("gkey").applyInPandas(lambda pdf: _finish_local(pdf, md), NODE_SCHEMA)
             levels.append(materialize(sub, f"tree-local-{depth}") if checkpoint else sub)
-        dist_nodes = summ.filter(F.col("mode") == "dist").select("node")
-        best = best_split(gain_ratios(assign.join(dist_nodes, "node", "left_semi"), nz, cnt, summ))
-        best = best.filter(F.abs(F.col("gain_ratio")) >= GAIN_EPS).select("node", F.col("term").alias("feature"))
-        level = (summ.filter(F.col("mode") != "local").join(best, "node", "left")
-                     .select(F.col("node").alias("node_id"),
-                             F.when(F.col("node") == "", F.lit(None))
-                              .otherwise(F.regexp_extract("node", r"^(.*)/[^/]*$", 1)).alias("parent_id"),
-                             "split_value", F.lit(depth).alias("depth"), "feature",
-                             F.when(F.col("feature").isNull(), F.col("majority")).alias("class"),
-                             "majority", "n", F.col("feature").isNull().alias("is_leaf")))
-        if checkpoint:
-            level = materialize(level, f"tree-level-{depth}")
-        levels.append(level)
-        split_nodes = level.filter(~F.col("is_leaf")).select(F.col("node_id").alias("node"), "feature")
-        if split_nodes.isEmpty():
+        split_nodes = None
+        if modes.get("dist"):
+            dist_nodes = summ.filter(F.col("mode") == "dist").select("node")
+            best = best_split(gain_ratios(assign.join(dist_nodes, "node", "left_semi"), nz, cnt, summ))
+            best = best.filter(F.abs(F.col("gain_ratio")) >= GAIN_EPS).select("node", F.col("term").alias("feature"))
+        else:
+            best = summ.limit(0).select("node", F.lit(None).cast("string").alias("feature"))
+        if modes.get("dist") or modes.get("leaf"):
+            level = (summ.filter(F.col("mode") != "local").join(best, "node", "left")
+                         .select("node", F.col("path").alias("node_id"),
+                                 F.when(F.col("path") == "", F.lit(None))
+                                  .otherwise(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).alias("parent_id"),
+                                 "split_value", F.lit(depth).alias("depth"), "feature",
+                                 F.when(F.col("feature").isNull(), F.col("majority")).alias("class"),
+                                 "majority", "n", F.col("feature").isNull().alias("is_leaf")))
+            if checkpoint:
+                level = materialize(level, f"tree-level-{depth}")
+            levels.append(level.drop("node"))
+            n_split = level.filter(~F.col("is_leaf")).count()
+            if n_split:
+                split_nodes = level.filter(~F.col("is_leaf")).select("node", "feature", "node_id")
+        if split_nodes is None:
             break
-        nxt = (assign.join(split_nodes, "node")
+        nxt = (assign.join(split_nodes.select("node", "feature"), "node")
                      .join(nz.withColumnRenamed("term", "feature"), ["id", "feature"], "left")
-                     .select("id", "label", "node", F.coalesce("tf", F.lit(0)).cast("long").alias("v")))
-        assign = nxt.select("id", "label",
-                            F.concat("node", F.lit("/"), F.lpad(F.col("v").cast("string"), VALUE_WIDTH, "0")).alias("node"),
-                            F.col("v").cast("string").alias("split_value"))
+                     .select("id", "label", "row_nnz", F.col("node").alias("parent"),
+                             F.coalesce("tf", F.lit(0)).cast("long").alias("v")))
+        assign = nxt.withColumn("node", F.xxhash64("parent", "v"))
+        paths = split_nodes.select(F.col("node").alias("parent"), F.col("node_id").alias("ppath"))
         depth += 1
     out = levels[0]
     for lv in levels[1:]:

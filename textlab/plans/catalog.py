@@ -34,7 +34,7 @@ CATEGORY_RULES = {
 LEMMAS = [("was", "be"), ("is", "be"), ("are", "be"), ("were", "be"), ("has", "have"), ("had", "have"),
           ("les", "le"), ("la", "le"), ("die", "der"), ("das", "der")]
 STOPWORD_TOP = 50
-TREE_TERMS = 300
+TREE_TERMS = S.MAX_FEATURES
 PREVIEW_ROWS = 10
 LIMIT_ROWS = 100
 TRAIN_PERCENT = 80
@@ -443,13 +443,21 @@ def q_accuracy(spark, sf):
 
 # ----------------------------------------------------------------------------------- tree
 def tree_inputs(spark, sf):
-    """Rows ``(id, label)`` of the labelled data and non-zeros over its ``TREE_TERMS`` most frequent terms."""
+    """The gain-ratio tree's training matrix, configured like the application's training run: rows
+    ``(id, label)`` of the training split (``TRAIN_PERCENT``, seed 42) and their non-zeros over the
+    count vectoriser's vocabulary, i.e. the ``max_features`` most frequent training terms after English
+    stop-word removal (V1, T9)."""
+    from textlab.functions.text import english_stop_words
     from textlab.sources.scratch import materialize
     lab = labeled(spark, sf)
-    rows = lab.select("id", F.col("sentiment").alias("label"))
+    train = SP.train_test_split(lab.select("id"), "id", TRAIN_PERCENT).filter(F.col("split_type") == "train")
+    tr = lab.join(train.select("id"), "id", "left_semi")
+    rows = tr.select("id", F.col("sentiment").alias("label"))
+    stop = spark.createDataFrame([(w,) for w in english_stop_words()], "term string")    # 181 words
     # cleaning and tokenising is the heavy part; it feeds both the vocabulary and the matrix, so it is
     # written once to the shared scratch folder instead of being computed twice
-    terms = materialize(FE.doc_terms(lab, "id", "preprocessed_text"), "tree-terms")
+    terms = materialize(FE.doc_terms(tr, "id", "preprocessed_text").join(F.broadcast(stop), "term", "left_anti"),
+                        "tree-terms")
     vocab = FE.top_terms(terms, TREE_TERMS)
     nz = terms.join(F.broadcast(vocab.select("term")), "term").select("id", "term", "tf")
     return rows, nz

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from textlab import schema as S
 from textlab.functions.dates import SOCIAL_RE
+from textlab.functions.text import english_stop_words
 from textlab.plans import catalog as C
 from textlab.plans.oracle import BASE_CTE, LABELED_CTE, clean_sql, q, tokens_sql, words_sql
 
@@ -113,8 +114,10 @@ def _likes_int(x: str) -> str:
 
 
 GAIN_ROOT = f""",
-lab AS (SELECT id, sentiment AS label FROM labeled),
-gdt AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tokens_sql('preprocessed_text')}) AS term FROM labeled)
+lab AS (SELECT l.id, l.sentiment AS label FROM labeled l JOIN split s ON l.id = s.id WHERE s.split_type = 'train'),
+gdt AS (SELECT id, term, count(*) AS tf
+        FROM (SELECT l.id, unnest({tokens_sql('l.preprocessed_text')}) AS term FROM labeled l JOIN lab ON l.id = lab.id)
+        WHERE term NOT IN ({", ".join(q(w) for w in english_stop_words())})
         GROUP BY id, term),
 gtop AS (SELECT term FROM (SELECT term, sum(tf) AS n FROM gdt GROUP BY term) ORDER BY n DESC, term LIMIT {C.TREE_TERMS}),
 nz AS (SELECT gdt.* FROM gdt JOIN gtop ON gdt.term = gtop.term),
@@ -369,10 +372,10 @@ SQL = {
                                sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM y
               UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM y)
         SELECT cls AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM u""",
-    "gain_ratio_root": "WITH " + LABELED_CTE + GAIN_ROOT + """
+    "gain_ratio_root": "WITH " + LABELED_CTE + SPLIT + GAIN_ROOT + """
         SELECT term, round(info_gain, 9) AS info_gain, round(split_info, 9) AS split_info,
                round(gain_ratio, 9) AS gain_ratio, n_values FROM gr""",
-    "gain_ratio_best": "WITH " + LABELED_CTE + GAIN_ROOT + """
+    "gain_ratio_best": "WITH " + LABELED_CTE + SPLIT + GAIN_ROOT + """
         SELECT term, round(gain_ratio, 9) AS gain_ratio FROM gr ORDER BY round(gain_ratio, 12) DESC, term LIMIT 1""",
     "accuracy": "WITH " + BASE_CTE + PRED + """
         SELECT count(*) AS n, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pt""",
