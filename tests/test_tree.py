@@ -132,3 +132,30 @@ def test_rules_text_and_edges(spark):
     assert sorted(e.edge_label for e in edges) == ["= '0'", "= '1'"]
     shape = TR.tree_shape(nodes).first()
     assert (shape.depth, shape.n_leaves, shape.n_nodes) == (1, 2, 3)
+
+
+def test_predict_routes_rows_and_unseen_values(spark):
+    rows = fixture(seed=11, n=80)
+    r, nz = to_frames(spark, rows)
+    nodes = TR.build_tree(r, nz, local_cells=10**9)
+    pred = {x.id: (x.predicted, x.node_id) for x in TR.predict_tree(nodes, r.select("id"), nz).collect()}
+    assert set(pred) == {i for i, _l, _t in rows}
+    leaves = {x.node_id: x["class"] for x in nodes.filter("is_leaf").collect()}
+    # every training row ends in a leaf of the tree and gets that leaf's class
+    assert all(nid in leaves and cls == leaves[nid] for cls, nid in pred.values())
+    # an unseen value stops at the root with the root's majority (Q13)
+    root = [x for x in nodes.collect() if x.node_id == ""][0]
+    if not root.is_leaf:
+        new_r = spark.createDataFrame([(10_000,)], "id long")
+        new_nz = spark.createDataFrame([(10_000, root.feature, 99)], "id long, term string, tf long")
+        got = TR.predict_tree(nodes, new_r, new_nz).collect()
+        assert [(g.predicted, g.node_id) for g in got] == [(root.majority, "")]
+
+
+def test_zero_gain_split_makes_a_leaf(spark):
+    # Q11: 'a' splits the rows but the class mix is the same on both sides: gain 0 -> leaf
+    rows = [(0, "negative", {"a": 1}), (1, "positive", {"a": 1}), (2, "negative", {}), (3, "positive", {})]
+    r, nz = to_frames(spark, rows)
+    for cells in (0, 10**9):
+        got = TR.build_tree(r, nz, local_cells=cells).collect()
+        assert len(got) == 1 and got[0].is_leaf and got[0]["class"] == "negative"

@@ -286,6 +286,45 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
     return out
 
 
+def predict_tree(nodes: DataFrame, rows: DataFrame, nz: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """Route rows down a grown tree: ``rows(id)`` with non-zeros ``nz(id, term, tf)`` -> ``(id, predicted, node_id)``.
+
+    One step per tree level, for the rows still moving: the row's value of the node's feature is its
+    ``tf`` (0 when absent); a value with no branch stops the row at that node with the node's majority
+    class (quirk Q13). Rows and edges use 64-bit keys of the node paths, so the row payload does not
+    grow with depth; the state is written every step (lineage one step deep).
+    """
+    key = F.xxhash64("node_id")
+    info = nodes.select(key.alias("node"), "node_id", "feature", "class", "majority", "is_leaf")
+    edges = nodes.filter(F.col("parent_id").isNotNull()).select(
+        F.xxhash64("parent_id").alias("node"), F.col("split_value").cast("long").alias("v"),
+        key.alias("child"))
+    state = rows.select("id", F.xxhash64(F.lit("")).alias("node"))
+    done = []
+    step = 0
+    while True:
+        if checkpoint:
+            state = materialize(state, f"tree-route-{step}")
+        if state.isEmpty():
+            break
+        cur = state.join(info, "node")
+        done.append(cur.filter("is_leaf").select("id", F.col("class").alias("predicted"), "node_id"))
+        inner = cur.filter(~F.col("is_leaf"))
+        moved = (inner.join(nz.withColumnRenamed("term", "feature"), ["id", "feature"], "left")
+                      .select("id", "node", "node_id", "majority", F.coalesce("tf", F.lit(0)).cast("long").alias("v"))
+                      .join(edges, ["node", "v"], "left"))
+        if checkpoint:
+            moved = materialize(moved, f"tree-moved-{step}")
+        done.append(moved.filter(F.col("child").isNull())
+                         .select("id", F.col("majority").alias("predicted"), "node_id"))
+        state = moved.filter(F.col("child").isNotNull()).select("id", F.col("child").alias("node"))
+        step += 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def tree_rules_text(nodes: DataFrame) -> DataFrame:
     """M5: the tree as indented text lines; sort by ``(node_id, line_kind)`` to read it in order.
 
