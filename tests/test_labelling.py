@@ -129,3 +129,20 @@ def test_input_guards():
     with pytest.raises(ValueError):
         P.check_csv_path("data.xlsx")
     assert P.check_csv_path("a.CSV") == "a.CSV"
+
+
+def test_scorer_runs_once_per_row(spark, tmp_path):
+    # Q9: the scorer output is stored once and every later result reads the stored rows
+    acc = spark.sparkContext.accumulator(0)
+
+    def make():
+        def score(texts):
+            acc.add(len(texts))
+            return [[0.0, 1.0, 0.0] for _ in texts]
+        return score
+    path = write_csv(tmp_path, "posts.csv", ROWS)
+    res = L.label_file(spark, path, str(tmp_path / "store"), make)
+    res.labeled.collect()
+    res.stats.collect()
+    res.progress.collect()
+    assert acc.value == 3
