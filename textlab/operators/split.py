@@ -36,6 +36,20 @@ def dense_index(df: DataFrame, bucket: Column, order: list[Column], out: str = "
     return j.withColumn(out, F.col("_off") + F.row_number().over(w) - 1).drop("_bk", "_off")
 
 
+def key_order_index(df: DataFrame, key: str, out: str = "row_idx", n_buckets: int = 4096) -> DataFrame:
+    """0-based position of every row in ``key`` order, skew-proof: the key is cut at ``n_buckets - 1``
+    approximate quantiles (a bounded list on the driver; ``Bucketizer`` does the binary search), so
+    every range holds about ``n / n_buckets`` rows however the keys are spread, then
+    :func:`dense_index` ranks inside the ranges. Adds ``_n_total``."""
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    cuts = df.approxQuantile(key, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
+    splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_key_d", outputCol="_range")
+    x = b.transform(df.withColumn("_key_d", F.col(key).cast("double")))
+    return dense_index(x, F.col("_range").cast("int"), [F.col(key)], out=out).drop("_key_d", "_range")
+
+
 def train_test_split(df: DataFrame, id_col: str = "id", train_percent: float = S.DEFAULT_TRAIN_PERCENT,
                      seed: int = S.SPLIT_SEED, hex_digits: int = 4) -> DataFrame:
     """Permute by the seeded key, the first ``floor(n * p / 100)`` rows are train, the rest test.
@@ -94,14 +108,11 @@ def batch_size_for(n: Column, cap: int = 50, floor_size: int = 10) -> Column:
 def batch_progress(df: DataFrame, id_col: str = "id", text_col: str = "text", cap: int = 50) -> DataFrame:
     """W4 + A21 + G3: the per-batch ledger of the labelling loop (rows, saved, skipped, done, progress).
 
-    Batches are contiguous in id order; the position is :func:`dense_index` over id buckets, and
-    ``done``/``progress`` follow arithmetically from the batch number (no running window).
+    Batches are contiguous in id order; the position is :func:`key_order_index` (quantile ranges, so
+    no range grows with key skew), and ``done``/``progress`` follow arithmetically from the batch
+    number (no running window).
     """
-    lo = df.select(F.min(id_col)).scalar()
-    hi = df.select(F.max(id_col)).scalar()
-    span = (hi - lo + 1).cast("double")
-    bucket = F.floor((F.col(id_col) - lo).cast("double") / span * 4096).cast("int")
-    x = dense_index(df, bucket, [F.col(id_col)])
+    x = key_order_index(df, id_col)
     size = batch_size_for(F.col("_n_total"), cap)
     x = x.withColumn("batch", F.floor(F.col("row_idx") / size).cast("bigint")).withColumn("_size", size)
     ok = F.col(text_col).isNotNull() & (F.col(text_col) != "")

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab import schema as S
-from textlab.operators.split import dense_index
 
 
 def allocate_ids(df: DataFrame, natural_key: str, start: int = 1, out: str = "text_id",
@@ -27,14 +26,9 @@ def allocate_ids(df: DataFrame, natural_key: str, start: int = 1, out: str = "te
     the small range table and each range is ranked on its own (see
     :func:`textlab.operators.split.dense_index`). The range lookup is ``Bucketizer``'s binary search.
     """
-    from pyspark.ml.feature import Bucketizer
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.approxQuantile(natural_key, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
-    splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_key_d", outputCol="_range")
-    x = b.transform(df.withColumn("_key_d", F.col(natural_key).cast("double")))
-    x = dense_index(x, F.col("_range").cast("int"), [F.col(natural_key)], out="_idx")
-    return x.withColumn(out, (F.col("_idx") + F.lit(start)).cast("bigint")).drop("_idx", "_n_total", "_key_d", "_range")
+    from textlab.operators.split import key_order_index
+    x = key_order_index(df, natural_key, out="_idx", n_buckets=n_buckets)
+    return x.withColumn(out, (F.col("_idx") + F.lit(start)).cast("bigint")).drop("_idx", "_n_total")
 
 
 def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str = "id",
