@@ -64,3 +64,15 @@ def test_spread_only_underpartitioned_scans(spark, tmp_path):
     assert spread(one, "id").rdd.getNumPartitions() == target
     many = spark.range(100).repartition(target + 2)
     assert spread(many, "id") is many                       # no shuffle added
+
+
+def test_filter_and_projection_reach_the_scan(spark, tmp_path):
+    lab = labeled(spark, SF_SMALL).select(*S.LABELED_VIEW_COLUMNS, "has_metadata")
+    ST.save_labeled(spark, lab, str(tmp_path / "store"))
+    view = ST.load_view(spark, str(tmp_path / "store"))
+    q = ST.by_sentiment(view, "positive").select("id", "sentiment")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(sentiment,positive)" in plan                     # predicate pushed into the Parquet scan
+    assert "ReadSchema: struct<text_id:bigint,sentiment:string>" in plan or \
+           "struct<text_id:bigint,sentiment:string>" in plan         # only the needed columns are read
+    assert "preprocessed_text" not in plan
