@@ -104,10 +104,11 @@ def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
     import numpy as np
     import pandas as pd
 
-    node0 = pdf["node"].iloc[0]
+    head = pdf[pdf["term"].isna()]
+    node0 = head["node"].iloc[0]
     depth0 = int(pdf["depth"].iloc[0])
-    sv0 = pdf["split_value"].iloc[0]
-    rows = pdf[pdf["term"].isna()][["id", "label"]].drop_duplicates("id").sort_values("id")
+    sv0 = head["split_value"].iloc[0]
+    rows = head[["id", "label"]].drop_duplicates("id").sort_values("id")
     ids = rows["id"].to_numpy()
     classes, y = np.unique(rows["label"].to_numpy().astype(str), return_inverse=True)
     n_cls = len(classes)
@@ -243,7 +244,10 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
             ra = assign.join(F.broadcast(local_nodes) if modes["local"] <= 100_000 else local_nodes, "node")
             base = ra.select("node", "path", "id", "label", "split_value", F.lit(None).cast("string").alias("term"),
                              F.lit(None).cast("long").alias("tf"))
-            nzs = ra.join(nz, "id").select("node", "path", "id", "label", "split_value", "term",
+            # path, split value and label travel once per row, not once per non-zero
+            nzs = ra.join(nz, "id").select("node", F.lit(None).cast("string").alias("path"), "id",
+                                           F.lit(None).cast("string").alias("label"),
+                                           F.lit(None).cast("string").alias("split_value"), "term",
                                            F.col("tf").cast("long"))
             long = (base.unionByName(nzs).withColumn("depth", F.lit(depth))
                         .withColumnRenamed("node", "gkey").withColumnRenamed("path", "node"))
