@@ -194,7 +194,7 @@ def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
 
 
 def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, checkpoint: bool = True,
-               local_cells: int = 2_000_000) -> DataFrame:
+               local_cells: int = 2_000_000, copartition: bool = True) -> DataFrame:
     """M2: grow the multiway gain-ratio tree; returns the node table.
 
     ``rows``: ``(id, label)``; ``nz``: ``(id, term, tf)`` with ``tf > 0``.
@@ -207,7 +207,14 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
     plus rows) is at most ``local_cells`` is finished inside one task (``applyInPandas`` per node,
     a checked bound); larger nodes split as distributed levels. ``local_cells=0`` keeps everything
     distributed.
+
+    The non-zeros are hash-partitioned by ``id`` once and kept (memory, spilling to disk; rebuilt from
+    lineage if an executor is lost), so every level's joins with them shuffle only the rows' side.
     """
+    from pyspark import StorageLevel
+    if copartition:
+        n_parts = int(nz.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        nz = nz.repartition(n_parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
     row_nnz = nz.groupBy("id").agg(F.count(F.lit(1)).alias("row_nnz"))
     assign = (rows.join(row_nnz, "id", "left")
                   .select("id", "label", F.coalesce("row_nnz", F.lit(0)).cast("long").alias("row_nnz"),
@@ -287,6 +294,8 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
+    if checkpoint and copartition:       # every level is a written table: the cached input can go
+        nz.unpersist()
     return out
 
 
