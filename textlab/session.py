@@ -71,21 +71,28 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    import hashlib
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
+    files = sorted(os.path.join(d, f) for d, _dirs, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha1()
+    for full in files:
+        digest.update(os.path.relpath(full, root).encode())
+        with open(full, "rb") as fh:
+            digest.update(fh.read())
     dist = os.path.join(root, ".dist")
     try:
         os.makedirs(dist, exist_ok=True)
     except OSError:
         dist = tempfile.mkdtemp(prefix="textlab-dist-")
-    path = os.path.join(dist, f"textlab-{os.getpid()}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _dirs, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.relpath(full, root))
+    path = os.path.join(dist, f"textlab-{digest.hexdigest()[:16]}.zip")   # same sources -> same file
+    if not os.path.exists(path):
+        part = f"{path}.{os.getpid()}.part"
+        with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
+            for full in files:
+                z.write(full, os.path.relpath(full, root))
+        os.replace(part, path)                                           # atomic for concurrent drivers
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
 
