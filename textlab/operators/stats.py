@@ -26,6 +26,17 @@ def dataset_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_dataset")
 
 
+def mean6(col: str) -> Column:
+    """Mean of a 6-decimal column, rounded to 6 decimals, independent of summation order.
+
+    Values are summed as exact integer micro-units (one integer division afterwards), so the result
+    does not depend on how rows are split over tasks or micro-batches: a plain ``avg`` of doubles
+    can flip the 6th decimal at a rounding boundary between two runs.
+    """
+    micro = F.sum(F.round(F.col(col) * 1_000_000).cast("long"))
+    return F.round(micro / F.count(col)) / 1_000_000.0
+
+
 def sentiment_stats(texts: DataFrame, sentiments: DataFrame, metadata: DataFrame) -> DataFrame:
     """A3: totals and means over the base tables (AVG skips nulls), one row.
 
@@ -33,7 +44,7 @@ def sentiment_stats(texts: DataFrame, sentiments: DataFrame, metadata: DataFrame
     key: equi-joins of one-row sides, never a cartesian product.
     """
     t = texts.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    s = sentiments.agg(F.avg("confidence").alias("avg_confidence")).withColumn("_k", F.lit(1))
+    s = sentiments.agg(mean6("confidence").alias("avg_confidence")).withColumn("_k", F.lit(1))
     m = metadata.agg(F.avg("favorite_count").alias("avg_favorite_count")).withColumn("_k", F.lit(1))
     return (t.join(s, "_k").join(m, "_k")
              .select("total", F.round("avg_confidence", 6).alias("avg_confidence"),
@@ -44,14 +55,14 @@ def stats_grouping_sets(df: DataFrame) -> DataFrame:
     """A4 in one scan: counts and mean confidence by sentiment, by source and in total (grouping sets)."""
     return (df.groupingSets([["sentiment"], ["source_dataset"], []], "sentiment", "source_dataset")
               .agg(F.grouping_id("sentiment", "source_dataset").cast("int").alias("gid"),
-                   F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence")))
+                   F.count(F.lit(1)).alias("n"), mean6("confidence").alias("avg_confidence")))
 
 
 def dashboard_stats(df: DataFrame) -> DataFrame:
     """A5: one row with total, per-sentiment counts (fixed domain, zero when absent) and means."""
     aggs = [F.count(F.lit(1)).alias("total")]
     aggs += [F.count_if(F.col("sentiment") == s).alias(f"n_{s}") for s in S.SENTIMENTS]
-    aggs += [F.round(F.avg("confidence"), 6).alias("avg_confidence"),
+    aggs += [mean6("confidence").alias("avg_confidence"),
              F.round(F.avg("favorite_count"), 6).alias("avg_likes")]
     return df.agg(*aggs)
 

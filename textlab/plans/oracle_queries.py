@@ -258,17 +258,17 @@ SQL = {
     "sentiment_counts": "WITH " + BASE_CTE + " SELECT sentiment, count(*) AS n FROM sentiments GROUP BY sentiment",
     "dataset_counts": "WITH " + BASE_CTE + " SELECT source_dataset, count(*) AS n FROM texts GROUP BY source_dataset",
     "sentiment_stats": "WITH " + BASE_CTE + """
-        SELECT (SELECT count(*) FROM texts) AS total, round((SELECT avg(confidence) FROM sentiments), 6) AS avg_confidence,
+        SELECT (SELECT count(*) FROM texts) AS total, (SELECT round(sum(CAST(round(confidence * 1000000) AS BIGINT)) / count(confidence)) / 1000000.0 FROM sentiments) AS avg_confidence,
                round((SELECT avg(favorite_count) FROM metadata), 6) AS avg_favorite_count""",
     "stats_grouping_sets": "WITH " + LABELED_CTE + """
         SELECT sentiment, source_dataset, CAST(grouping(sentiment, source_dataset) AS INTEGER) AS gid, count(*) AS n,
-               round(avg(confidence), 6) AS avg_confidence
+               round(sum(CAST(round(confidence * 1000000) AS BIGINT)) / count(confidence)) / 1000000.0 AS avg_confidence
         FROM labeled GROUP BY GROUPING SETS ((sentiment), (source_dataset), ())""",
     "dashboard_stats": "WITH " + LABELED_CTE + """
         SELECT count(*) AS total, count(*) FILTER (WHERE sentiment = 'negative') AS n_negative,
                count(*) FILTER (WHERE sentiment = 'neutral') AS n_neutral,
                count(*) FILTER (WHERE sentiment = 'positive') AS n_positive,
-               round(avg(confidence), 6) AS avg_confidence, round(avg(favorite_count), 6) AS avg_likes FROM labeled""",
+               round(sum(CAST(round(confidence * 1000000) AS BIGINT)) / count(confidence)) / 1000000.0 AS avg_confidence, round(avg(favorite_count), 6) AS avg_likes FROM labeled""",
     "sentiment_distribution": "WITH " + LABELED_CTE + f""",
         c AS (SELECT sentiment, count(*) AS n FROM labeled GROUP BY sentiment),
         j AS (SELECT dom.sentiment, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM {DOMAIN} LEFT JOIN c ON dom.sentiment = c.sentiment)
@@ -381,7 +381,7 @@ SQL = {
         SELECT count(*) AS n, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pt""",
     # stream (the streams read the same documents as files; results equal the batch plan)
     "stream_sentiment_counts": "WITH " + LABELED_CTE + """
-        SELECT sentiment, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM labeled GROUP BY sentiment""",
+        SELECT sentiment, count(*) AS n, round(sum(CAST(round(confidence * 1000000) AS BIGINT)) / count(confidence)) / 1000000.0 AS avg_confidence FROM labeled GROUP BY sentiment""",
     "stream_label_posts": "WITH " + LABELED_CTE + f"""
         SELECT id, sentiment, confidence, {_tier_case('confidence')} AS confidence_level
         FROM labeled WHERE text IS NOT NULL AND text <> ''""",
