@@ -126,9 +126,10 @@ tot AS (SELECT sum(n) AS n FROM cnt),
 hroot AS (SELECT -sum(cnt.n / tot.n * log2(cnt.n / tot.n)) AS h FROM cnt, tot),
 c AS (SELECT nz.term, nz.tf AS v, lab.label, count(*) AS c FROM nz JOIN lab ON nz.id = lab.id GROUP BY ALL),
 zs AS (SELECT term, label, sum(c) AS s FROM c GROUP BY ALL),
-terms AS (SELECT DISTINCT term FROM c),
-zero AS (SELECT t.term, 0 AS v, cnt.label, cnt.n - coalesce(zs.s, 0) AS c
-         FROM terms t CROSS JOIN cnt LEFT JOIN zs ON zs.term = t.term AND zs.label = cnt.label),
+terms AS (SELECT DISTINCT 0 AS node, term FROM c),
+zero AS (SELECT t.term, 0 AS v, k.label, k.n - coalesce(zs.s, 0) AS c
+         FROM terms t JOIN (SELECT 0 AS node, label, n FROM cnt) k ON k.node = t.node
+         LEFT JOIN zs ON zs.term = t.term AND zs.label = k.label),
 br AS (SELECT term, v, label, c FROM c UNION ALL SELECT term, v, label, c FROM zero WHERE c > 0),
 bw AS (SELECT *, sum(c) OVER (PARTITION BY term, v) AS nb FROM br),
 hb AS (SELECT term, v, any_value(nb) AS nb, -sum(c / nb * log2(c / nb)) AS h FROM bw GROUP BY term, v),
