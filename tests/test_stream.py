@@ -46,3 +46,24 @@ def test_replayed_batch_is_idempotent(spark, tmp_path):
     SL._overwrite_key(df, str(tmp_path / "t"), 0)          # replay of batch 0
     SL._overwrite_key(df.limit(1), str(tmp_path / "t"), 1)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_post_files_stream(spark, tmp_path):
+    from textlab.functions.scoring import lexicon_scorer
+    from textlab.sources.store import load_view
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    head = "full_text,favorite_count,id_str,username\n"
+    (inbox / "a.csv").write_text(head + '"bagus bagus",5,1,ann\n"buruk buruk",1000,2,bob\n')
+    (inbox / "b.csv").write_text(head + '"biasa",,3,cy\n"",7,4,dee\n')
+    out = str(tmp_path / "out")
+    q = SL.label_posts_stream(spark, str(inbox), out, lexicon_scorer(["bagus"], ["buruk"]),
+                              columns=["full_text", "favorite_count", "id_str", "username"],
+                              checkpoint=str(tmp_path / "ck"))
+    q.awaitTermination()
+    view = load_view(spark, out)
+    got = sorted((r.text, r.sentiment, r.favorite_count) for r in view.collect())
+    assert got == [("bagus bagus", "positive", 5), ("biasa", "neutral", 0), ("buruk buruk", "negative", 1000)]
+    assert view.select("id").distinct().count() == 3                 # ids unique across batches
+    led = spark.read.parquet(f"{out}/ledger").agg(F.sum("rows"), F.sum("saved"), F.sum("skipped")).first()
+    assert tuple(led) == (4, 3, 1)

@@ -64,7 +64,8 @@ def read_tagged(spark: SparkSession, paths_and_tags: list[tuple[str, str]]) -> D
 
 def label_frame(spark: SparkSession, raw: DataFrame, out: str, make_scorer, rules: DataFrame | None = None,
                 source_dataset: str = S.PROCESSED_SOURCE, mode: str = "overwrite",
-                category_rules: dict | None = None, popularity_rules: dict | None = None) -> LabelResult:
+                category_rules: dict | None = None, popularity_rules: dict | None = None,
+                id_start: int = 1, partition: str | None = None) -> LabelResult:
     """P4 on an already-read post frame (``full_text`` required, other tweet columns optional)."""
     from textlab.sources.scratch import materialize
     P.require_columns(raw)
@@ -87,7 +88,7 @@ def label_frame(spark: SparkSession, raw: DataFrame, out: str, make_scorer, rule
                               "sentiment", "confidence", "favorite_count", "created_at", "location", "username",
                               "source_dataset", "confidence_level", "sentiment_category", "popularity")
     stored = materialize(to_store, "label-output")             # the scorer runs once per row
-    paths = ST.save_labeled(spark, stored, out, natural_key="id", mode=mode)
+    paths = ST.save_labeled(spark, stored, out, natural_key="id", mode=mode, id_start=id_start, partition=partition)
     stats = sentiment_distribution(spark, stored, pct_decimals=1)
     rows = rec.agg(F.count(F.lit(1)).alias("rows")).withColumn("_k", F.lit(1))
     saved = stored.agg(F.count(F.lit(1)).alias("saved")).withColumn("_k", F.lit(1))

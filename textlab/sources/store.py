@@ -32,7 +32,7 @@ def allocate_ids(df: DataFrame, natural_key: str, start: int = 1, out: str = "te
 
 
 def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str = "id",
-                 mode: str = "overwrite") -> dict[str, str]:
+                 mode: str = "overwrite", id_start: int = 1, partition: str | None = None) -> dict[str, str]:
     """K3 / K4: store labelled records as three tables sharing one allocated ``text_id``.
 
     The id allocation is materialised once (a Parquet table in the shared checkpoint folder), so
@@ -40,9 +40,10 @@ def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str
     Rows without metadata (``has_metadata`` false, when the column exists) get no metadata row.
     """
     from textlab.sources.scratch import materialize
-    x = materialize(allocate_ids(df, natural_key), "allocated-ids")
+    x = materialize(allocate_ids(df, natural_key, start=id_start), "allocated-ids")
     has_meta = F.col("has_metadata") if "has_metadata" in df.columns else F.lit(True)
-    paths = {t: f"{base.rstrip('/')}/{t}" for t in ("texts", "sentiments", "metadata")}
+    sub = f"/{partition}" if partition else ""            # e.g. "batch=7": one folder per stream batch
+    paths = {t: f"{base.rstrip('/')}/{t}{sub}" for t in ("texts", "sentiments", "metadata")}
     x.select(F.col("text_id").alias("id"), "text", "preprocessed_text", "created_at", "source_dataset") \
         .write.mode(mode).parquet(paths["texts"])
     x.select(F.col("text_id").alias("id"), "text_id", "sentiment", "confidence") \

@@ -6,6 +6,11 @@ with the class-score vectors and the metadata, and a ``foreachBatch`` sink. Ever
 keyed by its batch id and overwrites only that key, so a batch replayed after a failure (the
 checkpoint records it as not committed) writes the same rows again instead of adding duplicates.
 The checkpoint and all outputs live under the shared checkpoint folder of the session.
+
+``label_stream`` joins the documents with static tables (the class-score vectors and the event table
+that stand for the metadata in the driver's data); each micro-batch re-reads a static side, so a large
+one should be stored partitioned by its key. ``label_posts_stream`` is the form for post files, which
+carry their own metadata columns and need no static join.
 """
 
 from __future__ import annotations
@@ -104,3 +109,36 @@ def batch_ledger(spark: SparkSession, out: str) -> DataFrame:
     total = F.sum("rows").over(Window.partitionBy())
     return led.select("batch_id", "rows", "saved", "skipped", F.sum("rows").over(w).alias("done"),
                       F.round(F.sum("rows").over(w) * 100.0 / total, 1).alias("percent"))
+
+
+def label_posts_stream(spark: SparkSession, inbox: str, out: str, make_scorer, rules: DataFrame | None = None,
+                       columns: list[str] | None = None, files_per_trigger: int = 1, checkpoint: str | None = None,
+                       available_now: bool = True):
+    """G1 for post files: CSV files arriving in ``inbox`` are labelled per micro-batch with the batch plan
+    (:func:`textlab.plans.labelling.label_frame`: checks, clean, score once, rules, three tables).
+
+    Batch ``k`` is stored under ``out/{texts,sentiments,metadata}/batch=k`` with ids from ``k * 2^32 + 1``,
+    and its counts under ``out/ledger/batch=k``; a replayed batch overwrites exactly its own folders.
+    The posts carry their own metadata columns, so no static table is joined per batch.
+    """
+    from pyspark.sql import types as T
+
+    from textlab import schema as S
+    from textlab.plans.labelling import label_frame
+    from textlab.sources import posts as P
+    cols = columns or S.TWEET_COLUMNS
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols] +
+                          [T.StructField(P.EXTRA, T.StringType(), True), T.StructField(P.CORRUPT, T.StringType(), True)])
+    src = (spark.readStream.schema(schema).options(**P.CSV_READ_OPTIONS)
+           .option("maxFilesPerTrigger", files_per_trigger).csv(inbox))
+    checkpoint = checkpoint or scratch_path(spark, "posts-stream-ckpt")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        raw = batch.filter(F.col(P.EXTRA).isNull()).drop(P.EXTRA, P.CORRUPT)
+        res = label_frame(spark, raw, out, make_scorer, rules, id_start=(batch_id << 32) + 1,
+                          partition=f"batch={batch_id}")
+        res.progress.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
+
+    w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
