@@ -541,6 +541,20 @@ def q_stream_label_posts(spark, sf):
     return spark.read.parquet(f"{out}/labeled").select("id", "sentiment", "confidence", "confidence_level")
 
 
+def q_stream_label_csv(spark, sf):
+    """G1 on post files: the labelled rows written as CSV part files (each one an arrival), labelled per
+    micro-batch by the Python lexicon scorer and stored as three tables per batch; read back as the view."""
+    from textlab.functions.scoring import lexicon_scorer
+    from textlab.sources.store import load_view
+    from textlab.streaming import labeling as ST_
+    out = scratch_path(spark, "posts-stream-out")
+    q = ST_.label_posts_stream(spark, _posts_csv(spark, sf), out, lexicon_scorer(POSITIVE_WORDS, NEGATIVE_WORDS),
+                               columns=["id_str", "full_text", "favorite_count", "created_at", "location", "username"],
+                               files_per_trigger=STREAM_FILES)
+    q.awaitTermination()
+    return load_view(spark, out).select("username", "sentiment", "confidence", "favorite_count")
+
+
 def q_stream_progress_totals(spark, sf):
     from textlab.streaming import labeling as ST_
     led = ST_.batch_ledger(spark, _stream_run(spark, sf))
@@ -579,5 +593,5 @@ QUERIES = {
     "tree_rules_text": q_tree_rules_text, "tree_edges": q_tree_edges,
     "tree_model_report": q_tree_model_report,
     "stream_sentiment_counts": q_stream_sentiment_counts, "stream_label_posts": q_stream_label_posts,
-    "stream_progress_totals": q_stream_progress_totals,
+    "stream_progress_totals": q_stream_progress_totals, "stream_label_csv": q_stream_label_csv,
 }

@@ -184,6 +184,18 @@ SQL = {
                {_tier_case('sc.confidence')} AS confidence_level,
                {_popularity_case_on('coalesce(l.favorite_count, 0)', 'sc.sentiment')} AS popularity
         FROM sc JOIN labeled l ON l.id = sc.id""",
+    "stream_label_csv": "WITH " + LABELED_CTE + f""",
+        lx AS (SELECT id, {words_sql('preprocessed_text')} AS w FROM labeled WHERE text IS NOT NULL AND text <> ''),
+        lg AS (SELECT id, [CAST(len(list_filter(w, lambda x: x IN ({", ".join(q(x) for x in C.NEGATIVE_WORDS)}))) AS DOUBLE),
+                           1.0,
+                           CAST(len(list_filter(w, lambda x: x IN ({", ".join(q(x) for x in C.POSITIVE_WORDS)}))) AS DOUBLE)]
+                   AS logits FROM lx),
+        ex AS (SELECT id, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM lg),
+        pr AS (SELECT id, list_transform(e, lambda x: x / (e[1] + e[2] + e[3])) AS probs FROM ex)
+        , sc AS (SELECT id, (['negative','neutral','positive'])[list_position(probs, list_max(probs))] AS sentiment,
+               round(list_max(probs), 6) AS confidence FROM pr)
+        SELECT l.username, sc.sentiment, sc.confidence, coalesce(l.favorite_count, 0) AS favorite_count
+        FROM sc JOIN labeled l ON l.id = sc.id""",
     "feature_score": "WITH " + LABELED_CTE + FEATURES + f"""
         SELECT id, kata_positif, kata_negatif, jumlah_tanda_seru, jumlah_kata, round({_WEIGHTED}, 6) AS score
         FROM feat""",
