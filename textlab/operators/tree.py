@@ -208,13 +208,12 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
     a checked bound); larger nodes split as distributed levels. ``local_cells=0`` keeps everything
     distributed.
 
-    The non-zeros are hash-partitioned by ``id`` once and kept (memory, spilling to disk; rebuilt from
-    lineage if an executor is lost), so every level's joins with them shuffle only the rows' side.
+    Once a level has to be split by distributed jobs, the non-zeros are hash-partitioned by ``id`` and
+    kept (memory, spilling to disk; rebuilt from lineage if an executor is lost), so every later join
+    with them shuffles only the rows' side. A tree finished entirely inside tasks never pays for it.
     """
     from pyspark import StorageLevel
-    if copartition:
-        n_parts = int(nz.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        nz = nz.repartition(n_parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    cached = False
     row_nnz = nz.groupBy("id").agg(F.count(F.lit(1)).alias("row_nnz"))
     assign = (rows.join(row_nnz, "id", "left")
                   .select("id", "label", F.coalesce("row_nnz", F.lit(0)).cast("long").alias("row_nnz"),
@@ -262,6 +261,10 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
             sub = long.groupBy("gkey").applyInPandas(lambda pdf: _finish_local(pdf, md), NODE_SCHEMA)
             levels.append(materialize(sub, f"tree-local-{depth}") if checkpoint else sub)
         split_nodes = None
+        if modes.get("dist") and copartition and not cached:
+            n_parts = int(nz.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            nz = nz.repartition(n_parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
+            cached = True
         if modes.get("dist"):
             dist_nodes = summ.filter(F.col("mode") == "dist").select("node")
             best = best_split(gain_ratios(assign.join(dist_nodes, "node", "left_semi"), nz, cnt, summ))
@@ -294,7 +297,7 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    if checkpoint and copartition:       # every level is a written table: the cached input can go
+    if checkpoint and cached:            # every level is a written table: the cached input can go
         nz.unpersist()
     return out
 
