@@ -92,8 +92,10 @@ def fit_classifier(featurised: DataFrame, p: TrainParams, label_col: str = "sent
     """M1 + M4: index labels (alphabetical), fit the tree, map predictions back to label strings."""
     indexer = StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc",
                             handleInvalid="keep").fit(featurised)
+    # deep trees: node ids cached per row and checkpointed every 10 levels into the session's shared
+    # checkpoint folder, so lineage stays short and a lost executor does not restart the fit
     dt = DecisionTreeClassifier(featuresCol="features", labelCol="label_idx", predictionCol="pred_idx",
-                                **tree_params(p))
+                                cacheNodeIds=True, checkpointInterval=10, **tree_params(p))
     tree = dt.fit(indexer.transform(featurised))
     back = IndexToString(inputCol="pred_idx", outputCol="predicted", labels=indexer.labels)
     return PipelineModel(stages=[indexer, tree, back])
