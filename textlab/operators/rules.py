@@ -76,6 +76,7 @@ def conf_range(confidence) -> Column:
 
 
 def likes_band(likes) -> Column:
+    """A14 band of a likes value: high (>= 1000), medium (>= 100), else low."""
     lk = F.coalesce(_col(likes), F.lit(0))
     return F.when(lk >= S.LIKES_HIGH, "high").when(lk >= S.LIKES_MEDIUM, "medium").otherwise("low")
 
@@ -93,6 +94,7 @@ def likes_patterns(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def level_of(bucket) -> Column:
+    """R3 level of a 0.1 confidence bucket: very_high / high / medium / low."""
     b = _col(bucket)
     out = None
     for cut, name in S.LEVEL_CUTS:

@@ -13,6 +13,7 @@ from textlab import schema as S
 
 
 def domain(spark: SparkSession, values: list[str] = S.SENTIMENTS, name: str = "sentiment") -> DataFrame:
+    """The fixed label domain as a one-column literal table (zero-fill side)."""
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"dom_ord int, {name} string")
 
 

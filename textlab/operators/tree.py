@@ -41,6 +41,7 @@ def label_counts(assign: DataFrame) -> DataFrame:
 
 
 def node_summary(cnt: DataFrame) -> DataFrame:
+    """Per node: rows ``n``, distinct labels, majority (tie: smallest label), entropy ``h``."""
     w = Window.partitionBy("node").orderBy(F.desc("c"), F.asc("label"))
     ranked = cnt.withColumn("_r", F.row_number().over(w))
     extra = [F.sum("nnz").alias("nnz"), F.any_value("parent").alias("parent"), F.any_value("v").alias("v"),

@@ -42,11 +42,13 @@ TRAIN_PERCENT = 80
 
 
 def shipped_conf_rules() -> list[tuple[str, float, str]]:
+    """The shipped confidence rules as ``(name, threshold, label)`` in stored order."""
     return [(n, t, lab) for n, t, _c, lab in S.SHIPPED_CONFIDENCE_RULES]
 
 
 # ----------------------------------------------------------------------------------- clean
 def q_clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned text of every document and every web page (pages exercise URL removal)."""
     d = table(spark, sf, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"),
                                              clean_col("text").alias("preprocessed_text"))
     p = table(spark, sf, "pages").select(F.lit("pages").alias("kind"), F.col("page_id").alias("id"),
@@ -59,12 +61,14 @@ def _clean_docs(spark, sf) -> DataFrame:
 
 
 def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    """Word and token counts and the vectoriser tokens of every cleaned document."""
     c = _clean_docs(spark, sf).withColumn("tok", vector_tokens("t"))
     return c.select("id", F.size(split_words("t")).alias("n_words"), F.size("tok").alias("n_tokens"),
                     F.size(F.array_distinct("tok")).alias("n_distinct"), F.array_join("tok", " ").alias("tokens"))
 
 
 def q_remove_stopwords(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without the 50 most frequent words (a stop-word table derived from the data)."""
     c = _clean_docs(spark, sf)
     words = c.select(F.explode(split_words("t")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = words.orderBy(F.desc("n"), "word").limit(STOPWORD_TOP)
@@ -77,12 +81,14 @@ def q_remove_stopwords(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------------- score
 def q_softmax_classify(spark: SparkSession, sf: str) -> DataFrame:
+    """Class probabilities, sentiment and confidence of every document."""
     s = scored_documents(spark, sf)
     return s.select("id", "sentiment", "confidence",
                     *[F.round(F.col("probs")[i], 6).alias(f"p_{lab}") for i, lab in enumerate(S.SENTIMENTS)])
 
 
 def q_label_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Scorable labelled rows with confidence tier, category and popularity."""
     lab = P.scorable(labeled(spark, sf), "text")
     out = R.apply_rules(lab, shipped_conf_rules(), {}, None)
     return out.select("id", "preprocessed_text", "sentiment", "confidence",
@@ -106,12 +112,14 @@ def _features(spark, sf) -> DataFrame:
 
 
 def q_feature_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Linear feature score with the shipped weights."""
     f = _features(spark, sf)
     return f.select("id", "kata_positif", "kata_negatif", "jumlah_tanda_seru", "jumlah_kata",
                     F.round(feature_score_col(S.SHIPPED_FEATURE_WEIGHTS), 6).alias("score"))
 
 
 def q_path_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Label and node of the first shipped path rule whose predicates all hold."""
     f = _features(spark, sf)
     return f.select("id", "kata_positif", path_rules_col(S.SHIPPED_PATH_RULES).alias("path_label"),
                     path_rules_node(S.SHIPPED_PATH_RULES).alias("node_id"))
@@ -156,6 +164,7 @@ def _posts_csv(spark, sf) -> str:
 
 
 def q_scan_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled rows written as a post CSV and read back as typed records."""
     path = _posts_csv(spark, sf)
     df = P.read_posts(spark, path)
     P.require_columns(df)
@@ -165,15 +174,18 @@ def q_scan_posts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_scorable_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """rows with non-empty text."""
     lab = labeled(spark, sf)
     return P.scorable(lab, "preprocessed_text").select("id", "sentiment", "confidence")
 
 
 def q_missing_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """per optional column, filled rows and whether it is missing."""
     return P.missing_columns(labeled(spark, sf), S.OPTIONAL_COLUMNS)
 
 
 def q_preview_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """first rows by id with nulls shown as '' and the total row count."""
     lab = labeled(spark, sf).select(
         "id", F.col("text").alias("full_text"), "favorite_count",
         F.date_format("created_at", OUT_FORMAT).alias("created_at"), "location", "username")
@@ -190,11 +202,13 @@ def _raw_dates(spark, sf) -> DataFrame:
 
 
 def q_parse_created_at(spark: SparkSession, sf: str) -> DataFrame:
+    """Social-media and ISO date texts parsed (offset dropped), junk and nulls to null."""
     r = _raw_dates(spark, sf)
     return r.select("event_id", "raw", F.date_format(parse_created_at_col("raw"), OUT_FORMAT).alias("created_at"))
 
 
 def q_import_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """Import defaults over the labelled rows (likes given as text, some as '12.0')."""
     lab = labeled(spark, sf)
     likes_text = F.when(F.col("location") == "view", F.concat(F.col("favorite_count").cast("string"), F.lit(".0"))) \
         .otherwise(F.col("favorite_count").cast("string"))
@@ -205,6 +219,7 @@ def q_import_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_union_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Two inputs (English / other documents) tagged with their source and unioned."""
     s = scored_documents(spark, sf)
     a = s.filter(F.col("lang") == "en").withColumn("source_dataset", F.lit("data_latih_1"))
     b = s.filter(~(F.col("lang") == "en") | F.col("lang").isNull()).withColumn("source_dataset", F.lit("data_latih_2"))
@@ -214,39 +229,47 @@ def q_union_tagged(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------------- rules
 def q_confidence_tier(spark, sf):
+    """First shipped confidence rule met, in stored order."""
     lab = labeled(spark, sf)
     return lab.select("id", "confidence", R.confidence_tier("confidence", shipped_conf_rules()).alias("confidence_level"))
 
 
 def q_sentiment_category(spark, sf):
+    """First category level of the row's own sentiment met."""
     lab = labeled(spark, sf)
     return lab.select("id", "sentiment", "confidence",
                       R.sentiment_category("sentiment", "confidence", CATEGORY_RULES).alias("sentiment_category"))
 
 
 def q_popularity(spark, sf):
+    """Viral / popular / normal by likes with the default thresholds."""
     lab = labeled(spark, sf)
     return lab.select("id", "sentiment", F.coalesce("favorite_count", F.lit(0)).alias("favorite_count"),
                       R.popularity("favorite_count", "sentiment").alias("popularity"))
 
 
 def q_confidence_patterns(spark, sf):
+    """Counts per (sentiment, 0.1 confidence bucket)."""
     return R.confidence_patterns(labeled(spark, sf))
 
 
 def q_likes_patterns(spark, sf):
+    """Counts per (sentiment, likes band)."""
     return R.likes_patterns(labeled(spark, sf))
 
 
 def q_mine_confidence_rules(spark, sf):
+    """Confidence rules mined from frequent patterns, first-seen order."""
     return R.mine_confidence_rules(labeled(spark, sf))
 
 
 def q_rules_text(spark, sf):
+    """The human-readable rule lines of the mined rules."""
     return R.rules_text(spark, R.mine_confidence_rules(labeled(spark, sf)))
 
 
 def q_rules_roundtrip(spark, sf):
+    """Mined rules stored as JSON and parsed back."""
     stored = R.rules_to_json(R.mine_confidence_rules(labeled(spark, sf)))
     path = scratch_path(spark, "rules")
     stored.write.mode("overwrite").partitionBy("rule_type").parquet(path)
@@ -254,40 +277,49 @@ def q_rules_roundtrip(spark, sf):
 
 
 def q_rules_edges(spark, sf):
+    """Rule graph edges input -> rule, labelled with the threshold."""
     return R.rules_edges(R.mine_confidence_rules(labeled(spark, sf)))
 
 
 # ----------------------------------------------------------------------------------- stats
 def q_sentiment_counts(spark, sf):
+    """A1: rows per sentiment in the sentiments table."""
     return ST.sentiment_counts(base_tables(spark, sf)["sentiments"])
 
 
 def q_dataset_counts(spark, sf):
+    """A2/L4: rows per source dataset."""
     return ST.dataset_counts(base_tables(spark, sf)["texts"])
 
 
 def q_sentiment_stats(spark, sf):
+    """A3: total rows, mean confidence, mean likes over the base tables."""
     b = base_tables(spark, sf)
     return ST.sentiment_stats(b["texts"], b["sentiments"], b["metadata"])
 
 
 def q_stats_grouping_sets(spark, sf):
+    """A4: counts and mean confidence by sentiment, by source and in total in one scan."""
     return ST.stats_grouping_sets(labeled(spark, sf))
 
 
 def q_dashboard_stats(spark, sf):
+    """A5: dashboard figures over the view."""
     return ST.dashboard_stats(labeled(spark, sf))
 
 
 def q_sentiment_distribution(spark, sf):
+    """Zero-filled counts per sentiment with percentages."""
     return ST.sentiment_distribution(spark, labeled(spark, sf))
 
 
 def q_confidence_histogram(spark, sf):
+    """20-bin confidence histogram."""
     return ST.confidence_histogram(labeled(spark, sf))
 
 
 def q_likes_boxplot(spark, sf):
+    """Likes quartiles and fences per sentiment."""
     return ST.likes_boxplot(labeled(spark, sf))
 
 
@@ -306,14 +338,17 @@ def _view(spark, sf):
 
 
 def q_labeled_view(spark, sf):
+    """The joined view over the three base tables."""
     return _view(spark, sf)
 
 
 def q_labeled_limit(spark, sf):
+    """L1: the first rows of the view by id."""
     return _view(spark, sf).orderBy("id").limit(LIMIT_ROWS)
 
 
 def q_filter_by_sentiment(spark, sf):
+    """view rows of one sentiment."""
     return _view(spark, sf).filter(F.col("sentiment") == "positive")
 
 
@@ -324,14 +359,17 @@ def _stored(spark, sf) -> dict[str, str]:
 
 
 def q_normalize_texts(spark, sf):
+    """K3: the stored texts table (ids allocated once)."""
     return spark.read.parquet(_stored(spark, sf)["texts"])
 
 
 def q_normalize_sentiments(spark, sf):
+    """K3: the stored sentiments table."""
     return spark.read.parquet(_stored(spark, sf)["sentiments"])
 
 
 def q_normalize_metadata(spark, sf):
+    """K3: the stored metadata table (rows with metadata only)."""
     return spark.read.parquet(_stored(spark, sf)["metadata"])
 
 
@@ -341,10 +379,12 @@ def _split(spark, sf) -> DataFrame:
 
 
 def q_train_test_split(spark, sf):
+    """Seeded exact 80/20 split."""
     return _split(spark, sf)
 
 
 def q_split_preview(spark, sf):
+    """Preview sizes with half-even rounding."""
     return SP.split_preview(labeled(spark, sf), TRAIN_PERCENT)
 
 
@@ -356,6 +396,7 @@ def _stored_splits(spark, sf) -> DataFrame:
 
 
 def q_dataset_splits(spark, sf):
+    """K5: the stored split table."""
     return _stored_splits(spark, sf).select("text_id", "split_type")
 
 
@@ -366,28 +407,34 @@ def _split_join(spark, sf, which):
 
 
 def q_split_join_train(spark, sf):
+    """View rows of the training split."""
     return _split_join(spark, sf, "train")
 
 
 def q_split_join_test(spark, sf):
+    """View rows of the test split."""
     return _split_join(spark, sf, "test")
 
 
 def q_split_summary(spark, sf):
+    """Total, train and test counts."""
     return SP.split_summary(base_tables(spark, sf)["texts"], _split(spark, sf))
 
 
 def q_data_distribution(spark, sf):
+    """A10: reconciled split summary with percentages."""
     return SP.data_distribution(SP.split_summary(base_tables(spark, sf)["texts"], _split(spark, sf)))
 
 
 def q_test_distribution(spark, sf):
+    """Zero-filled sentiment counts of the test split."""
     lab = labeled(spark, sf)
     s = _split(spark, sf).filter(F.col("split_type") == "test")
     return SP.test_distribution(spark, lab.join(s, "id", "left_semi"))
 
 
 def q_batch_progress(spark, sf):
+    """Labelling batch ledger."""
     return SP.batch_progress(labeled(spark, sf), "id", "text")
 
 
@@ -401,16 +448,19 @@ def _doc_terms(spark, sf):
 
 
 def q_top_terms(spark, sf):
+    """The 2000 most frequent terms with rank and alphabetical column."""
     _d, terms = _doc_terms(spark, sf)
     return FE.top_terms(terms, S.MAX_FEATURES)
 
 
 def q_term_counts(spark, sf):
+    """V1: per-document counts of vocabulary terms."""
     _d, terms = _doc_terms(spark, sf)
     return FE.term_counts(terms, FE.top_terms(terms, S.MAX_FEATURES))
 
 
 def q_tfidf(spark, sf):
+    """V2: TF-IDF with the +1 idf and L2 row norm."""
     d, terms = _doc_terms(spark, sf)
     tv = FE.term_counts(terms, FE.top_terms(terms, S.MAX_FEATURES))
     out = FE.tfidf(tv, d)
@@ -418,6 +468,7 @@ def q_tfidf(spark, sf):
 
 
 def q_lemma_lookup(spark, sf):
+    """Words replaced by their lemma from a lemma table."""
     d = _clean_docs(spark, sf)
     lem = spark.createDataFrame(LEMMAS, "token string, lemma string")
     return lemmatize(d, "id", "t", lem, "lemmatized").select("id", "lemmatized")
@@ -430,14 +481,17 @@ def _pred_truth(spark, sf):
 
 
 def q_confusion_matrix(spark, sf):
+    """Zero-filled confusion matrix of labels against the reference truth."""
     return EV.confusion_matrix(spark, _pred_truth(spark, sf))
 
 
 def q_classification_report(spark, sf):
+    """Per-class precision / recall / F1, averages and accuracy."""
     return EV.classification_report(EV.confusion_matrix(spark, _pred_truth(spark, sf)))
 
 
 def q_accuracy(spark, sf):
+    """Accuracy of the labels against the truth."""
     return EV.accuracy(_pred_truth(spark, sf))
 
 
@@ -464,6 +518,7 @@ def tree_inputs(spark, sf):
 
 
 def q_gain_ratio_root(spark, sf):
+    """Information gain, split information and gain ratio of every term at the root."""
     from textlab.operators import tree as TR
     rows, nz = tree_inputs(spark, sf)
     assign = rows.withColumn("node", F.lit(""))
@@ -474,6 +529,7 @@ def q_gain_ratio_root(spark, sf):
 
 
 def q_gain_ratio_best(spark, sf):
+    """L3: the root's best term (ties: alphabetically first)."""
     from textlab.operators import tree as TR
     rows, nz = tree_inputs(spark, sf)
     assign = rows.withColumn("node", F.lit(""))
@@ -490,15 +546,18 @@ def _tree(spark, sf):
 
 
 def q_tree_nodes(spark, sf):
+    """M2: node table of the grown gain-ratio tree."""
     return _tree(spark, sf)
 
 
 def q_tree_rules_text(spark, sf):
+    """M5: the tree as indented rule lines."""
     from textlab.operators import tree as TR
     return TR.tree_rules_text(_tree(spark, sf))
 
 
 def q_tree_edges(spark, sf):
+    """M6: the tree's parent -> child edges."""
     from textlab.operators import tree as TR
     return TR.tree_edges(_tree(spark, sf))
 
@@ -531,12 +590,14 @@ def _stream_run(spark, sf):
 
 
 def q_stream_sentiment_counts(spark, sf):
+    """Running counts and mean confidence per sentiment from the document stream."""
     out = _stream_run(spark, sf)
     st = spark.read.parquet(f"{out}/stats")
     return st.select("sentiment", "n", F.round("avg_confidence", 6).alias("avg_confidence"))
 
 
 def q_stream_label_posts(spark, sf):
+    """G1: rows labelled by the document stream."""
     out = _stream_run(spark, sf)
     return spark.read.parquet(f"{out}/labeled").select("id", "sentiment", "confidence", "confidence_level")
 
@@ -556,6 +617,7 @@ def q_stream_label_csv(spark, sf):
 
 
 def q_stream_progress_totals(spark, sf):
+    """Totals of the stream's batch ledger."""
     from textlab.streaming import labeling as ST_
     led = ST_.batch_ledger(spark, _stream_run(spark, sf))
     return led.agg(F.sum("rows").alias("rows"), F.sum("saved").alias("saved"), F.sum("skipped").alias("skipped"),

@@ -9,10 +9,12 @@ from textlab.functions.text import HASH_RE, MENTION_RE, NON_WORD_RE, SPACES_RE,
 
 
 def q(s: str) -> str:
+    """SQL string literal with quotes doubled."""
     return "'" + s.replace("'", "''") + "'"
 
 
 def clean_sql(col: str) -> str:
+    """T1-T6 cleaning as a DuckDB expression over ``col`` (same classes as the Spark expression)."""
     x = f"lower({col})"
     x = f"regexp_replace({x}, {q(URL_RE)}, '', 'g')"
     x = f"regexp_replace({x}, {q(MENTION_RE)}, '', 'g')"
@@ -23,10 +25,12 @@ def clean_sql(col: str) -> str:
 
 
 def tokens_sql(col: str) -> str:
+    """T8b vectoriser tokens as a DuckDB list expression."""
     return f"regexp_extract_all({col}, {q(TOKEN_RE)})"
 
 
 def words_sql(col: str) -> str:
+    """T8a white-space words of a cleaned text as a DuckDB list (empty text -> empty list)."""
     return f"CASE WHEN {col} = '' THEN []::VARCHAR[] ELSE string_split({col}, ' ') END"
 
 
@@ -67,8 +71,10 @@ truth AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality
 
 
 def with_labeled(body: str) -> str:
+    """Prefix ``body`` with the canonical labelled-input CTEs."""
     return "WITH " + LABELED_CTE + body
 
 
 def with_base(body: str) -> str:
+    """Prefix ``body`` with the labelled input and the three base tables."""
     return "WITH " + BASE_CTE + body

@@ -25,6 +25,7 @@ TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table; text tables with fewer splits than cores are spread (see :func:`spread`)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
