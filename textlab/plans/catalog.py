@@ -573,32 +573,35 @@ def q_tree_model_report(spark, sf):
 STREAM_FILES = 4
 
 
-def _stream_run(spark, sf):
-    """Stage ``documents`` as arriving files, then run the labelling and statistics streams to the end."""
+def _stream_run(spark, sf, labels: bool = True, stats: bool = True):
+    """Stage ``documents`` as arriving files, then run the labelling and/or statistics stream to the end."""
     from textlab.streaming import labeling as ST_
     docs = table(spark, sf, "documents")
     inbox = ST_.stage_inbox(docs, scratch_path(spark, "inbox"), STREAM_FILES)
     out = scratch_path(spark, "stream-out")
     vec, ev = table(spark, sf, "embeddings"), table(spark, sf, "events")
-    lab = ST_.label_stream(ST_.read_inbox(spark, inbox, docs.schema), vec, ev, shipped_conf_rules())
-    q1 = ST_.run_labeling(spark, lab, out)
-    lab2 = ST_.label_stream(ST_.read_inbox(spark, inbox, docs.schema), vec, ev)
-    q2 = ST_.run_running_stats(spark, ST_.running_stats(lab2), f"{out}/stats")
-    q1.awaitTermination()
-    q2.awaitTermination()
+    running = []
+    if labels:
+        lab = ST_.label_stream(ST_.read_inbox(spark, inbox, docs.schema), vec, ev, shipped_conf_rules())
+        running.append(ST_.run_labeling(spark, lab, out))
+    if stats:
+        lab2 = ST_.label_stream(ST_.read_inbox(spark, inbox, docs.schema), vec, ev)
+        running.append(ST_.run_running_stats(spark, ST_.running_stats(lab2), f"{out}/stats"))
+    for q in running:
+        q.awaitTermination()
     return out
 
 
 def q_stream_sentiment_counts(spark, sf):
     """Running counts and mean confidence per sentiment from the document stream."""
-    out = _stream_run(spark, sf)
+    out = _stream_run(spark, sf, labels=False)
     st = spark.read.parquet(f"{out}/stats")
     return st.select("sentiment", "n", F.round("avg_confidence", 6).alias("avg_confidence"))
 
 
 def q_stream_label_posts(spark, sf):
     """G1: rows labelled by the document stream."""
-    out = _stream_run(spark, sf)
+    out = _stream_run(spark, sf, stats=False)
     return spark.read.parquet(f"{out}/labeled").select("id", "sentiment", "confidence", "confidence_level")
 
 
@@ -619,7 +622,7 @@ def q_stream_label_csv(spark, sf):
 def q_stream_progress_totals(spark, sf):
     """Totals of the stream's batch ledger."""
     from textlab.streaming import labeling as ST_
-    led = ST_.batch_ledger(spark, _stream_run(spark, sf))
+    led = ST_.batch_ledger(spark, _stream_run(spark, sf, stats=False))
     return led.agg(F.sum("rows").alias("rows"), F.sum("saved").alias("saved"), F.sum("skipped").alias("skipped"),
                    F.max("done").alias("done"), F.max("percent").alias("percent"))
 
