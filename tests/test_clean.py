@@ -64,3 +64,29 @@ def test_split_words_empty_text(spark):
 def test_remove_stopwords(spark, text, expected):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(remove_stopwords("t", ["the", "and"])).first()[0] == expected
+
+
+# scripts and symbols whose Unicode properties are the same in Java 17 (Unicode 13) and CPython 3.13
+# (Unicode 15.1): Latin, Greek, Cyrillic, Arabic, Devanagari, general punctuation and spaces, CJK, emoji
+_RANGES = [(0x0000, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x0600, 0x06FF), (0x0900, 0x097F),
+           (0x2000, 0x206F), (0x3000, 0x303F), (0x4E00, 0x4FFF), (0x1F300, 0x1F64F)]
+
+
+def test_clean_property_random_unicode(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    char = st.one_of(*[st.integers(a, b).map(chr) for a, b in _RANGES])
+    batches = st.lists(st.lists(char, max_size=40).map("".join), min_size=30, max_size=30)
+
+    @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(batches)
+    def check(batch):
+        df = spark.createDataFrame(list(enumerate(batch)), "id int, t string")
+        got = {r.id: (r.c, list(r.tok)) for r in
+               df.select("id", clean_text("t").alias("c"), vector_tokens(clean_text("t")).alias("tok")).collect()}
+        for i, t in enumerate(batch):
+            c = py_clean(t)
+            assert got[i] == (c, re.findall(r"\w{2,}", c)), repr(t)
+
+    check()
