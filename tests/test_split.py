@@ -60,3 +60,19 @@ def test_distribution_without_split_is_all_train(spark):
     d = SP.data_distribution(SP.split_summary(texts, empty)).first().asDict()
     train_keys = [k for k in d if "train" in k]
     assert any(d[k] == 4 for k in train_keys)
+
+
+def test_split_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.integers(0, 300), st.floats(0, 100, allow_nan=False), st.integers(0, 10**6))
+    def check(n, pct, offset):
+        ids = [offset + 7 * i for i in range(n)]                 # sparse, shifted ids
+        df = spark.createDataFrame([(i,) for i in ids], "id long")
+        got = SP.train_test_split(df, "id", pct).collect()
+        train = {r.id for r in got if r.split_type == "train"}
+        assert (train, {r.id for r in got} - train) == brute_split(ids, pct)
+
+    check()
