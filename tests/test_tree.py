@@ -159,3 +159,21 @@ def test_zero_gain_split_makes_a_leaf(spark):
     for cells in (0, 10**9):
         got = TR.build_tree(r, nz, local_cells=cells).collect()
         assert len(got) == 1 and got[0].is_leaf and got[0]["class"] == "negative"
+
+
+def test_tree_property_in_task(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.integers(0, 10**6), st.integers(5, 60), st.integers(1, 5))
+    def check(seed, n, n_terms):
+        rows = fixture(seed=seed, n=n, terms=tuple("abcdefg"[:n_terms]))
+        terms = sorted({t for _i, _l, tf in rows for t in tf})
+        exp = sorted(brute_tree([(lab, tf) for _i, lab, tf in rows], terms))
+        r, nz = to_frames(spark, rows)
+        if nz.isEmpty():
+            return
+        assert got_nodes(TR.build_tree(r, nz, local_cells=10**9)) == exp
+
+    check()
