@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import quality, secret_scan, simhash
+from textlab.llm import mixing, packing, quality, secret_scan, simhash, token_files
 from textlab.llm.common import read_table
+from textlab.sources.scratch import scratch_path
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,16 +20,36 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written to Simple-8b files; positions, counts and checksums as read back from them."""
+    path = scratch_path(spark, "token-files")
+    token_files.write(read_table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint (hex) and near-duplicate component of every document: 4-word shingles, 4 bits."""
     rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequence and place in it: 1,024 tokens to a sequence."""
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
+    "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
