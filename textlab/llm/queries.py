@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import mixing, packing, quality, secret_scan, simhash, token_files
+from textlab.llm import ann, html_text, line_dedup, mixing, packing, quality, secret_scan, simhash, token_files
 from textlab.llm.common import read_table
 from textlab.sources.scratch import scratch_path
 
 
+def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner product for every vector whose id is divisible by 20."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole document: base counts and digest, and all spans."""
     return secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
@@ -38,18 +44,32 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and place in it: 1,024 tokens to a sequence."""
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document that repeat an earlier document or place, with the document that keeps them."""
+    return line_dedup.repeated_spans(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "end", "n_words", "first_doc_id")
+
+
 QUERIES = {
+    "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
+    "op7_html_text": op7_html_text,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
