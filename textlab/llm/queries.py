@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import ann, html_text, line_dedup, mixing, packing, quality, secret_scan, simhash, token_files
+from textlab.llm import ann, html_text, line_dedup, lm, mixing, packing, quality, secret_scan, simhash, token_files
 from textlab.llm.common import read_table
 from textlab.sources.scratch import scratch_path
 
@@ -60,6 +60,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "end", "n_words", "first_doc_id")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the attention model and under the word unigram."""
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_secret_scan": op2_secret_scan,
@@ -70,6 +75,7 @@ QUERIES = {
     "op7_html_text": op7_html_text,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
