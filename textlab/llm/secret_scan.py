@@ -35,6 +35,7 @@ ALLOWED = [re.compile(p) for p in (
     r"^[^A-Za-z]*$",                         # no letter: numbers, dates, rulers
     r"(?i)example|sample|placeholder|changeme|xxxx|dummy",
     r"(?i:https?|www)|[a-z]{10}",             # a long run of small letters inside: words joined to a number
+    r"(?:[/_-][^/_-]*){3}",                  # paths and joined identifiers
     r"01234567|12345678|abcdefgh|ABCDEFGH",  # counters and alphabets
     r"(.)\1{4}",                             # five equal characters
 )]
