@@ -52,13 +52,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def high_entropy(chars: str, window: int, least: float) -> list[int]:
     """Starts of the windows of ``chars`` whose Shannon entropy is at least ``least`` bits per character."""
-    term = [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
+    term = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]
     limit = window * (math.log2(window) - least) + 1e-9      # H >= least as a bound on the sum of c log2 c
     count: dict[str, int] = {}
     total, out = 0.0, []
     for i, c in enumerate(chars):
         k = count.get(c, 0)
-        total += term[k + 1] - term[k] if k < window else 0.0
+        total += term[k + 1] - term[k]
         count[c] = k + 1
         if i >= window:
             gone = chars[i - window]
