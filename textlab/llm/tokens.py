@@ -9,11 +9,32 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
+from array import array
+from itertools import islice
 
 import numpy as np
 
-#: Chunks whose ids a worker remembers (about 100 MB); a full memory is emptied.
-CACHE_CHUNKS = 400_000
+#: Chunks, and words without marks, whose ids a worker remembers (some 100 MB each). A full memory forgets its later half:
+#: what is frequent was met early.
+CACHE_CHUNKS = 600_000
+
+
+def _forget(known: dict, keep: int) -> None:
+    for key in list(islice(known, keep, None)):
+        del known[key]
+
+
+#: A word of Latin letters, maybe with marks after it: the pre-tokenizers cut it there, and in its letters (all of them
+#: composed, each with one small form) normalising is lower-casing.
+_PLAIN = re.compile(r"( ?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes are themselves, the others follow U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Encoder:
@@ -32,12 +53,11 @@ class Encoder:
             spec = json.load(file)
         self.mode, self.cache_chunks = self._mode(spec), cache_chunks
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
         if self.mode == "spaced":                             # never encoded with others: it parts them
             (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-            self.fixed = {"\n": np.array([self.newline], "<u4").tobytes()}
-        else:
-            self.fixed = {}
-        self.cache.update(self.fixed)
+            self.cache["\n"] = np.array([self.newline], "<u4").tobytes()
 
     @staticmethod
     def _mode(spec: dict) -> str:
@@ -65,8 +85,35 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, already normalised, from the library's model."""
+        ids = self.parts.get(part)
+        if ids is None:
+            mapped = part if part.isascii() and part[0] != " " else part.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if len(self.parts) > self.cache_chunks:
+                _forget(self.parts, self.cache_chunks // 2)
+            self.parts[part] = ids
+        return ids
+
     def _encode_all(self, chunks: list[str]) -> list[bytes]:
-        """Ids of every chunk, encoded as one text (far cheaper than one by one) and dealt back by character offsets."""
+        """Ids of every chunk: plain words from the library's model, the rest as one text dealt back by character offsets."""
+        out: list[bytes | None] = []
+        for chunk in chunks:
+            m = _PLAIN.fullmatch(chunk)
+            if m is None:
+                out.append(None)
+                continue
+            space, word, marks = m.groups()
+            ids = self._part(word.lower() if self.mode == "words" else space + word)
+            out.append(ids + self._part(marks) if marks else ids)
+        rest = [c for c, ids in zip(chunks, out) if ids is None]
+        if rest:
+            found = iter(self._encode_joint(rest))
+            out = [next(found) if ids is None else ids for ids in out]
+        return out
+
+    def _encode_joint(self, chunks: list[str]) -> list[bytes]:
         if self.mode == "words":
             joint, drop = " ", -1
         else:
@@ -95,8 +142,7 @@ class Encoder:
             pass
         new = [c for c in dict.fromkeys(chunks) if c not in known]
         if len(known) + len(new) > self.cache_chunks:
-            known.clear()
-            known.update(self.fixed)
+            _forget(known, self.cache_chunks // 2)
             new = [c for c in dict.fromkeys(chunks) if c not in known]
         known.update(zip(new, self._encode_all(new)))
         return b"".join(map(known.__getitem__, chunks))
