@@ -29,11 +29,12 @@ BASE_KINDS = ("assign", "access", "hex")
 #: class -> (its characters, window, least bits per character in the window)
 CLASSES = {"entropy_hex": (re.compile(r"[0-9A-Fa-f]{20,}"), 20, 3.0),
            "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.8)}
-#: Allow-list: a window that any of these finds is not reported.
+#: Allow-list for whole candidates: placeholders.
+ALLOWED_WHOLE = re.compile(r"(?i:example|sample|placeholder|changeme|xxxx|dummy)")
+#: Allow-list for windows: one that any of these finds is not reported.
 ALLOWED = [re.compile(p) for p in (
     r"^[^0-9]*$",                            # no digit: words, identifiers, paths
     r"^[^A-Za-z]*$",                         # no letter: numbers, dates, rulers
-    r"(?i)example|sample|placeholder|changeme|xxxx|dummy",
     r"(?i:https?|www)|[a-z]{10}",             # a long run of small letters inside: words joined to a number
     r"(?:[/_-][^/_-]*){3}",                  # paths and joined identifiers
     r"01234567|12345678|abcdefgh|ABCDEFGH",  # counters and alphabets
@@ -74,7 +75,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end): joined runs of high-entropy windows, allow-listed windows left out."""
     out = []
     for long in _ANY_LONG.finditer(text):
-        if not any(c.isdigit() for c in long[0]):            # suppressed in every window
+        if ALLOWED_WHOLE.search(long[0]) or not any(c.isdigit() for c in long[0]):   # no window without a digit counts
             continue
         for number, (pattern, window, least) in enumerate(CLASSES.values(), len(BASE_KINDS)):
             for m in pattern.finditer(text, long.start(), long.end()):
