@@ -40,14 +40,18 @@ def key_order_index(df: DataFrame, key: str, out: str = "row_idx", n_buckets: in
     """0-based position of every row in ``key`` order, skew-proof: the key is cut at ``n_buckets - 1``
     approximate quantiles (a bounded list on the driver; ``Bucketizer`` does the binary search), so
     every range holds about ``n / n_buckets`` rows however the keys are spread, then
-    :func:`dense_index` ranks inside the ranges. Adds ``_n_total``."""
+    :func:`dense_index` ranks inside the ranges. Rows with a null key come last; without any key
+    (no rows, or nulls only) there is one range. Adds ``_n_total``."""
     from pyspark.ml.feature import Bucketizer
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = df.approxQuantile(key, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
+    if not cuts:
+        return dense_index(df, F.col(key).isNull().cast("int"), [F.col(key)], out=out)
     splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_key_d", outputCol="_range")
+    b = Bucketizer(splits=splits, inputCol="_key_d", outputCol="_range", handleInvalid="keep")
     x = b.transform(df.withColumn("_key_d", F.col(key).cast("double")))
-    return dense_index(x, F.col("_range").cast("int"), [F.col(key)], out=out).drop("_key_d", "_range")
+    return dense_index(x, F.coalesce(F.col("_range").cast("int"), F.lit(len(splits))), [F.col(key)],
+                       out=out).drop("_key_d", "_range")
 
 
 def train_test_split(df: DataFrame, id_col: str = "id", train_percent: float = S.DEFAULT_TRAIN_PERCENT,
@@ -65,12 +69,12 @@ def train_test_split(df: DataFrame, id_col: str = "id", train_percent: float = S
 
 
 def split_preview(df: DataFrame, train_percent: float) -> DataFrame:
-    """Preview sizes with half-even rounding (so 7 rows at 50 % give 4 train) and effective percents."""
+    """Preview sizes with half-even rounding (so 7 rows at 50 % give 4 train) and effective percents (the requested ones for no rows)."""
     c = df.agg(F.count(F.lit(1)).alias("total_rows"))
     train = F.bround(F.col("total_rows") * F.lit(float(train_percent)) / 100.0, 0).cast("bigint")
     c = c.withColumn("train_rows", train).withColumn("test_rows", F.col("total_rows") - F.col("train_rows"))
-    tp = F.when(F.col("total_rows") > 0, F.col("train_rows") / F.col("total_rows") * 100).otherwise(F.lit(0.0))
-    sp = F.when(F.col("total_rows") > 0, F.col("test_rows") / F.col("total_rows") * 100).otherwise(F.lit(0.0))
+    tp = F.when(F.col("total_rows") > 0, F.col("train_rows") / F.col("total_rows") * 100).otherwise(F.lit(float(train_percent)))
+    sp = F.when(F.col("total_rows") > 0, F.col("test_rows") / F.col("total_rows") * 100).otherwise(F.lit(100.0 - float(train_percent)))
     return c.select("total_rows", "train_rows", "test_rows", F.round(tp, 6).alias("train_percent"),
                     F.round(sp, 6).alias("test_percent"))
 
@@ -80,7 +84,7 @@ def split_summary(texts: DataFrame, splits: DataFrame) -> DataFrame:
     t = texts.agg(F.count(F.lit(1)).alias("total_data"))
     s = splits.agg(F.count_if(F.col("split_type") == "train").alias("train_data"),
                    F.count_if(F.col("split_type") == "test").alias("test_data"))
-    return t.join(s, how="inner")
+    return t.withColumn("_k", F.lit(1)).join(s.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def data_distribution(summary: DataFrame) -> DataFrame:

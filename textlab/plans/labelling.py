@@ -30,24 +30,22 @@ class LabelResult:
     missing: DataFrame             # F6 report of the input file
     stats: DataFrame               # A22: zero-filled counts and percentages
     progress: DataFrame            # A21: rows, saved (scored and stored), skipped (no text or scorer error)
+    quarantine: str                # F3: folder of (reason, record) rows that were not stored
 
 
 def resolve_rules(spark: SparkSession, stored_path: str | None = None, rules_file: str | None = None) -> DataFrame:
-    """Stored rule table if it has rules, else the rules file, else the shipped defaults (quirk Q4)."""
-    if stored_path:
-        try:
-            t = ST.load_rules(spark, stored_path)
-            if not t.isEmpty():
-                return t
-        except Exception:  # noqa: BLE001 - absent table: fall through
-            pass
-    if rules_file:
-        try:
-            t = R.load_rules_json(spark, rules_file)
-            if not t.isEmpty():
-                return t
-        except Exception:  # noqa: BLE001 - unreadable file: fall through
-            pass
+    """Stored rule table if it has rules, else the rules file, else the shipped defaults (quirk Q4).
+
+    Only an absent path or an empty rule set falls through; a path that cannot be read raises.
+    """
+    if stored_path and ST.path_exists(spark, stored_path):
+        t = ST.load_rules(spark, stored_path)
+        if not t.isEmpty():
+            return t
+    if rules_file and ST.path_exists(spark, rules_file):
+        t = R.load_rules_json(spark, rules_file)
+        if not t.isEmpty():
+            return t
     return R.shipped_rules(spark)
 
 
@@ -65,8 +63,13 @@ def read_tagged(spark: SparkSession, paths_and_tags: list[tuple[str, str]]) -> D
 def label_frame(spark: SparkSession, raw: DataFrame, out: str, make_scorer, rules: DataFrame | None = None,
                 source_dataset: str = S.PROCESSED_SOURCE, mode: str = "overwrite",
                 category_rules: dict | None = None, popularity_rules: dict | None = None,
-                id_start: int = 1, partition: str | None = None) -> LabelResult:
-    """P4 on an already-read post frame (``full_text`` required, other tweet columns optional)."""
+                id_start: int | None = None, partition: str | None = None,
+                rejected: DataFrame | None = None) -> LabelResult:
+    """P4 on an already-read post frame (``full_text`` required, other tweet columns optional).
+
+    Rows that the scorer failed on, and the ``rejected`` records of the reader, go to ``out/quarantine``.
+    A frame without rows, or without a scorable one, stores nothing and gives zero counts.
+    """
     from textlab.sources.scratch import materialize
     P.require_columns(raw)
     missing = P.missing_columns(raw, S.OPTIONAL_COLUMNS)
@@ -81,27 +84,30 @@ def label_frame(spark: SparkSession, raw: DataFrame, out: str, make_scorer, rule
     scored = classify_logits(score_with(good, make_scorer, "preprocessed_text", "_row",
                                         keep=["full_text", "favorite_count", "created_at", "location", "username",
                                               "source_dataset"]))
-    scored = scored.filter(F.col("_error").isNull())          # F3: failed rows are not stored
     rules = rules if rules is not None else R.shipped_rules(spark)
     labeled = R.apply_rules(scored, R.rule_list(rules), category_rules or {}, popularity_rules)
     to_store = labeled.select(F.col("_row").alias("id"), F.col("full_text").alias("text"), "preprocessed_text",
                               "sentiment", "confidence", "favorite_count", "created_at", "location", "username",
-                              "source_dataset", "confidence_level", "sentiment_category", "popularity")
-    stored = materialize(to_store, "label-output")             # the scorer runs once per row
+                              "source_dataset", "confidence_level", "sentiment_category", "popularity", "_error")
+    every = materialize(to_store, "label-output")              # the scorer runs once per row
+    stored = every.filter(F.col("_error").isNull()).drop("_error")
+    failed = every.filter(F.col("_error").isNotNull()).select(F.col("_error").alias("reason"), F.col("text").alias("record"))
+    quarantine = f"{out.rstrip('/')}/quarantine" + (f"/{partition}" if partition else "")
+    (failed if rejected is None else failed.unionByName(rejected)).write.mode(mode).parquet(quarantine)
     paths = ST.save_labeled(spark, stored, out, natural_key="id", mode=mode, id_start=id_start, partition=partition)
     stats = sentiment_distribution(spark, stored, pct_decimals=1)
     rows = rec.agg(F.count(F.lit(1)).alias("rows")).withColumn("_k", F.lit(1))
     saved = stored.agg(F.count(F.lit(1)).alias("saved")).withColumn("_k", F.lit(1))
     progress = (rows.join(saved, "_k").drop("_k")
                     .withColumn("skipped", F.col("rows") - F.col("saved")))
-    return LabelResult(paths, stored, missing, stats, progress)
+    return LabelResult(paths, stored, missing, stats, progress, quarantine)
 
 
 def label_file(spark: SparkSession, path: str, out: str, make_scorer, rules: DataFrame | None = None,
                source_dataset: str = S.PROCESSED_SOURCE, mode: str = "overwrite") -> LabelResult:
-    """Label one post CSV (UTF-8, else Latin-1) and store it under ``out``."""
-    raw = P.read_posts_with_fallback(spark, path)
-    return label_frame(spark, raw, out, make_scorer, rules, source_dataset, mode)
+    """Label post CSVs (each file UTF-8, else Latin-1) and store them under ``out`` (F10: only ``.csv`` names)."""
+    raw = P.read_posts_with_fallback(spark, P.check_csv_path(path))
+    return label_frame(spark, raw, out, make_scorer, rules, source_dataset, mode, rejected=P.rejected_posts(spark, path))
 
 
 def create_labeled_dataset(spark: SparkSession, path_1: str, path_2: str, out: str, make_scorer,
@@ -118,12 +124,9 @@ def create_labeled_dataset(spark: SparkSession, path_1: str, path_2: str, out: s
 def _readable(spark: SparkSession, path: str | None, fmt: str) -> DataFrame | None:
     if not path:
         return None
-    try:
-        if fmt == "parquet":
-            return ST.load_view(spark, path)
-        return P.read_posts(spark, path)
-    except Exception:  # noqa: BLE001 - absent or unreadable: the next source is tried
+    if not ST.path_exists(spark, f"{path}/texts" if fmt == "parquet" else path):
         return None
+    return ST.load_view(spark, path) if fmt == "parquet" else P.read_posts_with_fallback(spark, path)
 
 
 def resolve_labeled_source(spark: SparkSession, store_base: str | None, labeled_csv: str | None,
@@ -141,7 +144,7 @@ def resolve_labeled_source(spark: SparkSession, store_base: str | None, labeled_
         return None
     if labeled_csv:
         P.write_csv(d, labeled_csv)
-        return P.read_posts(spark, labeled_csv)
+        return P.read_posts_with_fallback(spark, labeled_csv)
     return d
 
 
@@ -153,6 +156,6 @@ def import_csv(spark: SparkSession, path: str, store_base: str, mode: str = "ove
     from textlab.sources.scratch import materialize
     raw = P.read_posts_with_fallback(spark, path)
     rows = P.import_defaults(raw)
-    key = F.col("id").cast("bigint") if "id" in raw.columns else F.lit(None).cast("bigint")
+    key = F.expr("try_cast(id as bigint)") if "id" in raw.columns else F.lit(None).cast("bigint")
     rows = materialize(rows.withColumn("id", F.coalesce(key, F.monotonically_increasing_id())), "import-rows")
     return ST.save_labeled(spark, rows, store_base, natural_key="id", mode=mode)

@@ -100,7 +100,8 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) a scratch folder is created and registered.
+    When it is unset a scratch folder is created and registered, but only if driver and executors are
+    one process (``local[...]``): executors elsewhere could not see it, so there an error is raised.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -108,6 +109,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="textlab-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

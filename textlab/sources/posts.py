@@ -2,12 +2,12 @@
 
 The reader uses an explicit all-string schema (no inference pass), quoted multi-line fields and
 ``PERMISSIVE`` mode with a corrupt-record column, so short rows are kept (padded with nulls) and only
-rows with too many fields are dropped.
+rows with too many fields are dropped. Each file is decoded by its own bytes and read by its own header.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,8 @@ from textlab.functions.dates import parse_created_at
 from textlab.functions.dates import likes_to_int
 
 CORRUPT = "_corrupt_record"
-EXTRA = "_extra_field"
+SENTINEL = "\u0001end\u0001"
+_LONG = "_too_long"
 
 CSV_READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE",
                     "columnNameOfCorruptRecord": CORRUPT}
@@ -24,37 +25,95 @@ CSV_WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "ignoreLeadi
                      "ignoreTrailingWhiteSpace": "false"}
 
 
-def header_columns(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
+def header_columns(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> list[str]:
     """Column names from the header line (a one-line read, no type inference)."""
     return spark.read.options(header="true", multiLine="true", escape='"', encoding=encoding).csv(path).columns
 
 
+def _parse(spark: SparkSession, path, cols: list[str], encoding: str) -> DataFrame:
+    """Rows of CSV files that have the header ``cols``, with the raw record of every row that has more or fewer fields."""
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*cols, CORRUPT]])
+    return spark.read.options(**CSV_READ_OPTIONS).option("encoding", encoding).schema(schema).csv(path)
+
+
+def _too_long(cols: list[str]) -> Column:
+    """True for a raw record with more fields than ``cols``, empty ones included.
+
+    A sentinel is put after the record as one more field: it is found among the first ``len(cols) + 1`` fields unless the
+    record itself has more than ``len(cols)``. The first column is looked at only because Spark refuses CSV queries that
+    read nothing but the raw record.
+    """
+    names = [f"c{i}" for i in range(len(cols) + 1)]
+    raw = F.concat(F.regexp_replace(F.col(CORRUPT), r"[\r\n]+$", ""), F.lit(f",{SENTINEL}"))
+    got = F.from_csv(raw, ", ".join(f"{c} string" for c in names), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    hit = F.lit(False)
+    for c in names:
+        hit = hit | F.coalesce(got[c] == SENTINEL, F.lit(False))
+    return F.col(CORRUPT).isNotNull() & ~hit & (F.length(F.coalesce(F.col(cols[0]), F.lit(""))) >= 0)
+
+
+def drop_long_rows(df: DataFrame) -> DataFrame:
+    """S3: of rows read with the column ``CORRUPT``, those with more fields than the header go; short rows stay, padded."""
+    return df.filter(~_too_long([c for c in df.columns if c != CORRUPT])).drop(CORRUPT)
+
+
+def long_rows(df: DataFrame) -> DataFrame:
+    """what :func:`drop_long_rows` drops, as (reason, record), for the quarantine table."""
+    return df.filter(_too_long([c for c in df.columns if c != CORRUPT])).select(F.lit("too many fields").alias("reason"), F.col(CORRUPT).alias("record"))
+
+
 def read_posts(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """S1 + S3: read a post CSV as strings; rows with more fields than the header are dropped, short rows kept.
+    """S1 + S3: read post CSVs of one header as strings; rows with more fields than the header are dropped, short rows kept."""
+    return drop_long_rows(_parse(spark, path, columns or header_columns(spark, path, encoding), encoding))
+
+
+def file_kinds(spark: SparkSession, path: str) -> list[tuple[str, str, list[str] | None]]:
+    """(header line, encoding, files) for the files under ``path``; files is None if all are of one kind.
 
-    One extra trailing column catches the surplus field of a long row; short rows are padded with nulls
-    (PERMISSIVE), matching a skip-bad-lines reader.
+    A file is UTF-8 if all its bytes are valid UTF-8 (a genuine U+FFFD character is), else ISO-8859-1. One pass that
+    ends in one row per file, as many as Spark lists on the driver anyway; files without a line have no row.
     """
-    cols = columns or header_columns(spark, path, encoding)
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols] +
-                          [T.StructField(EXTRA, T.StringType(), True), T.StructField(CORRUPT, T.StringType(), True)])
-    r = spark.read.options(**CSV_READ_OPTIONS).option("encoding", encoding).schema(schema).csv(path)
-    return r.filter(F.col(EXTRA).isNull()).drop(EXTRA, CORRUPT)
+    place = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    rows = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                                     F.min_by(F.col("value").cast("binary"), "place").alias("head")).collect()
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for r in rows:
+        enc = "UTF-8" if r["utf8"] else "ISO-8859-1"
+        kinds.setdefault((bytes(r["head"]).decode(enc).strip("\r\ufeff"), enc), []).append(r["file"])
+    return [(head, enc, files if len(kinds) > 1 else None) for (head, enc), files in sorted(kinds.items())]
+
+
+def _decoded(files: list[str]) -> list[str]:
+    from urllib.parse import unquote
+    return [unquote(f) for f in files]                       # the metadata column has URL-encoded paths
+
+
+def parse_posts(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """S2 + S3: all files under ``path``, each decoded by its own bytes and read by the names of its own header, with the
+    raw record of odd rows. ``columns`` replaces the headers' names. Without any file that has a line: no rows."""
+    out = None
+    for _, enc, files in file_kinds(spark, path):
+        where = _decoded(files) if files else path
+        cols = columns or header_columns(spark, where, enc)
+        df = _parse(spark, where, cols, enc)
+        df = df.withColumn(_LONG, _too_long(cols))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        cols = columns or [S.REQUIRED_COLUMN]
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*cols, CORRUPT]) + f", {_LONG} boolean")
+    return out
 
 
 def read_posts_with_fallback(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """UTF-8 first; if any text holds U+FFFD (undecodable bytes) re-read as ISO-8859-1.
+    """The posts under ``path``; see :func:`parse_posts`. Rows with too many fields are left out."""
+    return parse_posts(spark, path, columns).filter(~F.col(_LONG)).drop(CORRUPT, _LONG)
 
-    The check is one distributed ``exists`` (limit 1) over the text columns, not a collect.
-    """
-    df = read_posts(spark, path, columns)
-    text_cols = [c for c in df.columns]
-    bad = F.lit(False)
-    for c in text_cols:
-        bad = bad | F.coalesce(F.contains(F.col(c), F.lit("�")), F.lit(False))
-    if df.filter(bad).limit(1).count() > 0:
-        return read_posts(spark, path, columns, encoding="ISO-8859-1")
-    return df
+
+def rejected_posts(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """(reason, record) of the rows that :func:`read_posts_with_fallback` leaves out."""
+    return parse_posts(spark, path, columns).filter(F.col(_LONG)).select(
+        F.lit("too many fields").alias("reason"), F.col(CORRUPT).alias("record"))
 
 
 def require_columns(df: DataFrame, required: list[str] | str = S.REQUIRED_COLUMN) -> None:
@@ -97,7 +156,7 @@ def posts_record(df: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
     """F4 + T10 + T12: the typed post record used by labelling (``keep`` columns pass through)."""
     df = add_missing_columns(df)
     return df.select(*keep,
-        F.col("id_str").cast("bigint").alias("id") if "id_str" in df.columns else F.lit(None).cast("bigint").alias("id"),
+        F.expr("try_cast(id_str as bigint)").alias("id") if "id_str" in df.columns else F.lit(None).cast("bigint").alias("id"),
         F.col("full_text"),
         likes_to_int("favorite_count").alias("favorite_count"),
         parse_created_at("created_at").alias("created_at"),

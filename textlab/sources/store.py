@@ -32,14 +32,19 @@ def allocate_ids(df: DataFrame, natural_key: str, start: int = 1, out: str = "te
 
 
 def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str = "id",
-                 mode: str = "overwrite", id_start: int = 1, partition: str | None = None) -> dict[str, str]:
+                 mode: str = "overwrite", id_start: int | None = None, partition: str | None = None) -> dict[str, str]:
     """K3 / K4: store labelled records as three tables sharing one allocated ``text_id``.
 
+    Ids are dense from ``id_start``; unless given, that is 1, or with ``mode='append'`` one above the largest stored id.
+    Appends to one store must not run at the same time.
+
     The id allocation is materialised once (a Parquet table in the shared checkpoint folder), so
     the three writes cannot see different ids even if a task is recomputed after executor loss.
     Rows without metadata (``has_metadata`` false, when the column exists) get no metadata row.
     """
     from textlab.sources.scratch import materialize
+    if id_start is None:
+        id_start = next_id(spark, base) if mode == "append" else 1
     x = materialize(allocate_ids(df, natural_key, start=id_start), "allocated-ids")
     has_meta = F.col("has_metadata") if "has_metadata" in df.columns else F.lit(True)
     sub = f"/{partition}" if partition else ""            # e.g. "batch=7": one folder per stream batch
@@ -54,6 +59,20 @@ def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str
     return paths
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True if ``path`` exists in its file system (any that Spark reads)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def next_id(spark: SparkSession, base: str) -> int:
+    """One above the largest stored text id (1 for an absent or empty store)."""
+    path = f"{base.rstrip('/')}/texts"
+    if not path_exists(spark, path):
+        return 1
+    return (spark.read.parquet(path).agg(F.max("id")).first()[0] or 0) + 1
+
+
 def load_view(spark: SparkSession, base: str) -> DataFrame:
     """The joined view over stored tables (inner to sentiments, left to metadata)."""
     t = spark.read.parquet(f"{base}/texts")
@@ -99,13 +118,8 @@ def load_split(spark: SparkSession, view: DataFrame, path: str) -> tuple[DataFra
 def save_rules(rules: DataFrame, path: str) -> None:
     """K6: replace only the rule types present in ``rules`` (dynamic partition overwrite)."""
     from textlab.operators.rules import rules_to_json
-    spark = rules.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        rules_to_json(rules).write.mode("overwrite").partitionBy("rule_type").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (rules_to_json(rules).write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+     .partitionBy("rule_type").parquet(path))
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -122,8 +136,8 @@ def model_name(now: _dt.datetime | None = None) -> str:
 def save_model(spark: SparkSession, base: str, name: str, model, accuracy: float | None) -> str:
     """K7: persist a fitted ML model under a new version folder and upsert the registry row by name.
 
-    The registry is rewritten as a new version (left-anti the old row, union the new one) and the
-    ``_latest`` pointer table switched afterwards, so readers never see a half-written folder.
+    The registry is rewritten as a new version (left-anti the old row, union the new one); the newest
+    version with a success mark is the current one, so readers never see a half-written folder.
     """
     import uuid
     ver = uuid.uuid4().hex[:12]
@@ -133,18 +147,24 @@ def save_model(spark: SparkSession, base: str, name: str, model, accuracy: float
     reg_root = f"{base}/registry"
     cur = _current_registry(spark, reg_root)
     new = row if cur is None else cur.join(row.select("model_name"), "model_name", "left_anti").unionByName(row)
-    new_path = f"{reg_root}/v-{ver}"
-    new.write.mode("overwrite").parquet(new_path)
-    spark.createDataFrame([(new_path,)], "path string").write.mode("overwrite").parquet(f"{reg_root}/_latest")
+    new.write.mode("errorifexists").parquet(f"{reg_root}/v-{len(_versions(spark, reg_root)):09d}-{ver}")
     return mpath
 
 
+def _versions(spark: SparkSession, reg_root: str) -> list[str]:
+    """Complete registry versions, oldest first (a version counts once Spark has written its success mark)."""
+    if not path_exists(spark, reg_root):
+        return []
+    root = spark._jvm.org.apache.hadoop.fs.Path(reg_root)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    paths = sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("v-"))
+    return [p for p in paths if path_exists(spark, f"{p}/_SUCCESS")]
+
+
 def _current_registry(spark: SparkSession, reg_root: str):
-    try:
-        p = spark.read.parquet(f"{reg_root}/_latest").first()
-    except Exception:  # noqa: BLE001 - no registry yet
-        return None
-    return spark.read.parquet(p[0]) if p else None
+    """The newest complete registry version, None before the first; read errors are raised."""
+    found = _versions(spark, reg_root)
+    return spark.read.parquet(found[-1]) if found else None
 
 
 def get_model(spark: SparkSession, base: str, name: str):

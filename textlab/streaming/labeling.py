@@ -128,15 +128,14 @@ def label_posts_stream(spark: SparkSession, inbox: str, out: str, make_scorer, r
     from textlab.sources import posts as P
     cols = columns or S.TWEET_COLUMNS
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols] +
-                          [T.StructField(P.EXTRA, T.StringType(), True), T.StructField(P.CORRUPT, T.StringType(), True)])
+                          [T.StructField(P.CORRUPT, T.StringType(), True)])
     src = (spark.readStream.schema(schema).options(**P.CSV_READ_OPTIONS)
            .option("maxFilesPerTrigger", files_per_trigger).csv(inbox))
     checkpoint = checkpoint or scratch_path(spark, "posts-stream-ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        raw = batch.filter(F.col(P.EXTRA).isNull()).drop(P.EXTRA, P.CORRUPT)
-        res = label_frame(spark, raw, out, make_scorer, rules, id_start=(batch_id << 32) + 1,
-                          partition=f"batch={batch_id}")
+        res = label_frame(spark, P.drop_long_rows(batch), out, make_scorer, rules, id_start=(batch_id << 32) + 1,
+                          partition=f"batch={batch_id}", rejected=P.long_rows(batch))
         res.progress.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
