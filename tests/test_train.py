@@ -55,8 +55,11 @@ def test_tfidf_vectorization_rows_are_unit_length(spark):
 
 
 def test_tree_params_mapping():
-    p = TR.TrainParams(max_depth=None, min_samples_split=5, min_samples_leaf=1, criterion="entropy")
+    p = TR.TrainParams(max_depth=None, min_samples_leaf=3, criterion="entropy")
     assert TR.tree_params(p) == {"maxDepth": 30, "impurity": "entropy", "minInstancesPerNode": 3, "seed": 42}
+    for wrong in ({"max_depth": 31}, {"min_samples_split": 5}):
+        with pytest.raises(ValueError):
+            TR.tree_params(TR.TrainParams(**wrong))
 
 
 def test_registry_roundtrip(spark, trained, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 
 import pytest
 
@@ -60,7 +61,7 @@ def fixture(seed=3, n=120, terms=("apa", "bagus", "cinta", "duka", "enak", "fakt
         tf = {}
         for t in terms:
             # terms carry some signal about the label so the tree has depth
-            bias = 0.5 if (hash((t, lab)) % 3 == 0) else 0.15
+            bias = 0.5 if (zlib.crc32(f"{t}/{lab}".encode()) % 3 == 0) else 0.15
             if rnd.random() < bias:
                 tf[t] = rnd.choice([1, 1, 2, 3])
         rows.append((i, lab, tf))
@@ -88,6 +89,14 @@ def test_tree_equals_brute_force(spark, local_cells):
     assert got == exp
 
 
+@pytest.mark.parametrize("local_cells", [0, 10**9])
+def test_long_values_have_nodes_of_their_own(spark, local_cells):
+    rows = [(i, lab, {"a": v}) for i, (lab, v) in enumerate([("x", 1234567), ("y", 1234568), ("x", 12), ("y", 0)]) if v]
+    r, nz = to_frames(spark, rows)
+    got = {n.node_id for n in TR.build_tree(r, nz, local_cells=local_cells).collect()}
+    assert got == {"", "/000012", "/1234567", "/1234568"}
+
+
 def test_tree_max_depth(spark):
     rows = fixture(seed=5)
     terms = sorted({t for _i, _l, tf in rows for t in tf})

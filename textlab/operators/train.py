@@ -28,7 +28,7 @@ from textlab.operators.features import top_terms
 from textlab.operators.split import train_test_split
 from textlab.sources.scratch import materialize
 
-# DecisionTreeClassifier refuses depths above 30; "no limit" becomes the deepest allowed tree.
+# DecisionTreeClassifier refuses depths above 30; no limit given means the deepest tree it can grow.
 MAX_TREE_DEPTH = 30
 
 
@@ -49,10 +49,14 @@ class TrainParams:
 
 
 def tree_params(p: TrainParams) -> dict:
-    """M1 parameter mapping: depth capped at 30; ``min_samples_split`` folded into the leaf minimum."""
-    depth = MAX_TREE_DEPTH if p.max_depth is None else min(int(p.max_depth), MAX_TREE_DEPTH)
-    leaf = max(int(p.min_samples_leaf), math.ceil(int(p.min_samples_split) / 2))
-    return {"maxDepth": depth, "impurity": p.criterion, "minInstancesPerNode": leaf, "seed": p.seed}
+    """M1 parameter mapping. What the learner cannot do is refused: a depth above 30, and a minimum number of rows to
+    split other than 2 (a minimum per leaf is another thing). Without a depth the deepest possible tree is grown."""
+    if p.max_depth is not None and int(p.max_depth) > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {p.max_depth} is above {MAX_TREE_DEPTH}; textlab.operators.tree has no such limit")
+    if int(p.min_samples_split) != 2:
+        raise ValueError("min_samples_split other than 2 is not supported; use min_samples_leaf")
+    depth = MAX_TREE_DEPTH if p.max_depth is None else int(p.max_depth)
+    return {"maxDepth": depth, "impurity": p.criterion, "minInstancesPerNode": int(p.min_samples_leaf), "seed": p.seed}
 
 
 def token_stages(p: TrainParams, text_col: str = "preprocessed_text") -> list:

@@ -19,13 +19,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab import schema as S
-from textlab.sources.scratch import materialize
+from textlab.sources.scratch import materialize, scratch_path
 
 GAIN_EPS = 1e-12       # |gain| below this counts as zero (float noise, quirk Q11)
 TIE_DECIMALS = 12      # gain ratios equal to 12 decimals tie; the alphabetically first term wins
 VALUE_WIDTH = 6
 
 
+def padded(value: Column) -> Column:
+    """A branch value as it stands in node ids: at least ``VALUE_WIDTH`` digits, longer values whole."""
+    v = value.cast("string")
+    return F.when(F.length(v) >= VALUE_WIDTH, v).otherwise(F.lpad(v, VALUE_WIDTH, "0"))
+
+
 def _log2(x: Column) -> Column:
     return F.log2(x)
 
@@ -220,6 +226,16 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
                   .select("id", "label", F.coalesce("row_nnz", F.lit(0)).cast("long").alias("row_nnz"),
                           F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"),
                           F.lit(None).cast("long").alias("v")))
+    folder = scratch_path(rows.sparkSession, "tree-nodes") if checkpoint else None
+
+    def keep(part: DataFrame, name: str) -> None:
+        """Adds nodes to the result: a folder of their own under the one that is read at the end, in one scan."""
+        if folder is None:
+            levels.append(part)
+        else:
+            part.write.parquet(f"{folder}/{name}")
+            levels.append(f"{folder}/{name}")
+
     paths = None                       # (parent key -> parent path) of the nodes split at the previous level
     levels = []
     depth = 0
@@ -232,8 +248,7 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
             summ = summ.withColumn("path", F.lit("")).withColumn("split_value", F.lit(None).cast("string"))
         else:
             summ = (summ.join(paths, "parent")
-                        .withColumn("path", F.concat("ppath", F.lit("/"),
-                                                     F.lpad(F.col("v").cast("string"), VALUE_WIDTH, "0")))
+                        .withColumn("path", F.concat("ppath", F.lit("/"), padded(F.col("v"))))
                         .withColumn("split_value", F.col("v").cast("string")).drop("ppath"))
         openable = F.col("n_labels") > 1
         if max_depth is not None and depth >= max_depth:
@@ -260,7 +275,7 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
                         .withColumnRenamed("node", "gkey").withColumnRenamed("path", "node"))
             md = max_depth
             sub = long.groupBy("gkey").applyInPandas(lambda pdf: _finish_local(pdf, md), NODE_SCHEMA)
-            levels.append(materialize(sub, f"tree-local-{depth}") if checkpoint else sub)
+            keep(sub, f"local-{depth}")
         split_nodes = None
         if modes.get("dist") and copartition and not cached:
             n_parts = int(nz.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -269,7 +284,7 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
         if modes.get("dist"):
             dist_nodes = summ.filter(F.col("mode") == "dist").select("node")
             best = best_split(gain_ratios(assign.join(dist_nodes, "node", "left_semi"), nz, cnt, summ))
-            best = best.filter(F.abs(F.col("gain_ratio")) >= GAIN_EPS).select("node", F.col("term").alias("feature"))
+            best = best.filter(F.abs(F.round("gain_ratio", TIE_DECIMALS)) >= GAIN_EPS).select("node", F.col("term").alias("feature"))
         else:
             best = summ.limit(0).select("node", F.lit(None).cast("string").alias("feature"))
         if modes.get("dist") or modes.get("leaf"):
@@ -282,7 +297,7 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
                                  "majority", "n", F.col("feature").isNull().alias("is_leaf")))
             if checkpoint:
                 level = materialize(level, f"tree-level-{depth}")
-            levels.append(level.drop("node"))
+            keep(level.drop("node"), f"level-{depth}")
             n_split = level.filter(~F.col("is_leaf")).count()
             if n_split:
                 split_nodes = level.filter(~F.col("is_leaf")).select("node", "feature", "node_id")
@@ -295,11 +310,13 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
         assign = nxt.withColumn("node", F.xxhash64("parent", "v"))
         paths = split_nodes.select(F.col("node").alias("parent"), F.col("node_id").alias("ppath"))
         depth += 1
+    if checkpoint:
+        if cached:                       # every level is a written table: the cached input can go
+            nz.unpersist()
+        return rows.sparkSession.read.parquet(*levels)
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    if checkpoint and cached:            # every level is a written table: the cached input can go
-        nz.unpersist()
     return out
 
 
@@ -318,6 +335,15 @@ def predict_tree(nodes: DataFrame, rows: DataFrame, nz: DataFrame, checkpoint: b
         key.alias("child"))
     state = rows.select("id", F.xxhash64(F.lit("")).alias("node"))
     done = []
+    folder = scratch_path(rows.sparkSession, "tree-predicted") if checkpoint else None
+
+    def keep(part: DataFrame, name: str) -> None:
+        if folder is None:
+            done.append(part)
+        else:
+            part.write.parquet(f"{folder}/{name}")
+            done.append(f"{folder}/{name}")
+
     step = 0
     while True:
         if checkpoint:
@@ -325,17 +351,21 @@ def predict_tree(nodes: DataFrame, rows: DataFrame, nz: DataFrame, checkpoint: b
         if state.isEmpty():
             break
         cur = state.join(info, "node")
-        done.append(cur.filter("is_leaf").select("id", F.col("class").alias("predicted"), "node_id"))
+        keep(cur.filter("is_leaf").select("id", F.col("class").alias("predicted"), "node_id"), f"leaf-{step}")
         inner = cur.filter(~F.col("is_leaf"))
         moved = (inner.join(nz.withColumnRenamed("term", "feature"), ["id", "feature"], "left")
                       .select("id", "node", "node_id", "majority", F.coalesce("tf", F.lit(0)).cast("long").alias("v"))
                       .join(edges, ["node", "v"], "left"))
         if checkpoint:
             moved = materialize(moved, f"tree-moved-{step}")
-        done.append(moved.filter(F.col("child").isNull())
-                         .select("id", F.col("majority").alias("predicted"), "node_id"))
+        keep(moved.filter(F.col("child").isNull()).select("id", F.col("majority").alias("predicted"), "node_id"),
+             f"stop-{step}")
         state = moved.filter(F.col("child").isNotNull()).select("id", F.col("child").alias("node"))
         step += 1
+    if not done:
+        return rows.select("id", F.lit(None).cast("string").alias("predicted"), F.lit(None).cast("string").alias("node_id")).limit(0)
+    if checkpoint:
+        return rows.sparkSession.read.parquet(*done)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

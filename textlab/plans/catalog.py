@@ -175,8 +175,8 @@ def q_scan_posts(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_scorable_posts(spark: SparkSession, sf: str) -> DataFrame:
     """rows with non-empty text."""
-    lab = labeled(spark, sf)
-    return P.scorable(lab, "preprocessed_text").select("id", "sentiment", "confidence")
+    # the filter looks at the raw text: it reaches the scan, and no text is cleaned
+    return P.scorable(scored_documents(spark, sf), "text").select("id", "sentiment", "confidence")
 
 
 def q_missing_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +300,7 @@ def q_sentiment_stats(spark, sf):
 
 def q_stats_grouping_sets(spark, sf):
     """A4: counts and mean confidence by sentiment, by source and in total in one scan."""
-    return ST.stats_grouping_sets(labeled(spark, sf))
+    return ST.stats_grouping_sets(scored_documents(spark, sf))
 
 
 def q_dashboard_stats(spark, sf):
@@ -310,12 +310,12 @@ def q_dashboard_stats(spark, sf):
 
 def q_sentiment_distribution(spark, sf):
     """Zero-filled counts per sentiment with percentages."""
-    return ST.sentiment_distribution(spark, labeled(spark, sf))
+    return ST.sentiment_distribution(spark, scored_documents(spark, sf))
 
 
 def q_confidence_histogram(spark, sf):
     """20-bin confidence histogram."""
-    return ST.confidence_histogram(labeled(spark, sf))
+    return ST.confidence_histogram(scored_documents(spark, sf))
 
 
 def q_likes_boxplot(spark, sf):
@@ -324,21 +324,13 @@ def q_likes_boxplot(spark, sf):
 
 
 # ----------------------------------------------------------------------------------- store
-def labeled_view(texts: DataFrame, sentiments: DataFrame, metadata: DataFrame) -> DataFrame:
-    """J1 + J2: texts JOIN sentiments ON id = text_id LEFT JOIN metadata ON id = text_id (the view)."""
-    j = texts.join(sentiments, texts["id"] == sentiments["text_id"], "inner") \
-        .join(metadata, texts["id"] == metadata["text_id"], "left")
-    return j.select(texts["id"], "text", "preprocessed_text", "sentiment", "confidence", "favorite_count",
-                    "created_at", "location", "username", "source_dataset")
-
-
 def _view(spark, sf):
-    b = base_tables(spark, sf)
-    return labeled_view(b["texts"], b["sentiments"], b["metadata"])
+    """The view as one join of texts with their scores and one left join with the metadata: three scans."""
+    return labeled(spark, sf).select(*S.LABELED_VIEW_COLUMNS)
 
 
 def q_labeled_view(spark, sf):
-    """The joined view over the three base tables."""
+    """Texts JOIN scores LEFT JOIN metadata."""
     return _view(spark, sf)
 
 
@@ -375,7 +367,7 @@ def q_normalize_metadata(spark, sf):
 
 # ----------------------------------------------------------------------------------- split
 def _split(spark, sf) -> DataFrame:
-    return SP.train_test_split(labeled(spark, sf).select("id"), "id", TRAIN_PERCENT)
+    return SP.train_test_split(scored_documents(spark, sf).select("id"), "id", TRAIN_PERCENT)
 
 
 def q_train_test_split(spark, sf):
@@ -385,7 +377,7 @@ def q_train_test_split(spark, sf):
 
 def q_split_preview(spark, sf):
     """Preview sizes with half-even rounding."""
-    return SP.split_preview(labeled(spark, sf), TRAIN_PERCENT)
+    return SP.split_preview(scored_documents(spark, sf), TRAIN_PERCENT)
 
 
 def _stored_splits(spark, sf) -> DataFrame:
@@ -577,7 +569,8 @@ def _stream_run(spark, sf, labels: bool = True, stats: bool = True):
     """Stage ``documents`` as arriving files, then run the labelling and/or statistics stream to the end."""
     from textlab.streaming import labeling as ST_
     docs = table(spark, sf, "documents")
-    inbox = ST_.stage_inbox(docs, scratch_path(spark, "inbox"), STREAM_FILES)
+    # arrivals are as many files as the table has partitions, so no task writes more than its share
+    inbox = ST_.stage_inbox(docs, scratch_path(spark, "inbox"), max(STREAM_FILES, docs.rdd.getNumPartitions()))
     out = scratch_path(spark, "stream-out")
     vec, ev = table(spark, sf, "embeddings"), table(spark, sf, "events")
     running = []

@@ -193,8 +193,10 @@ def check_percent(p) -> float:
 
 
 def check_csv_path(path: str) -> str:
-    """only ``.csv`` files are accepted (no size cap: the file is read by executors)."""
-    if not str(path).lower().endswith(".csv"):
+    """only ``.csv`` files, or folders of them (a name without extension), are accepted (no size cap: the file is read
+    by executors)."""
+    name = str(path).rstrip("/").rsplit("/", 1)[-1]
+    if "." in name and not name.lower().endswith(".csv"):
         raise ValueError(f"not a .csv file: {path}")
     return path
 

@@ -90,15 +90,30 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """``texts``, ``sentiments`` and ``metadata`` as projections of :func:`labeled` (metadata only where matched)."""
-    lab = labeled(spark, sf_dir)
-    texts = lab.select("id", "text", "preprocessed_text", "created_at", "source_dataset")
-    sentiments = lab.select(F.col("id").alias("text_id"), "sentiment", "confidence")
-    metadata = lab.filter("has_metadata").select(F.col("id").alias("text_id"), "favorite_count", "location",
-                                                  "username")
+    """``texts``, ``sentiments`` and ``metadata``, each from the tables it needs and no others.
+
+    ``sentiments`` are the scored documents, ``texts`` the documents with the time of their event, ``metadata`` the
+    events of documents.
+    """
+    docs = table(spark, sf_dir, "documents")
+    events = read_events(spark, sf_dir)
+    texts = docs.join(events.select("event_id", "ts"), docs["doc_id"] == events["event_id"], "left").select(
+        F.col("doc_id").alias("id"), "text", clean_text("text").alias("preprocessed_text"), F.col("ts").alias("created_at"),
+        F.col("source").alias("source_dataset"))
+    sentiments = scored_documents(spark, sf_dir).select(F.col("id").alias("text_id"), "sentiment", "confidence")
+    ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
+    metadata = events.join(ids, events["event_id"] == ids["doc_id"], "left_semi").select(
+        F.col("event_id").alias("text_id"), F.floor(F.col("value") * 10).cast("int").alias("favorite_count"),
+        F.col("event_type").alias("location"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"))
     return {"texts": texts, "sentiments": sentiments, "metadata": metadata}
 
 
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that stand for metadata (errors left out)."""
+    return table(spark, sf_dir, "events").filter(F.col("event_type") != "error").select(
+        "event_id", "ts", "user_id", "event_type", "value")
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference labels: toxic -> negative, else quality -> positive, else neutral."""
     lb = table(spark, sf_dir, "labels")
