@@ -102,3 +102,23 @@ def test_unknown_rule_type_dropped(spark):
                                     ("other", "b", 1, '{"threshold":0.5,"count":1,"label":"B"}')],
                                    "rule_type string, rule_name string, ordinal int, rule_data string")
     assert [r.rule_name for r in R.rules_from_json(stored).collect()] == ["a"]
+
+
+def test_nested_rule_files_lose_nothing(spark, tmp_path):
+    from textlab.sources import store as ST
+    data = {"confidence_rules": {"any": {"threshold": 0.5, "count": 3, "label": "Sure"}},
+            "sentiment_classification": {"positive": {"strong": {"confidence_threshold": 0.9, "label": "Very Good"},
+                                                      "mild": {"confidence_threshold": 0.5, "label": "Good"}}},
+            "popularity_rules": {"viral": {"threshold": 10, "categories": {"positive": "Up", "negative": "Down"}},
+                                 "popular": {"min_threshold": 5, "label": "Known"}}}
+    (tmp_path / "rules.json").write_text(json.dumps(data))
+    ST.save_rules(R.load_rules_json(spark, str(tmp_path / "rules.json")), str(tmp_path / "store"))
+    rules = ST.load_rules(spark, str(tmp_path / "store"))
+    assert R.rule_list(rules) == [("any", 0.5, "Sure")]
+    assert R.category_rules(rules) == {"positive": [("strong", 0.9, "Very Good"), ("mild", 0.5, "Good")]}
+    assert R.popularity_rules(rules) == data["popularity_rules"]
+    df = spark.createDataFrame([("positive", 0.95, 12), ("positive", 0.6, 7), ("negative", 0.95, 11), ("neutral", 0.2, 0)],
+                               "sentiment string, confidence double, favorite_count int")
+    got = R.apply_rules(df, R.rule_list(rules), R.category_rules(rules), R.popularity_rules(rules)).collect()
+    assert [(r.confidence_level, r.sentiment_category, r.popularity) for r in got] == [
+        ("Sure", "Very Good", "Up"), ("Sure", "Good", "Known"), ("Sure", None, "Down"), (None, None, S.NORMAL_LABEL)]

@@ -158,13 +158,16 @@ def rules_text(spark: SparkSession, rules_df: DataFrame) -> DataFrame:
 
 
 def rules_to_json(rules_df: DataFrame) -> DataFrame:
-    """T17 encode: ``rule_data`` JSON text per rule (the stored form)."""
-    return rules_df.select("rule_type", "rule_name", "ordinal",
-                           F.to_json(F.struct("threshold", "count", "label")).alias("rule_data"))
+    """T17 encode: ``rule_data`` JSON text per rule (the stored form). Text that came with a rule is kept whole, so nested
+    groups (levels per sentiment, viral categories) lose nothing."""
+    data = F.to_json(F.struct("threshold", "count", "label"))
+    if "rule_data" in rules_df.columns:
+        data = F.coalesce(F.col("rule_data"), data)
+    return rules_df.select("rule_type", "rule_name", "ordinal", data.alias("rule_data"))
 
 
 def rules_from_json(stored: DataFrame) -> DataFrame:
-    """T17 decode + R5: keep the four known rule groups, parse ``rule_data``, order by ``ordinal``."""
+    """T17 decode + R5: keep the four known rule groups, with ``rule_data`` whole and the flat fields parsed from it."""
     parsed = F.from_json("rule_data", S.RULE_DATA)
     return (stored.filter(F.col("rule_type").isin(*S.RULE_TYPES))
                   .select("rule_type", "rule_name", "ordinal", "rule_data",
@@ -173,13 +176,34 @@ def rules_from_json(stored: DataFrame) -> DataFrame:
 
 
 def load_rules_json(spark: SparkSession, path: str) -> DataFrame:
-    """Rules file ``{rule_type: {rule_name: {...}}}`` -> rule table; key order becomes ``ordinal``."""
-    raw = spark.read.option("multiLine", True).option("primitivesAsString", False).text(path, wholetext=True)
-    m = F.from_json("value", "map<string, map<string, struct<threshold:double,count:bigint,label:string>>>")
-    groups = raw.select(F.explode(m).alias("rule_type", "rules"))
-    return groups.select("rule_type", F.posexplode("rules").alias("pos", "rule_name", "r")).select(
-        "rule_type", "rule_name", (F.col("pos") + 1).cast("int").alias("ordinal"),
-        F.col("r.threshold").alias("threshold"), F.col("r.count").alias("count"), F.col("r.label").alias("label"))
+    """Rules file ``{rule_type: {rule_name: {...}}}`` -> rule table; key order becomes ``ordinal``.
+
+    What stands under a rule name is kept as JSON text, at any depth.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    groups = raw.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("rule_type", "rules"))
+    return rules_from_json(groups.select("rule_type", F.posexplode("rules").alias("pos", "rule_name", "rule_data")).select(
+        "rule_type", "rule_name", (F.col("pos") + 1).cast("int").alias("ordinal"), "rule_data"))
+
+
+def _nested(rules_df: DataFrame, rule_type: str) -> dict:
+    """The rules of one group as nested dicts in stored order (bounded: a few dozen rows)."""
+    import json
+    if "rule_data" not in rules_df.columns:
+        return {}
+    rows = rules_df.filter(F.col("rule_type") == rule_type).orderBy("ordinal").select("rule_name", "rule_data").collect()
+    return {r[0]: json.loads(r[1]) for r in rows if r[1] is not None}
+
+
+def category_rules(rules_df: DataFrame) -> dict[str, list[tuple[str, float, str]]]:
+    """R2a rules of a rule table: sentiment -> levels ``(name, confidence threshold, label)`` in stored order."""
+    return {s: [(level, float(r["confidence_threshold"]), r["label"]) for level, r in levels.items()]
+            for s, levels in _nested(rules_df, "sentiment_classification").items()}
+
+
+def popularity_rules(rules_df: DataFrame) -> dict:
+    """R2b rules of a rule table, as :func:`popularity` takes them."""
+    return _nested(rules_df, "popularity_rules")
 
 
 def rules_edges(rules_df: DataFrame) -> DataFrame:

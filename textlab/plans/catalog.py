@@ -16,7 +16,7 @@ from textlab.functions.scoring import feature_score as feature_score_col, path_r
 from textlab.functions.text import clean_text as clean_col, remove_stopwords as remove_stopwords_col, \
     split_words, vector_tokens, lemmatize
 from textlab.operators import evaluate as EV, features as FE, rules as R, split as SP, stats as ST
-from textlab.sources import posts as P
+from textlab.sources import posts as P, store as STORE
 from textlab.sources.scratch import scratch_path
 from textlab.sources.tables import base_tables, labeled, scored_documents, table, truth
 
@@ -276,6 +276,46 @@ def q_rules_roundtrip(spark, sf):
     return R.rules_from_json(spark.read.parquet(path))
 
 
+def q_rules_nested(spark, sf):
+    """Nested category and popularity rules through a rules file, the rule store and back, then applied."""
+    import json
+    groups = {"sentiment_classification": {s: {lv: {"confidence_threshold": t, "label": lab} for lv, t, lab in levels}
+                                           for s, levels in CATEGORY_RULES.items()},
+              "popularity_rules": {"viral": {"threshold": 500, "categories": dict(S.VIRAL_LABELS)},
+                                   "popular": {"min_threshold": 50, "label": S.POPULAR_LABEL},
+                                   "normal": {"label": S.NORMAL_LABEL}}}
+    file, store = scratch_path(spark, "rules-file"), scratch_path(spark, "rules-store")
+    spark.createDataFrame([(json.dumps(groups),)], "value string").coalesce(1).write.text(file)
+    STORE.save_rules(R.load_rules_json(spark, file), store)
+    rules = STORE.load_rules(spark, store)
+    out = R.apply_rules(labeled(spark, sf), R.rule_list(rules), R.category_rules(rules), R.popularity_rules(rules))
+    return out.select("id", "sentiment_category", "popularity")
+
+
+def q_import_append(spark, sf):
+    """K4: the labelled rows imported twice by append: ids dense and distinct, the view not fanned out."""
+    from textlab.plans.labelling import import_csv
+    path, base = scratch_path(spark, "import-csv"), scratch_path(spark, "import-store")
+    P.write_csv(scored_documents(spark, sf).select("id", "text", "sentiment", "confidence"), path)
+    for _ in range(2):
+        import_csv(spark, path, base, mode="append")
+    return STORE.load_view(spark, base).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.min("id").alias("min_id"),
+        F.max("id").alias("max_id"))
+
+
+def q_mixed_encodings(spark, sf):
+    """One folder with UTF-8 and ISO-8859-1 files, the columns in another order in each; every text comes back."""
+    folder = scratch_path(spark, "mixed")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("full_text"))
+    narrow = F.col("full_text").rlike(r"^[\x00-\xFF]*$") & (F.pmod(F.col("id").cast("long"), F.lit(2)) == 0)
+    docs.filter(narrow).select("full_text", "id").write.options(**P.CSV_WRITE_OPTIONS).option(
+        "encoding", "ISO-8859-1").csv(folder)
+    docs.filter(~narrow).select("id", "full_text").write.mode("append").options(**P.CSV_WRITE_OPTIONS).csv(folder)
+    return P.read_posts_with_fallback(spark, folder).select(F.col("id").cast("long").alias("id"),
+                                                            F.md5("full_text").alias("text_md5"))
+
+
 def q_rules_edges(spark, sf):
     """Rule graph edges input -> rule, labelled with the threshold."""
     return R.rules_edges(R.mine_confidence_rules(labeled(spark, sf)))
@@ -632,7 +672,8 @@ QUERIES = {
     "confidence_tier": q_confidence_tier, "sentiment_category": q_sentiment_category, "popularity": q_popularity,
     "confidence_patterns": q_confidence_patterns, "likes_patterns": q_likes_patterns,
     "mine_confidence_rules": q_mine_confidence_rules, "rules_text": q_rules_text,
-    "rules_roundtrip": q_rules_roundtrip, "rules_edges": q_rules_edges,
+    "rules_roundtrip": q_rules_roundtrip, "rules_edges": q_rules_edges, "rules_nested": q_rules_nested,
+    "import_append": q_import_append, "mixed_encodings": q_mixed_encodings,
     "sentiment_counts": q_sentiment_counts, "dataset_counts": q_dataset_counts, "sentiment_stats": q_sentiment_stats,
     "stats_grouping_sets": q_stats_grouping_sets, "dashboard_stats": q_dashboard_stats,
     "sentiment_distribution": q_sentiment_distribution, "confidence_histogram": q_confidence_histogram,

@@ -85,7 +85,9 @@ def label_frame(spark: SparkSession, raw: DataFrame, out: str, make_scorer, rule
                                         keep=["full_text", "favorite_count", "created_at", "location", "username",
                                               "source_dataset"]))
     rules = rules if rules is not None else R.shipped_rules(spark)
-    labeled = R.apply_rules(scored, R.rule_list(rules), category_rules or {}, popularity_rules)
+    category_rules = R.category_rules(rules) if category_rules is None else category_rules
+    popularity_rules = R.popularity_rules(rules) if popularity_rules is None else popularity_rules
+    labeled = R.apply_rules(scored, R.rule_list(rules), category_rules, popularity_rules)
     to_store = labeled.select(F.col("_row").alias("id"), F.col("full_text").alias("text"), "preprocessed_text",
                               "sentiment", "confidence", "favorite_count", "created_at", "location", "username",
                               "source_dataset", "confidence_level", "sentiment_category", "popularity", "_error")

@@ -242,6 +242,16 @@ SQL = {
     "popularity": "WITH " + LABELED_CTE + f"""
         SELECT id, sentiment, coalesce(favorite_count, 0) AS favorite_count, {_popularity_case()} AS popularity
         FROM labeled""",
+    "rules_nested": "WITH " + LABELED_CTE + f"""
+        SELECT id, {_category_case()} AS sentiment_category,
+               CASE WHEN coalesce(favorite_count, 0) >= 500 THEN CASE sentiment
+                        WHEN 'positive' THEN '{S.VIRAL_LABELS["positive"]}' WHEN 'negative' THEN '{S.VIRAL_LABELS["negative"]}'
+                        WHEN 'neutral' THEN '{S.VIRAL_LABELS["neutral"]}' END
+                    WHEN coalesce(favorite_count, 0) >= 50 THEN '{S.POPULAR_LABEL}' ELSE '{S.NORMAL_LABEL}' END AS popularity
+        FROM labeled""",
+    "import_append": """
+        SELECT 2 * count(*) AS n_rows, 2 * count(*) AS n_ids, CAST(1 AS BIGINT) AS min_id, 2 * count(*) AS max_id FROM documents""",
+    "mixed_encodings": "SELECT doc_id AS id, md5(text) AS text_md5 FROM documents",
     "confidence_patterns": "WITH " + LABELED_CTE + """
         SELECT sentiment, floor(confidence * 10) / 10 AS conf_range, count(*) AS n, min(id) AS first_seen
         FROM labeled GROUP BY sentiment, floor(confidence * 10) / 10""",
