@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from textlab import schema as S
-from textlab.functions.dates import SOCIAL_RE
 from textlab.functions.text import english_stop_words
 from textlab.plans import catalog as C
 from textlab.plans.oracle import BASE_CTE, LABELED_CTE, clean_sql, q, tokens_sql, words_sql
@@ -96,7 +95,7 @@ cm AS (SELECT g.actual, g.predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM
 
 DOMAIN = "(VALUES ('negative'), ('neutral'), ('positive')) dom(sentiment)"
 
-_SOCIAL = q(SOCIAL_RE)
+_SOCIAL = q(r"^\s*[A-Za-z]{3} ([A-Za-z]{3}) +(\d{1,2}) (\d{1,2}:\d{2}:\d{2}) [+-]\d{4} (\d{4})\s*$")
 _PARSED = (f"coalesce(CASE WHEN regexp_matches(raw, {_SOCIAL}) THEN try_strptime("
            f"regexp_extract(raw, {_SOCIAL}, 1) || ' ' || regexp_extract(raw, {_SOCIAL}, 2) || ' ' || "
            f"regexp_extract(raw, {_SOCIAL}, 3) || ' ' || regexp_extract(raw, {_SOCIAL}, 4), '%b %d %H:%M:%S %Y') END, "
