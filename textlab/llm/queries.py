@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlab.llm import ann, html_text, line_dedup, lm, mixing, packing, quality, secret_scan, simhash, token_files
 from textlab.llm.common import read_table
+from textlab.llm.oracle_queries import ORACLE_SQL  # noqa: F401 - read by the driver's entry
 from textlab.sources.scratch import scratch_path
 
 
@@ -77,6 +78,3 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
