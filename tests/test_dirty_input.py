@@ -99,3 +99,15 @@ def test_blank_batches_do_not_stop_the_stream(spark, tmp_path):
 def test_labelling_takes_csv_names_only(spark, tmp_path):
     with pytest.raises(ValueError):
         L.label_file(spark, str(tmp_path / "in.xlsx"), str(tmp_path / "out"), scorer)
+
+
+def test_a_scope_deletes_its_scratch_tables_only(spark):
+    from textlab.sources.scratch import materialize, temporary
+    before = materialize(spark.range(3), "kept")
+    with temporary(spark):
+        inner = materialize(spark.range(5), "gone")
+        files = inner.inputFiles()
+        with temporary(spark):
+            materialize(spark.range(2), "inner")
+        assert inner.count() == 5
+    assert before.count() == 3 and not any(ST.path_exists(spark, f) for f in files)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.operators.rules import apply_rules
-from textlab.sources.scratch import scratch_path
+from textlab.sources.scratch import scratch_path, temporary
 from textlab.sources.tables import label_documents
 
 
@@ -134,9 +134,10 @@ def label_posts_stream(spark: SparkSession, inbox: str, out: str, make_scorer, r
     checkpoint = checkpoint or scratch_path(spark, "posts-stream-ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        res = label_frame(spark, P.drop_long_rows(batch), out, make_scorer, rules, id_start=(batch_id << 32) + 1,
-                          partition=f"batch={batch_id}", rejected=P.long_rows(batch))
-        res.progress.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
+        with temporary(spark):                       # the batch's own tables go once it is stored
+            res = label_frame(spark, P.drop_long_rows(batch), out, make_scorer, rules, id_start=(batch_id << 32) + 1,
+                              partition=f"batch={batch_id}", rejected=P.long_rows(batch))
+            res.progress.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
