@@ -42,7 +42,7 @@ WITH words AS (
   FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN of_all a ON o.metric = a.metric
 ), limits AS (
   SELECT *, greatest(3 * (q3 - q1), CASE metric WHEN 'symbols_pm' THEN 300 WHEN 'dup_lines_pm' THEN 500
-                                                WHEN 'repeat_pm' THEN 150 ELSE 300 END) AS far FROM used
+                                                WHEN 'repeat_pm' THEN 250 ELSE 300 END) AS far FROM used
 ), bad AS (
   SELECT DISTINCT c.rid FROM cells c JOIN limits m
     ON c.lang IS NOT DISTINCT FROM m.lang AND c.source IS NOT DISTINCT FROM m.source AND c.metric = m.metric

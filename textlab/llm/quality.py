@@ -29,7 +29,7 @@ MAX_REPEAT_PERCENT = 30
 MIN_GROUP = 200
 #: metric -> (side, least distance from the upper or lower quartile), distances being 3 interquartile ranges at least.
 #: The metrics are whole numbers: per mille of words or lines, and hundredths of characters per word.
-FENCES = {"symbols_pm": ("high", 300), "dup_lines_pm": ("high", 500), "repeat_pm": ("high", 150),
+FENCES = {"symbols_pm": ("high", 300), "dup_lines_pm": ("high", 500), "repeat_pm": ("high", 250),
           "word_len_c": ("both", 300)}
 FENCE_SPREAD = 3
 
