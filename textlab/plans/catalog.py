@@ -35,6 +35,7 @@ LEMMAS = [("was", "be"), ("is", "be"), ("are", "be"), ("were", "be"), ("has", "h
           ("les", "le"), ("la", "le"), ("die", "der"), ("das", "der")]
 STOPWORD_TOP = 50
 TREE_TERMS = S.MAX_FEATURES
+TREE_LEVELS = 3
 PREVIEW_ROWS = 10
 LIMIT_ROWS = 100
 TRAIN_PERCENT = 80
@@ -582,6 +583,14 @@ def q_tree_nodes(spark, sf):
     return _tree(spark, sf)
 
 
+def q_tree_levels(spark, sf):
+    """M2 with a depth limit, every level split by distributed jobs (no node is finished inside a task)."""
+    from textlab.operators import tree as TR
+    from textlab.sources.scratch import materialize
+    rows, nz = tree_inputs(spark, sf)
+    return TR.build_tree(rows, materialize(nz, "tree-nz"), max_depth=TREE_LEVELS, local_cells=0)
+
+
 def q_tree_rules_text(spark, sf):
     """M5: the tree as indented rule lines."""
     from textlab.operators import tree as TR
@@ -689,6 +698,7 @@ QUERIES = {
     "confusion_matrix": q_confusion_matrix, "classification_report": q_classification_report,
     "accuracy": q_accuracy,
     "gain_ratio_root": q_gain_ratio_root, "gain_ratio_best": q_gain_ratio_best, "tree_nodes": q_tree_nodes,
+    "tree_levels": q_tree_levels,
     "tree_rules_text": q_tree_rules_text, "tree_edges": q_tree_edges,
     "tree_model_report": q_tree_model_report,
     "stream_sentiment_counts": q_stream_sentiment_counts, "stream_label_posts": q_stream_label_posts,

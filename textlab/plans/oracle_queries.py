@@ -137,6 +137,52 @@ g AS (SELECT term, sum(nb / tot.n * h) AS we, -sum(nb / tot.n * log2(nb / tot.n)
 gr AS (SELECT term, hroot.h - we AS info_gain, si AS split_info,
               CASE WHEN si > 0 THEN (hroot.h - we) / si ELSE 0.0 END AS gain_ratio, n_values FROM g, hroot)"""
 
+
+
+def _tree_level(k: int, last: bool) -> str:
+    """CTEs of one tree level: rows a{k} (id, label, path) -> best{k} (path, feature) and, unless last, a{k+1}."""
+    head = f""",
+cnt{k} AS MATERIALIZED (SELECT path, label, count(*) AS n FROM a{k} GROUP BY ALL),
+node{k} AS MATERIALIZED (SELECT path, sum(n) AS n, count(*) AS labels, arg_max(label, (n, -label_no)) AS majority,
+                                log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h
+                         FROM (SELECT *, dense_rank() OVER (ORDER BY label) AS label_no FROM cnt{k}) GROUP BY path)"""
+    if last:
+        return head
+    return head + f""",
+c{k} AS MATERIALIZED (SELECT a.path, z.term, z.tf AS v, a.label, count(*) AS c FROM a{k} a JOIN node{k} o ON a.path = o.path AND o.labels > 1
+         JOIN nz z ON a.id = z.id GROUP BY ALL),
+zs{k} AS (SELECT path, term, label, sum(c) AS s FROM c{k} GROUP BY ALL),
+zero{k} AS (SELECT t.path, t.term, 0 AS v, n.label, n.n - coalesce(z.s, 0) AS c FROM (SELECT DISTINCT path, term FROM c{k}) t
+            JOIN cnt{k} n ON n.path = t.path LEFT JOIN zs{k} z ON z.path = t.path AND z.term = t.term AND z.label = n.label),
+br{k} AS (SELECT path, term, v, label, c FROM c{k} UNION ALL SELECT path, term, v, label, c FROM zero{k} WHERE c > 0),
+hb{k} AS (SELECT path, term, v, sum(c) AS nb, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS hb FROM br{k} GROUP BY ALL),
+g{k} AS (SELECT b.path, b.term, any_value(o.h) - sum(b.nb / o.n * b.hb) AS ig, -sum(b.nb / o.n * log2(b.nb / o.n)) AS si
+         FROM hb{k} b JOIN node{k} o ON b.path = o.path GROUP BY ALL),
+gr{k} AS (SELECT path, term, round(CASE WHEN si > 0 THEN ig / si ELSE 0.0 END, 12) AS gr FROM g{k}),
+best{k} AS MATERIALIZED (SELECT path, term FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY gr DESC, term) AS r FROM gr{k})
+                         WHERE r = 1 AND abs(gr) >= 1e-12),
+a{k + 1} AS MATERIALIZED (
+  SELECT a.id, a.label, a.path || '/' || CASE WHEN coalesce(z.tf, 0) < 100000 THEN lpad(CAST(coalesce(z.tf, 0) AS VARCHAR), 6, '0')
+                                              ELSE CAST(z.tf AS VARCHAR) END AS path
+  FROM a{k} a JOIN best{k} b ON a.path = b.path LEFT JOIN nz z ON z.id = a.id AND z.term = b.term)"""
+
+
+def _tree_sql(depth: int) -> str:
+    """M2 with a depth limit: the levels written out one after the other, then the node table of all of them."""
+    levels = "".join(_tree_level(k, k == depth) for k in range(depth + 1))
+    parts = []
+    for k in range(depth + 1):
+        feature = "b.term" if k < depth else "CAST(NULL AS VARCHAR)"
+        join = f"LEFT JOIN best{k} b ON b.path = o.path" if k < depth else ""
+        parts.append(f"""SELECT o.path AS node_id, CASE WHEN o.path <> '' THEN regexp_extract(o.path, '^(.*)/[^/]*$', 1) END AS parent_id,
+  CASE WHEN o.path <> '' THEN CAST(CAST(regexp_extract(o.path, '([^/]*)$', 1) AS BIGINT) AS VARCHAR) END AS split_value,
+  {k} AS depth, {feature} AS feature, CASE WHEN {feature} IS NULL THEN o.majority END AS class, o.majority,
+  CAST(o.n AS BIGINT) AS n, {feature} IS NULL AS is_leaf FROM node{k} o {join}""")
+    matrix = GAIN_ROOT.split("\ncnt AS")[0].replace("\nnz AS (", "\nnz AS MATERIALIZED (")
+    return ("WITH " + LABELED_CTE + SPLIT + matrix + "\na0 AS MATERIALIZED (SELECT id, label, '' AS path FROM lab)" + levels
+            + "\n" + "\nUNION ALL\n".join(parts))
+
+
 SQL = {
     # clean
     "clean_text": f"""SELECT 'documents' AS kind, doc_id AS id, {clean_sql('text')} AS preprocessed_text FROM documents
@@ -397,6 +443,7 @@ SQL = {
     "gain_ratio_root": "WITH " + LABELED_CTE + SPLIT + GAIN_ROOT + """
         SELECT term, round(info_gain, 9) AS info_gain, round(split_info, 9) AS split_info,
                round(gain_ratio, 9) AS gain_ratio, n_values FROM gr""",
+    "tree_levels": _tree_sql(C.TREE_LEVELS),
     "gain_ratio_best": "WITH " + LABELED_CTE + SPLIT + GAIN_ROOT + """
         SELECT term, round(gain_ratio, 9) AS gain_ratio FROM gr ORDER BY round(gain_ratio, 12) DESC, term LIMIT 1""",
     "accuracy": "WITH " + BASE_CTE + PRED + """
