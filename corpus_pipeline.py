@@ -8,31 +8,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textlab.llm import mixing, packing, quality, secret_scan, simhash
+from textlab.session import ensure_checkpoint_dir, ship_package
 from textlab.sources.scratch import scratch_path
 
 
+def ready(spark: SparkSession) -> None:
+    """A stage may be called by itself: its workers need the package, its scratch tables the shared folder."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their group's adaptive thresholds keep; the others go."""
+    ready(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: 4-word shingles, links at 4 or fewer differing bits, the smallest doc_id stays."""
+    ready(spark)
     return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in a text replaced by a mark."""
+    ready(spark)
     return secret_scan.without_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, a source's last one cut to the words that are still wanted."""
+    ready(spark)
     return mixing.mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's pieces with their sequence and place in it. Rows of a document taken twice are packed as two."""
+    ready(spark)
     return packing.pack(docs)
 
 
@@ -50,6 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
+    ready(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
