@@ -103,6 +103,17 @@ def test_a_passage_goes_from_later_documents(spark):
         assert r.text == "".join(source[s.start:s.end] for s in r.kept_spans)
 
 
+SHORT = [(1, "All rights in this are reserved.\nlorem ipsum\nWe print the same notice here."),
+         (2, "Own words open this text.\nAll rights in this are reserved.\nlorem ipsum\nWe print the same notice here."),
+         (3, "All rights in this are reserved.\n7411 Ann\nWe print the same notice here.\nlorem ipsum")]
+
+
+def test_every_repeated_unit_goes(spark):
+    docs = spark.createDataFrame(SHORT[:2] + [(3, "One more own line here.\nWe print the same notice here.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == {
+        1: SHORT[0][1], 2: "Own words open this text.\n", 3: "One more own line here.\n"}
+
+
 def test_awkward_lines(awkward, empty):
     got = line_dedup.repeated_spans(awkward).collect()
     assert {r.doc_id for r in got} == {2} and len(got) == 1          # the long text's copy; "word word ..." has one unit

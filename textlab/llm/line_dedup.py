@@ -23,7 +23,7 @@ from textlab.llm.common import as_text, fresh
 from textlab.sources.scratch import materialize
 
 MIN_UNIT_WORDS = 4
-MIN_SPAN_WORDS = 30
+MIN_SPAN_WORDS = 30     # an option: MIN_UNIT_WORDS takes every repeated unit
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n")
 
 
@@ -113,8 +113,8 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> tuple[str | None, lis
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_unit: int = MIN_UNIT_WORDS,
-                    min_span: int = MIN_SPAN_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``, repeats cut from ``text``, and ``kept_spans``: original offsets of what stays.
+                    min_span: int = MIN_UNIT_WORDS) -> DataFrame:
+    """All rows and columns of ``docs``, every repeated unit cut from ``text``, and ``kept_spans``: original offsets of what stays.
 
     Spans are joined to their document by id and a digest of its text; rows equal in both share one cut: the rows after
     the first lose all that repeats, and the first keeps it, so such rows are told apart by their rank.
