@@ -114,6 +114,22 @@ def test_every_repeated_unit_goes(spark):
         1: SHORT[0][1], 2: "Own words open this text.\n", 3: "One more own line here.\n"}
 
 
+def test_short_lines_go_only_if_they_repeat(spark):
+    docs = spark.createDataFrame(SHORT, "doc_id long, text string")
+    rows = line_dedup.repeated_spans(docs, min_span=4, compare_short=True).collect()
+    assert sorted((r.doc_id, dict(SHORT)[r.doc_id][r.start:r.end], r.n_words, r.first_doc_id) for r in rows) == [
+        (2, SHORT[0][1], 14, 1), (3, "All rights in this are reserved.", 6, 1), (3, "We print the same notice here.", 6, 1)]
+    kept = {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}
+    assert kept == {1: SHORT[0][1], 2: "Own words open this text.\n", 3: "7411 Ann\nlorem ipsum"}
+
+
+def test_scripts_without_spaces_have_units(spark):
+    text = "这是一个重复的句子。另外一个很长的句子在这里！好。\nこれは繰り返される文章です。"
+    assert [text[a:b] for a, b, *_ in line_dedup.units(text)] == ["这是一个重复的句子。", "另外一个很长的句子在这里！", "これは繰り返される文章です。"]
+    docs = spark.createDataFrame([(1, text), (2, "这里是自己的内容在前面。" + text)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == {1: text, 2: "这里是自己的内容在前面。"}
+
+
 def test_awkward_lines(awkward, empty):
     got = line_dedup.repeated_spans(awkward).collect()
     assert {r.doc_id for r in got} == {2} and len(got) == 1          # the long text's copy; "word word ..." has one unit

@@ -3,7 +3,8 @@
 Units are the sentences of every line, short ones put together with the next. Normalised units (A-Z and
 other letters lower-cased, white space as one space) are digested to 128 bits and grouped over the whole corpus. The
 occurrence that ranks first (by document, then place) is kept, later ones are marked; marked units that follow each
-other are joined into spans, and spans of enough words are repeats. Offsets are those of the original text.
+other are joined into spans, and spans of enough words are repeats. What is shorter than a unit at a line's end is
+digested too: a span goes over it only where it repeats as well. Offsets are those of the original text.
 """
 
 from __future__ import annotations
@@ -24,29 +25,40 @@ from textlab.sources.scratch import materialize
 
 MIN_UNIT_WORDS = 4
 MIN_SPAN_WORDS = 30     # an option: MIN_UNIT_WORDS takes every repeated unit
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n")
+DENSE_WORD = 2          # characters that count as a word in scripts without spaces
+_BREAK = re.compile(r"(?<=[.!?])\s+|\n|(?<=[。！？｡])(?![。！？｡」』”’）])")
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def units(text: str, least: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, 128-bit digest) of the units of ``text``, in order.
+def pieces(text: str, least: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, 128-bit digest) of the units of ``text`` and of what is too short for one, in order.
 
     A sentence of fewer than ``least`` words is put together with the ones after it in its line until they have as many;
-    what is still shorter at a line's end is passed over.
+    what is still shorter at a line's end is a piece of its own, with fewer than ``least`` words. Chinese, Japanese, Thai
+    and the like have a word in every DENSE_WORD characters.
     """
-    out, at = [], 0
+    out, at, dense = [], 0, _DENSE.search(text) is not None
     for m in [*_BREAK.finditer(text), None]:
         end = m.start() if m else len(text)
         words = text[at:end].lower().split()
-        if len(words) >= least:
-            out.append((at, end, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-        elif m and "\n" not in m[0]:
+        size = max(len(words), sum(len(_DENSE.findall(w)) for w in words) // DENSE_WORD) if dense else len(words)
+        if size < least and m and "\n" not in m[0]:
             continue
+        if words:
+            out.append((at, end, size, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
         at = m.end() if m else end
     return out
 
 
-def unit_table(docs: DataFrame, doc_id: str, text: str, least: int = MIN_UNIT_WORDS) -> DataFrame:
-    """(doc_id, task, row, unit, start, end, words, d1, d2) of every unit; (task, row) names a row of ``docs``."""
+def units(text: str, least: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, bytes]]:
+    """The :func:`pieces` of ``text`` that have ``least`` words."""
+    return [p for p in pieces(text, least) if p[2] >= least]
+
+
+def unit_table(docs: DataFrame, doc_id: str, text: str, least: int = MIN_UNIT_WORDS, short: bool = False) -> DataFrame:
+    """(doc_id, task, row, unit, start, end, words, d1, d2) of every unit, with ``short`` of every piece; (task, row) names
+    a row of ``docs``."""
+    split = pieces if short else units
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +66,7 @@ def unit_table(docs: DataFrame, doc_id: str, text: str, least: int = MIN_UNIT_WO
         for batch in batches:
             at, place, found = [], [], []
             for k, body in enumerate(as_text(batch.column(1))):
-                own = units(body, least)
+                own = split(body, least)
                 at += [k] * len(own)
                 place += range(len(own))
                 found += own
@@ -72,14 +84,15 @@ def unit_table(docs: DataFrame, doc_id: str, text: str, least: int = MIN_UNIT_WO
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_unit: int = MIN_UNIT_WORDS,
-                   min_span: int = MIN_SPAN_WORDS) -> DataFrame:
+                   min_span: int = MIN_SPAN_WORDS, compare_short: bool = False) -> DataFrame:
     """One row per span to remove: doc_id, task, row, start, end (code points, end exclusive), n_words, first_doc_id.
 
     first_doc_id is the document that keeps the span's first unit. Documents rank by id (nulls last), rows with equal
-    ids by their place in the input, units by their place in the text. Null and empty texts have no units; repeats inside
-    one document count too; an empty table gives no spans; other columns are not read.
+    ids by their place in the input, units by their place in the text. With ``compare_short`` a span goes over text that is
+    too short for a unit only if that repeats too, else the span ends before it; without, over all of it. Null and empty
+    texts have no units; repeats inside one document count too; an empty table gives no spans; other columns are not read.
     """
-    table = materialize(unit_table(docs, doc_id, text, min_unit), "line-units")
+    table = materialize(unit_table(docs, doc_id, text, min_unit, compare_short), "line-units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "task", "row", "unit")
     # count and minimum are partial aggregates, so a line that very many documents share shrinks before the shuffle
     groups = materialize(table.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first"))
@@ -89,10 +102,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              .select("doc_id", "task", "row", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id")))
     of_row = Window.partitionBy("task", "row").orderBy("unit")
     runs = later.withColumn("run", F.col("unit") - F.row_number().over(of_row))
-    return (runs.groupBy("task", "row", "run")
-            .agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-                 F.sum("words").alias("n_words"), F.min_by("first_doc_id", "unit").alias("first_doc_id"))
-            .filter(F.col("n_words") >= min_span)
+    whole = F.col("words") >= min_unit                      # a span begins and ends with a unit
+    short = F.collect_list(F.when(~whole, F.struct("unit", "words")))
+    found = (runs.groupBy("task", "row", "run")
+             .agg(F.first("doc_id").alias("doc_id"), F.min(F.when(whole, F.col("start"))).alias("start"),
+                  F.max(F.when(whole, F.col("end"))).alias("end"), F.sum(F.when(whole, F.col("words"))).alias("n_words"),
+                  F.min_by("first_doc_id", F.when(whole, F.col("unit"))).alias("first_doc_id"), short.alias("short"),
+                  F.min(F.when(whole, F.col("unit"))).alias("a"), F.max(F.when(whole, F.col("unit"))).alias("b"))
+             .filter("start is not null"))
+    between = F.aggregate(F.filter("short", lambda x: x["unit"].between(F.col("a"), F.col("b"))), F.lit(0).cast("long"),
+                          lambda n, x: n + x["words"])
+    return (found.withColumn("n_words", F.col("n_words") + between).filter(F.col("n_words") >= min_span)
             .select("doc_id", "task", "row", "start", "end", "n_words", "first_doc_id"))
 
 
@@ -125,7 +145,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = materialize(numbered, "line-rows")
     ids = base.select(F.struct(F.col(doc_id).alias("i"), F.col(key).alias("k"), F.col(nth).alias("n")).alias("id"),
                       F.col(text).alias("text"))
-    spans = repeated_spans(ids, "id", "text", min_unit, min_span)
+    spans = repeated_spans(ids, "id", "text", min_unit, min_span, compare_short=True)
     per_row = spans.groupBy(F.col("doc_id").alias(made)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
 
     @arrow_udf("struct<text:string,kept:array<struct<start:int,end:int>>>")
