@@ -88,3 +88,15 @@ def test_ranks_count_from_zero_without_gaps(spark, documents, n):
     for idx in {r.idx for r in rows}:
         own = sorted((r.slot, r.rank) for r in rows if r.idx == idx)
         assert [r for _, r in own] == list(range(len(own)))
+
+
+def test_small_sources_reach_their_target_in_a_large_corpus(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)                    # blocks of total / 64 words without a bound
+    few = spark.createDataFrame([(10**6 + k, "some few words here now", "en", s, 23) for k, s in enumerate("zzy")], documents.schema)
+    docs = documents.unionByName(few)
+    check(docs, mixing.mix(docs).collect(), 1)
+
+
+def test_blocks_do_not_grow_with_the_corpus(spark):
+    sized = spark.createDataFrame([("a", 5 * 10**9), ("b", 1000)], "source string, size long")
+    assert {r.block for r in mixing.source_plan(sized).collect()} == {mixing.MOST_BLOCK}

@@ -3,7 +3,8 @@
 A source's documents are shuffled by a hash of their ids and laid end to end; the stream is cut into blocks of
 equal numbers of words. Slot i of the schedule goes to the source whose part of [0, 1) holds the golden-ratio
 point frac(i / phi), so every prefix of the schedule is close to the wanted shares; the r-th slot of a source
-takes its r-th block, beginning again after the last one. Ranks and positions come from counts per small key
+takes its r-th block, beginning again after the last one. A source that its slots leave short of its target gets the
+missing ones after the others, and its last slot is cut, so that it takes its target's words at any size. Ranks and positions come from counts per small key
 range plus a rank within the range, so no source, however large, is ordered in one task.
 """
 
@@ -21,8 +22,9 @@ TOTAL_SHARE = 1.5
 MOST_PASSES = 2
 
 GOLDEN = 0.6180339887498949     # 1 / phi
-SLOTS = 1 << 20                 # slots of the schedule; blocks have total / SLOTS words
+SLOTS = 1 << 20                 # slots of the schedule while blocks of total / SLOTS words are within these two:
 LEAST_BLOCK = 8                 # words; a small corpus has fewer slots
+MOST_BLOCK = 32                 # words; a large corpus has more slots
 CELLS = 4096                    # equal parts of [0, 1) by which points find their source
 RANGE_ROWS = 1024               # rows or slots ranked together
 
@@ -34,7 +36,8 @@ def n_words(text: Column) -> Column:
 
 def source_plan(sized: DataFrame) -> DataFrame:
     """One row per source: source, idx (1.. by code point, null last), source_size, target, and the schedule's
-    part [lo, hi), words per block, slots, and number of blocks.
+    part [lo, hi), words per block, slots, number of blocks, and what reaches the target: whole passes over the source,
+    words of one more pass, and slots.
 
     Sources whose target reaches twice their size are those with the least size per weight: in that order a source
     is full if all before it are and the rest, shared by weight, would exceed it.
@@ -62,16 +65,23 @@ def source_plan(sized: DataFrame) -> DataFrame:
     p = p.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("idx")), F.lit(0.0)))
     p = p.withColumn("hi", F.when(F.row_number().over(Window.orderBy(F.col("idx").desc())) == 1, F.lit(2.0))
                      .otherwise(F.col("hi")))
-    p = p.withColumn("block", F.greatest(F.ceil(F.col("total") / SLOTS), F.lit(LEAST_BLOCK)).cast("long"))
+    p = p.withColumn("block", F.least(F.greatest(F.ceil(F.col("total") / SLOTS), F.lit(LEAST_BLOCK)),
+                                        F.lit(MOST_BLOCK)).cast("long"))
     p = p.withColumn("slots", F.ceil(F.col("total") / F.col("block")).cast("long"))
     p = p.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    return p.select("source", "idx", "source_size", "target", "lo", "hi", "block", "slots", "blocks")
+    wanted, size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+    p = p.withColumn("passes", F.floor(wanted / size).cast("long"))
+    p = p.withColumn("words_over", wanted - F.col("passes") * F.col("source_size"))
+    p = p.withColumn("needed", F.col("passes") * F.col("blocks") + F.ceil(F.col("words_over") / F.col("block")))
+    return p.select("source", "idx", "source_size", "target", "lo", "hi", "block", "slots", "blocks",
+                    "passes", "words_over", "needed")
 
 
 def schedule(plan: DataFrame) -> DataFrame:
-    """The slots in order: slot (from 0), idx, rank (from 0 within the source), block_no (of the source's stream), pass_no.
+    """The slots in order: slot (from 0), idx, rank (from 0 within the source), block_no (of the source's stream), pass_no,
+    upto (word of the stream before which the slot ends).
 
-    Ranks beyond twice the source's blocks, which rounding may give at a full source, take no block and are left out.
+    Ranks that a source does not need for its target take no block and are left out; missing ones follow at the end.
     """
     spark = plan.sparkSession
     head = plan.agg(F.max("slots").alias("n")).first()              # one number
@@ -79,21 +89,30 @@ def schedule(plan: DataFrame) -> DataFrame:
     slots = slots.withColumn("u", (F.col("slot") + 1).cast("double") * GOLDEN)
     slots = slots.withColumn("u", F.col("u") - F.floor("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS).cast("long"))
-    parts = (plan.filter("hi > lo").select("idx", "lo", "hi", "blocks", F.explode(F.sequence(
+    parts = (plan.filter("hi > lo").select("idx", "lo", "hi", F.explode(F.sequence(
         F.floor(F.col("lo") * CELLS).cast("long"),
         F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)).cast("long"))).alias("at")))
     dealt = (slots.join(parts, (slots["cell"] == parts["at"]) & (slots["u"] >= parts["lo"]) & (slots["u"] < parts["hi"]))
-             .select("slot", "idx", "blocks", F.floor(F.col("slot") / RANGE_ROWS).alias("span")))
+             .select("slot", "idx", F.floor(F.col("slot") / RANGE_ROWS).alias("span")))
     dealt = materialize(dealt, "mix-slots")
-    counts = dealt.groupBy("idx", "span").agg(F.count("*").alias("n"))
+    counts = materialize(dealt.groupBy("idx", "span").agg(F.count("*").alias("n")), "mix-counts")
     upto = Window.partitionBy("idx").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("idx", "span", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     inner = Window.partitionBy("idx", "span").orderBy("slot")
     ranked = (dealt.withColumn("in", F.row_number().over(inner) - 1).join(base, ["idx", "span"])
-              .withColumn("rank", F.col("base") + F.col("in")))
-    return (ranked.filter(F.col("rank") < F.col("blocks") * MOST_PASSES)
-            .select("slot", "idx", "rank", F.pmod("rank", "blocks").alias("block_no"),
-                    F.floor(F.col("rank") / F.col("blocks")).alias("pass_no")))
+              .select("slot", "idx", (F.col("base") + F.col("in")).alias("rank")))
+    have = counts.groupBy("idx").agg(F.sum("n").alias("have"))
+    short = (plan.select("idx", "needed").join(have, "idx", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+             .filter("needed > have").select("idx", "have", F.explode(F.expr("sequence(have, needed - 1)")).alias("rank")))
+    short = short.crossJoin(F.broadcast(plan.agg(F.max("idx").alias("of")))).select(
+        (F.lit(head["n"] or 0) + (F.col("rank") - F.col("have")) * F.col("of") + F.col("idx")).alias("slot"), "idx", "rank")
+    every = ranked.unionByName(short).join(
+        plan.select("idx", "source_size", "block", "blocks", "passes", "words_over", "needed"), "idx").filter("rank < needed")
+    every = (every.withColumn("block_no", F.pmod("rank", "blocks"))
+             .withColumn("pass_no", F.floor(F.col("rank") / F.col("blocks"))))
+    end = F.when(F.col("pass_no") < F.col("passes"), F.col("source_size")).otherwise(F.col("words_over"))
+    return every.select("slot", "idx", "rank", "block_no", "pass_no",
+                        F.least((F.col("block_no") + 1) * F.col("block"), end).alias("upto"))
 
 
 def _placed(rows: DataFrame, plan: DataFrame, buckets: int, keep: list[str]) -> DataFrame:
@@ -122,12 +141,12 @@ def _sized(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> D
 
 def _taken(placed: DataFrame, slots: DataFrame) -> DataFrame:
     """(idx, start, taken): words that the schedule takes of the document at ``start``."""
-    uses = slots.groupBy("idx", "block_no").agg(F.count("*").alias("uses"))
+    uses = slots.groupBy("idx", "block_no", "upto").agg(F.count("*").alias("uses"))
     last = F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
     cut = placed.select("idx", "start", "size", "block", F.explode(F.sequence(
         F.floor(F.col("start") / F.col("block")), last)).alias("block_no"))
-    words = (F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * F.col("block"))
-             - F.greatest(F.col("start"), F.col("block_no") * F.col("block")))
+    words = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("upto"))
+                       - F.greatest(F.col("start"), F.col("block_no") * F.col("block")))
     return (cut.join(uses, ["idx", "block_no"]).groupBy("idx", "start")
             .agg(F.sum(words * F.col("uses")).cast("long").alias("taken")))
 
@@ -137,7 +156,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     Null text has no words and is taken 0 times; the null source is a source of its own, last in order; ids may repeat
     or be null, rows equal in id and text stay separate rows; an empty table gives an empty result; other columns are
-    not read. A source's taken words differ from its target by a few blocks at most.
+    not read. A source's taken words are its target, rounded.
     """
     sized = materialize(_sized(docs, doc_id, text, source, seed), "mix-sized")
     plan = materialize(source_plan(sized), "mix-plan")
