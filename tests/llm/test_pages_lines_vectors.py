@@ -26,6 +26,29 @@ def test_article_without_its_surroundings():
     assert html_text.main_text(PAGE) == "Title & more\nFirst para with link text here.\nSecond para line.\nitem one\nitem two"
 
 
+BODY = "".join(f"<p>Paragraph {k} of the story has a number of plain words in it, and an end.</p>" for k in range(6))
+SIDE = "<div class='sidebar'><p>Other things to read, with words enough.</p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='content-sidebar-wrap'><article>{BODY}</article>{SIDE}</div>", f"<div class='has-sidebar'><article>{BODY}</article></div>{SIDE}",
+    f"<div class='no-sidebar'>{BODY}</div>", f"<article class='post category-social tag-popular'>{BODY}</article>{SIDE}",
+    f"<form id='aspnetForm'><div>{BODY}</div></form>", f"<form><main>{BODY}</main>{SIDE}</form>", f"<div class='widget'><main>{BODY}</main></div>"])
+def test_names_and_forms_around_the_article_keep_it(page):
+    got = html_text.main_text(f"<html><body>{page}<footer><p>Copyright</p></footer></body></html>")
+    assert got == "\n".join(re.findall("<p>(.*?)</p>", BODY))
+
+
+def test_sections_and_headings_of_an_article_stay():
+    page = (f"<article>{BODY}<h2 id='related-work'>Related work</h2><p>Others did this before us, as told here.</p><h2 id='social-impact'>Social "
+            "impact</h2><p>It has some, as we have seen.</p><section id='discussion'><h2>Discussion</h2><p>We discuss the results in this part.</p>"
+            "</section><section id='comments'><p>I think this is a long comment by a reader.</p></section><div class='related-posts'>"
+            "<p>More that you may like to read.</p></div></article>")
+    got = html_text.main_text(page)
+    assert all(x in got for x in ("Related work", "Others did", "Social impact", "It has some", "Discussion", "We discuss"))
+    assert "by a reader" not in got and "may like" not in got
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<a '", "</div></p>", "<!--", "<script>x", "&#0;&bogus;", "<div>" * 3000, "<p>a<p>" * 50])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)

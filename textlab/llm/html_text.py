@@ -34,18 +34,28 @@ _CONTAINERS = frozenset("html body div section article main aside nav ul ol dl t
 _ENDS_P = BLOCK - {"html", "body", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend",
                    "summary", "button"}
 
-BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset search".split())
-BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+BAD_TAGS = frozenset("nav footer aside menu dialog button search".split())
+FORM_TAGS = frozenset("form fieldset".split())
+BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 BAD_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted
     cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup
     login paywall sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar
     comment comments commentlist disqus reply replies respond discussion feedback related recommended recommendations trending popular
     share sharing social widget widgets pagination pager search skip copyright outbrain taboola teaser""".split())
 GOOD_NAMES = frozenset("article articlebody content main post entry story body text prose".split())
+#: First words of names that tell about a page, not what the part is: has-sidebar, category-social.
+ABOUT = frozenset("has no not is with without hide show category cat tag type format status".split())
+#: Words that are headings of an article's own sections as well.
+SLUGS = frozenset("""discussion feedback related recommended recommendations popular trending social search notice notices notification
+    alert consent promotion promotions advertising advertisement copyright navigation menu login subscription cookies""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # costs, in units of log odds times 100
 OUTSIDE, INSIDE, NAMED, BAD, LINKS = -350, 300, 120, -3000, -500
 TAG_COST = {"p": 100, "blockquote": 80, "pre": 80, "h1": 150, "h2": 80, "h3": 60, "h4": 40, "figcaption": 20, "li": -20, "td": -40, "th": -60}
+NAME, COMPOUND, FORM, WEAK = -1200, -700, -1200, -200      # of a name, of one with other words too, of a form, of a doubtful mark
+CLEARS = 0.3            # an article with this share of the page's characters ends what it inherits
+MOST = 0.8              # a marked container with this share of them is the page; with half of them, it is doubtful
 NEAR = 240              # weight of an edge between blocks in one container; it falls with distance in the DOM
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*)>|<[!?/][^>]*>""", re.S)
@@ -54,37 +64,60 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _name_cost(value: str, tag: str, slug: bool) -> int:
+    """Cost of the names in a class or id; ``slug``: an id of a section inside an article."""
+    least = 0
+    for name in value.split():
+        words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+        bad = [w in BAD_NAMES for w in words]
+        if not any(bad) or words[0] in ABOUT and not all(bad):
+            continue
+        if len(words) > 2 and not bad[0] and not bad[-1] and any(w in GOOD_NAMES for w in words):
+            continue                                            # content-sidebar-wrap holds both
+        if tag in HEADINGS or slug and all(w in SLUGS for w, x in zip(words, bad) if x):
+            least = min(least, WEAK)
+        else:
+            least = min(least, NAME if all(bad) else COMPOUND)
+    return least
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "bad", "good", "named", "skip", "heading")
+    __slots__ = ("tag", "parent", "depth", "good", "named", "skip", "own", "heart", "up", "size", "hearts", "holds", "bad")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.bad = parent.bad if parent else False
         self.good = parent.good if parent else False
         self.named = parent.named if parent else False
         self.skip = bool(parent and parent.skip) or tag in SKIPPED
-        if tag in ("article", "main"):
-            self.good = True
+        self.own, self.heart = 0, tag in ("article", "main")
         if tag in BAD_TAGS or tag == "header" and not self.good:
-            self.bad = True
-        if attrs and not self.bad:
+            self.own = BAD
+        elif tag in FORM_TAGS:
+            self.own = FORM
+        if attrs:
             self._read(attrs)
+        if self.heart:
+            self.good = True
+        # own: the mark's cost; heart: an article or main; up: the nearest node, itself included, that is either
+        self.up = self if self.own or self.heart else parent.up if parent else None
+        self.size, self.hearts, self.holds, self.bad = 0, 0, False, 0
 
     def _read(self, attrs: str) -> None:
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), html.unescape(next((v for v in values if v), ""))
             if name in ("class", "id"):
-                words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-                if words & BAD_NAMES and self.tag not in ("html", "body"):
-                    self.bad = True
-                if words & GOOD_NAMES:
+                if self.tag not in ("html", "body", "main") and not (name == "id" and self.tag in HEADINGS):
+                    self.own = min(self.own, _name_cost(value, self.tag, name == "id" and self.tag == "section" and self.good))
+                if not GOOD_NAMES.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
                     self.named = True
             elif name == "role":
                 if value.lower() in BAD_ROLES:
-                    self.bad = True
+                    self.own = BAD
+                elif value.lower() == "form":
+                    self.own = min(self.own, FORM)
                 elif value.lower() in ("main", "article"):
-                    self.good = True
+                    self.heart = True
             elif name == "itemprop" and value.lower() == "articlebody":
                 self.good = True
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or (
@@ -92,6 +125,53 @@ class _Node:
                 self.skip = True
 
 
+def weigh(found: list[tuple[str, int, _Node]]) -> None:
+    """Set ``bad`` of the nodes that are marked, or an article or main: the cost that their blocks have from marks.
+
+    A mark is inherited until a main, or an article with a good part of the page's text, that has no mark itself. A name or
+    form counts little or not at all around such a one, or around most of the text when no other article is there.
+    """
+    seen: dict[int, _Node] = {}
+    total = 0
+    for text, _, node in found:
+        total += len(text)
+        top = node.up
+        if top is not None:
+            top.size += len(text)
+        while top is not None and id(top) not in seen:
+            seen[id(top)] = top
+            top = top.parent.up if top.parent else None
+    order = sorted(seen.values(), key=lambda n: n.depth)
+    everywhere = sum(n.heart for n in order)
+
+    def clears(n: _Node) -> bool:
+        return n.heart and not n.own and (n.tag == "main" or n.size >= CLEARS * total)
+
+    for n in reversed(order):
+        n.hearts += n.heart
+        n.holds = n.holds or clears(n)
+        box = n.parent.up if n.parent else None
+        if box is not None:
+            box.size += n.size
+            box.hearts += n.hearts
+            box.holds = box.holds or n.holds
+    for n in order:
+        own = n.own
+        if own > BAD and own:
+            inside = n.parent is not None and n.parent.good
+            alone = own != NAME or n.tag in FORM_TAGS or not inside and everywhere == n.hearts
+            if n.size >= MOST * total and alone:
+                own = 0
+            elif n.holds or n.size * 2 >= total and alone:
+                own = max(own, WEAK)
+        box = n.parent.up if n.parent else None
+        n.bad = own if clears(n) or box is None else min(own, box.bad)
+
+
+def _bad(node: _Node) -> int:
+    return node.up.bad if node.up is not None else 0
+
+
 def blocks(page: str) -> list[tuple[str, int, _Node]]:
     """(text, characters inside links, containing node) of the non-empty text blocks of ``page``, in order.
 
@@ -191,8 +271,6 @@ def _block_node(node: _Node) -> _Node:
 
 def cost(text: str, linked: int, node: _Node, has_article: bool) -> int:
     """Log odds (times 100) that a block is content."""
-    if node.bad:
-        return BAD
     words = len(text.split())
     s = -60 + min(200, int(60 * math.log1p(words))) + TAG_COST.get(_block_node(node).tag, -30)
     if node.good:
@@ -201,6 +279,7 @@ def cost(text: str, linked: int, node: _Node, has_article: bool) -> int:
         s += OUTSIDE
     if node.named:
         s += NAMED
+    s += _bad(node)
     if linked:
         s += int(LINKS * min(1.0, linked / max(1, sum(map(len, text.split())))))
     if text[-1] in ".!?…\"”»" and words > 4:
@@ -317,7 +396,8 @@ def main_text(page: str) -> str:
     found = blocks(page)
     if not found:
         return ""
-    has_article = any(node.good and not node.bad for _, _, node in found)
+    weigh(found)
+    has_article = any(node.good and _bad(node) >= WEAK for _, _, node in found)
     score = [cost(text, linked, node, has_article) for text, linked, node in found]
     keep = minimum_cut(score, edges([_block_node(node) for _, _, node in found]))
     return "\n".join(text for (text, _, _), yes in zip(found, keep) if yes)
