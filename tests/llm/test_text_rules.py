@@ -123,6 +123,20 @@ def test_entropy_spans_and_allow_list():
     assert base == every and secret_scan.redact(f"x token = {key} y") == "x [SECRET] y"
 
 
+def test_a_placeholder_excuses_its_own_part_only():
+    key = "Zk39LmP2vRt8KwYb3NcD5hJq"
+    for text in (f"sample_key={key}", f"/examples/deploy/{key}", f"resample-job_{key}", f"exampleKey={key}", f"{key}/sample2"):
+        at = text.index(key)
+        assert any(a <= at and at + len(key) <= b for a, _, b in secret_scan.entropy_spans(text)), text
+        assert key not in secret_scan.redact(text)
+    rng = random.Random(4)
+    blob = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWYZabcdefghjkmnpqrstuvwyz23456789") for _ in range(4000))
+    spans = secret_scan.entropy_spans(blob[:2000] + "xXxx" + blob[2000:])
+    assert spans[0][0] < 40 and spans[-1][2] > 3960 and sum(b - a for a, _, b in spans) > 3800
+    for clean in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "key=EXAMPLEq7Zx9LmP2vRt8KwYb3", "xxxx-xxxx-xxxx-1234-xxxx"):
+        assert secret_scan.entropy_spans(clean) == [], clean
+
+
 def test_scan_query_rows(spark, documents, awkward, empty):
     for r, t in zip(secret_scan.find_secrets(documents).orderBy("doc_id").collect(), documents.orderBy("doc_id").collect()):
         want = plain_base(t.text)

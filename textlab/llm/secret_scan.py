@@ -29,8 +29,9 @@ BASE_KINDS = ("assign", "access", "hex")
 #: class -> (its characters, window, least bits per character in the window)
 CLASSES = {"entropy_hex": (re.compile(r"[0-9A-Fa-f]{20,}"), 20, 3.0),
            "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.8)}
-#: Allow-list for whole candidates: placeholders.
-ALLOWED_WHOLE = re.compile(r"(?i:example|sample|placeholder|changeme|xxxx|dummy)")
+#: Allow-list for the part of a candidate that holds one of these, see :func:`excused`.
+PLACEHOLDER = re.compile(r"(?i:example|sample|placeholder|changeme|xxxx|dummy)")
+MOST_EXCUSED = 40                            # characters
 #: Allow-list for windows: one that any of these finds is not reported.
 ALLOWED = [re.compile(p) for p in (
     r"^[^0-9]*$",                            # no digit: words, identifiers, paths
@@ -42,6 +43,8 @@ ALLOWED = [re.compile(p) for p in (
 )]
 KINDS = (*BASE_KINDS, *CLASSES)
 _ANY_LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_TOKEN, _SEGMENT = re.compile(r"[^=]+"), re.compile(r"[A-Za-z0-9]+")
+_WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)+[0-9]{0,3}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,19 +74,44 @@ def high_entropy(chars: str, window: int, least: float) -> list[int]:
     return out
 
 
+def excused(run: str, window: int) -> bytearray | None:
+    """1 at the starts of the windows of ``run`` that a placeholder excuses, None if there is no placeholder.
+
+    A placeholder excuses its segment between ``+ / _ = -``, and, when the segment is not plain words (as in a key with EXAMPLE
+    inside), its whole token between ``=``. Both up to MOST_EXCUSED characters: in a longer segment only the windows that
+    hold the placeholder, in a longer token only the segment.
+    """
+    if not PLACEHOLDER.search(run):
+        return None
+    off = bytearray(len(run))
+    for token in _TOKEN.finditer(run):
+        for part in _SEGMENT.finditer(run, token.start(), token.end()):
+            if part.end() - part.start() > MOST_EXCUSED:
+                for m in PLACEHOLDER.finditer(run, part.start(), part.end()):
+                    for i in range(max(0, m.end() - window), m.start() + 1):
+                        off[i] = 1
+            elif PLACEHOLDER.search(part[0]):
+                whole = token.end() - token.start() <= MOST_EXCUSED and not _WORDS.fullmatch(part[0])
+                a, b = token.span() if whole else part.span()
+                for i in range(max(0, a - window + 1), b):
+                    off[i] = 1
+    return off
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end): joined runs of high-entropy windows, allow-listed windows left out."""
     out = []
     for long in _ANY_LONG.finditer(text):
-        if ALLOWED_WHOLE.search(long[0]) or not any(c.isdigit() for c in long[0]):   # no window without a digit counts
+        if not any(c.isdigit() for c in long[0]):   # no window without a digit counts
             continue
         for number, (pattern, window, least) in enumerate(CLASSES.values(), len(BASE_KINDS)):
+            off = excused(long[0], window)
             for m in pattern.finditer(text, long.start(), long.end()):
                 run: list[int] = []
                 for i in high_entropy(m[0], window, least):
-                    if any(a.search(m[0][i:i + window]) for a in ALLOWED):
-                        continue
                     at = m.start() + i
+                    if off and off[at - long.start()] or any(a.search(m[0][i:i + window]) for a in ALLOWED):
+                        continue
                     if run and at <= run[1]:
                         run[1] = at + window
                     else:
