@@ -147,7 +147,8 @@ def _taken(placed: DataFrame, slots: DataFrame) -> DataFrame:
         F.floor(F.col("start") / F.col("block")), last)).alias("block_no"))
     words = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("upto"))
                        - F.greatest(F.col("start"), F.col("block_no") * F.col("block")))
-    return (cut.join(uses, ["idx", "block_no"]).groupBy("idx", "start")
+    # the slots grow with the input, but as files they are so small that Spark would broadcast them
+    return (cut.join(uses.hint("merge"), ["idx", "block_no"]).groupBy("idx", "start")
             .agg(F.sum(words * F.col("uses")).cast("long").alias("taken")))
 
 
