@@ -16,17 +16,20 @@ COLUMNS = {
     "op4_": "doc_id size source_size target taken", "op5_": "doc_id start n_tokens ids_crc32", "op6_": "doc_id fingerprint component_id",
     "op7_": "page_id url text n_chars", "op8_": "doc_id piece start length ids_crc32 sequence_id offset", "op9_": "doc_id start end first_doc_id",
     "op10_": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op11_": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12_": "doc_id held_out lang_pred score",
+    "op13_": "vec_id component n deviation whitened explained identity_error",
 }
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_queries_and_the_pipeline_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(n.split("_")[0] + "_" for n in names) == sorted([*COLUMNS, "pipeline_"])
 
 
 def test_queries_return_the_contract_columns(spark):
     for name, query in entry.queries().items():
-        if name.startswith(("op2_", "op3_", "op6_", "op7_", "op8_", "op9_")):
+        if name.startswith(("op2_", "op3_", "op6_", "op7_", "op8_", "op9_", "op11_", "op12_", "op13_")):
             assert set(COLUMNS[name.split("_")[0] + "_"].split()) <= set(query(spark, SF).columns)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import ann, html_text, line_dedup, lm, mixing, packing, quality, secret_scan, simhash, token_files
+from textlab.llm import (ann, html_text, language_id, line_dedup, lm, mixing, packing, periodic_runs, quality, secret_scan,
+                         simhash, token_files, whitening)
 from textlab.llm.common import read_table
 from textlab.llm.oracle_queries import ORACLE_SQL  # noqa: F401 - read by the driver's entry
 from textlab.sources.scratch import scratch_path
@@ -67,6 +68,27 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, one in ten with a planted periodic tail: count, longest, digests of runs and of what is kept."""
+    docs = read_table(spark, sf_dir, "documents")
+    text = periodic_runs.with_planted_runs(F.col("doc_id"), F.col("text"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs.select("doc_id", text.alias("text"))))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three documents in four, with the spans of mixed texts."""
+    return language_id.predict(read_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on up to 16 whitened components of the exact scatter."""
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    each = found.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c"))
+    return each.select("vec_id", (F.col("k") + 1).cast("int").alias("component"), "n",
+                       F.expr("try_cast(deviation AS long)").alias("deviation"), F.col("c.whitened").alias("whitened"),
+                       F.col("c.explained").alias("explained"), "identity_error")
+
+
 QUERIES = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_secret_scan": op2_secret_scan,
@@ -78,4 +100,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_language_id": op12_language_id,
+    "op13_whitening": op13_whitening,
 }
