@@ -38,9 +38,9 @@ def plain_verdicts(rows: list, min_group: int) -> list[bool]:
     data = [(r, plain_stats(r.text or ""), sum(bool(WORD.search(x)) for x in (r.text or "").split("\n"))) for r in rows]
     data = [(r, s, ms(s, n) if s[0] else None) for r, s, n in data]
 
-    def quart(group, m, q):
+    def quart(group, m, percent):
         v = sorted(plain_bucket(x[m]) for x in group)
-        return v[max(0, math.ceil(q * len(v)) - 1)]
+        return v[max(0, -(-percent * len(v) // 100) - 1)]
 
     out = []
     for r, s, own in data:
@@ -53,10 +53,9 @@ def plain_verdicts(rows: list, min_group: int) -> list[bool]:
         if len(group) < min_group:
             group = [x for _, _, x in data if x]
         ok = True
-        for m, (side, least) in quality.FENCES.items():
-            q1, q3 = quart(group, m, 0.25), quart(group, m, 0.75)
-            far = max(3 * (q3 - q1), least)
-            ok &= own[m] <= q3 + far and (side == "high" or own[m] >= q1 - far)
+        for m, (side, level) in quality.FENCES.items():
+            far = max(4 * (quart(group, m, 75) - quart(group, m, 25)), 32)
+            ok &= own[m] <= quart(group, m, level) + far and (side == "high" or own[m] >= quart(group, m, 100 - level) - far)
         out.append(ok)
     return out
 
@@ -77,6 +76,18 @@ def test_verdicts_equal_brute_force(spark, documents, min_group):
     assert sorted(r.doc_id for r in quality.keep_good(documents, min_group=min_group).collect()) == sorted(d for d, k in want.items() if k)
 
 
+def test_a_group_decides_by_its_own_spread(spark):
+    """Two sources with other habits: the same text is usual in one and stands out in the other."""
+    def text(k: int, long: int) -> str:
+        return " ".join(f"w{k}x{i}" + "y" * long for i in range(40))
+
+    rows = [(k, text(k, k % 3), "en", "short", 0) for k in range(100)] + [(k, text(k, 8 + k % 9), "en", "long", 0) for k in range(100, 200)]
+    rows += [(200, text(200, 11), "en", "short", 0), (201, text(200, 11), "en", "long", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, min_group=50).collect()}
+    assert not kept[200] and kept[201] and sum(kept.values()) == 201
+
+
 def test_quality_of_awkward_rows(spark, awkward, empty):
     got = quality.judge(awkward).collect()
     assert len(got) == awkward.count() and all(r.kept is not None for r in got)

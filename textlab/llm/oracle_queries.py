@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# The thresholds' parameters (200 documents, 3 interquartile ranges, least distances) stand here as plain numbers.
+# The thresholds' parameters (200 documents, levels, 4 interquartile ranges, 32 at least) stand here as plain numbers.
 QUALITY = r"""
 WITH words AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
@@ -29,24 +29,31 @@ WITH words AS (
   UNION ALL SELECT rid, lang, source, 'word_len_c', word_chars * 100 // n_words FROM stats WHERE n_words > 0
 ), low AS (
   SELECT *, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END AS low FROM cells
-), own AS (
-  SELECT lang, source, metric, count(*) AS n, quantile_disc(low, 0.25) AS q1, quantile_disc(low, 0.75) AS q3 FROM low GROUP BY ALL
-), by_lang AS (
-  SELECT lang, metric, count(*) AS n, quantile_disc(low, 0.25) AS q1, quantile_disc(low, 0.75) AS q3 FROM low GROUP BY ALL
-), of_all AS (
-  SELECT metric, quantile_disc(low, 0.25) AS q1, quantile_disc(low, 0.75) AS q3 FROM low GROUP BY ALL
+), levels AS (
+  SELECT * FROM (VALUES ('symbols_pm', 90), ('dup_lines_pm', 99), ('repeat_pm', 99), ('word_len_c', 75)) AS t(metric, level)
+), grouped AS (
+  SELECT 1 AS kind, lang, source, metric, low, count(*) AS c FROM low GROUP BY ALL
+  UNION ALL SELECT 2, lang, NULL, metric, low, count(*) FROM low GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, metric, low, count(*) FROM low GROUP BY ALL
+), run AS (
+  SELECT *, sum(c) OVER (PARTITION BY kind, lang, source, metric ORDER BY low) AS upto,
+         sum(c) OVER (PARTITION BY kind, lang, source, metric) AS n FROM grouped
+), marks AS (
+  SELECT kind, lang, source, r.metric, max(n) AS n, min(low) FILTER (upto * 100 >= n * 25) AS q1,
+         min(low) FILTER (upto * 100 >= n * 75) AS q3, min(low) FILTER (upto * 100 >= n * (100 - level)) AS lo,
+         min(low) FILTER (upto * 100 >= n * level) AS hi
+  FROM run r JOIN levels l ON r.metric = l.metric GROUP BY kind, lang, source, r.metric
 ), used AS (
-  SELECT o.lang, o.source, o.metric,
-         CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE a.q3 END AS q3
-  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN of_all a ON o.metric = a.metric
+  SELECT o.lang, o.source, o.metric, CASE WHEN o.n >= 200 THEN o ELSE CASE WHEN l.n >= 200 THEN l ELSE a END END AS m
+  FROM (SELECT * FROM marks WHERE kind = 1) o
+  JOIN (SELECT * FROM marks WHERE kind = 2) l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric
+  JOIN (SELECT * FROM marks WHERE kind = 3) a ON o.metric = a.metric
 ), limits AS (
-  SELECT *, greatest(3 * (q3 - q1), CASE metric WHEN 'symbols_pm' THEN 300 WHEN 'dup_lines_pm' THEN 500
-                                                WHEN 'repeat_pm' THEN 250 ELSE 300 END) AS far FROM used
+  SELECT lang, source, metric, m.lo AS lo, m.hi AS hi, greatest(4 * (m.q3 - m.q1), 32) AS far FROM used
 ), bad AS (
   SELECT DISTINCT c.rid FROM cells c JOIN limits m
     ON c.lang IS NOT DISTINCT FROM m.lang AND c.source IS NOT DISTINCT FROM m.source AND c.metric = m.metric
-  WHERE c.v > m.q3 + m.far OR (c.metric = 'word_len_c' AND c.v < m.q1 - m.far)
+  WHERE c.v > m.hi + m.far OR (c.metric = 'word_len_c' AND c.v < m.lo - m.far)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,

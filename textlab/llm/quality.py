@@ -27,11 +27,14 @@ MAX_REPEAT_PERCENT = 30
 
 #: A group's own sketch counts from so many documents; below, its language's, then that of all documents.
 MIN_GROUP = 200
-#: metric -> (side, least distance from the upper or lower quartile), distances being 3 interquartile ranges at least.
-#: The metrics are whole numbers: per mille of words or lines, and hundredths of characters per word.
-FENCES = {"symbols_pm": ("high", 300), "dup_lines_pm": ("high", 500), "repeat_pm": ("high", 250),
-          "word_len_c": ("both", 300)}
-FENCE_SPREAD = 3
+#: metric -> (side, per cent). A text fails beyond its group's quantile at that level by more than FENCE_SPREAD
+#: interquartile ranges of the group. Where more than three quarters of all texts have 0 the level is above them: nine in
+#: ten have no symbols, while a few repeated lines or words are found in good texts too. The metrics are whole numbers: per
+#: mille of words or lines, and hundredths of characters per word.
+FENCES = {"symbols_pm": ("high", 90), "dup_lines_pm": ("high", 99), "repeat_pm": ("high", 99), "word_len_c": ("both", 75)}
+FENCE_SPREAD = 4
+#: Least distance of a limit from its quantile: the width of the sketch's exact range.
+LEAST = 32
 
 STATS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_lines:long>"
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -108,35 +111,43 @@ def sketch(rows: DataFrame, lang: str, source: str, stat: str) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, n, q1, q3) from sketches, merged over the columns that are not ``keys``."""
-    merged = sketches.groupBy(*keys, "metric", "low").agg(F.sum("n").alias("n"))
+    """(keys, metric, n, q1, q3, low, high) from sketches, merged over the columns that are not ``keys``.
+
+    ``high`` is the quantile at the metric's level, ``low`` the one as far from the other end.
+    """
+    merged = sketches.groupBy(*keys, "metric", F.col("low").alias("cell")).agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")                # at most 32 + 16 x 59 buckets
-    run = merged.withColumn("upto", F.sum("n").over(w.orderBy("low"))).withColumn("all", F.sum("n").over(w))
+    run = merged.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
+    level = F.lit(50)
+    for m, (_, percent) in FENCES.items():
+        level = F.when(F.col("metric") == m, F.lit(percent)).otherwise(level)
 
-    def at(share: float) -> Column:
-        return F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("low")))
+    def at(percent: Column) -> Column:
+        return F.min(F.when(F.col("upto") * 100 >= F.col("all") * percent, F.col("cell")))
 
-    return run.groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return run.groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(F.lit(25)).alias("q1"), at(F.lit(75)).alias("q3"),
+                                            at(100 - level).alias("low"), at(level).alias("high"))
 
 
 def thresholds(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per (lang, source): ``high_<metric>`` and ``low_<metric>`` limits, values beyond which a text fails."""
+    marks = ("q1", "q3", "low", "high")
     own = quantiles(sketches, ["lang", "source"])
-    by_lang = quantiles(sketches, ["lang"]).select(F.col("lang").alias("l2"), F.col("metric").alias("m2"),
-                                                   F.col("n").alias("n2"), F.col("q1").alias("q1_2"), F.col("q3").alias("q3_2"))
-    of_all = quantiles(sketches, []).select(F.col("metric").alias("m3"), F.col("q1").alias("q1_3"), F.col("q3").alias("q3_3"))
+    by_lang = quantiles(sketches, ["lang"]).select(F.col("lang").alias("l2"), F.col("metric").alias("m2"), F.col("n").alias("n2"),
+                                                   *[F.col(q).alias(f"{q}_2") for q in marks])
+    of_all = quantiles(sketches, []).select(F.col("metric").alias("m3"), *[F.col(q).alias(f"{q}_3") for q in marks])
     j = (own.join(by_lang, same(own["lang"], F.col("l2")) & (own["metric"] == F.col("m2")))
          .join(of_all, own["metric"] == F.col("m3")))
-    for q in ("q1", "q3"):
+    for q in marks:
         j = j.withColumn(f"use_{q}", F.when(F.col("n") >= min_group, F.col(q))
                          .when(F.col("n2") >= min_group, F.col(f"{q}_2")).otherwise(F.col(f"{q}_3")))
+    far = F.greatest(F.lit(FENCE_SPREAD) * (F.col("use_q3") - F.col("use_q1")), F.lit(LEAST))
     out = []
-    for m, (side, least) in FENCES.items():
-        far = F.greatest(F.lit(FENCE_SPREAD) * (F.col("use_q3") - F.col("use_q1")), F.lit(least))
+    for m, (side, _) in FENCES.items():
         here = F.col("metric") == m
-        out.append(F.max(F.when(here, F.col("use_q3") + far)).alias(f"high_{m}"))
+        out.append(F.max(F.when(here, F.col("use_high") + far)).alias(f"high_{m}"))
         if side == "both":
-            out.append(F.max(F.when(here, F.col("use_q1") - far)).alias(f"low_{m}"))
+            out.append(F.max(F.when(here, F.col("use_low") - far)).alias(f"low_{m}"))
     return j.groupBy("lang", "source").agg(*out)
 
 
