@@ -192,10 +192,11 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
               min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns.
 
-    Text statistics are computed for the sketches and again for the verdict: nothing is joined by id, so
-    repeated or null ids are safe, and no text is written in between.
+    Rows are written once with their text statistics: the sketches and the verdict read those, so no text is
+    scanned twice. Nothing is joined by id: repeated or null ids are safe. Null or empty text has no words and goes;
+    null languages and sources are groups of their own; very long texts are judged whole; an empty table stays empty.
     """
     stat, kept = fresh(docs, "_stats", "_kept")
-    rows = docs.withColumn(stat, text_stats(F.col(text)))
+    rows = materialize(docs.withColumn(stat, text_stats(F.col(text))), "quality-rows")
     limits = materialize(thresholds(sketch(rows, lang, source, stat), min_group), "quality-limits")
     return verdict(rows, limits, lang, source, stat, kept).filter(F.col(kept)).select(*docs.columns)
