@@ -263,20 +263,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     """Rows of ``docs``, one of each near-duplicate group: the one with the smallest id (nulls last).
 
     Of rows with equal ids in a group one stays, chosen by a hash of its text; of wholly equal rows one
-    stays. All columns are kept; an empty table stays empty.
+    stays. All columns are kept; null or empty texts have fingerprint 0; an empty table stays empty. Rows are
+    written once with their fingerprint and a number of their own, by which the keepers are picked: each text is
+    read for its fingerprint once and shuffled once.
     """
-    print_, code, first, best, tie = fresh(docs, "_print", "_code", "_first", "_best", "_tie")
-    rows = fingerprints(docs, shingle, text, print_)
+    print_, row, code, first = fresh(docs, "_print", "_row", "_code", "_first")
+    rows = materialize(fingerprints(docs, shingle, text, print_).withColumn(row, F.monotonically_increasing_id()), "keep-rows")
     groups = materialize(rows.select(F.col(print_).alias(code), F.struct(
-        F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).alias("r"))
+        F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
+        F.col(row).alias("row")).alias("r"))
         .groupBy(code).agg(F.min("r").alias(first)), "keep-first")
     linked = materialize(link_fingerprints(groups.select(F.col(code).alias("code")), max_bits), "keep-linked")
-    rooted = materialize(groups.join(linked, groups[code] == linked["node"], "left")
-                         .select(code, first, F.coalesce("root", code).alias("root")), "keep-rooted")
-    # a group keeps the fingerprint that holds its smallest row: every other fingerprint goes as a whole
-    kept = materialize(rooted.groupBy("root").agg(F.min(F.struct(first, code)).alias("w"))
-                       .select(F.col(f"w.{code}").alias(code), F.col(f"w.{first}").alias(best)), "keep-best")
-    mine = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"),
-                    F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    out = rows.join(kept, rows[print_] == kept[code]).filter(mine.eqNullSafe(F.col(best)))
-    return out.dropDuplicates([print_]).select(*docs.columns)
+    rooted = (groups.join(linked, groups[code] == linked["node"], "left")
+              .select(first, F.coalesce("root", code).alias("root")))
+    kept = materialize(rooted.groupBy("root").agg(F.min(first).alias(first)).select(F.col(f"{first}.row").alias(row)), "keep-rows-kept")
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)      # the keepers grow with the input
