@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.llm.common import as_text
-from textlab.llm.tokens import encoder, public_path
+from textlab.llm.tokens import encoding, public_path
 from textlab.sources.scratch import materialize
 
 CAPACITY = 1024
@@ -121,29 +121,30 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(path).encode, TaskContext.get().partitionId(), {}
-        for batch in batches:
-            at, cols, ids = [], [[] for _ in range(5)], []
-            for k, body in enumerate(as_text(batch.column(1))):
-                data = encode(body) + end
-                n = len(data) // 4
-                start, size = 0, (n - 1) % capacity + 1
-                for piece in range((n - 1) // capacity + 1):
-                    part = data[4 * start:4 * (start + size)]
-                    nth = seen.get(size, 0)
-                    seen[size] = nth + 1
-                    at.append(k)
-                    for col, v in zip(cols, (piece, start, size, zlib.crc32(part), nth)):
-                        col.append(v)
-                    if with_ids:
-                        ids.append(part)
-                    start, size = start + size, capacity
-            arrays = [batch.column(0).take(pa.array(at, pa.int64()))] + [
-                pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.int64()] * 4))]
-            arrays.insert(5, pa.array([task] * len(at), pa.int32()))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
-            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.binary())] if with_ids else []),
-                                             names=names + ["ids"] * with_ids)
+        task, seen = TaskContext.get().partitionId(), {}
+        with encoding(path) as one:
+            for batch in batches:
+                at, cols, ids = [], [[] for _ in range(5)], []
+                for k, body in enumerate(as_text(batch.column(1))):
+                    data = one.encode(body) + end
+                    n = len(data) // 4
+                    start, size = 0, (n - 1) % capacity + 1
+                    for piece in range((n - 1) // capacity + 1):
+                        part = data[4 * start:4 * (start + size)]
+                        nth = seen.get(size, 0)
+                        seen[size] = nth + 1
+                        at.append(k)
+                        for col, v in zip(cols, (piece, start, size, zlib.crc32(part), nth)):
+                            col.append(v)
+                        if with_ids:
+                            ids.append(part)
+                        start, size = start + size, capacity
+                arrays = [batch.column(0).take(pa.array(at, pa.int64()))] + [
+                    pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.int64()] * 4))]
+                arrays.insert(5, pa.array([task] * len(at), pa.int32()))
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
+                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.binary())] if with_ids else []),
+                                                 names=names + ["ids"] * with_ids)
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, nth long"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(

@@ -6,18 +6,21 @@ one by one gives the ids of the whole text. Where that is not certain the whole
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 
 #: Chunks, and words without marks, whose ids a worker remembers (some 100 MB each). A full memory forgets its later half:
-#: what is frequent was met early.
+#: what is frequent was met early. Between tasks it holds fewer: the next one may be of a stage that wants the memory.
 CACHE_CHUNKS = 600_000
+IDLE_CHUNKS = 100_000
 
 
 def _forget(known: dict, keep: int) -> None:
@@ -129,6 +132,11 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip(cut, cut[1:])]
 
+    def trim(self, keep: int) -> None:
+        """Forgets all but the ``keep`` chunks and words that were met first: what a worker holds between tasks."""
+        _forget(self.cache, keep)
+        _forget(self.parts, keep)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -154,6 +162,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@contextlib.contextmanager
+def encoding(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for the time of a task; afterwards it keeps only what was met first."""
+    one = encoder(path)
+    try:
+        yield one
+    finally:
+        one.trim(IDLE_CHUNKS)
+
+
 def public_path(name: str) -> str:
     """Place of a public tokenizer file on this machine."""
     import public_tokenizers
