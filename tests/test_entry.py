@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from textlab.sources.tables import TABLES
 
-ROWS_ONLY = {"tree_nodes", "tree_rules_text", "tree_edges", "tree_model_report", "stem_text"}
+ROWS_ONLY = {"threshold_tree_nodes", "tree_nodes", "tree_rules_text", "tree_edges", "tree_model_report", "stem_text"}
 # every query with oracle SQL is compared at sf0.001 (the driver compares them again at sf0.01)
 SAMPLE = sorted(E.oracle_sql())
 

@@ -603,6 +603,43 @@ def q_tree_edges(spark, sf):
     return TR.tree_edges(_tree(spark, sf))
 
 
+def _threshold_tree(spark, sf, **limits):
+    """The binary tree of the training matrix and the matrix itself: (nodes, rows, nz)."""
+    from textlab.operators import threshold_tree as TT
+    from textlab.sources.scratch import materialize
+    rows, nz = tree_inputs(spark, sf)
+    nz = materialize(nz.withColumnRenamed("tf", "value"), "threshold-nz")
+    return TT.grow(rows, nz, **limits), rows, nz
+
+
+def q_threshold_tree_levels(spark, sf):
+    """M1 with a depth limit, every level split by distributed jobs (no node is finished inside a task)."""
+    return _threshold_tree(spark, sf, max_depth=TREE_LEVELS, local_cells=0)[0]
+
+
+def q_threshold_tree_predict(spark, sf):
+    """Every training row's class and leaf by the depth-limited tree."""
+    from textlab.operators import threshold_tree as TT
+    return TT.predict(*_threshold_tree(spark, sf, max_depth=TREE_LEVELS))
+
+
+def q_threshold_tree_rules(spark, sf):
+    """M5: the depth-limited binary tree as numbered rule lines."""
+    from textlab.operators import threshold_tree as TT
+    return TT.rule_lines(_threshold_tree(spark, sf, max_depth=TREE_LEVELS)[0])
+
+
+def q_threshold_tree_dot(spark, sf):
+    """M6: the depth-limited binary tree as numbered DOT lines."""
+    from textlab.operators import threshold_tree as TT
+    return TT.dot_lines(_threshold_tree(spark, sf, max_depth=TREE_LEVELS)[0])
+
+
+def q_threshold_tree_nodes(spark, sf):
+    """M1 without a depth limit: the whole tree's node table; large nodes split by jobs, small ones finish side by side."""
+    return _threshold_tree(spark, sf, local_cells=50_000)[0]
+
+
 def q_tree_model_report(spark, sf):
     """M8 + A17: train the ML decision tree on 80 % of the labelled rows, report on the other 20 %."""
     from textlab.operators import train as TRN
@@ -699,6 +736,11 @@ QUERIES = {
     "accuracy": q_accuracy,
     "gain_ratio_root": q_gain_ratio_root, "gain_ratio_best": q_gain_ratio_best, "tree_nodes": q_tree_nodes,
     "tree_levels": q_tree_levels,
+    "threshold_tree_levels": q_threshold_tree_levels,
+    "threshold_tree_predict": q_threshold_tree_predict,
+    "threshold_tree_rules": q_threshold_tree_rules,
+    "threshold_tree_dot": q_threshold_tree_dot,
+    "threshold_tree_nodes": q_threshold_tree_nodes,
     "tree_rules_text": q_tree_rules_text, "tree_edges": q_tree_edges,
     "tree_model_report": q_tree_model_report,
     "stream_sentiment_counts": q_stream_sentiment_counts, "stream_label_posts": q_stream_label_posts,

@@ -183,6 +183,61 @@ def _tree_sql(depth: int) -> str:
             + "\n" + "\nUNION ALL\n".join(parts))
 
 
+def _cart_level(k: int, last: bool) -> str:
+    """CTEs of one level of the binary tree: rows b{k} (id, label, path) -> pick{k} (path, term, threshold) and b{k+1}."""
+    head = f""",
+bc{k} AS MATERIALIZED (SELECT path, label, count(*) AS n FROM b{k} GROUP BY ALL),
+bn{k} AS MATERIALIZED (SELECT path, sum(n) AS n, count(*) AS labels, arg_max(label, (n, -label_no)) AS majority
+                       FROM (SELECT *, dense_rank() OVER (ORDER BY label) AS label_no FROM bc{k}) GROUP BY path)"""
+    if last:
+        return head
+    return head + f""",
+bh{k} AS MATERIALIZED (SELECT b.path, z.term, z.tf AS v, b.label, count(*) AS c FROM b{k} b
+         JOIN bn{k} o ON b.path = o.path AND o.labels > 1 AND length(o.path) = {k} JOIN nz z ON b.id = z.id GROUP BY ALL),
+bv{k} AS (SELECT path, term, v, lag(v) OVER (PARTITION BY path, term ORDER BY v) AS below FROM (SELECT DISTINCT path, term, v FROM bh{k})),
+br{k}x AS (SELECT v.path, v.term, v.v, any_value(v.below) AS below, h.label, sum(h.c) AS r FROM bv{k} v
+           JOIN bh{k} h ON h.path = v.path AND h.term = v.term AND h.v >= v.v GROUP BY v.path, v.term, v.v, h.label),
+bs{k} AS (SELECT v.path, v.term, v.v, v.below, c.label, coalesce(r.r, 0) AS r, c.n - coalesce(r.r, 0) AS l FROM bv{k} v
+          JOIN bc{k} c ON c.path = v.path LEFT JOIN br{k}x r ON r.path = v.path AND r.term = v.term AND r.v = v.v AND r.label = c.label),
+bg{k} AS (SELECT path, term, (v + coalesce(any_value(below), 0)) / 2.0 AS threshold, round((
+            sum(l) - sum(l * l) / CAST(sum(l) AS DOUBLE) + sum(r) - sum(r * r) / CAST(sum(r) AS DOUBLE)) / (sum(l) + sum(r)), 12) AS cost
+          FROM bs{k} GROUP BY path, term, v HAVING sum(l) > 0),
+pick{k} AS MATERIALIZED (SELECT path, term, threshold FROM (
+            SELECT *, row_number() OVER (PARTITION BY path ORDER BY cost, term, threshold) AS i FROM bg{k}) WHERE i = 1),
+b{k + 1} AS MATERIALIZED (SELECT b.id, b.label, b.path || CASE WHEN p.path IS NULL THEN '' WHEN coalesce(z.tf, 0) > p.threshold THEN '1' ELSE '0' END AS path
+         FROM b{k} b LEFT JOIN pick{k} p ON b.path = p.path LEFT JOIN nz z ON z.id = b.id AND z.term = p.term)"""
+
+
+def _cart_sql(depth: int, body: str) -> str:
+    """The binary tree to a depth, written out level by level, then ``body`` over ``cart`` and the last level's rows."""
+    levels = "".join(_cart_level(k, k == depth) for k in range(depth + 1))
+    parts = []
+    for k in range(depth + 1):
+        pick = f"LEFT JOIN pick{k} p ON p.path = o.path" if k < depth else "LEFT JOIN (SELECT '' AS path, '' AS term, 0.0 AS threshold WHERE false) p ON true"
+        parts.append(f"""SELECT o.path AS node_id, CASE WHEN o.path <> '' THEN left(o.path, length(o.path) - 1) END AS parent_id, {k} AS depth,
+  p.term AS feature, CAST(p.threshold AS DOUBLE) AS threshold, CASE WHEN p.term IS NULL THEN o.majority END AS class, o.majority,
+  CAST(o.n AS BIGINT) AS n, p.term IS NULL AS is_leaf FROM bn{k} o {pick} WHERE length(o.path) = {k}""")
+    matrix = GAIN_ROOT.split("\ncnt AS")[0].replace("\nnz AS (", "\nnz AS MATERIALIZED (")
+    return ("WITH " + LABELED_CTE + SPLIT + matrix + "\nb0 AS MATERIALIZED (SELECT id, label, '' AS path FROM lab)" + levels
+            + ",\ncart AS MATERIALIZED (" + "\nUNION ALL\n".join(parts) + """),
+numbered AS (SELECT *, row_number() OVER (ORDER BY node_id) - 1 AS number FROM cart)
+""" + body)
+
+
+CART_RULES = """, lines AS (
+SELECT n.number, 0 AS part, repeat('|   ', n.depth - 1) || '|--- ' || u.feature || CASE WHEN n.node_id LIKE '%1' THEN ' > ' ELSE ' <= ' END
+       || printf('%.2f', u.threshold) AS line FROM numbered n JOIN numbered u ON n.parent_id = u.node_id
+UNION ALL SELECT number, 1, repeat('|   ', depth) || '|--- class: ' || class FROM numbered WHERE is_leaf)
+SELECT row_number() OVER (ORDER BY number, part) AS line_no, line FROM lines"""
+
+CART_DOT = """, lines AS (
+SELECT 0 AS part, 0 AS place, 'digraph Tree {' AS line UNION ALL SELECT 3, 0, '}'
+UNION ALL SELECT 1, number, number || ' [label="' || CASE WHEN is_leaf THEN 'class = ' || class ELSE feature || ' <= ' || printf('%.2f', threshold) END
+       || chr(92) || 'nsamples = ' || n || '"] ;' FROM numbered
+UNION ALL SELECT 2, n.number, u.number || ' -> ' || n.number || ' ;' FROM numbered n JOIN numbered u ON n.parent_id = u.node_id)
+SELECT row_number() OVER (ORDER BY part, place) AS line_no, line FROM lines"""
+
+
 SQL = {
     # clean
     "clean_text": f"""SELECT 'documents' AS kind, doc_id AS id, {clean_sql('text')} AS preprocessed_text FROM documents
@@ -444,6 +499,11 @@ SQL = {
         SELECT term, round(info_gain, 9) AS info_gain, round(split_info, 9) AS split_info,
                round(gain_ratio, 9) AS gain_ratio, n_values FROM gr""",
     "tree_levels": _tree_sql(C.TREE_LEVELS),
+    "threshold_tree_levels": _cart_sql(C.TREE_LEVELS, "SELECT * FROM cart"),
+    "threshold_tree_predict": _cart_sql(C.TREE_LEVELS, f"""SELECT b.id, c.class AS predicted, b.path AS node_id
+        FROM b{C.TREE_LEVELS} b JOIN cart c ON b.path = c.node_id"""),
+    "threshold_tree_rules": _cart_sql(C.TREE_LEVELS, CART_RULES),
+    "threshold_tree_dot": _cart_sql(C.TREE_LEVELS, CART_DOT),
     "gain_ratio_best": "WITH " + LABELED_CTE + SPLIT + GAIN_ROOT + """
         SELECT term, round(gain_ratio, 9) AS gain_ratio FROM gr ORDER BY round(gain_ratio, 12) DESC, term LIMIT 1""",
     "accuracy": "WITH " + BASE_CTE + PRED + """
