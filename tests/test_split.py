@@ -76,3 +76,39 @@ def test_split_property(spark):
         assert (train, {r.id for r in got} - train) == brute_split(ids, pct)
 
     check()
+
+
+def test_cut_inside_a_large_prefix_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(SP, "CUT_ROWS", 3)                   # many prefixes are looked at with more digits
+    for step in (1, 4):
+        monkeypatch.setattr(SP, "HEX_STEP", step)
+        got = SP.train_test_split(spark.range(3000).repartition(5), "id", 61).collect()
+        assert {r.id for r in got if r.split_type == "train"} == brute_split(list(range(3000)), 61)[0]
+
+
+def test_split_refuses_other_percentages_and_keeps_equal_ids_together(spark):
+    for bad in (-1, 150, "x"):
+        with pytest.raises(ValueError):
+            SP.train_test_split(spark.range(3), "id", bad)
+    rows = spark.createDataFrame([(k % 10,) for k in range(40)] + [(None,)] * 5, "id long")
+    got = SP.train_test_split(rows, "id", 50).collect()
+    assert len(got) == 45 and all(len({r.split_type for r in got if r.id == k}) == 1 for k in [None, *range(10)])
+
+
+def test_boxplot_by_selection_equals_percentiles(spark, monkeypatch):
+    import numpy as np
+
+    from textlab.operators import stats as ST
+    rnd = np.random.default_rng(7)
+    rows = [("a", float(x)) for x in np.exp(rnd.normal(0, 6, 500))] + [("b", float(x)) for x in rnd.integers(0, 4, 301)]
+    rows += [("c", 5.0), ("d", -1e300), ("d", 1e300), ("e", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "sentiment string, favorite_count double")
+    for parts, few in ((1024, 10_000), (4, 1), (16, 5)):
+        monkeypatch.setattr(ST, "SELECT_PARTS", parts)
+        monkeypatch.setattr(ST, "SELECT_VALUES", few)
+        got = {r.sentiment: r for r in ST.likes_boxplot(df).collect()}
+        assert set(got) == {"a", "b", "c", "d", None}
+        for g in ("a", "b", "c", None):
+            v = [x for h, x in rows if h == g and x is not None]
+            assert [got[g].q1, got[g].median, got[g].q3] == pytest.approx(np.percentile(v, [25, 50, 75]).tolist(), rel=1e-9, abs=1e-6)
+            assert (got[g].n, got[g].min, got[g].max) == (len(v), min(v), max(v))

@@ -1,7 +1,7 @@
 """Vocabulary, term counts and TF-IDF in long form.
 
-Long form ``(id, term, tf)`` keeps the work distributed: the exploded tokens are combined map-side per
-(document, term) before the shuffle, and the vocabulary (at most ``max_features`` rows, a proven bound)
+Long form ``(id, term, tf)`` keeps the work distributed: a document's terms are counted inside its row, corpus
+counts are combined map-side per term before the shuffle, and the vocabulary (at most ``max_features`` rows, a proven bound)
 is broadcast to every task.
 """
 
@@ -15,9 +15,18 @@ from textlab.functions.text import vector_tokens
 
 
 def doc_terms(df: DataFrame, id_col: str = "id", text_col: str = "preprocessed_text") -> DataFrame:
-    """``(id, term, tf)`` for every distinct token of every document."""
-    t = df.select(F.col(id_col).alias("id"), F.explode(vector_tokens(text_col)).alias("term"))
-    return t.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(id, term, tf)`` for every distinct token of every document, one row of ``df`` each.
+
+    Counted inside the row: the sorted tokens' runs of equal ones are the counts, so no token is shuffled.
+    """
+    t = df.select(F.col(id_col).alias("id"), F.array_sort(vector_tokens(text_col)).alias("_s")).filter(F.size("_s") > 0)
+    s = F.col("_s")
+    first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    t = t.select("id", "_s", first.alias("_at"))
+    at = F.col("_at")
+    end = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(s)))
+    runs = F.zip_with(at, end, lambda i, j: F.struct(F.get(s, i).alias("term"), (j - i).cast("long").alias("tf")))
+    return t.select("id", F.explode(runs).alias("_r")).select("id", "_r.term", "_r.tf")
 
 
 def term_stats(terms: DataFrame) -> DataFrame:
@@ -58,10 +67,3 @@ def tfidf(terms_in_vocab: DataFrame, docs: DataFrame, id_col: str = "id", norm:
         nrm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
         w = w.withColumn("w", F.col("w") / nrm)
     return w.select("id", "term", "idx", "tf", F.col("w").alias("tfidf"))
-
-
-def count_vectorizer_model(spark, vocab: DataFrame, input_col: str = "tokens", output_col: str = "features"):
-    """V1 as an ML stage: CountVectorizerModel over the alphabetical vocabulary (``k`` terms, bounded)."""
-    from pyspark.ml.feature import CountVectorizerModel
-    words = [r[0] for r in vocab.orderBy("idx").select("term").collect()]
-    return CountVectorizerModel.from_vocabulary(words, inputCol=input_col, outputCol=output_col)

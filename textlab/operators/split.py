@@ -1,17 +1,20 @@
 """Reproducible train/test split and its summaries (W1, W2, W4, A8-A10, K5 layout).
 
-The split is an exact prefix of a seeded hash order, computed without a global sort in one task:
-rows are bucketed by the leading hex digits of their hash, bucket sizes are summed into offsets on
-the small bucket table, and each bucket is ranked on its own.
+The split is an exact prefix of a seeded hash order, found without sorting or ranking the rows: counts per
+leading hex digits select the cut, and rows are compared with it. Positions in key order (W4) come from buckets
+whose sizes are summed into offsets on the small bucket table, each bucket being ranked on its own.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab import schema as S
 from textlab.operators.stats import pct1
+from textlab.sources.posts import check_percent
 
 
 def seeded_key(id_col: str = "id", seed: int = S.SPLIT_SEED) -> Column:
@@ -54,18 +57,49 @@ def key_order_index(df: DataFrame, key: str, out: str = "row_idx", n_buckets: in
                        out=out).drop("_key_d", "_range")
 
 
+#: Rows that are ordered to find the cut itself, once all rows of other hash prefixes are decided.
+CUT_ROWS = 10_000
+HEX_STEP, HEX_ALL = 4, 32
+
+
+def cut_of(keyed: DataFrame, n_train: int, id_col: str) -> tuple | None:
+    """(key, id) of the ``n_train``-th row in the order (``_key``, id), by radix selection; None for no row.
+
+    Counts per hash prefix (16^4 at most) decide all prefixes but one, which is looked at with four digits more; once
+    few rows share the prefix, or their whole key, the cut is one of a bounded top-k.
+    """
+    prefix, wanted, left = "", n_train, None
+    while n_train > 0:
+        inside = keyed.filter(F.col("_key").startswith(prefix)) if prefix else keyed
+        if (left is not None and left <= CUT_ROWS) or len(prefix) >= HEX_ALL:
+            rows = inside.select("_key", F.col(id_col).alias("_id")).orderBy("_key", "_id").limit(wanted).collect()
+            return rows[-1]["_key"], rows[-1]["_id"]
+        parts = inside.groupBy(F.substring("_key", len(prefix) + 1, HEX_STEP).alias("d")).count().collect()
+        for d, n in sorted((r["d"], r["count"]) for r in parts):
+            if wanted <= n:
+                prefix, left = prefix + d, n
+                break
+            wanted -= n
+    return None
+
+
 def train_test_split(df: DataFrame, id_col: str = "id", train_percent: float = S.DEFAULT_TRAIN_PERCENT,
-                     seed: int = S.SPLIT_SEED, hex_digits: int = 4) -> DataFrame:
+                     seed: int = S.SPLIT_SEED) -> DataFrame:
     """Permute by the seeded key, the first ``floor(n * p / 100)`` rows are train, the rest test.
 
-    Adds ``split_type``. ``hex_digits`` sets 16^k buckets (k=4: 65,536, a ~1 MB broadcast).
+    Adds ``split_type``. The cut is selected (:func:`cut_of`) and every row is compared with it: no row is ranked or
+    moved. Rows of equal ids lie on the same side; rows without an id count as the first of all.
     """
-    key = seeded_key(id_col, seed)
-    x = df.withColumn("_key", key)
-    x = dense_index(x, F.substring("_key", 1, hex_digits), [F.col("_key"), F.col(id_col)])
-    n_train = F.floor(F.col("_n_total") * F.lit(float(train_percent)) / 100.0)
-    return x.withColumn("split_type", F.when(F.col("row_idx") < n_train, "train").otherwise("test")) \
-            .drop("_key", "row_idx", "_n_total")
+    train_percent = check_percent(train_percent)
+    key = F.coalesce(seeded_key(id_col, seed), F.lit("0" * HEX_ALL))
+    keyed = df.select(key.alias("_key"), F.col(id_col))
+    cut = cut_of(keyed, math.floor(keyed.count() * train_percent / 100.0), id_col)
+    if cut is None:
+        return df.withColumn("split_type", F.lit("test"))
+    at, own = cut
+    same_key = F.col(id_col).isNull() if own is None else F.col(id_col).isNull() | (F.col(id_col) <= F.lit(own))
+    first = (key < at) | ((key == at) & same_key)
+    return df.withColumn("split_type", F.when(first, "train").otherwise("test"))
 
 
 def split_preview(df: DataFrame, train_percent: float) -> DataFrame:

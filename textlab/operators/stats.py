@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab import schema as S
+from textlab.sources.scratch import materialize
 
 
 def domain(spark: SparkSession, values: list[str] = S.SENTIMENTS, name: str = "sentiment") -> DataFrame:
@@ -101,21 +102,79 @@ def confidence_histogram(df: DataFrame, col: str = "confidence", bins: int = S.H
                       F.round(lo + F.col("bucket") * width / bins, 6).alias("hi")))
 
 
+#: Parts that an interval is cut into per step of the selection, and distinct values that are ordered at its end.
+SELECT_PARTS, SELECT_VALUES = 1024, 10_000
+
+
+def order_statistics(values: DataFrame, wanted: dict) -> dict:
+    """{(group, rank): value} of 0-based ranks per group, by selection: ``values`` (g, v double, n), n being a value's count.
+
+    Every wanted rank has an interval of values. A step counts the parts of all intervals in one aggregate and keeps the
+    part that holds the rank; a part with few distinct values is ordered (bounded), one with a single value is the answer.
+    """
+    spark, found = values.sparkSession, {}
+    ends = {r["g"]: (r["lo"], r["hi"]) for r in values.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    todo = {(g, k): (*ends[g], k) for g, ranks in wanted.items() for k in ranks}      # interval, rank inside it
+    kind = values.schema["g"].dataType.simpleString()
+    while todo:
+        spans = sorted({(g, lo, hi) for (g, _), (lo, hi, _) in todo.items()}, key=str)
+        table = F.broadcast(spark.createDataFrame(spans, f"sg {kind}, lo double, hi double"))     # groups x ranks rows
+        inside = values.join(table, F.col("g").eqNullSafe(F.col("sg")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * SELECT_PARTS), F.lit(SELECT_PARTS - 1))).otherwise(F.lit(0))
+        counts = (inside.groupBy("sg", "lo", "hi", part.alias("part"))
+                  .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.min("v").alias("a"), F.max("v").alias("b")).collect())
+        cells: dict = {}
+        for r in sorted(counts, key=lambda r: r["part"]):
+            cells.setdefault((r["sg"], r["lo"], r["hi"]), []).append(r)
+        small, rest = {}, {}
+        for (g, k), (lo, hi, rank) in todo.items():
+            for r in cells[(g, lo, hi)]:
+                if rank < r["n"]:
+                    break
+                rank -= r["n"]
+            if r["a"] == r["b"]:
+                found[(g, k)] = r["a"]
+            elif r["d"] <= SELECT_VALUES:
+                small[(g, k)] = (r["a"], r["b"], rank)
+            else:
+                rest[(g, k)] = (r["a"], r["b"], rank)
+        for (g, a, b) in {(g, a, b) for (g, _), (a, b, _) in small.items()}:
+            rows = values.filter(F.col("g").eqNullSafe(F.lit(g)) & F.col("v").between(a, b)).orderBy("v").select("v", "n").collect()
+            for (h, k), (x, y, rank) in small.items():
+                if (h, x, y) == (g, a, b):
+                    for v, n in rows:                        # SELECT_VALUES rows at most
+                        if rank < n:
+                            found[(h, k)] = v
+                            break
+                        rank -= n
+        todo = rest
+    return found
+
+
 def likes_boxplot(df: DataFrame, value: str = "favorite_count", by: str = "sentiment") -> DataFrame:
-    """Five-number summary with 1.5 IQR fences per group (linear-interpolation quartiles).
+    """Five-number summary with 1.5 IQR fences per group (linear-interpolation quartiles), exact by selection.
 
-    ``percentile`` is exact; its buffer holds distinct values per group (bounded for integer likes).
+    Groups are labels: their ranks and intervals are a few numbers each on the driver, values never are.
     """
-    v = F.col(value)
-    g = (df.filter(v.isNotNull()).groupBy(by)
-           .agg(F.count(F.lit(1)).alias("n"), F.min(v).cast("double").alias("min"),
-                F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"),
-                F.percentile(v, 0.75).alias("q3"), F.max(v).cast("double").alias("max")))
-    iqr = F.col("q3") - F.col("q1")
-    return g.select(by, "n", "min", F.round("q1", 6).alias("q1"), F.round("median", 6).alias("median"),
-                    F.round("q3", 6).alias("q3"), "max",
-                    F.round(F.col("q1") - 1.5 * iqr, 6).alias("lower_fence"),
-                    F.round(F.col("q3") + 1.5 * iqr, 6).alias("upper_fence"))
+    spark, kind = df.sparkSession, df.schema[by].dataType.simpleString()
+    values = materialize(df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
+                         .agg(F.count(F.lit(1)).alias("n")), "boxplot-values")
+    groups = values.groupBy("g").agg(F.sum("n").alias("n"), F.min("v").alias("min"), F.max("v").alias("max")).collect()
+    wanted = {r["g"]: sorted({k for q in (1, 2, 3) for k in ((r["n"] - 1) * q // 4, -(-(r["n"] - 1) * q // 4))}) for r in groups}
+    found, rows = order_statistics(values, wanted), []
+    for r in groups:
+        marks = []
+        for q in (1, 2, 3):
+            at = (r["n"] - 1) * q
+            low, high = found[(r["g"], at // 4)], found[(r["g"], -(-at // 4))]
+            marks.append(low + (high - low) * (at % 4) / 4)
+        iqr = marks[2] - marks[0]
+        rows.append((r["g"], r["n"], r["min"], *marks, r["max"], marks[0] - 1.5 * iqr, marks[2] + 1.5 * iqr))
+    out = spark.createDataFrame(rows, f"{by} {kind}, n long, min double, q1 double, median double, q3 double, max double, "
+                                      "lower_fence double, upper_fence double")
+    return out.select(by, "n", "min", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], "max",
+                      *[F.round(c, 6).alias(c) for c in ("lower_fence", "upper_fence")])
 
 
 def distinct_labels(df: DataFrame, col: str = "sentiment") -> DataFrame:

@@ -364,6 +364,11 @@ def q_likes_boxplot(spark, sf):
     return ST.likes_boxplot(labeled(spark, sf))
 
 
+def q_distinct_labels(spark, sf):
+    """The labels that occur."""
+    return ST.distinct_labels(labeled(spark, sf))
+
+
 # ----------------------------------------------------------------------------------- store
 def _view(spark, sf):
     """The view as one join of texts with their scores and one left join with the metadata: three scans."""
@@ -723,7 +728,7 @@ QUERIES = {
     "sentiment_counts": q_sentiment_counts, "dataset_counts": q_dataset_counts, "sentiment_stats": q_sentiment_stats,
     "stats_grouping_sets": q_stats_grouping_sets, "dashboard_stats": q_dashboard_stats,
     "sentiment_distribution": q_sentiment_distribution, "confidence_histogram": q_confidence_histogram,
-    "likes_boxplot": q_likes_boxplot,
+    "likes_boxplot": q_likes_boxplot, "distinct_labels": q_distinct_labels,
     "labeled_view": q_labeled_view, "labeled_limit": q_labeled_limit, "filter_by_sentiment": q_filter_by_sentiment,
     "normalize_texts": q_normalize_texts, "normalize_sentiments": q_normalize_sentiments,
     "normalize_metadata": q_normalize_metadata,

@@ -411,6 +411,7 @@ SQL = {
               FROM labeled WHERE favorite_count IS NOT NULL GROUP BY sentiment)
         SELECT sentiment, n, min, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, max,
                round(q1 - 1.5 * (q3 - q1), 6) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 6) AS upper_fence FROM g""",
+    "distinct_labels": "WITH " + LABELED_CTE + " SELECT DISTINCT sentiment FROM labeled",
     # store
     "labeled_view": "WITH " + BASE_CTE + VIEW + " SELECT * FROM view",
     "labeled_limit": "WITH " + BASE_CTE + VIEW + f" SELECT * FROM view ORDER BY id LIMIT {C.LIMIT_ROWS}",
