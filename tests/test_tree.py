@@ -79,16 +79,29 @@ def got_nodes(df):
                   for r in df.collect())
 
 
-@pytest.mark.parametrize("local_cells", [0, 10**9, 200])
-def test_tree_equals_brute_force(spark, local_cells):
+@pytest.mark.parametrize("local_cells,peel_rows", [(0, 0), (0, 2000), (0, 40), (10**9, 2000), (200, 60)])
+def test_tree_equals_brute_force(spark, local_cells, peel_rows):
     rows = fixture()
     terms = sorted({t for _i, _l, tf in rows for t in tf})
     exp = sorted(brute_tree([(lab, tf) for _i, lab, tf in rows], terms))
     r, nz = to_frames(spark, rows)
-    got = got_nodes(TR.build_tree(r, nz, local_cells=local_cells))
+    got = got_nodes(TR.build_tree(r, nz, local_cells=local_cells, peel_rows=peel_rows))
     assert got == exp
 
 
+@pytest.mark.parametrize("peel_rows", [2000, 12])
+def test_a_long_chain_takes_few_passes(spark, peel_rows, monkeypatch):
+    """Rare pure terms: a chain of some sixty levels; every pass peels as many as its rows allow."""
+    rows = [(i, "abc"[i % 3], {f"t{i:02d}": 1 + i % 2, "z": 1} if i % 2 else {f"t{i:02d}": 1}) for i in range(60)]
+    terms = sorted({t for _i, _l, tf in rows for t in tf})
+    exp = sorted(brute_tree([(lab, tf) for _i, lab, tf in rows], terms))
+    r, nz = to_frames(spark, rows)
+    passes, real = [], TR._peel_pass
+    monkeypatch.setattr(TR, "_peel_pass", lambda *a: passes.append(1) or real(*a))
+    assert got_nodes(TR.build_tree(r, nz, local_cells=0 if peel_rows == 2000 else 60, peel_rows=peel_rows)) == exp
+    assert max(x[3] for x in exp) > 30 and 1 <= len(passes) <= 8
+
+
 @pytest.mark.parametrize("local_cells", [0, 10**9])
 def test_long_values_have_nodes_of_their_own(spark, local_cells):
     rows = [(i, lab, {"a": v}) for i, (lab, v) in enumerate([("x", 1234567), ("y", 1234568), ("x", 12), ("y", 0)]) if v]

@@ -61,10 +61,19 @@ def node_summary(cnt: DataFrame) -> DataFrame:
                                       (_log2(F.col("n")) + F.col("_s") / F.col("n")).alias("h"))
 
 
+def value_counts(assign: DataFrame, nz: DataFrame) -> DataFrame:
+    """``(node, term, v, label, c)`` from the non-zeros of every node's rows."""
+    return (assign.join(nz, "id").groupBy("node", "term", F.col("tf").cast("long").alias("v"), "label")
+            .agg(F.count(F.lit(1)).alias("c")))
+
+
 def gain_ratios(assign: DataFrame, nz: DataFrame, cnt: DataFrame, summ: DataFrame) -> DataFrame:
     """A19 for every (open node, term with a non-zero there): info gain, split info, gain ratio."""
-    x = assign.join(nz, "id")                                   # (id, label, node, term, tf)
-    c = x.groupBy("node", "term", F.col("tf").alias("v"), "label").agg(F.count(F.lit(1)).alias("c"))
+    return ratios_of(value_counts(assign, nz), cnt, summ)
+
+
+def ratios_of(c: DataFrame, cnt: DataFrame, summ: DataFrame) -> DataFrame:
+    """A19 from :func:`value_counts`; ``n_rows`` are the node's rows with the term."""
     nzsum = c.groupBy("node", "term", "label").agg(F.sum("c").alias("s"))
     pairs = c.select("node", "term").distinct()
     zero = (pairs.join(cnt, "node")
@@ -72,18 +81,19 @@ def gain_ratios(assign: DataFrame, nz: DataFrame, cnt: DataFrame, summ: DataFram
                  .select("node", "term", F.lit(0).cast("long").alias("v"), "label",
                          (F.col("c") - F.coalesce(F.col("s"), F.lit(0))).alias("c"))
                  .filter(F.col("c") > 0))
-    br = c.select("node", "term", F.col("v").cast("long").alias("v"), "label", "c").unionByName(zero)
+    br = c.select("node", "term", "v", "label", "c").unionByName(zero)
     hb = br.groupBy("node", "term", "v").agg(F.sum("c").alias("nb"),
                                              F.sum(F.col("c") * _log2(F.col("c"))).alias("_s"))
     hb = hb.withColumn("hb", _log2(F.col("nb")) - F.col("_s") / F.col("nb"))
     g = hb.join(summ.select("node", "n", "h"), "node")
     p = F.col("nb") / F.col("n")
     agg = g.groupBy("node", "term").agg(F.first("h").alias("h"), F.sum(p * F.col("hb")).alias("we"),
-                                        F.sum(-(p * _log2(p))).alias("si"), F.count(F.lit(1)).alias("n_values"))
+                                        F.sum(-(p * _log2(p))).alias("si"), F.count(F.lit(1)).alias("n_values"),
+                                        F.sum(F.when(F.col("v") != 0, F.col("nb")).otherwise(0)).alias("n_rows"))
     ig = F.col("h") - F.col("we")
     gr = F.when(F.col("si") > 0, ig / F.col("si")).otherwise(F.lit(0.0))
     return agg.select("node", "term", ig.alias("info_gain"), F.col("si").alias("split_info"),
-                      gr.alias("gain_ratio"), "n_values")
+                      gr.alias("gain_ratio"), "n_values", "n_rows")
 
 
 def best_split(gr: DataFrame) -> DataFrame:
@@ -113,7 +123,7 @@ def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
 
     head = pdf[pdf["term"].isna()]
     node0 = head["node"].iloc[0]
-    depth0 = int(pdf["depth"].iloc[0])
+    depth0 = int(head["depth"].iloc[0])
     sv0 = head["split_value"].iloc[0]
     rows = head[["id", "label"]].drop_duplicates("id").sort_values("id")
     ids = rows["id"].to_numpy()
@@ -200,8 +210,133 @@ def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
                                       "majority", "n", "is_leaf"])
 
 
+#: Rows of one large node that a task gets to split off in one pass (0: every level is a pass of its own).
+PEEL_ROWS = 2_000
+PEELED = ("kind string, gkey long, id long, node_id string, parent_id string, split_value string, depth int, feature string, "
+          "class string, majority string, n long, is_leaf boolean, parent long, v long")
+
+
+def _path_key(path: str) -> int:
+    import hashlib
+    return int.from_bytes(hashlib.blake2b(path.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _peel(pdf, max_depth: int | None, eps: float = GAIN_EPS):
+    """Several splits of one large node in a row, each time going on with its zero branch.
+
+    ``pdf`` holds, by ``part``: ``count`` rows (term, v, label, c) of the whole node, its class counts (``class`` rows),
+    the candidate terms (``cand``), and the non-zeros of all rows that have one of these (``cell``, labels on them; a row
+    with no other use has its own term at least). Counts of the zero branch are the node's minus those of the rows that
+    leave, so splits are exact while the best term is a candidate. Out: the nodes split (or a leaf at the end), the
+    rows that leave with their branch (``row``), and where the others stay (``rest``).
+    """
+    import numpy as np
+    import pandas as pd
+
+    first = pdf[pdf["part"] == "class"].sort_values("label")
+    classes, cnt = first["label"].to_numpy().astype(str), first["c"].to_numpy(float)
+    path, depth, sv, gkey = first["path"].iloc[0], int(first["depth"].iloc[0]), first["split_value"].iloc[0], int(pdf["node"].iloc[0])
+    k = len(classes)
+    counts = pdf[pdf["part"] == "count"]
+    terms, t = np.unique(counts["term"].to_numpy().astype(str), return_inverse=True)
+    v, y = counts["v"].to_numpy(np.int64), np.searchsorted(classes, counts["label"].to_numpy().astype(str))
+    span = int(v.max()) + 1
+    groups, g = np.unique(t * span + v, return_inverse=True)
+    m = np.zeros((len(groups), k))
+    np.add.at(m, (g, y), counts["c"].to_numpy(float))
+    gt = groups // span
+    usable = np.zeros(len(terms), bool)
+    usable[np.searchsorted(terms, pdf.loc[pdf["part"] == "cand", "term"].to_numpy().astype(str))] = True
+    cells = pdf[pdf["part"] == "cell"]
+    ct = np.searchsorted(terms, cells["term"].to_numpy().astype(str))
+    cv, cid = cells["v"].to_numpy(np.int64), cells["id"].to_numpy(np.int64)
+    cy, cg = np.searchsorted(classes, cells["label"].to_numpy().astype(str)), np.searchsorted(groups, ct * span + cv)
+    here = np.ones(len(cid), bool)
+
+    def xlogx(a):
+        return np.where(a > 0, a * np.log2(np.where(a > 0, a, 1.0)), 0.0)
+
+    out = []
+    parent_id, key, left = _parent_of(path), gkey, None
+    while True:
+        n = cnt.sum()
+        majority = classes[int(np.argmax(cnt))]
+        j, gain = None, 0.0
+        if (cnt > 0).sum() > 1 and (max_depth is None or depth < max_depth):
+            nb, sc = m.sum(axis=1), xlogx(m).sum(axis=1)
+            z = cnt[None, :] - np.stack([np.bincount(gt, weights=m[:, c], minlength=len(terms)) for c in range(k)], axis=1)
+            zn = z.sum(axis=1)
+            a = np.bincount(gt, weights=xlogx(nb) - sc, minlength=len(terms)) + xlogx(zn) - xlogx(z).sum(axis=1)
+            p, pz = nb / n, zn / n
+            si = np.bincount(gt, weights=-xlogx(p), minlength=len(terms)) - xlogx(pz)
+            branches = np.bincount(gt, weights=nb > 0, minlength=len(terms)) + (zn > 0)
+            ratio = np.where(si > 0, (np.log2(n) - xlogx(cnt).sum() / n - a / n) / np.where(si > 0, si, 1.0), 0.0)
+            ratio = np.where(branches >= 2, np.round(ratio, TIE_DECIMALS), -np.inf)
+            if np.isfinite(ratio).any():
+                j, gain = int(np.argmax(ratio)), float(ratio.max())
+        if j is not None and abs(gain) >= eps and not usable[j]:
+            if left is not None or not (equal := usable & (ratio >= gain - 1e-9)).any():
+                break                                          # goes on with other rows beside it
+            j = int(np.flatnonzero(equal)[0])                  # the first split is a candidate, up to rounding
+        if j is None or abs(gain) < eps:
+            out.append(("node", gkey, None, path, parent_id, sv, depth, None, majority, majority, int(n), True, key, None))
+            path = None
+            break
+        out.append(("node", gkey, None, path, parent_id, sv, depth, terms[j], None, majority, int(n), False, key, None))
+        hit = here & (ct == j)
+        for i, b in zip(cid[hit].tolist(), cv[hit].tolist()):
+            out.append(("row", gkey, i, None, None, None, None, None, None, None, None, None, key, b))
+        gone = here & np.isin(cid, cid[hit])
+        np.subtract.at(m, (cg[gone], cy[gone]), 1)
+        np.subtract.at(cnt, cy[hit], 1)
+        here &= ~gone
+        left, parent_id, depth, sv = key, path, depth + 1, "0"
+        if cnt.sum() == 0:
+            path = None
+            break
+        path = f"{path}/{'0' * VALUE_WIDTH}"
+        key = _path_key(path)
+    if path is not None and left is not None:
+        out.append(("rest", gkey, None, None, None, None, None, None, None, None, None, None, left, 0))
+    frame = pd.DataFrame(out, columns=[c.split()[0] for c in PEELED.split(", ")])
+    for c in ("id", "depth", "n", "v"):
+        frame[c] = frame[c].astype("Int64")
+    frame["is_leaf"] = frame["is_leaf"].astype("boolean")
+    return frame
+
+
+def _peel_pass(assign, nz, cnt, summ, counts, found, best, max_depth, peel_rows, step) -> tuple[DataFrame, DataFrame]:
+    """(what :func:`_peel` gives, the nodes it was applied to) for large nodes whose best terms are in few rows."""
+    w = Window.partitionBy("node").orderBy(F.desc(F.round("gain_ratio", TIE_DECIMALS)), F.asc("term"))   # a node's vocabulary
+    cand = (found.withColumn("upto", F.sum("n_rows").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .filter(F.col("upto") <= peel_rows).select("node", "term"))
+    cand = materialize(cand.join(best.select("node"), "node", "left_semi"), f"tree-candidates-{step}")
+    chains = cand.select("node").distinct()
+    own = assign.join(chains, "node", "left_semi").select("node", "id", "label")
+    some = own.join(nz, "id").join(cand, ["node", "term"], "left_semi").select("node", "id", "label").distinct()
+    null = {"part": "string", "path": "string", "split_value": "string", "depth": "int", "term": "string", "v": "long", "label": "string",
+            "c": "long", "id": "long"}
+
+    def part(name: str, df: DataFrame) -> DataFrame:
+        return df.select("node", *[F.lit(name).alias("part") if c == "part" else F.col(c).cast(t) if c in df.columns
+                                   else F.lit(None).cast(t).alias(c) for c, t in null.items()])
+
+    parts = [part("class", cnt.select("node", "label", "c").join(summ.select("node", "path", "depth", "split_value"), "node")
+                  .join(chains, "node", "left_semi")),
+             part("count", counts.join(chains, "node", "left_semi")), part("cand", cand),
+             part("cell", some.join(nz, "id").withColumnRenamed("tf", "v"))]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+
+    def run(pdf):
+        return _peel(pdf, max_depth)
+
+    return materialize(long.groupBy("node").applyInPandas(run, PEELED), f"tree-peeled-{step}"), chains
+
+
 def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, checkpoint: bool = True,
-               local_cells: int = 2_000_000, copartition: bool = True) -> DataFrame:
+               local_cells: int = 2_000_000, copartition: bool = True, peel_rows: int = PEEL_ROWS) -> DataFrame:
     """M2: grow the multiway gain-ratio tree; returns the node table.
 
     ``rows``: ``(id, label)``; ``nz``: ``(id, term, tf)`` with ``tf > 0``.
@@ -212,9 +347,13 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
     count of non-zeros; node paths live only in the per-level node table, so the row payload of
     every shuffle stays the same however deep the tree grows. A node whose sparse size (non-zeros
     plus rows) is at most ``local_cells`` is finished inside one task (``applyInPandas`` per node,
-    a checked bound); larger nodes split as distributed levels. ``local_cells=0`` keeps everything
+    a checked bound); larger nodes split by distributed jobs. ``local_cells=0`` keeps everything
     distributed.
 
+    A large node whose best terms are in few rows is peeled: its counts and the rows (at most ``peel_rows``) that have
+    its best terms go to one task, which splits the node again and again along its zero branch (:func:`_peel`), so a
+    chain of hundreds of levels takes a few passes. Other large nodes split once per pass.
+
     Once a level has to be split by distributed jobs, the non-zeros are hash-partitioned by ``id`` and
     kept (memory, spilling to disk; rebuilt from lineage if an executor is lost), so every later join
     with them shuffles only the rows' side. A tree finished entirely inside tasks never pays for it.
@@ -245,14 +384,15 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
         cnt = label_counts(assign)
         summ = node_summary(cnt)
         if paths is None:
-            summ = summ.withColumn("path", F.lit("")).withColumn("split_value", F.lit(None).cast("string"))
+            summ = summ.withColumns({"path": F.lit(""), "split_value": F.lit(None).cast("string"), "depth": F.lit(0)})
         else:
             summ = (summ.join(paths, "parent")
                         .withColumn("path", F.concat("ppath", F.lit("/"), padded(F.col("v"))))
-                        .withColumn("split_value", F.col("v").cast("string")).drop("ppath"))
+                        .withColumn("split_value", F.col("v").cast("string"))
+                        .withColumn("depth", F.col("pdepth") + 1).drop("ppath", "pdepth"))
         openable = F.col("n_labels") > 1
-        if max_depth is not None and depth >= max_depth:
-            openable = F.lit(False)
+        if max_depth is not None:
+            openable = openable & (F.col("depth") < max_depth)
         small = openable & ((F.col("nnz") + F.col("n")) <= F.lit(local_cells))
         summ = summ.withColumn("mode", F.when(small, "local").when(openable, "dist").otherwise("leaf"))
         if checkpoint:
@@ -262,17 +402,16 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
             raise RuntimeError("two tree nodes share a 64-bit key; grow the tree again with another key seed")
         modes = {r[0]: r[1] for r in stats}
         if modes.get("local"):
-            local_nodes = summ.filter(F.col("mode") == "local").select("node", "path", "split_value")
+            local_nodes = summ.filter(F.col("mode") == "local").select("node", "path", "split_value", "depth")
             ra = assign.join(F.broadcast(local_nodes) if modes["local"] <= 100_000 else local_nodes, "node")
-            base = ra.select("node", "path", "id", "label", "split_value", F.lit(None).cast("string").alias("term"),
+            base = ra.select("node", "path", "depth", "id", "label", "split_value", F.lit(None).cast("string").alias("term"),
                              F.lit(None).cast("long").alias("tf"))
             # path, split value and label travel once per row, not once per non-zero
-            nzs = ra.join(nz, "id").select("node", F.lit(None).cast("string").alias("path"), "id",
+            nzs = ra.join(nz, "id").select("node", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("depth"), "id",
                                            F.lit(None).cast("string").alias("label"),
                                            F.lit(None).cast("string").alias("split_value"), "term",
                                            F.col("tf").cast("long"))
-            long = (base.unionByName(nzs).withColumn("depth", F.lit(depth))
-                        .withColumnRenamed("node", "gkey").withColumnRenamed("path", "node"))
+            long = base.unionByName(nzs).withColumnRenamed("node", "gkey").withColumnRenamed("path", "node")
             md = max_depth
             sub = long.groupBy("gkey").applyInPandas(lambda pdf: _finish_local(pdf, md), NODE_SCHEMA)
             keep(sub, f"local-{depth}")
@@ -281,18 +420,32 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
             n_parts = int(nz.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             nz = nz.repartition(n_parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
             cached = True
+        peeled = None
+        none = summ.limit(0).select("node", F.lit(None).cast("string").alias("feature"))
         if modes.get("dist"):
             dist_nodes = summ.filter(F.col("mode") == "dist").select("node")
-            best = best_split(gain_ratios(assign.join(dist_nodes, "node", "left_semi"), nz, cnt, summ))
+            counts = value_counts(assign.join(dist_nodes, "node", "left_semi"), nz)
+            if checkpoint:
+                counts = materialize(counts, f"tree-counts-{depth}")
+            found = ratios_of(counts, cnt, summ)
+            if checkpoint:
+                found = materialize(found, f"tree-ratios-{depth}")
+            best = best_split(found)
             best = best.filter(F.abs(F.round("gain_ratio", TIE_DECIMALS)) >= GAIN_EPS).select("node", F.col("term").alias("feature"))
+            if checkpoint and peel_rows:
+                peeled, chains = _peel_pass(assign, nz, cnt, summ, counts, found, best, max_depth, peel_rows, depth)
+                best = best.join(chains, "node", "left_anti")
+                keep(peeled.filter("kind = 'node'").select(*[c.split()[0] for c in NODE_SCHEMA.split(", ")]), f"peeled-{depth}")
+                summ = summ.join(chains.withColumn("_chain", F.lit(True)), "node", "left").withColumn(
+                    "mode", F.when(F.col("_chain"), "chain").otherwise(F.col("mode"))).drop("_chain")
         else:
-            best = summ.limit(0).select("node", F.lit(None).cast("string").alias("feature"))
+            best = none
         if modes.get("dist") or modes.get("leaf"):
-            level = (summ.filter(F.col("mode") != "local").join(best, "node", "left")
+            level = (summ.filter(~F.col("mode").isin("local", "chain")).join(best, "node", "left")
                          .select("node", F.col("path").alias("node_id"),
                                  F.when(F.col("path") == "", F.lit(None))
                                   .otherwise(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).alias("parent_id"),
-                                 "split_value", F.lit(depth).alias("depth"), "feature",
+                                 "split_value", "depth", "feature",
                                  F.when(F.col("feature").isNull(), F.col("majority")).alias("class"),
                                  "majority", "n", F.col("feature").isNull().alias("is_leaf")))
             if checkpoint:
@@ -300,15 +453,27 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
             keep(level.drop("node"), f"level-{depth}")
             n_split = level.filter(~F.col("is_leaf")).count()
             if n_split:
-                split_nodes = level.filter(~F.col("is_leaf")).select("node", "feature", "node_id")
-        if split_nodes is None:
+                split_nodes = level.filter(~F.col("is_leaf")).select("node", "feature", "node_id", "depth")
+        moved, above = [], []
+        if split_nodes is not None:
+            moved.append(assign.join(split_nodes.select("node", "feature"), "node")
+                         .join(nz.withColumnRenamed("term", "feature"), ["id", "feature"], "left")
+                         .select("id", "label", "row_nnz", F.col("node").alias("parent"),
+                                 F.coalesce("tf", F.lit(0)).cast("long").alias("v")))
+            above.append(split_nodes.select(F.col("node").alias("parent"), F.col("node_id").alias("ppath"), F.col("depth").alias("pdepth")))
+        if peeled is not None:
+            gone = peeled.filter("kind = 'row'").select("id", F.col("parent").alias("_to"), F.col("v").alias("_v"))
+            rest = peeled.filter("kind = 'rest'").select(F.col("gkey").alias("node"), F.col("parent").alias("_rest"))
+            both = assign.drop("parent", "v").join(gone, "id", "left").join(rest, "node", "left")
+            moved.append(both.filter("_to is not null or _rest is not null").select(
+                "id", "label", "row_nnz", F.coalesce("_to", "_rest").alias("parent"), F.coalesce("_v", F.lit(0)).cast("long").alias("v")))
+            above.append(peeled.filter("kind = 'node' and not is_leaf").select("parent", F.col("node_id").alias("ppath"), F.col("depth").alias("pdepth")))
+        if not moved:
             break
-        nxt = (assign.join(split_nodes.select("node", "feature"), "node")
-                     .join(nz.withColumnRenamed("term", "feature"), ["id", "feature"], "left")
-                     .select("id", "label", "row_nnz", F.col("node").alias("parent"),
-                             F.coalesce("tf", F.lit(0)).cast("long").alias("v")))
+        nxt, paths = moved[0], above[0]
+        for x, y in zip(moved[1:], above[1:]):
+            nxt, paths = nxt.unionByName(x), paths.unionByName(y)
         assign = nxt.withColumn("node", F.xxhash64("parent", "v"))
-        paths = split_nodes.select(F.col("node").alias("parent"), F.col("node_id").alias("ppath"))
         depth += 1
     if checkpoint:
         if cached:                       # every level is a written table: the cached input can go
