@@ -211,7 +211,7 @@ def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
 
 
 #: Rows of one large node that a task gets to split off in one pass (0: every level is a pass of its own).
-PEEL_ROWS = 2_000
+PEEL_ROWS = 20_000
 PEELED = ("kind string, gkey long, id long, node_id string, parent_id string, split_value string, depth int, feature string, "
           "class string, majority string, n long, is_leaf boolean, parent long, v long")
 
