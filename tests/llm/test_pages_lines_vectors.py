@@ -131,6 +131,38 @@ SHORT = [(1, "All rights in this are reserved.\nlorem ipsum\nWe print the same n
          (3, "All rights in this are reserved.\n7411 Ann\nWe print the same notice here.\nlorem ipsum")]
 
 
+def test_whole_lines_go_and_lone_sentences_stay(spark, documents):
+    common = "This sentence stands in many texts."
+    docs = spark.createDataFrame([(1, f"{common} And more of the first.\nA short footer line here. With two sentences in it."),
+                                  (2, f"Own words begin this line. {common} Other words end this line.\n"
+                                      "A short footer line here. With two sentences in it.")], "doc_id long, text string")
+    got = line_dedup.repeated_spans(docs, compare_short=True, lines=True).collect()
+    assert [(r.doc_id, r.first_doc_id) for r in got] == [(2, 1)]
+    assert docs.filter("doc_id = 2").first().text[got[0].start:got[0].end] == "A short footer line here. With two sentences in it."
+    rows, spans = {r.doc_id: r.text for r in documents.collect()}, {}
+    found = line_dedup.repeated_spans(documents, lines=True).collect()
+    cut = {d: line_dedup.units(t or "") for d, t in rows.items()}
+    first: dict = {}
+    for d in sorted(cut):
+        for n, u in enumerate(cut[d]):
+            first.setdefault(u[3], (d, n))
+    for d, own in cut.items():
+        later = [first[u[3]] != (d, n) for n, u in enumerate(own)]
+        keep = set()
+        for _, run in itertools.groupby(range(len(own)), lambda n: later[n]):
+            run = list(run)
+            if later[run[0]] and sum(own[n][2] for n in run) >= line_dedup.MIN_SPAN_WORDS:
+                keep |= set(run)
+        line = [(rows[d] or "").rfind("\n", 0, u[0]) for u in own]
+        for x in set(line):
+            mine = [n for n in range(len(own)) if line[n] == x]
+            keep |= set(mine) if all(later[n] for n in mine) else set()
+        for _, run in itertools.groupby(sorted(keep), lambda n: n - sorted(keep).index(n)):
+            run = list(run)
+            spans.setdefault(d, set()).add((own[run[0]][0], own[run[-1]][1]))
+    assert {d: {(r.start, r.end) for r in found if r.doc_id == d} for d in {r.doc_id for r in found}} == spans
+
+
 def test_every_repeated_unit_goes(spark):
     docs = spark.createDataFrame(SHORT[:2] + [(3, "One more own line here.\nWe print the same notice here.")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == {

@@ -4,12 +4,15 @@ Units are the sentences of every line, short ones put together with the next. No
 other letters lower-cased, white space as one space) are digested to 128 bits and grouped over the whole corpus. The
 occurrence that ranks first (by document, then place) is kept, later ones are marked; marked units that follow each
 other are joined into spans, and spans of enough words are repeats. What is shorter than a unit at a line's end is
-digested too: a span goes over it only where it repeats as well. Offsets are those of the original text.
+digested too: a span goes over it only where it repeats as well. Lines whose units all repeat are cut whatever their
+length, if asked for; sentences inside other lines then only in spans of enough words. Offsets are those of the
+original text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -56,37 +59,43 @@ def units(text: str, least: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, b
 
 
 def unit_table(docs: DataFrame, doc_id: str, text: str, least: int = MIN_UNIT_WORDS, short: bool = False) -> DataFrame:
-    """(doc_id, task, row, unit, start, end, words, d1, d2) of every unit, with ``short`` of every piece; (task, row) names
-    a row of ``docs``."""
+    """(doc_id, task, row, unit, start, end, words, d1, d2, line, in_line) of every unit, with ``short`` of every piece; (task,
+    row) names a row of ``docs``, ``line`` is where the unit's line begins and ``in_line`` how many units that line has."""
     split = pieces if short else units
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            at, place, found = [], [], []
+            at, place, found, line, in_line = [], [], [], [], []
             for k, body in enumerate(as_text(batch.column(1))):
                 own = split(body, least)
                 at += [k] * len(own)
                 place += range(len(own))
                 found += own
+                starts = [body.rfind("\n", 0, u[0]) + 1 for u in own]
+                many = Counter(starts)
+                line += starts
+                in_line += [many[x] for x in starts]
             digest = np.frombuffer(b"".join(u[3] for u in found), "<i8").reshape(-1, 2)
             rows = np.array(at, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows)), pa.array([task] * len(at), pa.int32()), pa.array(rows + row),
                  pa.array(place, pa.int32()), *[pa.array([u[c] for u in found], pa.int32()) for c in range(3)],
-                 pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())],
-                names=["doc_id", "task", "row", "unit", "start", "end", "words", "d1", "d2"])
+                 pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(line, pa.int32()), pa.array(in_line, pa.int32())],
+                names=["doc_id", "task", "row", "unit", "start", "end", "words", "d1", "d2", "line", "in_line"])
             row += batch.num_rows
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, task int, row long, unit int, start int, end int, words int, d1 long, d2 long")
+        run, f"doc_id {kind}, task int, row long, unit int, start int, end int, words int, d1 long, d2 long, line int, in_line int")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_unit: int = MIN_UNIT_WORDS,
-                   min_span: int = MIN_SPAN_WORDS, compare_short: bool = False) -> DataFrame:
+                   min_span: int = MIN_SPAN_WORDS, compare_short: bool = False, lines: bool = False) -> DataFrame:
     """One row per span to remove: doc_id, task, row, start, end (code points, end exclusive), n_words, first_doc_id.
 
+    With ``lines`` a line of which every unit repeats goes too where its span has fewer than ``min_span`` words.
+
     first_doc_id is the document that keeps the span's first unit. Documents rank by id (nulls last), rows with equal
     ids by their place in the input, units by their place in the text. With ``compare_short`` a span goes over text that is
     too short for a unit only if that repeats too, else the span ends before it; without, over all of it. Null and empty
@@ -99,8 +108,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                          .filter("n > 1").select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), "first"), "line-groups")
     later = (table.join(groups, (table["d1"] == groups["g1"]) & (table["d2"] == groups["g2"]))
              .filter(~rank.eqNullSafe(F.col("first")))
-             .select("doc_id", "task", "row", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id")))
+             .select("doc_id", "task", "row", "unit", "start", "end", "words", "line", "in_line", F.col("first.doc_id").alias("first_doc_id")))
     of_row = Window.partitionBy("task", "row").orderBy("unit")
+    if lines:
+        # all units of a line are later occurrences, or the span around has enough words: a document's own units
+        in_run = later.withColumn("run", F.col("unit") - F.row_number().over(of_row))
+        size = F.sum(F.when(F.col("words") >= min_unit, F.col("words"))).over(Window.partitionBy("task", "row", "run"))
+        of_line = F.count("*").over(Window.partitionBy("task", "row", "line")) == F.col("in_line")
+        later = in_run.withColumns({"_size": size, "_line": of_line}).filter("_line or _size >= " + str(min_span))
+        min_span = min_unit
     runs = later.withColumn("run", F.col("unit") - F.row_number().over(of_row))
     whole = F.col("words") >= min_unit                      # a span begins and ends with a unit
     short = F.collect_list(F.when(~whole, F.struct("unit", "words")))

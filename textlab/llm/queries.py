@@ -58,8 +58,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document that repeat an earlier document or place, with the document that keeps them."""
-    return line_dedup.repeated_spans(read_table(spark, sf_dir, "documents"), min_span=line_dedup.MIN_UNIT_WORDS,
-                                     compare_short=True).select(
+    return line_dedup.repeated_spans(read_table(spark, sf_dir, "documents"), compare_short=True, lines=True).select(
         "doc_id", "start", "end", "n_words", "first_doc_id")
 
 
