@@ -1,18 +1,16 @@
-"""Stemming of tokens with the Porter (1980) suffix-stripping algorithm.
+"""Stemming of tokens with the Porter (1980) suffix-stripping algorithm, as Column expressions.
 
-Stemming is per word and the vocabulary is far smaller than the token stream, so the Python code
-runs once per **distinct** word: the words of all documents are exploded with their position, the
-distinct words are stemmed by an Arrow-batched pandas UDF, joined back (AQE picks broadcast or a
-skew-split sort-merge join from the size of the word table) and every document is re-assembled in
-word order. The per-document re-assembly groups one document's words, bounded by the document.
+The steps are higher-order functions over a text's array of words, one pass of the array for each, so a text is stemmed
+inside its row: no Python worker, no shuffle of words, and no table of distinct words whose hot words meet in one task.
+A step sees its word through a lambda variable, which keeps the expression's size linear in the steps. The measure
+``[C](VC)^m[V]`` of a stem is tested by patterns; ``y`` is a vowel after a consonant, and a consonant otherwise.
+:func:`porter_stem` is the same algorithm for one word in plain Python.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from textlab.functions.text import split_words
 
@@ -118,21 +116,95 @@ def porter_stem(word: str) -> str:
     return w
 
 
-def stem_words(words: DataFrame, word_col: str = "word", out_col: str = "stem") -> DataFrame:
-    """Stem a table of (distinct) words with an Arrow-batched pandas UDF."""
-    return words.withColumn(out_col, pandas_udf(_stem_series, "string")(F.col(word_col)))
+# patterns over a stem; the letters of its first vowel run, the later runs, and a ``y`` that counts as a consonant
+_VOWEL = r"^(?:[aeiou]|[^aeiou][^aeiouy]*[aeiouy])"
+_M1 = _VOWEL + r"[aeiou]*[^aeiou]"                                    # measure of at least 1
+_M2 = _M1 + r"[^aeiouy]*[aeiouy][aeiou]*[^aeiou]"                     # at least 2
+_ONLY1 = _M1 + r"[^aeiouy]*(?:[aeiouy][aeiou]*)?\z"                   # exactly 1
+_Y_CONS = r"(?:(?:^|[aeiou])(?:yy)*y|[^aeiouy](?:yy)+)"
+_CVC = rf"(?:[^aeiouy]|{_Y_CONS})[aeiouy][^aeiouwxy]\z"
+
+
+def _without(w: Column, n) -> Column:
+    return F.left(w, F.length(w) - n)
+
+
+def _ending(suffixes: list[str]) -> str:
+    return rf"({'|'.join(suffixes)})\z"
+
+
+def _doubled(w: Column) -> Column:
+    """The word ends in two equal consonants, other than l, s and z."""
+    last = F.right(w, F.lit(1))
+    return ((F.length(w) >= 2) & (last == F.left(F.right(w, F.lit(2)), F.lit(1))) & ~last.isin(*VOWELS, "l", "s", "z")
+            & ((last != "y") | w.rlike(_Y_CONS + r"\z")))
+
+
+def _cut_1b(w: Column) -> Column:
+    cut = (F.when(w.endswith("eed"), F.when(_without(w, 3).rlike(_M1), 1).otherwise(0))
+           .when(w.endswith("ed") & _without(w, 2).rlike(_VOWEL), 2)
+           .when(w.endswith("ing") & _without(w, 3).rlike(_VOWEL), 3).otherwise(0))
+    return F.struct(w.alias("w"), cut.alias("cut"))
+
+
+def _mend_1b(s: Column) -> Column:
+    w = s["w"]
+    return (F.when(s["cut"] < 2, w).when(w.rlike(r"(?:at|bl|iz)\z"), F.concat(w, F.lit("e"))).when(_doubled(w), _without(w, 1))
+            .when(w.rlike(_ONLY1) & w.rlike(_CVC), F.concat(w, F.lit("e"))).otherwise(w))
+
+
+def _split_at(suffixes: list[str]):
+    """Step that splits a word into (stem, suffix); the leftmost match is the longest suffix, which the rules list first."""
+    pattern = _ending(suffixes)
 
+    def step(w: Column) -> Column:
+        return F.struct(w.alias("w"), F.regexp_extract(w, pattern, 1).alias("end"))
+    return step
 
-def _stem_series(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else porter_stem(x))
+
+def _replace(rules: list[tuple[str, str]]):
+    def step(s: Column) -> Column:
+        new = F.create_map(*[F.lit(x) for rule in rules for x in rule])       # needs a session: not at import
+        stem = _without(s["w"], F.length(s["end"]))
+        return F.when((s["end"] != "") & stem.rlike(_M1), F.concat(stem, new[s["end"]])).otherwise(s["w"])
+    return step
+
+
+def _drop_4(s: Column) -> Column:
+    stem = _without(s["w"], F.length(s["end"]))
+    return F.when((s["end"] != "") & stem.rlike(_M2) & ((s["end"] != "ion") | stem.rlike(r"[st]\z")), stem).otherwise(s["w"])
+
+
+def _drop_e(w: Column) -> Column:
+    stem = _without(w, 1)
+    return F.when(w.endswith("e") & (stem.rlike(_M2) | stem.rlike(_ONLY1) & ~stem.rlike(_CVC)), stem).otherwise(w)
+
+
+_STEPS = (
+    lambda w: F.regexp_replace(w, r"(ss|i)es\z|(ss)\z|s\z", "$1$2"),
+    _cut_1b, lambda s: F.struct(_without(s["w"], s["cut"]).alias("w"), s["cut"].alias("cut")), _mend_1b,
+    lambda w: F.regexp_replace(w, rf"(?s)({_VOWEL}.*)y\z", "$1i"),
+    _split_at([a for a, _ in STEP2]), _replace(STEP2),
+    _split_at([a for a, _ in STEP3]), _replace(STEP3),
+    _split_at(STEP4), _drop_4, _drop_e,
+    lambda w: F.when(w.endswith("ll") & w.rlike(_M2), _without(w, 1)).otherwise(w),
+)
+
+
+def stem_array(words: Column) -> Column:
+    """The stems of an array of lower-case words, in order; words of one or two letters and nulls are left as they are."""
+    out = words
+    for step in _STEPS:
+        out = F.transform(out, step)
+    return F.zip_with(words, out, lambda a, b: F.when(F.length(a) <= 2, a).otherwise(b))
+
+
+def stem_words(words: DataFrame, word_col: str = "word", out_col: str = "stem") -> DataFrame:
+    """Stem a column of single words."""
+    return words.withColumn(out_col, stem_array(F.array(F.col(word_col)))[0])
 
 
 def stem_text(df: DataFrame, id_col: str, text_col: str, out_col: str = "stemmed") -> DataFrame:
-    """Replace every word of a cleaned text by its stem, keeping word order."""
-    words = df.select(id_col, F.posexplode(split_words(text_col)).alias("pos", "word"))
-    stems = stem_words(words.select("word").distinct())
-    joined = words.join(stems, "word", "left")
-    rebuilt = joined.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda s: s["stem"]),
-                     " ").alias(out_col))
-    return df.join(rebuilt, id_col, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit("")))
+    """Replace every word of a cleaned text by its stem, keeping word order; null text gives ``''``. ``id_col`` is only
+    carried: each row is stemmed by itself."""
+    return df.withColumn(out_col, F.coalesce(F.array_join(stem_array(split_words(text_col)), " "), F.lit("")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textlab import schema as S
+from textlab.functions.stem import STEP2, STEP3, STEP4
 from textlab.functions.text import english_stop_words
 from textlab.plans import catalog as C
 from textlab.plans.oracle import BASE_CTE, LABELED_CTE, clean_sql, q, tokens_sql, words_sql
@@ -238,6 +239,53 @@ UNION ALL SELECT 2, n.number, u.number || ' -> ' || n.number || ' ;' FROM number
 SELECT row_number() OVER (ORDER BY part, place) AS line_no, line FROM lines"""
 
 
+def shape_sql(w: str) -> str:
+    """Letters of a word as c (consonant) or v (vowel); y is a vowel after a consonant."""
+    return (f"list_reduce(string_split({w}, ''), lambda a, c: a || CASE WHEN c IN ('a', 'e', 'i', 'o', 'u') OR c = 'y' AND suffix(a, 'c') "
+            "THEN 'v' ELSE 'c' END, '')")
+
+
+def _stem_steps() -> str:
+    """Porter stemming of the distinct words ``d(word)`` as a chain of CTEs that ends in ``stems(word, stem)``."""
+    def measure(shape: str) -> str:
+        return f"len(regexp_extract_all({shape}, 'v+c'))"
+
+    def left(n: str, col: str = "w") -> str:
+        return f"left({col}, length(w) - {n})"
+
+    def first(suffixes) -> str:
+        return "CASE " + " ".join(f"WHEN suffix(w, '{x}') THEN '{x}'" for x in suffixes) + " ELSE '' END"
+
+    def shaped(name: str, source: str, w: str, more: str = "") -> str:
+        return f"{name} AS (SELECT *, {shape_sql('w')} AS s FROM (SELECT word, {w} AS w{more} FROM {source}))"
+
+    def swap(rules) -> str:
+        new = "CASE e " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules) + " END"
+        return f"CASE WHEN e <> '' AND {measure(left('length(e)', 's'))} > 0 THEN {left('length(e)')} || {new} ELSE w END"
+
+    ends = "SELECT *, {} AS e FROM {}"
+    short = left("1", "s")
+    return ",\n".join([
+        shaped("s0", "d", "CASE WHEN suffix(word, 'sses') OR suffix(word, 'ies') THEN left(word, length(word) - 2) WHEN suffix(word, 'ss') "
+               "THEN word WHEN suffix(word, 's') THEN left(word, length(word) - 1) ELSE word END"),
+        f"""c1 AS (SELECT *, CASE WHEN suffix(w, 'eed') THEN CASE WHEN {measure(left('3', 's'))} > 0 THEN 1 ELSE 0 END
+               WHEN suffix(w, 'ed') AND contains({left('2', 's')}, 'v') THEN 2
+               WHEN suffix(w, 'ing') AND contains({left('3', 's')}, 'v') THEN 3 ELSE 0 END AS cut FROM s0)""",
+        shaped("s1", "c1", "left(w, length(w) - cut)", ", cut"),
+        shaped("s2", "s1", f"""CASE WHEN cut < 2 THEN w WHEN suffix(w, 'at') OR suffix(w, 'bl') OR suffix(w, 'iz') THEN w || 'e'
+               WHEN length(w) >= 2 AND w[-1] = w[-2] AND suffix(s, 'c') AND w[-1] NOT IN ('l', 's', 'z') THEN {left('1')}
+               WHEN {measure('s')} = 1 AND suffix(s, 'cvc') AND w[-1] NOT IN ('w', 'x', 'y') THEN w || 'e' ELSE w END"""),
+        shaped("s3", "s2", f"CASE WHEN suffix(w, 'y') AND contains({short}, 'v') THEN {left('1')} || 'i' ELSE w END"),
+        shaped("s4", f"({ends.format(first([a for a, _ in STEP2]), 's3')})", swap(STEP2)),
+        shaped("s5", f"({ends.format(first([a for a, _ in STEP3]), 's4')})", swap(STEP3)),
+        shaped("s6", f"({ends.format(first(STEP4), 's5')})", f"""CASE WHEN e <> '' AND {measure(left('length(e)', 's'))} > 1
+               AND (e <> 'ion' OR {left('length(e)')}[-1] IN ('s', 't')) THEN {left('length(e)')} ELSE w END"""),
+        shaped("s7", "s6", f"""CASE WHEN suffix(w, 'e') AND ({measure(short)} > 1 OR {measure(short)} = 1
+               AND NOT (suffix({short}, 'cvc') AND w[-2] NOT IN ('w', 'x', 'y'))) THEN {left('1')} ELSE w END"""),
+        f"""stems AS (SELECT word, CASE WHEN length(word) <= 2 THEN word WHEN {measure('s')} > 1 AND suffix(w, 'll') THEN {left('1')}
+               ELSE w END AS stem FROM s7)"""])
+
+
 SQL = {
     # clean
     "clean_text": f"""SELECT 'documents' AS kind, doc_id AS id, {clean_sql('text')} AS preprocessed_text FROM documents
@@ -480,6 +528,12 @@ SQL = {
         r AS (SELECT w.id, string_agg(coalesce(lem.lemma, w.token), ' ' ORDER BY w.pos) AS lemmatized
               FROM w LEFT JOIN lem ON w.token = lem.token GROUP BY w.id)
         SELECT cd.id, coalesce(r.lemmatized, '') AS lemmatized FROM cd LEFT JOIN r ON cd.id = r.id""",
+    "stem_text": f"""WITH {CLEAN_DOCS},
+        wd AS (SELECT id, unnest({words_sql('t')}) AS word, generate_subscripts({words_sql('t')}, 1) AS pos FROM cd),
+        d AS (SELECT DISTINCT word FROM wd),
+        {_stem_steps()},
+        r AS (SELECT wd.id, string_agg(stems.stem, ' ' ORDER BY wd.pos) AS stemmed FROM wd JOIN stems ON wd.word = stems.word GROUP BY wd.id)
+        SELECT cd.id, coalesce(r.stemmed, '') AS stemmed FROM cd LEFT JOIN r ON cd.id = r.id""",
     # evaluate
     "confusion_matrix": "WITH " + BASE_CTE + PRED + " SELECT * FROM cm",
     "classification_report": "WITH " + BASE_CTE + PRED + """,
