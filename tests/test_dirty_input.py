@@ -111,3 +111,30 @@ def test_a_scope_deletes_its_scratch_tables_only(spark):
             materialize(spark.range(2), "inner")
         assert inner.count() == 5
     assert before.count() == 3 and not any(ST.path_exists(spark, f) for f in files)
+
+
+def test_stream_reads_each_file_by_its_own_header_and_encoding(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    path = folder(inbox, a="username,full_text,id_str\nanna,good café,1\nx,extra,2,\n".encode(),
+                  b="full_text,id_str,favorite_count\nbad naïve,2,7\n".encode("latin-1"), c=b"", d=b"full_text\r\n\"two\r\nlines\"\r\n")
+    (inbox / "notes.txt").write_text("no posts")
+    label_posts_stream(spark, path, str(tmp_path / "out"), scorer).awaitTermination()
+    got = {(r.text, r.username, r.sentiment, r.favorite_count) for r in ST.load_view(spark, str(tmp_path / "out")).collect()}
+    assert {g[0].replace("\r\n", "\n") for g in got} == {"good café", "bad naïve", "two\nlines"}
+    assert ("good café", "anna", "neutral", 0) in got or ("good café", "anna", "positive", 0) in got
+    assert {g[3] for g in got if g[0] == "bad naïve"} == {7}
+    bad = spark.read.parquet(str(tmp_path / "out" / "quarantine")).collect()
+    assert [(r.reason, r.record.strip()) for r in bad] == [("too many fields", "x,extra,2,")]
+    led = spark.read.parquet(str(tmp_path / "out" / "ledger")).agg(F.sum("rows").alias("r"), F.sum("saved").alias("s")).first()
+    assert (led.r, led.s) == (3, 3)
+
+
+def test_a_replayed_stream_stores_the_same_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.csv").write_text(f"full_text,id_str\ngood {k},{k}\nbad,{k + 10}\n")
+    for k in range(2):                                   # the second run has no checkpoint: every batch comes again
+        label_posts_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), scorer, checkpoint=str(tmp_path / f"ck{k}")).awaitTermination()
+    view = ST.load_view(spark, str(tmp_path / "out"))
+    assert view.count() == 6 and view.select("id").distinct().count() == 6

@@ -71,7 +71,15 @@ def dashboard_stats(df: DataFrame) -> DataFrame:
 
 def sentiment_distribution(spark: SparkSession, df: DataFrame, pct_decimals: int | None = None) -> DataFrame:
     """A6 + A7: zero-filled counts over the fixed domain with percentage of the total."""
-    counts = df.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
+    return _distribution(spark, df.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n")), pct_decimals)
+
+
+def distribution_of_counts(spark: SparkSession, counts: dict[str, int], pct_decimals: int | None = None) -> DataFrame:
+    """As :func:`sentiment_distribution`, of counts that are known already."""
+    return _distribution(spark, spark.createDataFrame(list(counts.items()), "sentiment string, n long"), pct_decimals)
+
+
+def _distribution(spark: SparkSession, counts: DataFrame, pct_decimals: int | None) -> DataFrame:
     j = domain(spark).join(counts, "sentiment", "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     total = F.sum(n).over(_all())

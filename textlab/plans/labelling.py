@@ -3,22 +3,22 @@
 ``label_file``: read (S1-S3) -> required / missing columns (F5, F6, F8) -> typed record (T10-T12) ->
 drop unscorable rows (F2) -> clean (T7) -> score (P2 through the supplied scorer, then P1) -> rules
 (R1, R2a, R2b) -> store as three tables sharing one id (K3) -> zero-filled result statistics (A22).
-The labelled rows are written once to the store; every count afterwards reads the written tables, so
-the scorer runs exactly once per row (quirk Q9) and no row data goes to the driver.
+The scored rows are written once, which also observes every count, so the scorer runs exactly once per
+row (quirk Q9) and no row data goes to the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textlab import schema as S
 from textlab.functions.scoring import classify_logits, score_with
 from textlab.functions.text import clean_text
 from textlab.operators import rules as R
-from textlab.operators.stats import sentiment_distribution
+from textlab.operators.stats import distribution_of_counts
 from textlab.sources import posts as P
 from textlab.sources import store as ST
 
@@ -63,24 +63,30 @@ def read_tagged(spark: SparkSession, paths_and_tags: list[tuple[str, str]]) -> D
 def label_frame(spark: SparkSession, raw: DataFrame, out: str, make_scorer, rules: DataFrame | None = None,
                 source_dataset: str = S.PROCESSED_SOURCE, mode: str = "overwrite",
                 category_rules: dict | None = None, popularity_rules: dict | None = None,
-                id_start: int | None = None, partition: str | None = None,
-                rejected: DataFrame | None = None) -> LabelResult:
+                id_start: int | None = None, partition: str | None = None) -> LabelResult:
     """P4 on an already-read post frame (``full_text`` required, other tweet columns optional).
 
-    Rows that the scorer failed on, and the ``rejected`` records of the reader, go to ``out/quarantine``.
+    Rows that the scorer failed on, and those that :func:`textlab.sources.posts.parse_posts` has marked as too long, go to
+    ``out/quarantine``. The counts are observed by the writes of the input and of the scored rows, so nothing is read for them.
     A frame without rows, or without a scorable one, stores nothing and gives zero counts.
     """
     from textlab.sources.scratch import materialize
-    P.require_columns(raw)
-    missing = P.missing_columns(raw, S.OPTIONAL_COLUMNS)
+    marked = P.LONG in raw.columns
+    posts = raw.filter(~F.col(P.LONG)).drop(P.LONG, P.CORRUPT) if marked else raw
+    P.require_columns(posts)
+    missing = P.missing_columns(posts, S.OPTIONAL_COLUMNS)
     if "source_dataset" not in raw.columns:
         raw = raw.withColumn("source_dataset", F.lit(source_dataset))
-    rec = P.posts_record(raw, keep=["source_dataset"])
+    bad = F.col(P.LONG) if marked else F.lit(False)
+    raw = raw.withColumn("_rejected", F.when(bad, F.col(P.CORRUPT) if marked else F.lit(None).cast("string")))
+    rec = P.posts_record(raw.withColumn("_bad", bad), keep=["source_dataset", "_bad", "_rejected"])
     # a stable row key: the file's id column where present, else the position in the input; the
     # record table is written once so the key cannot change when a later stage is recomputed
     rec = rec.withColumn("_row", F.coalesce(F.col("id"), F.monotonically_increasing_id()))
-    rec = materialize(rec, "label-input")
-    good = P.scorable(rec, "full_text").withColumn("preprocessed_text", clean_text("full_text"))
+    seen = Observation()
+    rec = materialize(rec.observe(seen, F.count_if(~F.col("_bad")).alias("rows")), "label-input")
+    rejected = rec.filter("_bad").select(F.lit(P.TOO_LONG).alias("reason"), F.col("_rejected").alias("record"))
+    good = P.scorable(rec.filter("NOT _bad"), "full_text").withColumn("preprocessed_text", clean_text("full_text"))
     scored = classify_logits(score_with(good, make_scorer, "preprocessed_text", "_row",
                                         keep=["full_text", "favorite_count", "created_at", "location", "username",
                                               "source_dataset"]))
@@ -91,25 +97,26 @@ def label_frame(spark: SparkSession, raw: DataFrame, out: str, make_scorer, rule
     to_store = labeled.select(F.col("_row").alias("id"), F.col("full_text").alias("text"), "preprocessed_text",
                               "sentiment", "confidence", "favorite_count", "created_at", "location", "username",
                               "source_dataset", "confidence_level", "sentiment_category", "popularity", "_error")
-    every = materialize(to_store, "label-output")              # the scorer runs once per row
-    stored = every.filter(F.col("_error").isNull()).drop("_error")
-    failed = every.filter(F.col("_error").isNotNull()).select(F.col("_error").alias("reason"), F.col("text").alias("record"))
+    done = Observation()
+    ok = F.col("_error").isNull()
+    counts = [F.count_if(ok & (F.col("sentiment") == s)).alias(s) for s in S.SENTIMENTS]
+    every = materialize(to_store.observe(done, F.count_if(ok).alias("saved"), *counts), "label-output")   # scored once
+    stored = every.filter(ok).drop("_error")
+    failed = every.filter(~ok).select(F.col("_error").alias("reason"), F.col("text").alias("record"))
     quarantine = f"{out.rstrip('/')}/quarantine" + (f"/{partition}" if partition else "")
-    (failed if rejected is None else failed.unionByName(rejected)).write.mode(mode).parquet(quarantine)
+    failed.unionByName(rejected).write.mode(mode).parquet(quarantine)
     paths = ST.save_labeled(spark, stored, out, natural_key="id", mode=mode, id_start=id_start, partition=partition)
-    stats = sentiment_distribution(spark, stored, pct_decimals=1)
-    rows = rec.agg(F.count(F.lit(1)).alias("rows")).withColumn("_k", F.lit(1))
-    saved = stored.agg(F.count(F.lit(1)).alias("saved")).withColumn("_k", F.lit(1))
-    progress = (rows.join(saved, "_k").drop("_k")
-                    .withColumn("skipped", F.col("rows") - F.col("saved")))
+    rows, found = seen.get.get("rows", 0), done.get
+    stats = distribution_of_counts(spark, {s: found.get(s, 0) for s in S.SENTIMENTS}, pct_decimals=1)
+    saved = found.get("saved", 0)
+    progress = spark.createDataFrame([(rows, saved, rows - saved)], "rows long, saved long, skipped long")
     return LabelResult(paths, stored, missing, stats, progress, quarantine)
 
 
 def label_file(spark: SparkSession, path: str, out: str, make_scorer, rules: DataFrame | None = None,
                source_dataset: str = S.PROCESSED_SOURCE, mode: str = "overwrite") -> LabelResult:
-    """Label post CSVs (each file UTF-8, else Latin-1) and store them under ``out`` (F10: only ``.csv`` names)."""
-    raw = P.read_posts_with_fallback(spark, P.check_csv_path(path))
-    return label_frame(spark, raw, out, make_scorer, rules, source_dataset, mode, rejected=P.rejected_posts(spark, path))
+    """Label post CSVs (each file UTF-8, else Latin-1) and store them under ``out`` (F10: only ``.csv`` names). The file is parsed once."""
+    return label_frame(spark, P.parse_posts(spark, P.check_csv_path(path)), out, make_scorer, rules, source_dataset, mode)
 
 
 def create_labeled_dataset(spark: SparkSession, path_1: str, path_2: str, out: str, make_scorer,

@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from textlab import schema as S
 from textlab.functions.dates import parse_created_at
 from textlab.functions.dates import likes_to_int
+from textlab.sources.csv_records import records
 
 CORRUPT = "_corrupt_record"
+TOO_LONG = "too many fields"
 SENTINEL = "\u0001end\u0001"
-_LONG = "_too_long"
+LONG = "_too_long"
 
 CSV_READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE",
                     "columnNameOfCorruptRecord": CORRUPT}
@@ -57,31 +59,27 @@ def drop_long_rows(df: DataFrame) -> DataFrame:
     return df.filter(~_too_long([c for c in df.columns if c != CORRUPT])).drop(CORRUPT)
 
 
-def long_rows(df: DataFrame) -> DataFrame:
-    """what :func:`drop_long_rows` drops, as (reason, record), for the quarantine table."""
-    return df.filter(_too_long([c for c in df.columns if c != CORRUPT])).select(F.lit("too many fields").alias("reason"), F.col(CORRUPT).alias("record"))
-
-
 def read_posts(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
     """S1 + S3: read post CSVs of one header as strings; rows with more fields than the header are dropped, short rows kept."""
     return drop_long_rows(_parse(spark, path, columns or header_columns(spark, path, encoding), encoding))
 
 
-def file_kinds(spark: SparkSession, path: str) -> list[tuple[str, str, list[str] | None]]:
-    """(header line, encoding, files) for the files under ``path``; files is None if all are of one kind.
+def file_kinds(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str, bool, list[str] | None]]:
+    """(header line, encoding, in several splits, files) for the files under ``path``; files is None if all are of one kind.
 
     A file is UTF-8 if all its bytes are valid UTF-8 (a genuine U+FFFD character is), else ISO-8859-1. One pass that
-    ends in one row per file, as many as Spark lists on the driver anyway; files without a line have no row.
+    ends in one row per file, as many as Spark lists on the driver anyway; files without a line have no row. The header line keeps
+    the ``\\r`` of a file whose lines end so.
     """
     place = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
-    rows = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    rows = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.max("place.b").alias("b"),
                                      F.min_by(F.col("value").cast("binary"), "place").alias("head")).collect()
-    kinds: dict[tuple[str, str], list[str]] = {}
+    kinds: dict[tuple[str, str, bool], list[str]] = {}
     for r in rows:
         enc = "UTF-8" if r["utf8"] else "ISO-8859-1"
-        kinds.setdefault((bytes(r["head"]).decode(enc).strip("\r\ufeff"), enc), []).append(r["file"])
-    return [(head, enc, files if len(kinds) > 1 else None) for (head, enc), files in sorted(kinds.items())]
+        kinds.setdefault((bytes(r["head"]).decode(enc).strip("\ufeff"), enc, r["b"] > 0), []).append(r["file"])
+    return [(*kind, files if len(kinds) > 1 else None) for kind, files in sorted(kinds.items())]
 
 
 def _decoded(files: list[str]) -> list[str]:
@@ -89,31 +87,57 @@ def _decoded(files: list[str]) -> list[str]:
     return [unquote(f) for f in files]                       # the metadata column has URL-encoded paths
 
 
-def parse_posts(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def _parse_split(spark: SparkSession, path, cols: list[str], encoding: str, crlf: bool) -> DataFrame:
+    """As :func:`_parse` with ``_LONG``, for files that are read by many tasks each: see :mod:`textlab.sources.csv_records`.
+
+    The sentinel of :func:`_too_long` goes after each record, so that one parse gives the fields and tells whether they are too many.
+    """
+    names = [f"c{i}" for i in range(len(cols) + 1)]
+    raw = F.when(F.col("closed"), F.concat("record", F.lit(f",{SENTINEL}"))).otherwise(F.col("record"))
+    got = F.from_csv(raw, ", ".join(f"{c} string" for c in names), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    rows = records(spark, path, encoding, crlf).select("record", "closed", F.inline(F.array(got)))
+    ended = F.lit(False)
+    for c in names:
+        ended = ended | F.coalesce(F.col(c) == SENTINEL, F.lit(False))
+    return rows.select(*[F.when(F.col(f"c{i}") != SENTINEL, F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)],
+                       F.col("record").alias(CORRUPT), (F.col("closed") & ~ended).alias(LONG))
+
+
+def parse_posts(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """S2 + S3: all files under ``path``, each decoded by its own bytes and read by the names of its own header, with the
-    raw record of odd rows. ``columns`` replaces the headers' names. Without any file that has a line: no rows."""
+    raw record of odd rows. ``columns`` replaces the headers' names. Without any file that has a line: no rows.
+
+    Files of one split are read whole by Spark's reader, a task or less each; the lines of longer ones by many tasks.
+    """
     out = None
-    for _, enc, files in file_kinds(spark, path):
+    for head, enc, long, files in file_kinds(spark, path):
         where = _decoded(files) if files else path
         cols = columns or header_columns(spark, where, enc)
-        df = _parse(spark, where, cols, enc)
-        df = df.withColumn(_LONG, _too_long(cols))
+        if long:
+            df = _parse_split(spark, where, cols, enc, head.endswith("\r"))
+        else:
+            df = _parse(spark, where, cols, enc)
+            df = df.withColumn(LONG, _too_long(cols))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         cols = columns or [S.REQUIRED_COLUMN]
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*cols, CORRUPT]) + f", {_LONG} boolean")
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*cols, CORRUPT]) + f", {LONG} boolean")
     return out
 
 
-def read_posts_with_fallback(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_posts_with_fallback(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """The posts under ``path``; see :func:`parse_posts`. Rows with too many fields are left out."""
-    return parse_posts(spark, path, columns).filter(~F.col(_LONG)).drop(CORRUPT, _LONG)
+    return parse_posts(spark, path, columns).filter(~F.col(LONG)).drop(CORRUPT, LONG)
+
+
+def rejected(parsed: DataFrame) -> DataFrame:
+    """(reason, record) of the rows of :func:`parse_posts` that have too many fields."""
+    return parsed.filter(F.col(LONG)).select(F.lit(TOO_LONG).alias("reason"), F.col(CORRUPT).alias("record"))
 
 
-def rejected_posts(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def rejected_posts(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """(reason, record) of the rows that :func:`read_posts_with_fallback` leaves out."""
-    return parse_posts(spark, path, columns).filter(F.col(_LONG)).select(
-        F.lit("too many fields").alias("reason"), F.col(CORRUPT).alias("record"))
+    return rejected(parse_posts(spark, path, columns))
 
 
 def require_columns(df: DataFrame, required: list[str] | str = S.REQUIRED_COLUMN) -> None:

@@ -117,26 +117,27 @@ def label_posts_stream(spark: SparkSession, inbox: str, out: str, make_scorer, r
     """G1 for post files: CSV files arriving in ``inbox`` are labelled per micro-batch with the batch plan
     (:func:`textlab.plans.labelling.label_frame`: checks, clean, score once, rules, three tables).
 
+    The stream is one of file names, at most ``files_per_trigger`` a batch; a batch reads its files as the batch job does,
+    each by the names of its own header and in its own encoding (``columns`` replaces the names). A file without a
+    ``full_text`` column, or that cannot be read, stops the stream with its error.
+
     Batch ``k`` is stored under ``out/{texts,sentiments,metadata}/batch=k`` with ids from ``k * 2^32 + 1``,
     and its counts under ``out/ledger/batch=k``; a replayed batch overwrites exactly its own folders.
     The posts carry their own metadata columns, so no static table is joined per batch.
     """
-    from pyspark.sql import types as T
-
-    from textlab import schema as S
     from textlab.plans.labelling import label_frame
     from textlab.sources import posts as P
-    cols = columns or S.TWEET_COLUMNS
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols] +
-                          [T.StructField(P.CORRUPT, T.StringType(), True)])
-    src = (spark.readStream.schema(schema).options(**P.CSV_READ_OPTIONS)
-           .option("maxFilesPerTrigger", files_per_trigger).csv(inbox))
+    # a binary-file scan reads no content when only paths are taken
+    src = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+           .option("pathGlobFilter", "*.csv")
+           .option("maxFilesPerTrigger", files_per_trigger).load(inbox).select("path"))
     checkpoint = checkpoint or scratch_path(spark, "posts-stream-ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        files = sorted(r["path"] for r in batch.collect())       # file names, of one batch
         with temporary(spark):                       # the batch's own tables go once it is stored
-            res = label_frame(spark, P.drop_long_rows(batch), out, make_scorer, rules, id_start=(batch_id << 32) + 1,
-                              partition=f"batch={batch_id}", rejected=P.long_rows(batch))
+            res = label_frame(spark, P.parse_posts(spark, files, columns), out, make_scorer, rules, id_start=(batch_id << 32) + 1,
+                              partition=f"batch={batch_id}")
             res.progress.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
