@@ -49,6 +49,36 @@ def test_sections_and_headings_of_an_article_stay():
     assert "by a reader" not in got and "may like" not in got
 
 
+LONG = "I have read this with care and would like to add some words of my own to it, number {0}."
+FAMILIES = {
+    "comments": ("<div id='comments'>{}</div>", "<div class='c'><b>reader {0}</b><p>" + LONG + "</p></div>"),
+    "comments-area": ("<section class='comments-area'><h2>Comments</h2><ol>{}</ol></section>", "<li><p>" + LONG + "</p></li>"),
+    "flat comments": ("<div class='comments'>{}</div>", "<p>" + LONG + "</p>"),
+    "sidebar": ("<div class='sidebar'>{}</div>", "<div><h3>Other {0}</h3><p>" + LONG + "</p></div>"),
+    "related-posts": ("<div class='related-posts'>{}</div>", "<div><a href='/{0}'>Other {0}</a><p>" + LONG + "</p></div>"),
+    "cookie-notice": ("<div id='cookie-notice'>{}</div>", "<p>" + LONG + "</p>")}
+
+
+@pytest.mark.parametrize("items", [0, 1, 2, 4, 8, 20, 40])
+@pytest.mark.parametrize("family", FAMILIES)
+@pytest.mark.parametrize("body", ["{}", "<div>{}</div>", "<div class='content'>{}</div>", "<article>{}</article>"])
+def test_article_alone_whatever_the_size_of_a_marked_part(family, items, body):
+    box, item = FAMILIES[family]
+    story = "".join(re.findall("<p>.*?</p>", BODY)[:4])
+    part = box.format("".join(item.format(k) for k in range(items)))
+    for inner in (body.format(story) + part, part + body.format(story), body.format(story + part)):
+        got = html_text.main_text(f"<html><body><nav><a href='/'>Home</a></nav>{inner}<footer><p>Copyright</p></footer></body></html>")
+        assert got == "\n".join(re.findall("<p>(.*?)</p>", story))
+
+
+@pytest.mark.parametrize("name", ["popular", "content-sidebar", "share-page", "sidebar", "feedback"])
+def test_a_name_around_the_whole_text_keeps_it(name):
+    page = f"<body><div class='{name}'><div><h1>The story of the day</h1>{BODY}</div></div><footer><p>Copyright</p></footer></body>"
+    assert html_text.main_text(page) == "The story of the day\n" + "\n".join(re.findall("<p>(.*?)</p>", BODY))
+    readers = "".join(FAMILIES["comments"][1].format(k) for k in range(9))
+    assert html_text.main_text(f"<body><div id='comments'>{readers}</div></body>") == ""
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<a '", "</div></p>", "<!--", "<script>x", "&#0;&bogus;", "<div>" * 3000, "<p>a<p>" * 50])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)

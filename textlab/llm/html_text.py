@@ -48,6 +48,10 @@ ABOUT = frozenset("has no not is with without hide show category cat tag type fo
 #: Words that are headings of an article's own sections as well.
 SLUGS = frozenset("""discussion feedback related recommended recommendations popular trending social search notice notices notification
     alert consent promotion promotions advertising advertisement copyright navigation menu login subscription cookies""".split())
+#: Names that say what a part is whatever its size, unless it reads as one text and nothing outside it does.
+SURE = frozenset("""ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent gdpr notice notices newsletter sidebar sidebars aside
+    menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond feedback related
+    recommended recommendations trending share sharing pagination teaser""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # costs, in units of log odds times 100
@@ -55,7 +59,8 @@ OUTSIDE, INSIDE, NAMED, BAD, LINKS = -350, 300, 120, -3000, -500
 TAG_COST = {"p": 100, "blockquote": 80, "pre": 80, "h1": 150, "h2": 80, "h3": 60, "h4": 40, "figcaption": 20, "li": -20, "td": -40, "th": -60}
 NAME, COMPOUND, FORM, WEAK = -1200, -700, -1200, -200      # of a name, of one with other words too, of a form, of a doubtful mark
 CLEARS = 0.3            # an article with this share of the page's characters ends what it inherits
-MOST = 0.8              # a marked container with this share of them is the page; with half of them, it is doubtful
+MOST = 0.8              # a marked container with this share of them may be the page; with half of them, it may be doubtful
+FREE = 20               # not so if this many words in sentences stand outside all marks
 NEAR = 240              # weight of an edge between blocks in one container; it falls with distance in the DOM
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*)>|<[!?/][^>]*>""", re.S)
@@ -64,9 +69,9 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _name_cost(value: str, tag: str, slug: bool) -> int:
-    """Cost of the names in a class or id; ``slug``: an id of a section inside an article."""
-    least = 0
+def _name_cost(value: str, tag: str, slug: bool) -> tuple[int, bool]:
+    """Cost of the names in a class or id, and whether one of them is in SURE; ``slug``: an id of a section inside an article."""
+    least, sure = 0, False
     for name in value.split():
         words = _WORD.findall(_CAMEL.sub(" ", name).lower())
         bad = [w in BAD_NAMES for w in words]
@@ -78,11 +83,12 @@ def _name_cost(value: str, tag: str, slug: bool) -> int:
             least = min(least, WEAK)
         else:
             least = min(least, NAME if all(bad) else COMPOUND)
-    return least
+            sure = sure or not SURE.isdisjoint(words)
+    return least, sure
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "good", "named", "skip", "own", "heart", "up", "size", "hearts", "holds", "bad")
+    __slots__ = ("tag", "parent", "depth", "good", "named", "skip", "own", "heart", "up", "size", "hearts", "holds", "bad", "sure")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: str):
         self.tag, self.parent = tag, parent
@@ -90,7 +96,7 @@ class _Node:
         self.good = parent.good if parent else False
         self.named = parent.named if parent else False
         self.skip = bool(parent and parent.skip) or tag in SKIPPED
-        self.own, self.heart = 0, tag in ("article", "main")
+        self.own, self.heart, self.sure = 0, tag in ("article", "main"), False
         if tag in BAD_TAGS or tag == "header" and not self.good:
             self.own = BAD
         elif tag in FORM_TAGS:
@@ -108,7 +114,8 @@ class _Node:
             name, value = name.lower(), html.unescape(next((v for v in values if v), ""))
             if name in ("class", "id"):
                 if self.tag not in ("html", "body", "main") and not (name == "id" and self.tag in HEADINGS):
-                    self.own = min(self.own, _name_cost(value, self.tag, name == "id" and self.tag == "section" and self.good))
+                    own, sure = _name_cost(value, self.tag, name == "id" and self.tag == "section" and self.good)
+                    self.own, self.sure = min(self.own, own), self.sure or sure
                 if not GOOD_NAMES.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
                     self.named = True
             elif name == "role":
@@ -129,7 +136,8 @@ def weigh(found: list[tuple[str, int, _Node]]) -> None:
     """Set ``bad`` of the nodes that are marked, or an article or main: the cost that their blocks have from marks.
 
     A mark is inherited until a main, or an article with a good part of the page's text, that has no mark itself. A name or
-    form counts little or not at all around such a one, or around most of the text when no other article is there.
+    form counts little or not at all around such a one, or around most of the text when no other article is there, no
+    sentences stand outside all marks and, for a name that is plain enough, what is inside is one text.
     """
     seen: dict[int, _Node] = {}
     total = 0
@@ -155,11 +163,14 @@ def weigh(found: list[tuple[str, int, _Node]]) -> None:
             box.size += n.size
             box.hearts += n.hearts
             box.holds = box.holds or n.holds
+    free = sum(len(text.split()) for text, linked, node in found if _sentences(text, linked) and not _marked(node))
     for n in order:
         own = n.own
         if own > BAD and own:
             inside = n.parent is not None and n.parent.good
             alone = own != NAME or n.tag in FORM_TAGS or not inside and everywhere == n.hearts
+            if alone and own < WEAK and n.tag not in FORM_TAGS and n.size * 2 >= total:
+                alone = free < FREE and (not n.sure or _one_text(n, found))
             if n.size >= MOST * total and alone:
                 own = 0
             elif n.holds or n.size * 2 >= total and alone:
@@ -168,6 +179,36 @@ def weigh(found: list[tuple[str, int, _Node]]) -> None:
         n.bad = own if clears(n) or box is None else min(own, box.bad)
 
 
+def _sentences(text: str, linked: int) -> bool:
+    return len(text) >= 40 and linked * 3 < len(text)
+
+
+def _marked(node: _Node) -> bool:
+    top = node.up
+    while top is not None and not top.own:
+        top = top.parent.up if top.parent else None
+    return top is not None
+
+
+def _one_text(top: _Node, found: list[tuple[str, int, _Node]]) -> bool:
+    """Whether ``top`` has a first heading or an article body, or one container in it holds most of its text directly, as paragraphs
+    of an article and unlike comments, teasers or entries of a list, of which each has its own."""
+    size: dict[int, int] = {}
+    for text, _, node in found:
+        box, heading = _block_node(node), False
+        up = node
+        while up is not None and up is not top:
+            heading = heading or up.tag == "h1"
+            up = up.parent
+        if up is None:
+            continue
+        if heading or node.good and not top.good:
+            return True
+        if box is not top and box.parent is not None and box.tag == "p":
+            size[id(box.parent)] = size.get(id(box.parent), 0) + len(text)
+    return max(size.values(), default=0) >= 0.6 * top.size
+
+
 def _bad(node: _Node) -> int:
     return node.up.bad if node.up is not None else 0
 
