@@ -65,5 +65,30 @@ def test_post_files_stream(spark, tmp_path):
     got = sorted((r.text, r.sentiment, r.favorite_count) for r in view.collect())
     assert got == [("bagus bagus", "positive", 5), ("biasa", "neutral", 0), ("buruk buruk", "negative", 1000)]
     assert view.select("id").distinct().count() == 3                 # ids unique across batches
-    led = spark.read.parquet(f"{out}/ledger").agg(F.sum("rows"), F.sum("saved"), F.sum("skipped")).first()
-    assert tuple(led) == (4, 3, 1)
+    led = spark.read.parquet(f"{out}/ledger")
+    assert tuple(led.agg(F.sum("rows"), F.sum("saved"), F.sum("skipped")).first()) == (4, 3, 1)
+    assert sorted(r.done for r in led.collect()) == [2, 4]
+
+
+def test_posts_seen_before_are_dropped_within_the_watermark(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    rows = [[("a", "2024-01-01 00:00:00", 1), ("b", "2024-01-01 00:05:00", 2), ("a", "2024-01-01 00:06:00", 3), (None, "2024-01-01 00:06:00", 4),
+             (None, "2024-01-01 00:06:00", 5)],
+            [("b", "2024-01-01 00:30:00", 6), ("c", "2024-01-01 00:31:00", 7), ("true", "2024-01-01 00:31:00", 8)],
+            [("late", "2023-12-01 00:00:00", 9), ("c", "2024-01-01 01:00:00", 10), ("d", "2024-01-01 01:00:00", 11)]]
+    schema = "id_str string, at string, n long"
+    for k, part in enumerate(rows):
+        df = spark.createDataFrame(part, schema).withColumn("at", F.col("at").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(inbox)
+    src = SL.read_inbox(spark, inbox, df.schema)
+    out = str(tmp_path / "out")
+
+    def store(batch, batch_id):
+        SL._overwrite_key(batch, out, batch_id)
+
+    q = (SL.first_posts(src, "id_str", "at", "1 day").writeStream.foreachBatch(store).trigger(availableNow=True)
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.awaitTermination()
+    got = [(r.id_str, r.n) for r in spark.read.parquet(out).collect()]
+    assert sorted(k for k, _ in got if k) == ["a", "b", "c", "d", "true"]        # one each; the one of December came too late
+    assert sorted(n for k, n in got if k is None) == [4, 5]

@@ -61,9 +61,33 @@ def _overwrite_key(df: DataFrame, path: str, batch_id: int) -> None:
        .partitionBy("batch_id").parquet(path))
 
 
+def first_posts(stream: DataFrame, key: str, time: str, delay: str = "1 day") -> DataFrame:
+    """A stream of posts without those whose ``key`` came before, within ``delay`` of event time.
+
+    State is one entry per key of the last ``delay``, dropped as the watermark passes, so it does not grow with the stream.
+    Rows without a key are told apart by all their columns. Rows later than the watermark are dropped, as Spark does.
+    """
+    name = "_post_key"
+    whole = F.xxhash64(*[F.col(c) for c in stream.columns])
+    keyed = stream.withColumn(name, F.when(F.col(key).isNotNull(), F.struct(F.lit(True).alias("own"), F.xxhash64(key).alias("h"),
+                                                                            F.col(key).cast("string").alias("k")))
+                              .otherwise(F.struct(F.lit(False).alias("own"), whole.alias("h"), F.lit("").alias("k"))))
+    return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark([name]).drop(name)
+
+
+def _done_before(spark: SparkSession, ledger: str, batch_id: int) -> int:
+    """Rows of all batches before ``batch_id``: what the batch before it has as ``done``, read from its own folder."""
+    from textlab.sources.store import path_exists
+    before = f"{ledger}={batch_id - 1}"
+    if not path_exists(spark, before):
+        return 0
+    return spark.read.parquet(before).agg(F.max("done")).first()[0] or 0
+
+
 def run_labeling(spark: SparkSession, labeled_stream: DataFrame, out: str, checkpoint: str | None = None,
                  available_now: bool = True):
-    """G1 + G3: store labelled rows per batch and append a ledger row ``(batch_id, rows, saved, skipped)``.
+    """G1 + G3: store labelled rows per batch and append a ledger row ``(batch_id, rows, saved, skipped, done)``,
+    ``done`` being the rows of all batches so far: each batch adds its own to those of the one before.
 
     ``saved`` are rows with text to score, ``skipped`` rows without (F2); the two counts come from one
     aggregate over the batch, which is persisted so the batch is read once for both writes.
@@ -78,6 +102,7 @@ def run_labeling(spark: SparkSession, labeled_stream: DataFrame, out: str, check
             _overwrite_key(batch.filter(ok), f"{out}/labeled", batch_id)
             ledger = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("saved"),
                                F.count_if(~ok | F.col("text").isNull()).alias("skipped"))
+            ledger = ledger.withColumn("done", F.col("rows") + _done_before(spark, f"{out}/ledger/batch_id", batch_id))
             _overwrite_key(ledger, f"{out}/ledger", batch_id)
         finally:
             batch.unpersist()
@@ -103,12 +128,9 @@ def run_running_stats(spark: SparkSession, stats_stream: DataFrame, out: str, ch
 
 def batch_ledger(spark: SparkSession, out: str) -> DataFrame:
     """The ledger with cumulative progress: rows done so far and percent of rows seen so far."""
-    from pyspark.sql import Window
     led = spark.read.parquet(f"{out}/ledger")
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("rows").over(Window.partitionBy())
-    return led.select("batch_id", "rows", "saved", "skipped", F.sum("rows").over(w).alias("done"),
-                      F.round(F.sum("rows").over(w) * 100.0 / total, 1).alias("percent"))
+    total = led.select(F.max("done")).scalar()
+    return led.select("batch_id", "rows", "saved", "skipped", "done", F.round(F.col("done") * 100.0 / total, 1).alias("percent"))
 
 
 def label_posts_stream(spark: SparkSession, inbox: str, out: str, make_scorer, rules: DataFrame | None = None,
@@ -138,7 +160,8 @@ def label_posts_stream(spark: SparkSession, inbox: str, out: str, make_scorer, r
         with temporary(spark):                       # the batch's own tables go once it is stored
             res = label_frame(spark, P.parse_posts(spark, files, columns), out, make_scorer, rules, id_start=(batch_id << 32) + 1,
                               partition=f"batch={batch_id}")
-            res.progress.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
+            done = F.col("rows") + _done_before(spark, f"{out}/ledger/batch", batch_id)
+            res.progress.withColumn("done", done).write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
