@@ -81,7 +81,9 @@ def test_open_quotes_header_only_and_labelling(spark, tmp_path, small_splits):
     assert [r.record for r in got if not r.closed] == ['"never closed,2\nmore'] and len(got) == 201
     (tmp_path / "b.csv").write_text("\n\nfull_text," + ",".join(f"column_{k}" for k in range(60)) + "\n\n\n")
     assert records(spark, str(tmp_path / "b.csv")).count() == 0
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")          # the store's tables are read with it as well
     write(tmp_path / "c.csv", posts(6))
+    assert spark.read.text(str(tmp_path / "c.csv")).rdd.getNumPartitions() > 1
     res = L.label_file(spark, str(tmp_path / "c.csv"), str(tmp_path / "out"), lexicon_scorer(["word"], ["x"]))
     p = res.progress.first()
     assert (p.rows, p.saved, p.skipped) == (300, 300, 0) and res.labeled.count() == 300

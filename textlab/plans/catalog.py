@@ -144,6 +144,16 @@ def q_label_csv(spark: SparkSession, sf: str) -> DataFrame:
     return res.labeled.select("id", "sentiment", "confidence", "favorite_count", "confidence_level", "popularity")
 
 
+def q_csv_split_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with line breaks and quotes inside, written as CSV and read line by line in splits."""
+    from textlab.sources import posts as P
+    path = scratch_path(spark, "split-csv")
+    text = F.replace("text", F.lit(". "), F.lit('."\n'))
+    P.write_csv(table(spark, sf, "documents").select(text.alias("full_text"), F.col("doc_id").cast("string").alias("id_str")), path)
+    rows = P.parse_split(spark, path, ["full_text", "id_str"], "UTF-8", False)
+    return rows.select(F.col("id_str").cast("long").alias("id"), "full_text", F.col(P.LONG).alias("too_long"))
+
+
 def q_stem_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every cleaned document with its words replaced by their Porter stems."""
     from textlab.functions.stem import stem_text
@@ -716,7 +726,7 @@ QUERIES = {
     "clean_text": q_clean_text, "tokenize": q_tokenize, "remove_stopwords": q_remove_stopwords,
     "softmax_classify": q_softmax_classify, "label_posts": q_label_posts, "feature_score": q_feature_score,
     "path_rules": q_path_rules, "python_scorer": q_python_scorer, "label_csv": q_label_csv,
-    "stem_text": q_stem_text,
+    "stem_text": q_stem_text, "csv_split_records": q_csv_split_records,
     "scan_posts": q_scan_posts, "scorable_posts": q_scorable_posts, "missing_columns": q_missing_columns,
     "preview_rows": q_preview_rows, "parse_created_at": q_parse_created_at, "import_defaults": q_import_defaults,
     "union_tagged": q_union_tagged,

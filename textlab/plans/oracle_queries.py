@@ -528,6 +528,7 @@ SQL = {
         r AS (SELECT w.id, string_agg(coalesce(lem.lemma, w.token), ' ' ORDER BY w.pos) AS lemmatized
               FROM w LEFT JOIN lem ON w.token = lem.token GROUP BY w.id)
         SELECT cd.id, coalesce(r.lemmatized, '') AS lemmatized FROM cd LEFT JOIN r ON cd.id = r.id""",
+    "csv_split_records": """SELECT doc_id AS id, replace(text, '. ', '."' || chr(10)) AS full_text, false AS too_long FROM documents""",
     "stem_text": f"""WITH {CLEAN_DOCS},
         wd AS (SELECT id, unnest({words_sql('t')}) AS word, generate_subscripts({words_sql('t')}, 1) AS pos FROM cd),
         d AS (SELECT DISTINCT word FROM wd),

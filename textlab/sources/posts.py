@@ -87,7 +87,7 @@ def _decoded(files: list[str]) -> list[str]:
     return [unquote(f) for f in files]                       # the metadata column has URL-encoded paths
 
 
-def _parse_split(spark: SparkSession, path, cols: list[str], encoding: str, crlf: bool) -> DataFrame:
+def parse_split(spark: SparkSession, path, cols: list[str], encoding: str, crlf: bool) -> DataFrame:
     """As :func:`_parse` with ``_LONG``, for files that are read by many tasks each: see :mod:`textlab.sources.csv_records`.
 
     The sentinel of :func:`_too_long` goes after each record, so that one parse gives the fields and tells whether they are too many.
@@ -114,7 +114,7 @@ def parse_posts(spark: SparkSession, path: str | list[str], columns: list[str] |
         where = _decoded(files) if files else path
         cols = columns or header_columns(spark, where, enc)
         if long:
-            df = _parse_split(spark, where, cols, enc, head.endswith("\r"))
+            df = parse_split(spark, where, cols, enc, head.endswith("\r"))
         else:
             df = _parse(spark, where, cols, enc)
             df = df.withColumn(LONG, _too_long(cols))
