@@ -177,28 +177,38 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The mix itself, with the columns of ``docs``: a document once for every whole time that it is taken, and once
     cut to its first words for a rest (one document of a source at most). ``n_chars`` follows the cut text.
 
-    Documents without words are not taken. Positions are computed as in :func:`mix`; ties and nulls as there.
+    Documents without words are not taken. Positions are computed as in :func:`mix`; ties and nulls as there. They come
+    from rows without texts; then a text is shuffled once, to the number of times that it is taken. Rows equal in id, text
+    and source share evenly what is taken of them; what is left over, and the cut, come from any one of them.
     """
-    names = fresh(docs, "_size", "_hash", "_tie", "_source")
+    def origin(name: str) -> Column:
+        return F.xxhash64(F.col(name).isNull(), F.col(name))
+
+    k1, k2, k3, row = fresh(docs, "_hash", "_tie", "_origin", "_row")
     body = F.coalesce(F.col(text), F.lit(""))
-    sized = _sized(docs, doc_id, text, source, seed)
-    light = materialize(sized, "mix-sized")
+    light = materialize(_sized(docs, doc_id, text, source, seed).withColumn("origin", origin("source")), "mix-sized")
     plan = materialize(source_plan(light), "mix-plan")
     buckets = power_of_two(light.count() / RANGE_ROWS)
-    taken = materialize(_taken(_placed(light, plan, buckets, []), materialize(schedule(plan), "mix-schedule")), "mix-taken")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"),
-                        n_words(F.col(text)).alias("size"),
-                        F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(body)).alias("mix_hash"),
-                        F.xxhash64(F.lit(seed + 1), F.col(doc_id), F.length(body), body).alias("tie"))
-    got = _placed(whole, plan, buckets, ["row"]).join(taken, ["idx", "start"])
-    rest = F.pmod("taken", "size")
-    copies = got.withColumn("rest", rest).withColumn("copy", F.explode(F.expr(
-        "sequence(0, cast(ceil(taken / size) as int) - 1)"))).filter("taken > 0")
-    cut = F.col("copy") >= F.floor(F.col("taken") / F.col("size"))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text}"), F.lit(r"[\x20\x09-\x0D]*" + NOT_SPACE), F.lit(0)),
-                                 F.lit(1), F.col("rest").cast("int")), "")
-    out = copies.withColumn("body", F.when(cut, first).otherwise(F.col(f"row.{text}")))
-    chars = F.when(cut, F.length("body")).otherwise(F.col(f"row.{n_chars}")) if n_chars in docs.columns else None
-    return out.select(*[F.col("body").alias(c) if c == text
-                        else chars.cast(docs.schema[c].dataType).alias(c) if c == n_chars
-                        else F.col("row")[c].alias(c) for c in docs.columns])
+    placed = materialize(_placed(light, plan, buckets, ["mix_hash", "tie", "origin"]), "mix-placed")
+    taken = materialize(_taken(placed, materialize(schedule(plan), "mix-schedule")), "mix-taken")
+    whole = F.sum(F.floor(F.col("taken") / F.col("size")))
+    uses = (placed.join(taken.hint("merge"), ["idx", "start"])          # both sides grow with the input
+            .groupBy(F.col("mix_hash").alias(k1), F.col("tie").alias(k2), F.col("origin").alias(k3))
+            .agg(F.floor(whole / F.count("*")).cast("int").alias("each"), F.pmod(whole, F.count("*")).cast("int").alias("more"),
+                 F.sum(F.pmod("taken", "size")).cast("int").alias("rest")))
+    uses = materialize(uses, "mix-uses")
+    last = materialize(uses.filter("more > 0 or rest > 0").drop("each"), "mix-last")    # one key of a source at most
+    keyed = docs.select(F.struct(*docs.columns).alias(row), F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(body)).alias(k1),
+                        F.xxhash64(F.lit(seed + 1), F.col(doc_id), F.length(body), body).alias(k2), origin(source).alias(k3))
+    even = (keyed.join(uses.filter("each > 0").select(k1, k2, k3, "each").hint("merge"), [k1, k2, k3])
+            .withColumn("copy", F.explode(F.expr("sequence(1, each)"))).select(f"{row}.*"))
+    odd = (keyed.join(last, [k1, k2, k3]).groupBy(k1, k2, k3, "more", "rest").agg(F.first(row).alias(row))
+           .withColumn("copy", F.explode(F.expr("sequence(1, more + if(rest > 0, 1, 0))"))))
+    cut = F.col("copy") > F.col("more")
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"{row}.{text}"), F.lit(r"[\x20\x09-\x0D]*" + NOT_SPACE), F.lit(0)),
+                                 F.lit(1), F.col("rest")), "")
+    odd = odd.withColumn("body", F.when(cut, first).otherwise(F.col(f"{row}.{text}")))
+    chars = F.when(cut, F.length("body")).otherwise(F.col(f"{row}.{n_chars}")) if n_chars in docs.columns else None
+    return even.unionByName(odd.select(*[F.col("body").alias(c) if c == text
+                                         else chars.cast(docs.schema[c].dataType).alias(c) if c == n_chars
+                                         else F.col(row)[c].alias(c) for c in docs.columns]))
