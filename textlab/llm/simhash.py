@@ -262,19 +262,25 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
              max_bits: int = 4) -> DataFrame:
     """Rows of ``docs``, one of each near-duplicate group: the one with the smallest id (nulls last).
 
-    Of rows with equal ids in a group one stays, chosen by a hash of its text; of wholly equal rows one
-    stays. All columns are kept; null or empty texts have fingerprint 0; an empty table stays empty. Rows are
-    written once with their fingerprint and a number of their own, by which the keepers are picked: each text is
-    read for its fingerprint once and shuffled once.
+    Of rows with equal ids in a group one stays, chosen by a hash of its text; of rows equal in id and text one
+    stays. All columns are kept; null or empty texts have fingerprint 0; an empty table stays empty. Fingerprints are
+    written without texts; the rows to keep are found by 128 bits of hash over id and text, so that each text is read for
+    its fingerprint once and shuffled once.
     """
-    print_, row, code, first = fresh(docs, "_print", "_row", "_code", "_first")
-    rows = materialize(fingerprints(docs, shingle, text, print_).withColumn(row, F.monotonically_increasing_id()), "keep-rows")
-    groups = materialize(rows.select(F.col(print_).alias(code), F.struct(
-        F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
-        F.col(row).alias("row")).alias("r"))
-        .groupBy(code).agg(F.min("r").alias(first)), "keep-first")
-    linked = materialize(link_fingerprints(groups.select(F.col(code).alias("code")), max_bits), "keep-linked")
-    rooted = (groups.join(linked, groups[code] == linked["node"], "left")
-              .select(first, F.coalesce("root", code).alias("root")))
-    kept = materialize(rooted.groupBy("root").agg(F.min(first).alias(first)).select(F.col(f"{first}.row").alias(row)), "keep-rows-kept")
-    return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)      # the keepers grow with the input
+    h1, h2 = fresh(docs, "_h1", "_h2")
+
+    def hashes(of: DataFrame) -> DataFrame:
+        key = (F.col(doc_id).isNull(), F.col(doc_id), F.coalesce(F.length(text), F.lit(-1)), F.col(text))
+        return of.withColumns({h1: F.xxhash64(F.lit(1), *key), h2: F.xxhash64(F.lit(2), *key[::-1])})
+
+    print_ = fresh(docs, "_print")[0]
+    rows = materialize(hashes(fingerprints(docs.select(doc_id, text), shingle, text, print_)).select(
+        F.col(print_).alias("code"), F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"),
+                                              F.col(h1).alias("h1"), F.col(h2).alias("h2")).alias("r")), "keep-prints")
+    groups = materialize(rows.groupBy("code").agg(F.min("r").alias("first")), "keep-first")
+    linked = materialize(link_fingerprints(groups.select("code"), max_bits), "keep-linked")
+    rooted = groups.join(linked, groups["code"] == linked["node"], "left").select("first", F.coalesce("root", "code").alias("root"))
+    kept = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.h1").alias(h1), F.col("first.h2").alias(h2)), "keep-kept")
+    # the keepers grow with the input; equal rows meet in the join's own partitions
+    return hashes(docs).join(kept.hint("merge"), [h1, h2], "left_semi").dropDuplicates([h1, h2]).select(*docs.columns)
