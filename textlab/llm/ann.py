@@ -10,6 +10,8 @@ Equal vectors are one vector with its smallest ids, so a vector that very many r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +22,8 @@ from textlab.sources.scratch import materialize
 TREES = 32
 BITS = 64
 SHARD_ROWS = 8192           # vectors of a shard, on average
-QUERY_ROWS = 2048           # queries that visit a shard together, on average
+QUERY_ROWS = 2048           # queries that a shard answers together, at most
+BLOCKS = 8                  # copies of a shard, each for a block of the queries, at most
 SAMPLE = 64                 # queries of a block on which a shard calibrates its number of candidates
 RECALL = 0.97               # wanted on that sample, against all vectors of the shard
 SALT_ROWS = 100_000         # rows of one vector that are gathered together at most, about
@@ -121,58 +124,90 @@ class Forest:
         return float("inf")
 
 
-def _search_group(k: int, trees: int, bits: int, recall: float, sample: int):
-    def run(table: pa.Table) -> pa.Table:
-        is_query = table.column("is_query").to_numpy()
-        vec = table.column("vec").combine_chunks()
-        dim = len(vec.flatten()) // max(1, len(vec))
-        x = vec.flatten().to_numpy().reshape(-1, dim).astype(np.float64)
-        ids = table.column("ids").to_pylist()
-        rows, asked = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-        rows = rows[np.lexsort(x[rows].T[::-1])] if len(rows) else rows      # the result is the same in any order of arrival
-        asked = asked[np.argsort(np.array([ids[i][0] for i in asked]), kind="stable")]
-        out: list[tuple] = []
-        if len(rows) and len(asked):
-            forest = Forest(x[rows], trees, bits)
-            first = np.array([ids[i][0] for i in rows])
-            codes = forest.query_codes(x[asked])
-            top = forest.descend(codes)
-            step = max(1, len(asked) // sample)
-            probe = np.arange(0, len(asked), step)[:sample]
-            enough = forest.enough(x[asked[probe]], codes[probe], min(k, len(rows)), recall, top)
-            lo, hi = forest.ascend(codes, enough, top)
-            for a in range(0, len(asked), 64):
-                part = asked[a:a + 64]
-                score = x[part] @ forest.x.T
-                mask = np.zeros(score.shape, bool)
-                for r in range(len(part)):
-                    for t in range(trees):
-                        mask[r, forest.order[lo[a + r, t]:hi[a + r, t], t]] = True
-                score[~mask] = -np.inf
-                for r, q in enumerate(part):
-                    found = np.flatnonzero(mask[r])
-                    if len(found) > k + 1:                  # all that may be among the k best, with ties; then exactly
-                        least = np.partition(score[r, found], len(found) - k - 1)[len(found) - k - 1]
-                        found = found[score[r, found] >= least - 1e-9 * max(1.0, abs(least))]
-                    exact = np.einsum("ij,j->i", forest.x[found], x[q])
-                    own = [ids[i] for i in rows[found]]
-                    value, ident = np.repeat(exact, [len(o) for o in own]), np.array([v for o in own for v in o], np.int64)
-                    value, ident = value[ident != ids[q][0]], ident[ident != ids[q][0]]
-                    best = np.lexsort((ident, -value))[:k]
-                    out.append((int(q), ident[best], value[best]))
-        size = [len(o[1]) for o in out]
-        at = np.repeat(np.array([o[0] for o in out], np.int64), size)
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"query_id": pa.array(np.array([i[0] for i in ids], np.int64)[at]), "query_key": table.column("query_key").take(pa.array(at)),
-                         "vec_id": pa.array(np.concatenate([o[1] for o in out] or none).astype(np.int64)),
-                         "score": pa.array(np.concatenate([o[2] for o in out] or none).astype(np.float64))})
+class Shard:
+    """One shard's forest with its vectors' ids; answers queries in parts, of any number."""
+
+    def __init__(self, parts: list[pa.RecordBatch], k: int, trees: int, bits: int, recall: float):
+        table = pa.Table.from_batches(parts)
+        x, ids = _matrix(table.column("vec").combine_chunks()), table.column("ids").to_pylist()
+        rows = np.lexsort(x.T[::-1])                        # the result is the same in any order of arrival
+        self.k, self.recall, self.wanted = k, recall, None
+        self.ids = [ids[i] for i in rows]
+        self.forest = Forest(x[rows], trees, bits)
+
+    def answer(self, asked: pa.Table, sample: int) -> pa.RecordBatch:
+        """The ``k`` best candidates of each query; the first call calibrates on its first ``sample`` queries."""
+        forest, k = self.forest, self.k
+        q = _matrix(asked.column("vec").combine_chunks())
+        own = np.array([i[0] for i in asked.column("ids").to_pylist()], np.int64)
+        codes = forest.query_codes(q)
+        top = forest.descend(codes)
+        if self.wanted is None:
+            self.wanted = forest.enough(q[:sample], codes[:sample], min(k, len(forest.x)), self.recall, top)
+        lo, hi = forest.ascend(codes, self.wanted, top)
+        at, found_ids, found_scores = [], [], []
+        for r in range(len(q)):
+            mask = np.zeros(len(forest.x), bool)
+            for t in range(forest.trees):
+                mask[forest.order[lo[r, t]:hi[r, t], t]] = True
+            found = np.flatnonzero(mask)
+            if len(found) > k + 1:                          # all that may be among the k best, with ties; then exactly
+                score = forest.x[found] @ q[r]
+                least = np.partition(score, len(found) - k - 1)[len(found) - k - 1]
+                found = found[score >= least - 1e-9 * max(1.0, abs(least))]
+            exact = np.einsum("ij,j->i", forest.x[found], q[r])
+            names = [self.ids[i] for i in found]
+            value, ident = np.repeat(exact, [len(o) for o in names]), np.array([v for o in names for v in o], np.int64)
+            value, ident = value[ident != own[r]], ident[ident != own[r]]
+            best = np.lexsort((ident, -value))[:k]
+            at.append(np.full(len(best), r))
+            found_ids.append(ident[best])
+            found_scores.append(value[best])
+        at = np.concatenate(at)
+        keys = asked.column("query_key").to_numpy()
+        return pa.record_batch({"query_id": pa.array(own[at]), "query_key": pa.array(keys[at]),
+                                "vec_id": pa.array(np.concatenate(found_ids)), "score": pa.array(np.concatenate(found_scores))})
+
+
+def _matrix(vec: pa.Array) -> np.ndarray:
+    return vec.flatten().to_numpy().reshape(len(vec), -1).astype(np.float64)
+
+
+def _search_sorted(k: int, trees: int, bits: int, recall: float, sample: int):
+    """Over rows sorted by (shard, block, dim, is_query): a shard is built from its vectors, then its queries stream by."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, vectors, shard, waiting = None, [], None, []
+
+        def ask(least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal shard, vectors, waiting
+            if vectors and sum(map(len, waiting)) >= least:
+                shard = shard or Shard(vectors, k, trees, bits, recall)
+                yield shard.answer(pa.Table.from_batches(waiting), sample)
+                waiting = []
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("shard", "block", "dim")], axis=1).astype(np.int64)
+            asks = batch.column("is_query").to_numpy(zero_copy_only=False)
+            mark = np.c_[keys, asks]
+            cuts = np.r_[0, np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1, len(mark)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if tuple(keys[i]) != now:
+                    yield from ask(1)                       # fewer than a sample: all that there are
+                    now, vectors, shard, waiting = tuple(keys[i]), [], None, []
+                if asks[i]:
+                    for a in range(i, j, QUERY_ROWS):
+                        waiting.append(batch.slice(a, min(j - a, QUERY_ROWS)))
+                        yield from ask(1 if shard else sample)
+                else:
+                    vectors.append(batch.slice(i, j - i))
+        yield from ask(1)
 
     return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
            trees: int = TREES, bits: int = BITS, recall: float = RECALL, shard_rows: int = SHARD_ROWS,
-           query_rows: int = QUERY_ROWS) -> DataFrame:
+           query_rows: int = QUERY_ROWS, blocks: int = BLOCKS) -> DataFrame:
     """The ``k`` vectors of ``vectors`` with the largest inner product for every row of ``queries``, but its own id.
 
     Returns query_id, rank (from 1), vec_id, score (double, on the original vectors), nearest first, ties to smaller ids.
@@ -188,16 +223,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     salts = max(64, rows.count() // SALT_ROWS)
     data = materialize(distinct_vectors(rows, k + 1, salts), "ann-vectors")
     asked = materialize(clean(queries).distinct(), "ann-queries")
-    shards, blocks = max(1, data.count() // shard_rows), max(1, asked.count() // query_rows)
-    # a stated query set against all vectors, block by block: a block of queries visits every shard once
+    shards, blocks = max(1, data.count() // shard_rows), min(blocks, max(1, asked.count() // query_rows))
+    # a stated query set against all vectors: a query visits every shard, a vector is copied once a block, ``blocks`` at most
     left = data.select(F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("query_key"), "vec", "ids",
                        F.pmod(F.xxhash64("vec"), F.lit(shards)).alias("shard"),
                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     right = asked.select(F.lit(True).alias("is_query"), F.xxhash64("vec").alias("query_key"), "vec", F.array("id").alias("ids"),
                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
                          F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    found = (left.unionByName(right).groupBy("shard", "block", F.size("vec").alias("dim"))
-             .applyInArrow(_search_group(k, trees, bits, recall, SAMPLE), "query_id long, query_key long, vec_id long, score double"))
+    # sorted, a shard's vectors come first, then its queries in the order of a hash: the first of them are a fair sample
+    found = (left.unionByName(right).withColumn("dim", F.size("vec")).repartition("shard", "block")
+             .sortWithinPartitions("shard", "block", "dim", "is_query", F.xxhash64("ids", "query_key"), "ids")
+             .mapInArrow(_search_sorted(k, trees, bits, recall, SAMPLE), "query_id long, query_key long, vec_id long, score double"))
     best = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
