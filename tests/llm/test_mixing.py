@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from rows import SF, awkward, documents, empty  # noqa: F401 - fixtures
+from rows import DOCS, SF, awkward, documents, empty  # noqa: F401 - fixtures
 from textlab.llm import mixing
 from textlab.sources.scratch import materialize
 
@@ -100,3 +100,16 @@ def test_small_sources_reach_their_target_in_a_large_corpus(spark, documents, mo
 def test_blocks_do_not_grow_with_the_corpus(spark):
     sized = spark.createDataFrame([("a", 5 * 10**9), ("b", 1000)], "source string, size long")
     assert {r.block for r in mixing.source_plan(sized).collect()} == {mixing.MOST_BLOCK}
+
+
+def test_equal_rows_share_what_is_taken_of_them(spark):
+    rows = [(1, "a b c d e", "en", "s", 9)] * 7 + [(2, "f g h", "en", "s", 5)] * 4 + [(3, "i j", "en", None, 3)] * 3 + [(None, "k l", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want: dict = {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+    got: dict = {}
+    for r in mixing.mixed_documents(docs).collect():
+        assert r.n_chars == len(r.text)
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(r.text.split())
+    assert got == {k: n for k, n in want.items() if n}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from rows import SF
+from rows import SF, awkward, empty  # noqa: F401 - fixtures
 from test_simhash import components, direct
 from test_text_rules import plain_verdicts
 from textlab.llm import mixing, packing, quality, secret_scan
@@ -63,3 +63,12 @@ def test_stages_equal_brute_force(spark, tmp_path):
     for name, _ in corpus_pipeline.STAGES[:-1]:
         assert out[name].columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+def test_stages_take_awkward_and_empty_tables(awkward, empty):
+    for docs in (awkward, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(docs.sparkSession, docs, SF)
+            assert got.columns == docs.columns and got.count() <= 2 * docs.count()
+        packed = corpus_pipeline.best_fit_packing(docs.sparkSession, docs, SF)
+        assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
