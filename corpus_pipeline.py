@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing, one operator of textlab.llm a stage.
 
 Each stage takes all rows that its predecessor kept, is written as Parquet, and is read again as the next one's docs.
+All stages read whole texts, however long, count null text as empty, allow null and repeated ids, keep extra columns
+whatever their names (the last one returns pieces instead), and make an empty table of an empty one.
 """
 
 from __future__ import annotations
@@ -19,25 +21,34 @@ def ready(spark: SparkSession) -> None:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and their group's adaptive thresholds keep; the others go."""
+    """Documents that the base rules and their group's adaptive thresholds keep; the others go.
+
+    Null and empty texts go; null languages and sources are groups of their own; equal rows are judged alike.
+    """
     ready(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: 4-word shingles, links at 4 or fewer differing bits, the smallest doc_id stays."""
+    """One document of each SimHash group: 4-word shingles, links at 4 or fewer differing bits, the smallest doc_id stays.
+
+    Null ids come last; of rows equal in id and text one stays; texts without words have fingerprint 0 and link like any other.
+    """
     ready(spark)
     return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in a text replaced by a mark."""
+    """All documents, with every secret in a text replaced by a mark. Null texts stay null, equal rows stay as many."""
     ready(spark)
     return secret_scan.without_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, a source's last one cut to the words that are still wanted."""
+    """The documents as often as the mix takes them, a source's last one cut to the words that are still wanted.
+
+    Documents without words are not taken; the null source is a source of its own; equal rows share what is taken of them.
+    """
     ready(spark)
     return mixing.mixed_documents(docs)
 
