@@ -76,3 +76,13 @@ def test_filter_and_projection_reach_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<text_id:bigint,sentiment:string>" in plan or \
            "struct<text_id:bigint,sentiment:string>" in plan         # only the needed columns are read
     assert "preprocessed_text" not in plan
+
+
+def test_dates_that_are_text_follow_the_store_rule(spark, tmp_path):
+    dates = ["Tue Jan 02 03:04:05 +0000 2024", "2024-01-02 03:04:05", "2024-01-02", "soon", None, "Tue nonsense"]
+    rows = [(i, "t", "t", "neutral", 0.5, 1, d, None, None, "s") for i, d in enumerate(dates)]
+    df = spark.createDataFrame(rows, "id long, text string, preprocessed_text string, sentiment string, confidence double, "
+                                     "favorite_count int, created_at string, location string, username string, source_dataset string")
+    paths = ST.save_labeled(spark, df, str(tmp_path / "store"))
+    got = [str(r.created_at) for r in spark.read.parquet(paths["texts"]).orderBy("id").collect()]
+    assert got == ["2024-01-02 03:04:05", "2024-01-02 03:04:05", "2024-01-02 00:00:00", "None", "None", "None"]

@@ -74,14 +74,17 @@ SPLIT_SEED = 42
 DEFAULT_TRAIN_PERCENT = 80
 MAX_FEATURES = 2000
 HISTOGRAM_BINS = 20
-# ---------------------------------------------------------------------------------------------
-
-# Tweet CSV as exported by the scraper; everything is read as text and cast explicitly.
+# columns of a post CSV, and of the joined view
 TWEET_COLUMNS = [
     "conversation_id_str", "created_at", "favorite_count", "full_text", "id_str", "image_url",
     "in_reply_to_screen_name", "lang", "location", "quote_count", "reply_count", "retweet_count",
     "tweet_url", "user_id_str", "username",
 ]
+LABELED_VIEW_COLUMNS = ["id", "text", "preprocessed_text", "sentiment", "confidence", "favorite_count",
+                        "created_at", "location", "username", "source_dataset"]
+# ---------------------------------------------------------------------------------------------
+
+# Tweet CSV as exported by the scraper; everything is read as text and cast explicitly.
 TWEET_CSV = T.StructType([T.StructField(c, T.StringType(), True) for c in TWEET_COLUMNS])
 
 TEXTS = T.StructType([
@@ -123,5 +126,3 @@ MODEL_REGISTRY = T.StructType([
     T.StructField("accuracy", T.DoubleType(), True),
     T.StructField("created_at", T.TimestampType(), True),
 ])
-LABELED_VIEW_COLUMNS = ["id", "text", "preprocessed_text", "sentiment", "confidence", "favorite_count",
-                        "created_at", "location", "username", "source_dataset"]

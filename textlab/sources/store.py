@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab import schema as S
+from textlab.functions.dates import format_created_at
 
 
 def allocate_ids(df: DataFrame, natural_key: str, start: int = 1, out: str = "text_id",
@@ -40,9 +41,12 @@ def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str
 
     The id allocation is materialised once (a Parquet table in the shared checkpoint folder), so
     the three writes cannot see different ids even if a task is recomputed after executor loss.
-    Rows without metadata (``has_metadata`` false, when the column exists) get no metadata row.
+    Rows without metadata (``has_metadata`` false, when the column exists) get no metadata row. A ``created_at`` that is
+    still text is read by the store's rule (T10): with a day name as a social-media date, else as an ISO time, else null.
     """
     from textlab.sources.scratch import materialize
+    if dict(df.dtypes)["created_at"] == "string":
+        df = df.withColumn("created_at", format_created_at("created_at").try_cast("timestamp_ntz"))
     if id_start is None:
         id_start = next_id(spark, base) if mode == "append" else 1
     x = materialize(allocate_ids(df, natural_key, start=id_start), "allocated-ids")
