@@ -16,9 +16,9 @@ SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 
 URL_RE = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
 MENTION_RE = rf"@[{WORD}]+"
-HASH_RE = "#"
-NON_WORD_RE = rf"[^{WORD}{SPACE}]"
-SPACES_RE = rf"[{SPACE}]+"
+HASH = "#"
+# non-words to spaces and runs of spaces to one, in one pass: no space is a word character; a-z0-9 are tested first
+GAP_RE = rf"[^a-z0-9{WORD}]+"
 TOKEN_RE = rf"[{WORD}]{{2,}}"
 # largest word table that is broadcast to every task
 BROADCAST_MAX_WORDS = 1_000_000
@@ -33,9 +33,8 @@ def clean_text(c) -> Column:
     x = F.lower(_col(c))
     x = F.regexp_replace(x, URL_RE, "")
     x = F.regexp_replace(x, MENTION_RE, "")
-    x = F.regexp_replace(x, HASH_RE, "")
-    x = F.regexp_replace(x, NON_WORD_RE, " ")
-    x = F.regexp_replace(x, SPACES_RE, " ")
+    x = F.replace(x, F.lit(HASH))
+    x = F.regexp_replace(x, GAP_RE, " ")
     return F.trim(x)
 
 

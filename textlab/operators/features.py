@@ -17,11 +17,14 @@ from textlab.functions.text import vector_tokens
 def doc_terms(df: DataFrame, id_col: str = "id", text_col: str = "preprocessed_text") -> DataFrame:
     """``(id, term, tf)`` for every distinct token of every document, one row of ``df`` each.
 
-    Counted inside the row: the sorted tokens' runs of equal ones are the counts, so no token is shuffled.
+    Counted inside the row: the sorted tokens' runs of equal ones are the counts, so no token is shuffled. A row without
+    tokens has no runs; it is not filtered out, as Spark would move that below the shuffle that spreads the texts, and
+    clean and split every text there a second time, in as few tasks as the file has splits.
     """
-    t = df.select(F.col(id_col).alias("id"), F.array_sort(vector_tokens(text_col)).alias("_s")).filter(F.size("_s") > 0)
+    t = df.select(F.col(id_col).alias("id"), F.array_sort(vector_tokens(text_col)).alias("_s"))
     s = F.col("_s")
-    first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1))
+    first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
     t = t.select("id", "_s", first.alias("_at"))
     at = F.col("_at")
     end = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(s)))
