@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,9 @@ MAX_CLASSES = 256
 #: A tree with at most so many nodes is sent to the tasks that predict with it; a larger one is joined, a level a step.
 SHARED_NODES = 500_000
 
+#: Non-zeros and rows of the largest node that one task finishes: some 50 bytes each as Arrow columns, as much again as arrays.
+LOCAL_CELLS = 2_000_000
+
 NODES = ("node_id string, parent_id string, depth int, feature string, threshold double, class string, majority string, "
          "n long, is_leaf boolean")
 
@@ -51,7 +56,8 @@ def thresholds(assign: DataFrame, nz: DataFrame, summary: DataFrame, classes: in
     ``assign``: (id, node, y) with y the class number; thresholds with fewer than ``min_leaf`` rows on a side are left out.
     """
     each = [F.count_if(F.col("y") == k).alias(f"r{k}") for k in range(classes)]
-    hist = assign.join(nz, "id").groupBy("node", "term", "value").agg(*each)
+    # a hash table of the rows, which are few beside their non-zeros: these need no sort
+    hist = assign.hint("shuffle_hash").join(nz, "id").groupBy("node", "term", "value").agg(*each)
     down = Window.partitionBy("node", "term").orderBy(F.desc("value"))       # the distinct values of one term in one node
     run = hist.select("node", "term", "value", F.lead("value").over(down).alias("below"),
                       *[F.sum(f"r{k}").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias(f"r{k}") for k in range(classes)])
@@ -69,27 +75,24 @@ def best_thresholds(found: DataFrame) -> DataFrame:
             .select("node", F.col("b.term").alias("feature"), F.col("b.threshold").alias("threshold")))
 
 
-def _grow_small(pdf: pd.DataFrame, classes: list[str], criterion: str, max_depth: int | None, min_split: int,
-                min_leaf: int) -> pd.DataFrame:
+def _grow_small(table: pa.Table, classes: list[str], criterion: str, max_depth: int | None, min_split: int,
+                min_leaf: int) -> pa.Table:
     """The subtree of one small node, by the same rules: its rows have no term, the others are its non-zeros."""
-    head = pdf[pdf["term"].isna()].sort_values("id")
+    from textlab.operators.node_cells import NodeCells, codes
+    is_row = pc.is_null(table["term"])
+    head = table.filter(is_row).select(["id", "y", "path", "depth"]).to_pandas().sort_values("id")
     ids, y = head["id"].to_numpy(), head["y"].to_numpy(np.int64)
     path0, depth0, k = head["path"].iloc[0], int(head["depth"].iloc[0]), len(classes)
-    body = pdf[pdf["term"].notna()]
-    terms, t = np.unique(body["term"].to_numpy().astype(str), return_inverse=True)
-    r, v = np.searchsorted(ids, body["id"].to_numpy()), body["value"].to_numpy(float)
-    order = np.lexsort((v, t))
-    t, r, v = t[order], r[order], v[order]                  # by term and value: every node's part stays in that order
-
-    def best(rows: np.ndarray, cells: np.ndarray, counts: np.ndarray):
-        if not len(cells):
+    body = table.filter(pc.invert(is_row))
+    terms, t = codes(body["term"])
+    cells = NodeCells(y, k, np.searchsorted(ids, body["id"].to_numpy()), t, body["value"].to_numpy().astype(float))
+
+    def best(rows: np.ndarray, counts: np.ndarray, whole: np.ndarray | None):
+        groups, c = cells.present(rows, whole)
+        if not len(groups):
             return None
-        tt, vv = t[cells], v[cells]
-        new = np.concatenate([[True], (tt[1:] != tt[:-1]) | (vv[1:] != vv[:-1])])
-        group = np.cumsum(new) - 1
-        c = np.zeros((group[-1] + 1, k))
-        np.add.at(c, (group, y[r[cells]]), 1)
-        gt, gv = tt[new], vv[new]
+        c = c.astype(float)
+        gt, gv = cells.gt[groups], cells.gv[groups]
         upto = np.cumsum(c, axis=0)
         first = np.searchsorted(gt, gt, "left")
         last = np.searchsorted(gt, gt, "right") - 1
@@ -109,32 +112,36 @@ def _grow_small(pdf: pd.DataFrame, classes: list[str], criterion: str, max_depth
         cost = np.where(ok, np.round(cost / counts.sum(), TIE_DECIMALS), np.inf)
         g = int(np.argmin(cost))
         low = gv[g - 1] if g > first[g] else 0.0
-        return terms[gt[g]], int(gt[g]), (gv[g] + low) / 2
+        return int(gt[g]), float((gv[g] + low) / 2)
 
-    out, todo = [], [(path0, depth0, np.arange(len(ids)), np.arange(len(t)))]
+    every = np.arange(len(ids))
+    out, todo = [], [(path0, depth0, every, cells.children([every], None)[0])]
     while todo:
-        path, depth, rows, cells = todo.pop()
+        path, depth, rows, whole = todo.pop()
         counts = np.bincount(y[rows], minlength=k).astype(float)
         majority, parent = classes[int(np.argmax(counts))], (path[:-1] if path else None)
         split = None
         if (counts > 0).sum() > 1 and len(rows) >= min_split and (max_depth is None or depth < max_depth):
-            split = best(rows, cells, counts)
+            split = best(rows, counts, whole)
         if split is None:
             out.append((path, parent, depth, None, None, majority, majority, len(rows), True))
             continue
-        term, number, limit = split
-        out.append((path, parent, depth, term, limit, None, majority, len(rows), False))
-        over = np.zeros(len(ids), bool)
-        a, b = np.searchsorted(t[cells], [number, number + 1])
-        hit = cells[a:b]
-        over[r[hit[v[hit] > limit]]] = True
-        for side in (True, False):
-            todo.append((path + "01"[side], depth + 1, rows[over[rows] == side], cells[over[r[cells]] == side]))
-    return pd.DataFrame(out, columns=["node_id", "parent_id", "depth", "feature", "threshold", "class", "majority", "n", "is_leaf"])
+        term, limit = split
+        out.append((path, parent, depth, terms[term], limit, None, majority, len(rows), False))
+        a, b = np.searchsorted(cells.gt, [term, term + 1]).tolist()
+        over = np.zeros(len(rows), bool)
+        over[cells.rows_of(rows, a + int(np.searchsorted(cells.gv[a:b], limit, "right")), b)[0]] = True
+        parts = [rows[~over], rows[over]]
+        for side, part, own in zip("01", parts, cells.children(parts, whole)):
+            todo.append((path + side, depth + 1, part, own))
+    kinds = {"depth": pa.int32(), "threshold": pa.float64(), "n": pa.int64(), "is_leaf": pa.bool_()}
+    names = [c.split()[0] for c in NODES.split(", ")]
+    return pa.Table.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False,
+                                schema=pa.schema([(c, kinds.get(c, pa.string())) for c in names]))
 
 
 def grow(rows: DataFrame, nz: DataFrame, criterion: str = "gini", max_depth: int | None = None, min_samples_split: int = 2,
-         min_samples_leaf: int = 1, local_cells: int = 200_000) -> DataFrame:
+         min_samples_leaf: int = 1, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """M1: the node table (``NODES``) of the tree; an id is its path, ``0`` for values up to the threshold and ``1`` above.
 
     ``rows``: (id, label); ``nz``: (id, term, value), value above 0. Rows carry a 64-bit node key, paths live in the
@@ -164,8 +171,8 @@ def grow(rows: DataFrame, nz: DataFrame, criterion: str = "gini", max_depth: int
     most = F.greatest(*counts, F.lit(0))
     majority = F.coalesce(*[F.when(F.col(f"c{c}") == most, F.lit(name)) for c, name in enumerate(classes)])
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _grow_small(pdf, classes, criterion, max_depth, min_samples_split, min_samples_leaf)
+    def finish(table: pa.Table) -> pa.Table:
+        return _grow_small(table, classes, criterion, max_depth, min_samples_split, min_samples_leaf)
 
     while True:
         assign = materialize(assign, f"threshold-rows-{depth}")
@@ -192,7 +199,7 @@ def grow(rows: DataFrame, nz: DataFrame, criterion: str = "gini", max_depth: int
             cells = own.join(nz, "id").select("node", F.lit(None).cast("string").alias("path"), "id", F.lit(None).cast("int").alias("y"),
                                               "term", "value")
             (base.unionByName(cells).withColumn("depth", F.lit(depth)).groupBy("node")
-             .applyInPandas(finish, NODES).write.parquet(f"{folder}/small-{depth}"))
+             .applyInArrow(finish, NODES).write.parquet(f"{folder}/small-{depth}"))
             parts.append(f"{folder}/small-{depth}")
         best = leaf.limit(0)
         if "large" in seen:

@@ -63,13 +63,14 @@ def node_summary(cnt: DataFrame) -> DataFrame:
 
 def value_counts(assign: DataFrame, nz: DataFrame) -> DataFrame:
     """``(node, term, v, label, c)`` from the non-zeros of every node's rows."""
-    return (assign.join(nz, "id").groupBy("node", "term", F.col("tf").cast("long").alias("v"), "label")
+    # a hash table of the rows, which are few beside their non-zeros: these need no sort
+    return (assign.hint("shuffle_hash").join(nz, "id").groupBy("node", "term", F.col("tf").cast("long").alias("v"), "label")
             .agg(F.count(F.lit(1)).alias("c")))
 
 
 def gain_ratios(assign: DataFrame, nz: DataFrame, cnt: DataFrame, summ: DataFrame) -> DataFrame:
     """A19 for every (open node, term with a non-zero there): info gain, split info, gain ratio."""
-    return ratios_of(value_counts(assign, nz), cnt, summ)
+    return ratios_of(materialize(value_counts(assign, nz), "tree-counts"), cnt, summ)      # the counts are read four times
 
 
 def ratios_of(c: DataFrame, cnt: DataFrame, summ: DataFrame) -> DataFrame:
@@ -110,62 +111,49 @@ def _parent_of(path: str):
     return None if path == "" else path.rsplit("/", 1)[0]
 
 
-def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
+def _finish_local(table, max_depth: int | None, eps: float = GAIN_EPS):
     """Grow the subtree of one small node inside one task, with the same rules as the level job.
 
-    ``pdf`` holds the node's rows (``term`` null) and its non-zeros; the caller bounds it by its cell
-    limit. The matrix stays sparse (row-sorted non-zeros): for every node, the counts per (term, value,
-    class) come from one ``np.unique`` over the node's non-zeros, the zero branch is the node's class
-    counts minus those, and all gain ratios of the node are array arithmetic. Iterative, no recursion.
+    ``table`` (Arrow) holds the node's rows (``term`` null) and its non-zeros; the caller bounds it by its cell limit. The
+    matrix stays sparse (:class:`textlab.operators.node_cells.NodeCells`): a node has its counts per (term, value, class),
+    the zero branch is its class counts minus those, and all gain ratios of the node are array arithmetic.
     """
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    head = pdf[pdf["term"].isna()]
-    node0 = head["node"].iloc[0]
-    depth0 = int(head["depth"].iloc[0])
-    sv0 = head["split_value"].iloc[0]
+    from textlab.operators.node_cells import NodeCells, codes
+
+    is_row = pc.is_null(table["term"])
+    head = table.filter(is_row).select(["id", "label", "node", "depth", "split_value"]).to_pandas()
+    node0, depth0, sv0 = head["node"].iloc[0], int(head["depth"].iloc[0]), head["split_value"].iloc[0]
     rows = head[["id", "label"]].drop_duplicates("id").sort_values("id")
     ids = rows["id"].to_numpy()
     classes, y = np.unique(rows["label"].to_numpy().astype(str), return_inverse=True)
     n_cls = len(classes)
-    nzp = pdf[pdf["term"].notna()]
-    terms, t_all = np.unique(nzp["term"].to_numpy().astype(str), return_inverse=True)
-    n_terms = len(terms)
-    r_all = np.searchsorted(ids, nzp["id"].to_numpy())
-    v_all = nzp["tf"].to_numpy().astype(np.int64)
-    order = np.lexsort((t_all, r_all))                      # CSR by row
-    r_all, t_all, v_all = r_all[order], t_all[order], v_all[order]
-    row_ptr = np.searchsorted(r_all, np.arange(len(ids) + 1))
-    vspan = int(v_all.max()) + 1 if len(v_all) else 1
+    body = table.filter(pc.invert(is_row))
+    terms, t_all = codes(body["term"])
+    cells = NodeCells(y, n_cls, np.searchsorted(ids, body["id"].to_numpy()), t_all, body["tf"].to_numpy().astype(np.int64))
+    top = max([len(ids), *np.diff(cells.post_ptr).tolist()])
+    logs = np.arange(top + 1, dtype=float)                       # x log2 x of every count there can be
+    logs[1:] *= np.log2(logs[1:])
 
     def xlogx(a):
-        a = np.asarray(a, dtype=float)
-        return np.where(a > 0, a * np.log2(np.where(a > 0, a, 1.0)), 0.0)
-
-    def node_nz(idx):
-        lens = row_ptr[idx + 1] - row_ptr[idx]
-        total = int(lens.sum())
-        if total == 0:
-            return np.empty(0, np.int64)
-        starts = np.repeat(row_ptr[idx] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens)
-        return starts + np.arange(total)
+        return logs[np.maximum(a, 0)]
 
-    def best_term(idx, cnt):
+    def best_term(idx, cnt, whole):
         n = len(idx)
-        pos = node_nz(idx)
-        if len(pos) == 0:
+        groups, m = cells.present(idx, whole)
+        if not len(groups):
             return None, None
-        t, v, c = t_all[pos], v_all[pos], y[r_all[pos]]
-        key = (t * vspan + v) * n_cls + c
-        ukey, kc = np.unique(key, return_counts=True)
-        tv = ukey // n_cls
-        utv, inv = np.unique(tv, return_inverse=True)
-        nb = np.bincount(inv, weights=kc)
-        sc = np.bincount(inv, weights=xlogx(kc))
-        bt = utv // vspan
-        tc = (ukey // n_cls) // vspan * n_cls + ukey % n_cls
-        nzsum = np.bincount(tc, weights=kc, minlength=n_terms * n_cls).reshape(n_terms, n_cls)
+        gt = cells.gt[groups]
+        new = np.concatenate([[True], gt[1:] != gt[:-1]])
+        bt, names = np.cumsum(new) - 1, gt[new]
+        n_terms = len(names)
+        nb = m.sum(axis=1)
+        sc = xlogx(m).sum(axis=1)
+        nzsum = np.stack([np.bincount(bt, weights=m[:, c], minlength=n_terms) for c in range(n_cls)], axis=1).astype(np.int64)
         zc = cnt[None, :] - nzsum                                   # zero branch per (term, class)
         zn = zc.sum(axis=1)
         a = np.bincount(bt, weights=xlogx(nb) - sc, minlength=n_terms) + xlogx(zn) - xlogx(zc).sum(axis=1)
@@ -183,33 +171,38 @@ def _finish_local(pdf, max_depth: int | None, eps: float = GAIN_EPS):
             return None, None
         gr_c = np.where(cand, gr, -np.inf)
         j = int(np.argmax(gr_c))                                    # first max = alphabetically first term
-        return j, float(gr_c[j])
+        return int(names[j]), float(gr_c[j])
 
     out = []
-    stack = [(node0, sv0, depth0, np.arange(len(ids)))]
+    every = np.arange(len(ids))
+    stack = [(node0, sv0, depth0, every, cells.children([every], None)[0])]
     while stack:
-        path, sv, depth, idx = stack.pop()
-        cnt = np.bincount(y[idx], minlength=n_cls).astype(float)
+        path, sv, depth, idx, whole = stack.pop()
+        cnt = np.bincount(y[idx], minlength=n_cls)
         n = len(idx)
         majority = classes[sorted(range(n_cls), key=lambda k: (-cnt[k], classes[k]))[0]]
         j, g = (None, None)
         if (cnt > 0).sum() > 1 and (max_depth is None or depth < max_depth):
-            j, g = best_term(idx, cnt)
+            j, g = best_term(idx, cnt, whole)
         if j is None or abs(g) < eps:
             out.append((path, _parent_of(path), sv, depth, None, majority, majority, n, True))
             continue
         out.append((path, _parent_of(path), sv, depth, terms[j], None, majority, n, False))
         vals = np.zeros(n, np.int64)
-        pos = node_nz(idx)
-        hit = pos[t_all[pos] == j]
-        vals[np.searchsorted(idx, r_all[hit])] = v_all[hit]
-        for v in np.unique(vals)[::-1]:
-            child = f"{path}/{str(int(v)).zfill(VALUE_WIDTH)}"
-            stack.append((child, str(int(v)), depth + 1, idx[vals == v]))
-    return pd.DataFrame(out, columns=["node_id", "parent_id", "split_value", "depth", "feature", "class",
-                                      "majority", "n", "is_leaf"])
-
-
+        at, group = cells.rows_of(idx, *np.searchsorted(cells.gt, [j, j + 1]).tolist())
+        vals[at] = cells.gv[group]
+        found = np.unique(vals)[::-1]
+        parts = [idx[vals == v] for v in found]
+        for v, part, own in zip(found, parts, cells.children(parts, whole)):
+            stack.append((f"{path}/{str(int(v)).zfill(VALUE_WIDTH)}", str(int(v)), depth + 1, part, own))
+    names = ["node_id", "parent_id", "split_value", "depth", "feature", "class", "majority", "n", "is_leaf"]
+    frame = pd.DataFrame(out, columns=names)
+    kinds = dict(depth=pa.int32(), n=pa.int64(), is_leaf=pa.bool_())
+    return pa.Table.from_pandas(frame, schema=pa.schema([(c, kinds.get(c, pa.string())) for c in names]), preserve_index=False)
+
+
+#: Non-zeros and rows of the largest node that one task finishes: some 50 bytes each as Arrow columns, as much again as arrays.
+LOCAL_CELLS = 2_000_000
 #: Rows of one large node that a task gets to split off in one pass (0: every level is a pass of its own).
 PEEL_ROWS = 20_000
 PEELED = ("kind string, gkey long, id long, node_id string, parent_id string, split_value string, depth int, feature string, "
@@ -336,7 +329,7 @@ def _peel_pass(assign, nz, cnt, summ, counts, found, best, max_depth, peel_rows,
 
 
 def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, checkpoint: bool = True,
-               local_cells: int = 2_000_000, copartition: bool = True, peel_rows: int = PEEL_ROWS) -> DataFrame:
+               local_cells: int = LOCAL_CELLS, copartition: bool = True, peel_rows: int = PEEL_ROWS) -> DataFrame:
     """M2: grow the multiway gain-ratio tree; returns the node table.
 
     ``rows``: ``(id, label)``; ``nz``: ``(id, term, tf)`` with ``tf > 0``.
@@ -346,7 +339,7 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
     Rows carry a compact 64-bit node key (a hash of the parent key and the branch value) and their
     count of non-zeros; node paths live only in the per-level node table, so the row payload of
     every shuffle stays the same however deep the tree grows. A node whose sparse size (non-zeros
-    plus rows) is at most ``local_cells`` is finished inside one task (``applyInPandas`` per node,
+    plus rows) is at most ``local_cells`` is finished inside one task (``applyInArrow`` per node,
     a checked bound); larger nodes split by distributed jobs. ``local_cells=0`` keeps everything
     distributed.
 
@@ -413,7 +406,7 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
                                            F.col("tf").cast("long"))
             long = base.unionByName(nzs).withColumnRenamed("node", "gkey").withColumnRenamed("path", "node")
             md = max_depth
-            sub = long.groupBy("gkey").applyInPandas(lambda pdf: _finish_local(pdf, md), NODE_SCHEMA)
+            sub = long.groupBy("gkey").applyInArrow(lambda t: _finish_local(t, md), NODE_SCHEMA)
             keep(sub, f"local-{depth}")
         split_nodes = None
         if modes.get("dist") and copartition and not cached:

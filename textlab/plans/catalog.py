@@ -551,10 +551,9 @@ def tree_inputs(spark, sf):
     stop-word removal (V1, T9)."""
     from textlab.functions.text import english_stop_words
     from textlab.sources.scratch import materialize
-    lab = labeled(spark, sf)
-    train = SP.train_test_split(lab.select("id"), "id", TRAIN_PERCENT).filter(F.col("split_type") == "train")
-    tr = lab.join(train.select("id"), "id", "left_semi")
-    rows = tr.select("id", F.col("sentiment").alias("label"))
+    split = SP.train_test_split(labeled(spark, sf), "id", TRAIN_PERCENT)         # a comparison in the row: no text is moved
+    tr = split.filter(F.col("split_type") == "train")
+    rows = materialize(tr.select("id", F.col("sentiment").alias("label")), "tree-rows")
     stop = spark.createDataFrame([(w,) for w in english_stop_words()], "term string")    # 181 words
     # cleaning and tokenising is the heavy part; it feeds both the vocabulary and the matrix, so it is
     # written once to the shared scratch folder instead of being computed twice
@@ -652,7 +651,7 @@ def q_threshold_tree_dot(spark, sf):
 
 def q_threshold_tree_nodes(spark, sf):
     """M1 without a depth limit: the whole tree's node table; large nodes split by jobs, small ones finish side by side."""
-    return _threshold_tree(spark, sf, local_cells=50_000)[0]
+    return _threshold_tree(spark, sf)[0]
 
 
 def q_tree_model_report(spark, sf):
