@@ -89,3 +89,25 @@ def test_open_quotes_header_only_and_labelling(spark, tmp_path, small_splits):
     assert (p.rows, p.saved, p.skipped) == (300, 300, 0) and res.labeled.count() == 300
     assert {r.sentiment: r.n for r in res.stats.collect()} == {s: res.labeled.filter(f"sentiment = '{s}'").count() for s in
                                                                ("negative", "neutral", "positive")}
+
+
+def test_only_records_over_a_splits_end_are_shuffled(spark, tmp_path, monkeypatch):
+    from textlab.sources import csv_records
+    made = {}
+
+    def keep(df, name):
+        made[name] = materialize(df, name)
+        return made[name]
+
+    materialize = csv_records.materialize
+    monkeypatch.setattr(csv_records, "materialize", keep)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        write(tmp_path / "in.csv", [[f"a\nb\n{k}", str(k), "u"] for k in range(1000)])
+        got = records(spark, str(tmp_path / "in.csv"))
+        assert sorted(r.record for r in got.collect()) == sorted(f'"a\nb\n{k}",{k},u' for k in range(1000))
+        splits = spark.read.text(str(tmp_path / "in.csv")).rdd.getNumPartitions()
+        assert 2 < splits < 10 and made["csv-splits"].count() <= 3 * splits        # totals, an end and a beginning each
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
