@@ -96,16 +96,19 @@ def label_frame(spark: SparkSession, raw: DataFrame, out: str, make_scorer, rule
     labeled = R.apply_rules(scored, R.rule_list(rules), category_rules, popularity_rules)
     to_store = labeled.select(F.col("_row").alias("id"), F.col("full_text").alias("text"), "preprocessed_text",
                               "sentiment", "confidence", "favorite_count", "created_at", "location", "username",
-                              "source_dataset", "confidence_level", "sentiment_category", "popularity", "_error")
+                              "source_dataset", "confidence_level", "sentiment_category", "popularity", "_error",
+                              F.monotonically_increasing_id().alias("_store_row"))
     done = Observation()
     ok = F.col("_error").isNull()
     counts = [F.count_if(ok & (F.col("sentiment") == s)).alias(s) for s in S.SENTIMENTS]
     every = materialize(to_store.observe(done, F.count_if(ok).alias("saved"), *counts), "label-output")   # scored once
-    stored = every.filter(ok).drop("_error")
+    numbered = every.filter(ok).drop("_error")
+    stored = numbered.drop("_store_row")
     failed = every.filter(~ok).select(F.col("_error").alias("reason"), F.col("text").alias("record"))
     quarantine = f"{out.rstrip('/')}/quarantine" + (f"/{partition}" if partition else "")
     failed.unionByName(rejected).write.mode(mode).parquet(quarantine)
-    paths = ST.save_labeled(spark, stored, out, natural_key="id", mode=mode, id_start=id_start, partition=partition)
+    paths = ST.save_labeled(spark, numbered, out, natural_key="id", mode=mode, id_start=id_start, partition=partition,
+                            row="_store_row")
     rows, found = seen.get.get("rows", 0), done.get
     stats = distribution_of_counts(spark, {s: found.get(s, 0) for s in S.SENTIMENTS}, pct_decimals=1)
     saved = found.get("saved", 0)

@@ -33,14 +33,17 @@ def allocate_ids(df: DataFrame, natural_key: str, start: int = 1, out: str = "te
 
 
 def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str = "id",
-                 mode: str = "overwrite", id_start: int | None = None, partition: str | None = None) -> dict[str, str]:
+                 mode: str = "overwrite", id_start: int | None = None, partition: str | None = None,
+                 row: str | None = None) -> dict[str, str]:
     """K3 / K4: store labelled records as three tables sharing one allocated ``text_id``.
 
     Ids are dense from ``id_start``; unless given, that is 1, or with ``mode='append'`` one above the largest stored id.
     Appends to one store must not run at the same time.
 
     The id allocation is materialised once (a Parquet table in the shared checkpoint folder), so
-    the three writes cannot see different ids even if a task is recomputed after executor loss.
+    the three writes cannot see different ids even if a task is recomputed after executor loss. It runs on keys alone, and
+    a text moves once, to its id, past a hash table. ``row`` names a number that tells the rows of a stored ``df`` apart;
+    without it ``df`` is written once with such a number.
     Rows without metadata (``has_metadata`` false, when the column exists) get no metadata row. A ``created_at`` that is
     still text is read by the store's rule (T10): with a day name as a social-media date, else as an ISO time, else null.
     """
@@ -49,7 +52,12 @@ def save_labeled(spark: SparkSession, df: DataFrame, base: str, natural_key: str
         df = df.withColumn("created_at", format_created_at("created_at").try_cast("timestamp_ntz"))
     if id_start is None:
         id_start = next_id(spark, base) if mode == "append" else 1
-    x = materialize(allocate_ids(df, natural_key, start=id_start), "allocated-ids")
+    if row is None:
+        row = "_store_row"
+        df = materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows-to-store")
+    keys = df.select(row, F.col(natural_key).alias("_key"))
+    ids = materialize(allocate_ids(keys, "_key", start=id_start).select(row, "text_id"), "allocated-ids")
+    x = df.join(ids.hint("shuffle_hash"), row)
     has_meta = F.col("has_metadata") if "has_metadata" in df.columns else F.lit(True)
     sub = f"/{partition}" if partition else ""            # e.g. "batch=7": one folder per stream batch
     paths = {t: f"{base.rstrip('/')}/{t}{sub}" for t in ("texts", "sentiments", "metadata")}

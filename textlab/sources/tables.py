@@ -7,7 +7,7 @@ metadata). Everything is one lazy plan; Catalyst prunes the columns a query does
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.functions.scoring import classify, softmax
@@ -43,7 +43,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(target, key)
 
 
-def score_documents(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, vectors: DataFrame, near: bool = False) -> DataFrame:
     """Pair each document with a class-score vector (``vec_id = doc_id mod |vectors|``) and classify it.
 
     The vector count is one number fetched before the plan runs (Parquet answers it from file
@@ -51,14 +51,26 @@ def score_documents(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     offsets, streams) cannot run a subquery nested in an adaptive broadcast stage. The join is an
     equi-join on an expression key, so AQE picks broadcast only when the vector table is small enough
     and sort-merge otherwise. ``docs`` may be a streaming DataFrame (stream-static join).
+    ``near`` as in :func:`label_documents`.
     """
     n_vec = F.lit(vectors.count())
-    dv = docs.join(vectors, F.pmod(docs["doc_id"], n_vec) == vectors["vec_id"], "inner")
+    if near:
+        vectors = _near(vectors, "vec_id", docs, F.pmod("doc_id", n_vec))
     logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * F.lit(LOGIT_SCALE))
-    out = dv.select(
-        docs["doc_id"].alias("id"), "text", F.col("source").alias("source_dataset"), "lang",
-        logits.alias("logits"))
-    out = out.withColumn("probs", softmax("logits"))
+    scores = vectors.select("vec_id", logits.alias("logits"))             # three numbers of a vector move, not all
+    dv = docs.join(scores, F.pmod(docs["doc_id"], n_vec) == scores["vec_id"], "inner")
+    out = dv.select(docs["doc_id"].alias("id"), "text", F.col("source").alias("source_dataset"), "lang", "logits")
+    return _classified(out)
+
+
+def _near(static: DataFrame, key: str, docs: DataFrame, wanted: Column) -> DataFrame:
+    """Rows of ``static`` with a ``key`` from the least to the largest value ``wanted`` of ``docs``: all that can join."""
+    low, high = docs.agg(F.min(wanted), F.max(wanted)).first()
+    return static.filter(F.lit(False) if low is None else F.col(key).between(low, high))
+
+
+def _classified(df: DataFrame) -> DataFrame:
+    out = df.withColumn("probs", softmax("logits"))
     cls = classify("probs")
     return out.withColumn("sentiment", cls["sentiment"]).withColumn("confidence", F.round(cls["confidence"], 6))
 
@@ -68,12 +80,28 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
 
 
-def label_documents(docs: DataFrame, vectors: DataFrame, events: DataFrame) -> DataFrame:
-    """The canonical labelled record for ``docs`` (batch or streaming): scored, cleaned, with metadata."""
-    s = score_documents(docs, vectors)
+def label_documents(docs: DataFrame, vectors: DataFrame, events: DataFrame, near: bool = False) -> DataFrame:
+    """The canonical labelled record for ``docs`` (batch or streaming): scored, cleaned, with metadata.
+
+    A batch is joined by its ids first, and the result with the documents by id, so a text is moved once, and past a hash
+    table instead of being sorted. An id that occurs several times in any of the tables gives as many rows as direct joins.
+    With ``near`` (a batch only) its least and largest id are found first, and of the other tables only rows between are read
+    on: for a small part of the documents whose ids lie together. The rows are the same for any ids.
+    """
     e = (events.filter(F.col("event_type") != "error")
          .select("event_id", "ts", "user_id", "event_type", "value"))
-    j = s.join(e, s["id"] == e["event_id"], "left")
+    if docs.isStreaming:
+        s = score_documents(docs, vectors)
+        j = s.join(e, s["id"] == e["event_id"], "left")
+    else:
+        ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+        bare = ids.withColumns({"text": F.lit(None), "source": F.lit(None), "lang": F.lit(None)})
+        if near:
+            e = _near(e, "event_id", docs, F.col("doc_id"))
+        found = score_documents(bare, vectors, near).select(F.col("id").alias("own_id"), "logits")
+        found = found.join(e, found["own_id"] == e["event_id"], "left")
+        d = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_dataset"), "lang")
+        j = _classified(d.join(found.hint("shuffle_hash"), d["id"] == found["own_id"]).drop("own_id"))
     return j.select(
         "id", "text", clean_text("text").alias("preprocessed_text"), "sentiment", "confidence",
         F.floor(F.col("value") * 10).cast("int").alias("favorite_count"),
