@@ -92,3 +92,20 @@ def test_posts_seen_before_are_dropped_within_the_watermark(spark, tmp_path):
     got = [(r.id_str, r.n) for r in spark.read.parquet(out).collect()]
     assert sorted(k for k, _ in got if k) == ["a", "b", "c", "d", "true"]        # one each; the one of December came too late
     assert sorted(n for k, n in got if k is None) == [4, 5]
+
+
+def test_a_batch_shuffles_only_what_its_ids_can_join(spark):
+    """Ids that repeat, lie apart or are null; static rows outside their range are not read on, and the rows are those of the whole tables."""
+    from textlab.sources.tables import label_documents
+    docs = spark.createDataFrame([(5, "a b", "x", "en"), (5, "c", "x", "en"), (9, None, None, None), (None, "n", "y", "en")],
+                                 "doc_id long, text string, source string, lang string")
+    vec = spark.createDataFrame([(k % 7, [float(k % 3), 0.5, 0.1]) for k in range(9)], "vec_id long, embedding array<float>")
+    ev = spark.createDataFrame([(k, "error" if k == 6 else "view", k * 0.5, k) for k in [0, 5, 5, 6, 9, 50]],
+                               "event_id long, event_type string, value double, user_id long").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    cols = ["id", "text", "sentiment", "confidence", "favorite_count", "username", "source_dataset", "has_metadata"]
+    far = sorted(tuple(r) for r in label_documents(docs, vec, ev).select(*cols).fillna("").collect())
+    near = sorted(tuple(r) for r in label_documents(docs, vec, ev, near=True).select(*cols).fillna("").collect())
+    by_hand = [(d, v, e) for d in (5, 5, 9) for v in range(9) if v % 7 == d % 9 for e in ([5, 5] if d == 5 else [9])]
+    assert near == far and len(far) == len(by_hand) > 0
+    plan = label_documents(docs, vec, ev, near=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" in plan and "<= 9" in plan and ">= 5" in plan

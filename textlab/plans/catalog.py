@@ -679,15 +679,20 @@ def _stream_run(spark, sf, labels: bool = True, stats: bool = True):
     inbox = ST_.stage_inbox(docs, scratch_path(spark, "inbox"), max(STREAM_FILES, docs.rdd.getNumPartitions()))
     out = scratch_path(spark, "stream-out")
     vec, ev = table(spark, sf, "embeddings"), table(spark, sf, "events")
-    running = []
     if labels:
-        lab = ST_.label_stream(ST_.read_inbox(spark, inbox, docs.schema), vec, ev, shipped_conf_rules())
-        running.append(ST_.run_labeling(spark, lab, out))
+        q = ST_.run_labeling(spark, ST_.read_inbox(spark, inbox, docs.schema), out,
+                             label=lambda batch: ST_.label_stream(batch, vec, ev, shipped_conf_rules()))
+        q.awaitTermination()
     if stats:
-        lab2 = ST_.label_stream(ST_.read_inbox(spark, inbox, docs.schema), vec, ev)
-        running.append(ST_.run_running_stats(spark, ST_.running_stats(lab2), f"{out}/stats"))
-    for q in running:
+        scored, columns = scratch_path(spark, "stream-scored"), ["sentiment", "confidence"]
+        q = ST_.run_scoring(spark, ST_.read_inbox(spark, inbox, docs.schema), scored,
+                            lambda batch: ST_.label_stream(batch, vec, ev), columns)
         q.awaitTermination()
+        # the state has a key a class: with the usual number of partitions nearly all of them would be kept empty
+        own = spark.newSession()
+        own.conf.set("spark.sql.shuffle.partitions", str(len(S.SENTIMENTS)))
+        rows = ST_.read_inbox(own, f"{scored}/*", "sentiment string, confidence double")
+        ST_.run_running_stats(own, ST_.running_stats(rows), f"{out}/stats").awaitTermination()
     return out
 
 
