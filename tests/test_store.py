@@ -86,3 +86,17 @@ def test_dates_that_are_text_follow_the_store_rule(spark, tmp_path):
     paths = ST.save_labeled(spark, df, str(tmp_path / "store"))
     got = [str(r.created_at) for r in spark.read.parquet(paths["texts"]).orderBy("id").collect()]
     assert got == ["2024-01-02 03:04:05", "2024-01-02 03:04:05", "2024-01-02 00:00:00", "None", "None", "None"]
+
+
+def test_ids_are_allocated_on_keys_alone(spark, tmp_path, monkeypatch):
+    import textlab.sources.store as ST
+    seen = []
+    real = ST.allocate_ids
+    monkeypatch.setattr(ST, "allocate_ids", lambda df, *a, **k: (seen.append(df.columns), real(df, *a, **k))[1])
+    rows = [(k, f"text {k}", "t", "neutral", 0.5, None, None, None, None, "src") for k in [7, 7, 3, None, 9]]
+    df = spark.createDataFrame(rows, "id long, text string, preprocessed_text string, sentiment string, confidence double, favorite_count int, "
+                                     "created_at timestamp_ntz, location string, username string, source_dataset string")
+    paths = ST.save_labeled(spark, df, str(tmp_path / "store"))
+    got = {r.id: r.text for r in spark.read.parquet(paths["texts"]).collect()}
+    assert got == {1: "text 3", 2: "text 7", 3: "text 7", 4: "text 9", 5: "text None"}
+    assert [c for cols in seen for c in cols if c in ("text", "preprocessed_text")] == [] and len(seen) == 1
