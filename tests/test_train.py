@@ -76,3 +76,14 @@ def test_registry_roundtrip(spark, trained, tmp_path):
     a = TR.predict(r.model, x).select("id", "predicted").orderBy("id").collect()
     b = TR.predict(model, x).select("id", "predicted").orderBy("id").collect()
     assert a == b
+
+
+def test_no_partition_of_the_learner_is_too_large(spark, monkeypatch):
+    from textlab.operators import train as TRN
+    rows = [(k, f"alpha beta{k % 3} gamma{k % 5}", ["negative", "neutral", "positive"][k % 3]) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, preprocessed_text string, sentiment string").coalesce(1)
+    before = sorted(tuple(r) for r in TRN.train(df).predictions.collect())
+    monkeypatch.setattr(TRN, "PARTITION_BYTES", 400)
+    sizes = TRN.spread_points(df, 120, 9).rdd.glom().map(len).collect()
+    assert len(sizes) == 11 and max(sizes) * 9 * TRN.POINT_BYTES <= 2 * 400
+    assert sorted(tuple(r) for r in TRN.train(df).predictions.collect()) == before

@@ -30,6 +30,8 @@ from textlab.sources.scratch import materialize
 
 # DecisionTreeClassifier refuses depths above 30; no limit given means the deepest tree it can grow.
 MAX_TREE_DEPTH = 30
+# The learner keeps every row as an array with a 4-byte bin per feature, and a task reads a partition of them on each level.
+POINT_BYTES, PARTITION_BYTES = 4, 128 << 20
 
 
 @dataclass
@@ -92,6 +94,14 @@ def fit_features(train: DataFrame, p: TrainParams, text_col: str = "preprocessed
     return PipelineModel(stages=stages)
 
 
+def spread_points(featurised: DataFrame, rows: int, features: int) -> DataFrame:
+    """``featurised`` in so many partitions that none is above ``PARTITION_BYTES`` as the learner keeps it.
+
+    A partition of sparse vectors, or of the texts they come from, is much smaller than the arrays made of it."""
+    wanted = math.ceil(rows * features * POINT_BYTES / PARTITION_BYTES)
+    return featurised.repartition(wanted) if wanted > featurised.rdd.getNumPartitions() else featurised
+
+
 def fit_classifier(featurised: DataFrame, p: TrainParams, label_col: str = "sentiment") -> PipelineModel:
     """M1 + M4: index labels (alphabetical), fit the tree, map predictions back to label strings."""
     indexer = StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc",
@@ -136,7 +146,8 @@ def train(df: DataFrame, p: TrainParams | None = None, id_col: str = "id", text_
     n_feat = len(feats.stages[[i for i, s in enumerate(feats.stages)
                                if isinstance(s, CountVectorizerModel)][0]].vocabulary)
     log.append(("vectorize", f"{p.vectorization}, {n_feat} features"))
-    clf = fit_classifier(feats.transform(train_df), p)
+    points = feats.transform(train_df).select("sentiment", "features")
+    clf = fit_classifier(spread_points(points, n.get("train", 0), n_feat), p)
     model = PipelineModel(stages=feats.stages + clf.stages)
     log.append(("train", f"decision tree, {tree_params(p)}"))
     pred = model.transform(test_df).select("id", F.col("sentiment").alias("actual"), "predicted")
