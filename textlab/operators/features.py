@@ -17,19 +17,19 @@ from textlab.functions.text import vector_tokens
 def doc_terms(df: DataFrame, id_col: str = "id", text_col: str = "preprocessed_text") -> DataFrame:
     """``(id, term, tf)`` for every distinct token of every document, one row of ``df`` each.
 
-    Counted inside the row: the sorted tokens' runs of equal ones are the counts, so no token is shuffled. A row without
-    tokens has no runs; it is not filtered out, as Spark would move that below the shuffle that spreads the texts, and
-    clean and split every text there a second time, in as few tasks as the file has splits.
+    Counted inside the row: the sorted tokens' runs of equal ones are the counts, so no token is shuffled. Tokens are sorted
+    by their natural order, and a lambda, which Spark interprets, looks once at each. A row without tokens has no runs; it is
+    not filtered out, as Spark would move that below the shuffle that spreads the texts, and clean and split every text there
+    a second time, in as few tasks as the file has splits.
     """
-    t = df.select(F.col(id_col).alias("id"), F.array_sort(vector_tokens(text_col)).alias("_s"))
-    s = F.col("_s")
-    places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1))
-    first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    t = t.select("id", "_s", first.alias("_at"))
-    at = F.col("_at")
+    t = df.select(F.col(id_col).alias("id"), F.sort_array(vector_tokens(text_col)).alias("_s"))
+    s, at = F.col("_s"), F.col("_at")
+    first = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)))
+    t = t.select("id", "_s", F.when(F.size(s) > 0, first).alias("_at"))
     end = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(s)))
-    runs = F.zip_with(at, end, lambda i, j: F.struct(F.get(s, i).alias("term"), (j - i).cast("long").alias("tf")))
-    return t.select("id", F.explode(runs).alias("_r")).select("id", "_r.term", "_r.tf")
+    t = t.select("id", F.transform(at, lambda i: F.get(s, i)).alias("_term"), "_at", end.alias("_end"))
+    t = t.select("id", F.inline(F.arrays_zip("_term", "_at", "_end")).alias("term", "_from", "_to"))
+    return t.select("id", "term", (F.col("_to") - F.col("_from")).cast("long").alias("tf"))
 
 
 def term_stats(terms: DataFrame) -> DataFrame:

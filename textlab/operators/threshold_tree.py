@@ -75,6 +75,19 @@ def best_thresholds(found: DataFrame) -> DataFrame:
             .select("node", F.col("b.term").alias("feature"), F.col("b.threshold").alias("threshold")))
 
 
+def step(assign: DataFrame, best: DataFrame, nz: DataFrame) -> DataFrame:
+    """(id, y, row_nnz, parent, side, node): the rows of ``assign`` one level down, by the ``best`` threshold of their node.
+
+    Of the matrix only cells of the terms that split a node of this level are moved to the rows, not all of it a level.
+    """
+    split = best.withColumnRenamed("feature", "term")
+    asked = nz.join(split.select("term"), "term", "left_semi")
+    side = (F.coalesce("value", F.lit(0.0)) > F.col("threshold")).cast("int")
+    return (assign.join(split, "node").join(asked, ["id", "term"], "left")
+            .select("id", "y", "row_nnz", F.col("node").alias("parent"), side.alias("side"))
+            .withColumn("node", F.xxhash64("parent", "side")))
+
+
 def _grow_small(table: pa.Table, classes: list[str], criterion: str, max_depth: int | None, min_split: int,
                 min_leaf: int) -> pa.Table:
     """The subtree of one small node, by the same rules: its rows have no term, the others are its non-zeros."""
@@ -214,11 +227,7 @@ def grow(rows: DataFrame, nz: DataFrame, criterion: str = "gini", max_depth: int
         parts.append(f"{folder}/level-{depth}")
         if "large" not in seen or best.isEmpty():
             break
-        value = F.coalesce("value", F.lit(0.0))
-        side = (value > F.col("threshold")).cast("int")
-        assign = (assign.join(best.withColumnRenamed("feature", "term"), "node").join(nz, ["id", "term"], "left")
-                  .select("id", "y", "row_nnz", F.col("node").alias("parent"), side.alias("side"))
-                  .withColumn("node", F.xxhash64("parent", "side")))
+        assign = step(assign, best, nz)
         paths = summary.join(best.select("node"), "node", "left_semi").select(F.col("node").alias("parent"), F.col("path").alias("ppath"))
         depth += 1
     nz.unpersist()
