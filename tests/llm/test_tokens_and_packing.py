@@ -35,6 +35,41 @@ def test_ids_of_documents(enc, documents):
         assert enc.encode(r.text) == np.array(enc.tokenizer.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+class Counting(dict):
+    """A memory that counts how often it is asked."""
+
+    asked = 0
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.asked += 1
+        return super().__contains__(key)
+
+
+def test_each_word_is_looked_up_once():
+    one = Encoder(public_path(FILES[0]))
+    one.cache = Counting(one.cache)
+    for text in ("some words of a text, some words", "some words of another text: zyxwvut 12", "a text of words"):
+        one.cache.asked = 0
+        assert one.encode(text) == np.array(one.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert one.cache.asked == len(text.split())
+
+
+def test_words_at_hand_give_the_ids_of_their_text(enc):
+    for text in ("", " \n", "Some words,\tof a TEXT", "été 12 #x", "<|endoftext|> a\x00b"):
+        data = text.encode()
+        assert enc.encode_words(data, data.split()) == enc.encode(text)
+    for data in (b"a\xff b\xe2\x82 c", b"\xe2 \x82\xac"):            # not UTF-8
+        assert enc.encode_words(data, data.split()) == enc.encode(data.decode("utf-8", "replace"))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 1 << 17), st.integers(0, (1 << 64) - 1)), max_size=300), st.integers(1, 70))
 def test_simple8b_round_trip(ids, block):
