@@ -27,20 +27,32 @@ def codes(column) -> tuple[np.ndarray, np.ndarray]:
     return names[order], place[d.indices.to_numpy(zero_copy_only=False)]
 
 
+def places(key: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, each one's place among them) of numbers from 0 to ``span - 1``; without a sort where they lie close."""
+    if span > 8 * len(key) + 1_000_000:
+        return np.unique(key, return_inverse=True)
+    seen = np.zeros(span, bool)
+    seen[key] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32 if span < 2**31 else np.int64) - 1)[key]
+
+
 class NodeCells:
     """``row``, ``term`` and ``value`` per cell; ``y`` is the class number of every row, of ``k`` classes."""
 
     def __init__(self, y: np.ndarray, k: int, row: np.ndarray, term: np.ndarray, value: np.ndarray):
         self.y, self.k, n = y, k, len(y)
         values, v = np.unique(value, return_inverse=True)
-        key, g = np.unique(term.astype(np.int64) * max(1, len(values)) + v, return_inverse=True)
-        self.gt, self.gv = key // max(1, len(values)), values[key % max(1, len(values))]
-        by_row = np.argsort(row, kind="stable")
-        self.row_ptr = np.searchsorted(row[by_row], np.arange(n + 1))
-        self.key = (g * k + y[row])[by_row]                       # cells by row: the group and the row's class
-        by_group = np.argsort(g, kind="stable")
-        self.post_ptr = np.searchsorted(g[by_group], np.arange(len(key) + 1))
-        self.post_row = row[by_group]                             # cells by group: their rows
+        width = max(1, len(values))
+        key, g = places(term.astype(np.int64) * width + v, (int(term.max()) + 1) * width if len(term) else 0)
+        self.gt, self.gv = key // width, values[key % width]
+        if (row[1:] < row[:-1]).any():
+            by_row = np.argsort(row, kind="stable")
+            row, g = row[by_row], g[by_row]
+        self.row_ptr = np.searchsorted(row, np.arange(n + 1))
+        small = len(key) * k < 2**31
+        self.key = g.astype(np.int32 if small else np.int64) * k + y[row].astype(np.int32 if small else np.int64)   # cells by row: the group and the row's class
+        self.post_ptr = np.concatenate([[0], np.cumsum(np.bincount(g, minlength=len(key)))])
+        self.post_row = row[np.argsort(g, kind="stable")]         # cells by group: their rows
         self.here = np.zeros(n, bool)
 
     def size(self, rows: np.ndarray) -> int:

@@ -9,10 +9,15 @@ have no threshold, or reach ``max_depth`` (None: no limit).
 
 A node whose non-zeros and rows are at most ``local_cells`` is finished inside one task, many such nodes side by side;
 larger ones are split by the jobs. Levels are written to the shared folder, so a lost executor costs one level.
+
+Where no id repeats, rows are packed (:mod:`textlab.operators.chains`), and a large node is split in a task again and
+again along its lower side, while the rows above the thresholds are few.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +26,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlab.operators import chains as CH
+from textlab.operators.node_cells import NodeCells, codes
 from textlab.sources.scratch import materialize, scratch_path
 
 TIE_DECIMALS = 12
@@ -28,9 +35,6 @@ MAX_CLASSES = 256
 #: A tree with at most so many nodes is sent to the tasks that predict with it; a larger one is joined, a level a step.
 SHARED_NODES = 500_000
 
-#: Non-zeros and rows of the largest node that one task should get: some 50 bytes each as Arrow columns, as much again as arrays.
-LOCAL_CELLS = 2_000_000
-
 NODES = ("node_id string, parent_id string, depth int, feature string, threshold double, class string, majority string, "
          "n long, is_leaf boolean")
 
@@ -90,8 +94,7 @@ def step(assign: DataFrame, best: DataFrame, nz: DataFrame) -> DataFrame:
 
 def _grow_small(table: pa.Table, classes: list[str], criterion: str, max_depth: int | None, min_split: int,
                 min_leaf: int) -> pa.Table:
-    """The subtree of one small node, by the same rules: its rows have no term, the others are its non-zeros."""
-    from textlab.operators.node_cells import NodeCells, codes
+    """The subtree of one small node whose rows are not packed: its rows have no term, the others are its non-zeros."""
     is_row = pc.is_null(table["term"])
     head = table.filter(is_row).select(["id", "y", "path", "depth"]).to_pandas().sort_values("id")
     ids, y = head["id"].to_numpy(), head["y"].to_numpy(np.int64)
@@ -99,35 +102,91 @@ def _grow_small(table: pa.Table, classes: list[str], criterion: str, max_depth:
     body = table.filter(pc.invert(is_row))
     terms, t = codes(body["term"])
     cells = NodeCells(y, k, np.searchsorted(ids, body["id"].to_numpy()), t, body["value"].to_numpy().astype(float))
+    return _subtree(path0, depth0, y, cells, terms, classes, criterion, max_depth, min_split, min_leaf)
+
+
+def _grow_packed(batches: Iterator[pa.RecordBatch], names: list[str], classes: list[str], *limits) -> pa.Table:
+    """The subtree of one small node from its packed rows and one row with its path and depth."""
+    (head, *_), rows, cells = CH.gather(batches, classes)
+    return _subtree(head["path"], head["depth"], rows["y"], cells, names, classes, *limits)
+
+
+def _costs(gt: np.ndarray, c: np.ndarray, counts: np.ndarray, criterion: str, min_leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per (term, value) that occurs, sorted, with its counts ``c``: (cost of the threshold below it, inf for none; rows above it)."""
+    c = c.astype(float)
+    upto = np.cumsum(c, axis=0)
+    last = np.searchsorted(gt, gt, "right") - 1
+    right = upto[last] - upto + c
+    left = counts - right
+    a, b = left.sum(axis=1), right.sum(axis=1)
+    ok = (a >= max(1, min_leaf)) & (b >= min_leaf)
+    a1, b1 = np.maximum(a, 1), np.maximum(b, 1)
+    if criterion == "entropy":
+        def bits(x, n):
+            return -np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / n[:, None]), 0).sum(axis=1)
+        cost = bits(left, a1) + bits(right, b1)
+    else:
+        cost = a - (left ** 2).sum(axis=1) / a1 + b - (right ** 2).sum(axis=1) / b1
+    return np.where(ok, np.round(cost / counts.sum(), TIE_DECIMALS), np.inf), b
+
+
+def _half_way(gt: np.ndarray, gv: np.ndarray, g: int) -> float:
+    """The threshold between the value of group ``g`` and the one below it, 0 for a term's first."""
+    return float((gv[g] + (gv[g - 1] if g > 0 and gt[g - 1] == gt[g] else 0.0)) / 2)
+
+
+def _chain_rule(now: CH.Counts, depth: int, criterion: str, max_depth: int | None, min_split: int, min_leaf: int):
+    """:data:`textlab.operators.chains.Rule` of the thresholds: the rows above one leave the lower side."""
+    counts = now.cnt.astype(float)
+    if (counts > 0).sum() < 2 or counts.sum() < min_split or (max_depth is not None and depth >= max_depth) or not len(now.terms):
+        return None
+    cost, above = _costs(now.gt, now.m, counts, criterion, min_leaf)
+    least = np.minimum.reduceat(cost, now.first)
+    equal = np.flatnonzero(cost == least[now.term_at])[::-1]
+    first = np.zeros(len(now.terms), np.int64)
+    first[now.term_at[equal]] = equal                               # of equal ones the smallest threshold
+    return least, above[first], first
+
+
+def _chains(assign: DataFrame, packed: DataFrame, terms: list[str], classes: list[str], large: DataFrame, budget: int, local_cells: int,
+            turn: int, limits: tuple) -> DataFrame:
+    """What :func:`textlab.operators.chains.split_chains` gives for the large nodes of a level."""
+    def rule(now, depth):
+        return _chain_rule(now, depth, *limits)
+
+    def branch(now, path, j, g):
+        return _half_way(now.gt, now.gv, g), 1, f"{path}0", None
+
+    def run(batches):
+        return CH.split_chain(batches, rule, terms, budget, local_cells, branch, True)
+
+    own = assign.join(large.select("node"), "node", "left_semi").select("node", "id", _named(classes))
+    counts = materialize(CH.value_counts(own, packed), f"threshold-counts-{turn}")
+    heads = large.select("node", "path", F.lit(None).cast("string").alias("split_value"), F.length("path").alias("depth"),
+                         F.array(*[F.lit(c) for c in classes]).alias("classes"),
+                         F.array(*[F.col(f"c{c}") for c in range(len(classes))]).alias("cnt"))
+    return CH.split_chains(own, packed, counts, heads, run, True, f"threshold-chains-{turn}")
+
+
+def _named(classes: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("y") + 1).alias("label")
+
+
+def _subtree(path0: str, depth0: int, y: np.ndarray, cells: NodeCells, terms, classes: list[str], criterion: str, max_depth: int | None,
+             min_split: int, min_leaf: int) -> pa.Table:
+    """The subtree of one node, by the same rules as the level job."""
+    k = len(classes)
 
     def best(rows: np.ndarray, counts: np.ndarray, whole: np.ndarray | None):
         groups, c = cells.present(rows, whole)
         if not len(groups):
             return None
-        c = c.astype(float)
-        gt, gv = cells.gt[groups], cells.gv[groups]
-        upto = np.cumsum(c, axis=0)
-        first = np.searchsorted(gt, gt, "left")
-        last = np.searchsorted(gt, gt, "right") - 1
-        right = upto[last] - upto + c
-        left = counts - right
-        a, b = left.sum(axis=1), right.sum(axis=1)
-        ok = (a >= max(1, min_leaf)) & (b >= min_leaf)
-        if not ok.any():
-            return None
-        a1, b1 = np.maximum(a, 1), np.maximum(b, 1)
-        if criterion == "entropy":
-            def bits(x, n):
-                return -np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / n[:, None]), 0).sum(axis=1)
-            cost = bits(left, a1) + bits(right, b1)
-        else:
-            cost = a - (left ** 2).sum(axis=1) / a1 + b - (right ** 2).sum(axis=1) / b1
-        cost = np.where(ok, np.round(cost / counts.sum(), TIE_DECIMALS), np.inf)
+        gt = cells.gt[groups]
+        cost, _ = _costs(gt, c, counts, criterion, min_leaf)
         g = int(np.argmin(cost))
-        low = gv[g - 1] if g > first[g] else 0.0
-        return int(gt[g]), float((gv[g] + low) / 2)
+        return (int(gt[g]), _half_way(gt, cells.gv[groups], g)) if np.isfinite(cost[g]) else None
 
-    every = np.arange(len(ids))
+    every = np.arange(len(y))
     out, todo = [], [(path0, depth0, every, cells.children([every], None)[0])]
     while todo:
         path, depth, rows, whole = todo.pop()
@@ -154,11 +213,14 @@ def _grow_small(table: pa.Table, classes: list[str], criterion: str, max_depth:
 
 
 def grow(rows: DataFrame, nz: DataFrame, criterion: str = "gini", max_depth: int | None = None, min_samples_split: int = 2,
-         min_samples_leaf: int = 1, local_cells: int = 200_000) -> DataFrame:
+         min_samples_leaf: int = 1, local_cells: int = 200_000, peel_rows: int = 0) -> DataFrame:
     """M1: the node table (``NODES``) of the tree; an id is its path, ``0`` for values up to the threshold and ``1`` above.
 
     ``rows``: (id, label); ``nz``: (id, term, value), value above 0. Rows carry a 64-bit node key, paths live in the
     node tables only. Rows without a non-zero count with zeros; a null label or an empty table gives no node.
+
+    ``peel_rows``: where no id repeats, rows of a large node that a task gets in one pass to split it along its lower side,
+    and ``textlab.operators.chains.LOCAL_CELLS`` replaces ``local_cells`` if that is less. 0: large nodes split once a level.
     """
     if criterion not in ("gini", "entropy"):
         raise ValueError(f"criterion {criterion}")
@@ -171,24 +233,38 @@ def grow(rows: DataFrame, nz: DataFrame, criterion: str = "gini", max_depth: int
         return spark.createDataFrame([], NODES)
     number = F.coalesce(*[F.when(F.col("label") == c, F.lit(k)) for k, c in enumerate(classes)])
     nz = nz.select("id", "term", F.col("value").cast("double").alias("value")).filter("value > 0")
-    nnz = nz.groupBy("id").agg(F.count(F.lit(1)).alias("row_nnz"))
+    names = CH.vocabulary(rows.filter("label is not null"), nz) if peel_rows else None
+    if names is None:
+        packed, nnz = None, nz.groupBy("id").agg(F.count(F.lit(1)).alias("row_nnz"))
+    else:
+        packed, local_cells = CH.pack(nz, names, "value").persist(StorageLevel.MEMORY_AND_DISK), max(local_cells, CH.LOCAL_CELLS)
+        nnz = packed.select("id", F.size("codes").cast("long").alias("row_nnz"))
     root = F.lit(0).cast("long")
     assign = (rows.filter("label is not null").join(nnz, "id", "left")
               .select("id", number.alias("y"), F.coalesce("row_nnz", F.lit(0)).alias("row_nnz"), root.alias("node"),
                       F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("side")))
     # partitioned by id once: every level's joins shuffle the rows' side only
-    nz = nz.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").persist(StorageLevel.MEMORY_AND_DISK)
-    k, depth, paths = len(classes), 0, None
+    if packed is None:
+        nz = loose = nz.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        loose, nz = packed, CH.unpack(packed).join(CH.numbers(spark, names), "code").select("id", "term", F.col("val").alias("value"))
+    k, turn, paths = len(classes), 0, None
     each = [F.count_if(F.col("y") == c).alias(f"c{c}") for c in range(k)]
     counts = [F.col(f"c{c}") for c in range(k)]
     most = F.greatest(*counts, F.lit(0))
     majority = F.coalesce(*[F.when(F.col(f"c{c}") == most, F.lit(name)) for c, name in enumerate(classes)])
 
+    up = F.when(F.length("path") > 0, F.expr("substring(path, 1, length(path) - 1)"))
+    limits = (criterion, max_depth, min_samples_split, min_samples_leaf)
+
     def finish(table: pa.Table) -> pa.Table:
-        return _grow_small(table, classes, criterion, max_depth, min_samples_split, min_samples_leaf)
+        return _grow_small(table, classes, *limits)
+
+    def finish_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _grow_packed(batches, names, classes, *limits).to_batches()
 
     while True:
-        assign = materialize(assign, f"threshold-rows-{depth}")
+        assign = materialize(assign, f"threshold-rows-{turn}")
         one = assign.groupBy("node").agg(*each, F.count(F.lit(1)).alias("n"), F.sum("row_nnz").alias("nnz"),
                                          F.min(F.struct("parent", "side")).alias("lo"), F.max(F.struct("parent", "side")).alias("hi"))
         one = one.withColumns({"majority": majority, "collision": F.col("lo") != F.col("hi"),
@@ -198,39 +274,65 @@ def grow(rows: DataFrame, nz: DataFrame, criterion: str = "gini", max_depth: int
         else:
             one = one.join(paths, "parent").withColumn("path", F.concat("ppath", F.col("side").cast("string")))
         mixed = sum([(c > 0).cast("int") for c in counts[1:]], (counts[0] > 0).cast("int")) > 1
-        may = mixed & (F.col("n") >= min_samples_split) & F.lit(max_depth is None or depth < max_depth)
+        may = mixed & (F.col("n") >= min_samples_split) & (F.lit(max_depth is None) | (F.length("path") < (max_depth or 0)))
         kind = F.when(~may, "leaf").when(F.col("nnz") + F.col("n") <= local_cells, "small").otherwise("large")
-        summary = materialize(one.withColumn("kind", kind), f"threshold-nodes-{depth}")
+        summary = materialize(one.withColumn("kind", kind), f"threshold-nodes-{turn}")
         seen = {r["kind"]: r for r in summary.groupBy("kind").agg(F.count_if("collision").alias("bad")).collect()}   # 3 rows
         if any(r["bad"] for r in seen.values()):
             raise RuntimeError("two tree nodes share a 64-bit key")
         leaf = summary.filter("kind = 'leaf'").select("node", F.lit(None).cast("string").alias("feature"),
                                                       F.lit(None).cast("double").alias("threshold"))
-        if "small" in seen:
+        if "small" in seen and packed is not None:
+            small = summary.filter("kind = 'small'")
+            own = assign.join(small.select("node"), "node").select("node", "id", _named(classes))
+            head = small.select("node", "path", F.length("path").alias("depth"))
+            (own.join(packed, "id", "left").unionByName(head, allowMissingColumns=True).groupBy("node")
+             .applyInArrow(finish_packed, NODES).write.parquet(f"{folder}/small-{turn}"))
+            parts.append(f"{folder}/small-{turn}")
+        elif "small" in seen:
             own = assign.join(summary.filter("kind = 'small'").select("node", "path"), "node")
             base = own.select("node", "path", "id", "y", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("value"))
             cells = own.join(nz, "id").select("node", F.lit(None).cast("string").alias("path"), "id", F.lit(None).cast("int").alias("y"),
                                               "term", "value")
-            (base.unionByName(cells).withColumn("depth", F.lit(depth)).groupBy("node")
-             .applyInArrow(finish, NODES).write.parquet(f"{folder}/small-{depth}"))
-            parts.append(f"{folder}/small-{depth}")
-        best = leaf.limit(0)
+            (base.unionByName(cells).withColumn("depth", F.length("path")).groupBy("node")
+             .applyInArrow(finish, NODES).write.parquet(f"{folder}/small-{turn}"))
+            parts.append(f"{folder}/small-{turn}")
+        best, chained, moved, above = leaf.limit(0), None, [], []
+        by_level = summary.filter("kind <> 'small'")
         if "large" in seen:
             large = summary.filter("kind = 'large'")
-            best = materialize(best_thresholds(thresholds(assign.join(large.select("node"), "node", "left_semi"), nz, large, k,
-                                                          criterion, min_samples_leaf)), f"threshold-best-{depth}")
-        level = summary.filter("kind <> 'small'").join(best, "node", "left").select(
-            F.col("path").alias("node_id"), F.when(F.length("path") > 0, F.expr("substring(path, 1, length(path) - 1)")).alias("parent_id"),
-            F.lit(depth).alias("depth"), "feature", "threshold", F.when(F.col("feature").isNull(), F.col("majority")).alias("class"),
-            "majority", "n", F.col("feature").isNull().alias("is_leaf"))
-        level.write.parquet(f"{folder}/level-{depth}")
-        parts.append(f"{folder}/level-{depth}")
-        if "large" not in seen or best.isEmpty():
+            if packed is not None:
+                chained = _chains(assign, packed, names, classes, large, peel_rows, local_cells, turn, limits)
+                chains = chained.select(F.col("gkey").alias("node")).distinct()
+                large, by_level = large.join(chains, "node", "left_anti"), by_level.join(chains, "node", "left_anti")
+                chained.filter("kind = 'node'").withColumns({"node_id": F.col("path"), "parent_id": up}).select(
+                    *[c.split()[0] for c in NODES.split(", ")]).write.parquet(f"{folder}/chains-{turn}")
+                parts.append(f"{folder}/chains-{turn}")
+            if chained is None or not large.isEmpty():
+                best = materialize(best_thresholds(thresholds(assign.join(large.select("node"), "node", "left_semi"), nz, large, k,
+                                                              criterion, min_samples_leaf)), f"threshold-best-{turn}")
+        level = by_level.join(best, "node", "left").select(
+            F.col("path").alias("node_id"), up.alias("parent_id"), F.length("path").alias("depth"), "feature", "threshold",
+            F.when(F.col("feature").isNull(), F.col("majority")).alias("class"), "majority", "n", F.col("feature").isNull().alias("is_leaf"))
+        level.write.parquet(f"{folder}/level-{turn}")
+        parts.append(f"{folder}/level-{turn}")
+        if not best.isEmpty():
+            moved.append(step(assign, best, nz))
+            above.append(summary.join(best.select("node"), "node", "left_semi").select(F.col("node").alias("parent"), F.col("path").alias("ppath")))
+        if chained is not None:
+            gone = chained.filter("kind = 'row'").select("id", F.col("parent").alias("_to"), F.col("v").cast("int").alias("_side"))
+            rest = chained.filter("kind = 'rest'").select(F.col("gkey").alias("node"), F.col("parent").alias("_rest"))
+            both = assign.drop("parent", "side").join(gone, "id", "left").join(rest, "node", "left").filter("_to is not null or _rest is not null")
+            moved.append(both.select("id", "y", "row_nnz", F.coalesce("_to", "_rest").alias("parent"), F.coalesce("_side", F.lit(0)).alias("side"))
+                         .withColumn("node", F.xxhash64("parent", "side")))
+            above.append(chained.filter("kind = 'node' and not is_leaf").select("parent", F.col("path").alias("ppath")))
+        if not moved:
             break
-        assign = step(assign, best, nz)
-        paths = summary.join(best.select("node"), "node", "left_semi").select(F.col("node").alias("parent"), F.col("path").alias("ppath"))
-        depth += 1
-    nz.unpersist()
+        assign, paths = moved[0], above[0]
+        for x, y in zip(moved[1:], above[1:]):
+            assign, paths = assign.unionByName(x), paths.unionByName(y)
+        turn += 1
+    loose.unpersist()
     return spark.read.schema(NODES).parquet(*parts)
 
 

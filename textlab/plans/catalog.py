@@ -617,17 +617,12 @@ def q_tree_edges(spark, sf):
     return TR.tree_edges(_tree(spark, sf))
 
 
-def _threshold_tree(spark, sf, unique_cells=None, **limits):
-    """The binary tree of the training matrix and the matrix itself: (nodes, rows, nz).
-
-    ``unique_cells`` replaces ``local_cells`` if no id repeats: rows of one id are told apart by the jobs only.
-    """
+def _threshold_tree(spark, sf, **limits):
+    """The binary tree of the training matrix and the matrix itself: (nodes, rows, nz)."""
     from textlab.operators import threshold_tree as TT
     from textlab.sources.scratch import materialize
     rows, nz = tree_inputs(spark, sf)
     nz = materialize(nz.withColumnRenamed("tf", "value"), "threshold-nz")
-    if unique_cells and rows.groupBy("id").count().filter("count > 1").isEmpty():
-        limits["local_cells"] = unique_cells
     return TT.grow(rows, nz, **limits), rows, nz
 
 
@@ -656,8 +651,8 @@ def q_threshold_tree_dot(spark, sf):
 
 def q_threshold_tree_nodes(spark, sf):
     """M1 without a depth limit: the whole tree's node table; large nodes split by jobs, small ones finish side by side."""
-    from textlab.operators import threshold_tree as TT
-    return _threshold_tree(spark, sf, unique_cells=TT.LOCAL_CELLS, local_cells=50_000)[0]
+    from textlab.operators import chains as CH
+    return _threshold_tree(spark, sf, local_cells=50_000, peel_rows=CH.PEEL_ROWS)[0]
 
 
 def q_tree_model_report(spark, sf):
