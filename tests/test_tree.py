@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from textlab.operators import tree as TR
+from textlab.operators import chains as CH, tree as TR
 
 
 def entropy(labels):
@@ -199,3 +199,23 @@ def test_tree_property_in_task(spark):
         assert got_nodes(TR.build_tree(r, nz, local_cells=10**9)) == exp
 
     check()
+
+
+def test_gain_ratio_chain_is_counted_once(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3], {f"t{i:02d}": 1 + i % 2, "z": 1} if i % 2 else {f"t{i:02d}": 1}) for i in range(40)]
+    a, nz = to_frames(spark, rows)
+    want = got_nodes(TR.build_tree(a, nz, local_cells=10**9))
+    made, counted = [], []
+    real, count = CH.materialize, CH.value_counts
+    monkeypatch.setattr(CH, "materialize", lambda df, name: made.append(name) or real(df, name))
+    monkeypatch.setattr(CH, "value_counts", lambda *x: counted.append(1) or count(*x))
+    assert got_nodes(TR.build_tree(a, nz, local_cells=30, peel_rows=12)) == want
+    assert len(made) > 3 and len(counted) <= 2                              # passes go on from the last one's counts
+
+
+def test_null_id_and_rows_without_cells(spark):
+    rows = [(1, "a", {"x": 1}), (2, "c", {"x": 2, "y": 1}), (3, "b", {}), (4, "b", {"y": 3}), (None, "a", {"x": 1}), (6, "a", {"y": 1})]
+    a, nz = to_frames(spark, rows)
+    packed = got_nodes(TR.build_tree(a, nz))
+    assert CH.vocabulary(a, nz) == ["x", "y"] and sum(r.n for r in TR.build_tree(a, nz).filter("is_leaf").collect()) == 6
+    assert got_nodes(TR.build_tree(a, nz, local_cells=10)) == packed

@@ -41,7 +41,12 @@ class NodeCells:
 
     def __init__(self, y: np.ndarray, k: int, row: np.ndarray, term: np.ndarray, value: np.ndarray):
         self.y, self.k, n = y, k, len(y)
-        values, v = np.unique(value, return_inverse=True)
+        whole = value.astype(np.int64)
+        if len(whole) and whole.min() >= 0 and (whole == value).all():          # counts
+            values, v = places(whole, int(whole.max()) + 1)
+            values = values.astype(value.dtype)
+        else:
+            values, v = np.unique(value, return_inverse=True)
         width = max(1, len(values))
         key, g = places(term.astype(np.int64) * width + v, (int(term.max()) + 1) * width if len(term) else 0)
         self.gt, self.gv = key // width, values[key % width]

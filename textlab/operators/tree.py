@@ -15,10 +15,18 @@ to 6 digits, so sorting by node id is the pre-order walk with children in value
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab import schema as S
+from textlab.operators import chains as CH
+from textlab.operators.node_cells import NodeCells, codes
 from textlab.sources.scratch import materialize, scratch_path
 
 GAIN_EPS = 1e-12       # |gain| below this counts as zero (float noise, quirk Q11)
@@ -107,35 +115,63 @@ NODE_SCHEMA = ("node_id string, parent_id string, split_value string, depth int,
                "majority string, n long, is_leaf boolean")
 
 
+def _parent_path(path: Column) -> Column:
+    return F.when(path != "", F.regexp_extract(path, r"^(.*)/[^/]*$", 1))
+
+
 def _parent_of(path: str):
     return None if path == "" else path.rsplit("/", 1)[0]
 
 
 def _finish_local(table, max_depth: int | None, eps: float = GAIN_EPS):
-    """Grow the subtree of one small node inside one task, with the same rules as the level job.
+    """Grow the subtree of one small node inside one task from rows that are not packed, as where ids repeat.
 
-    ``table`` (Arrow) holds the node's rows (``term`` null) and its non-zeros; the caller bounds it by its cell limit. The
-    matrix stays sparse (:class:`textlab.operators.node_cells.NodeCells`): a node has its counts per (term, value, class),
-    the zero branch is its class counts minus those, and all gain ratios of the node are array arithmetic.
+    ``table`` (Arrow) holds the node's rows (``term`` null) and its non-zeros; the caller bounds it by its cell limit.
     """
-    import numpy as np
-    import pandas as pd
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    from textlab.operators.node_cells import NodeCells, codes
-
     is_row = pc.is_null(table["term"])
     head = table.filter(is_row).select(["id", "label", "node", "depth", "split_value"]).to_pandas()
     node0, depth0, sv0 = head["node"].iloc[0], int(head["depth"].iloc[0]), head["split_value"].iloc[0]
     rows = head[["id", "label"]].drop_duplicates("id").sort_values("id")
     ids = rows["id"].to_numpy()
     classes, y = np.unique(rows["label"].to_numpy().astype(str), return_inverse=True)
-    n_cls = len(classes)
     body = table.filter(pc.invert(is_row))
     terms, t_all = codes(body["term"])
-    cells = NodeCells(y, n_cls, np.searchsorted(ids, body["id"].to_numpy()), t_all, body["tf"].to_numpy().astype(np.int64))
-    top = max([len(ids), *np.diff(cells.post_ptr).tolist()])
+    cells = NodeCells(y, len(classes), np.searchsorted(ids, body["id"].to_numpy()), t_all, body["tf"].to_numpy().astype(np.int64))
+    return _subtree(node0, sv0, depth0, classes, y, cells, terms, max_depth, eps)
+
+
+def _finish_packed(batches: Iterator[pa.RecordBatch], names: list[str], max_depth: int | None) -> pa.Table:
+    """The subtree of one small node from its packed rows and one row with its path, depth and split value."""
+    (head, *_), rows, cells = CH.gather(batches)
+    return _subtree(head["path"], head["split_value"], head["depth"], rows["classes"], rows["y"], cells, names, max_depth)
+
+
+def _ratios(m: np.ndarray, term_at: np.ndarray, n_terms: int, cnt: np.ndarray, xlogx) -> tuple[np.ndarray, np.ndarray]:
+    """Per term (the gain ratio, -inf where it does not split; the rows that have it) from counts per (term, value) and class."""
+    n, nb, sc = cnt.sum(), m.sum(axis=1), xlogx(m).sum(axis=1)
+    nzsum = np.stack([np.bincount(term_at, weights=m[:, c], minlength=n_terms) for c in range(len(cnt))], axis=1).astype(np.int64)
+    zc = cnt[None, :] - nzsum                                       # zero branch per (term, class)
+    zn = zc.sum(axis=1)
+    a = np.bincount(term_at, weights=xlogx(nb) - sc, minlength=n_terms) + xlogx(zn) - xlogx(zc).sum(axis=1)
+    p = nb / n
+    si = np.bincount(term_at, weights=-p * np.log2(p), minlength=n_terms)
+    pz = zn / n
+    si = si - np.where(pz > 0, pz * np.log2(np.where(pz > 0, pz, 1.0)), 0.0)
+    n_br = np.bincount(term_at, minlength=n_terms) + (zn > 0)
+    gain = np.log2(n) - xlogx(cnt).sum() / n - a / n
+    gr = np.round(np.where(si > 0, gain / np.where(si > 0, si, 1.0), 0.0), TIE_DECIMALS)
+    return np.where(n_br >= 2, gr, -np.inf), nzsum.sum(axis=1)
+
+
+def _subtree(node0: str, sv0: str | None, depth0: int, classes: np.ndarray, y: np.ndarray, cells: NodeCells, terms,
+             max_depth: int | None, eps: float = GAIN_EPS) -> pa.Table:
+    """Grow the subtree of one small node inside one task, with the same rules as the level job.
+
+    The matrix stays sparse (:class:`textlab.operators.node_cells.NodeCells`): a node has its counts per (term, value, class),
+    the zero branch is its class counts minus those, and all gain ratios of the node are array arithmetic.
+    """
+    n_cls = len(classes)
+    top = max([len(y), *np.diff(cells.post_ptr).tolist()])
     logs = np.arange(top + 1, dtype=float)                       # x log2 x of every count there can be
     logs[1:] *= np.log2(logs[1:])
 
@@ -143,38 +179,18 @@ def _finish_local(table, max_depth: int | None, eps: float = GAIN_EPS):
         return logs[np.maximum(a, 0)]
 
     def best_term(idx, cnt, whole):
-        n = len(idx)
         groups, m = cells.present(idx, whole)
         if not len(groups):
             return None, None
         gt = cells.gt[groups]
         new = np.concatenate([[True], gt[1:] != gt[:-1]])
         bt, names = np.cumsum(new) - 1, gt[new]
-        n_terms = len(names)
-        nb = m.sum(axis=1)
-        sc = xlogx(m).sum(axis=1)
-        nzsum = np.stack([np.bincount(bt, weights=m[:, c], minlength=n_terms) for c in range(n_cls)], axis=1).astype(np.int64)
-        zc = cnt[None, :] - nzsum                                   # zero branch per (term, class)
-        zn = zc.sum(axis=1)
-        a = np.bincount(bt, weights=xlogx(nb) - sc, minlength=n_terms) + xlogx(zn) - xlogx(zc).sum(axis=1)
-        p = nb / n
-        si = np.bincount(bt, weights=-p * np.log2(p), minlength=n_terms)
-        pz = zn / n
-        si = si - np.where(pz > 0, pz * np.log2(np.where(pz > 0, pz, 1.0)), 0.0)
-        n_br = np.bincount(bt, minlength=n_terms) + (zn > 0)
-        h = np.log2(n) - xlogx(cnt).sum() / n
-        gain = h - a / n
-        gr = np.where(si > 0, gain / np.where(si > 0, si, 1.0), 0.0)
-        gr = np.round(gr, TIE_DECIMALS)
-        cand = n_br >= 2
-        if not cand.any():
-            return None, None
-        gr_c = np.where(cand, gr, -np.inf)
-        j = int(np.argmax(gr_c))                                    # first max = alphabetically first term
-        return int(names[j]), float(gr_c[j])
+        gr, _ = _ratios(m, bt, len(names), cnt, xlogx)
+        j = int(np.argmax(gr))                                      # first max = alphabetically first term
+        return (int(names[j]), float(gr[j])) if np.isfinite(gr[j]) else (None, None)
 
     out = []
-    every = np.arange(len(ids))
+    every = np.arange(len(y))
     stack = [(node0, sv0, depth0, every, cells.children([every], None)[0])]
     while stack:
         path, sv, depth, idx, whole = stack.pop()
@@ -201,17 +217,21 @@ def _finish_local(table, max_depth: int | None, eps: float = GAIN_EPS):
     return pa.Table.from_pandas(frame, schema=pa.schema([(c, kinds.get(c, pa.string())) for c in names]), preserve_index=False)
 
 
-#: Non-zeros and rows of the largest node that one task finishes: some 50 bytes each as Arrow columns, as much again as arrays.
-LOCAL_CELLS = 2_000_000
-#: Rows of one large node that a task gets to split off in one pass (0: every level is a pass of its own).
-PEEL_ROWS = 20_000
-PEELED = ("kind string, gkey long, id long, node_id string, parent_id string, split_value string, depth int, feature string, "
-          "class string, majority string, n long, is_leaf boolean, parent long, v long")
+def _finished(own: DataFrame, heads: DataFrame, packed: DataFrame, terms: list[str], max_depth: int | None) -> DataFrame:
+    """The subtrees of small nodes; ``own``: their rows, ``heads``: (node, path, split_value, depth), which travel once a node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _finish_packed(batches, terms, max_depth).to_batches()
 
+    cells = own.select("node", "id", "label").join(packed, "id", "left")
+    one = heads.select("node", "path", "split_value", "depth")
+    return cells.unionByName(one, allowMissingColumns=True).groupBy("node").applyInArrow(run, NODE_SCHEMA)
 
-def _path_key(path: str) -> int:
-    import hashlib
-    return int.from_bytes(hashlib.blake2b(path.encode(), digest_size=8).digest(), "little", signed=True)
+
+#: Bounds of ``textlab.operators.chains`` for rows that are not packed: some 50 bytes each as Arrow columns, as much again as arrays.
+LOOSE_CELLS = 2_000_000
+LOOSE_PEEL_ROWS = 20_000
+PEELED = ("kind string, gkey long, id long, node_id string, parent_id string, split_value string, depth int, feature string, "
+          "class string, majority string, n long, is_leaf boolean, parent long, v long")
 
 
 def _peel(pdf, max_depth: int | None, eps: float = GAIN_EPS):
@@ -219,13 +239,10 @@ def _peel(pdf, max_depth: int | None, eps: float = GAIN_EPS):
 
     ``pdf`` holds, by ``part``: ``count`` rows (term, v, label, c) of the whole node, its class counts (``class`` rows),
     the candidate terms (``cand``), and the non-zeros of all rows that have one of these (``cell``, labels on them; a row
-    with no other use has its own term at least). Counts of the zero branch are the node's minus those of the rows that
+    with no other use has its own term at least). For rows that are not packed. Counts of the zero branch are the node's minus those of the rows that
     leave, so splits are exact while the best term is a candidate. Out: the nodes split (or a leaf at the end), the
     rows that leave with their branch (``row``), and where the others stay (``rest``).
     """
-    import numpy as np
-    import pandas as pd
-
     first = pdf[pdf["part"] == "class"].sort_values("label")
     classes, cnt = first["label"].to_numpy().astype(str), first["c"].to_numpy(float)
     path, depth, sv, gkey = first["path"].iloc[0], int(first["depth"].iloc[0]), first["split_value"].iloc[0], int(pdf["node"].iloc[0])
@@ -288,7 +305,7 @@ def _peel(pdf, max_depth: int | None, eps: float = GAIN_EPS):
             path = None
             break
         path = f"{path}/{'0' * VALUE_WIDTH}"
-        key = _path_key(path)
+        key = CH.path_key(path)
     if path is not None and left is not None:
         out.append(("rest", gkey, None, None, None, None, None, None, None, None, None, None, left, 0))
     frame = pd.DataFrame(out, columns=[c.split()[0] for c in PEELED.split(", ")])
@@ -298,7 +315,42 @@ def _peel(pdf, max_depth: int | None, eps: float = GAIN_EPS):
     return frame
 
 
-def _peel_pass(assign, nz, cnt, summ, counts, found, best, max_depth, peel_rows, step) -> tuple[DataFrame, DataFrame]:
+def _chain_rule(now: CH.Counts, depth: int, max_depth: int | None):
+    """:data:`textlab.operators.chains.Rule` of the gain ratio: all rows with the term leave the zero branch."""
+    if (now.cnt > 0).sum() < 2 or (max_depth is not None and depth >= max_depth) or not len(now.terms):
+        return None
+
+    def xlogx(a):
+        return np.where(a > 0, a * np.log2(np.where(a > 0, a, 1)), 0.0)
+
+    ratio, rows = _ratios(now.m, now.term_at, len(now.terms), now.cnt, xlogx)
+    best = ratio.max()
+    return None if not np.isfinite(best) or abs(best) < GAIN_EPS else (-ratio, rows, now.first)
+
+
+def _peel_pass(*given) -> tuple[DataFrame, DataFrame]:
+    """(the splits and rows given by chains, the nodes that were split so) of large nodes: packed rows, or the others."""
+    return _peel_packed(*given) if isinstance(given[2], list) else _peel_loose(*given)
+
+
+def _peel_packed(assign, packed, terms, cnt, summ, counts, max_depth, peel_rows, local_cells, step) -> tuple[DataFrame, DataFrame]:
+    def branch(now, path, j, g):
+        return None, None, f"{path}/{'0' * VALUE_WIDTH}", "0"
+
+    def run(batches):
+        return CH.split_chain(batches, lambda now, depth: _chain_rule(now, depth, max_depth), terms, peel_rows, local_cells, branch, False)
+
+    dist = summ.filter("mode = 'dist'").select("node", "path", "split_value", "depth")
+    classes = cnt.groupBy("node").agg(F.collect_list(F.struct(F.coalesce("label", F.lit("None")).alias("label"), "c")).alias("l")).select(
+        "node", F.col("l.label").alias("classes"), F.col("l.c").alias("cnt"))
+    own = assign.join(dist.select("node"), "node", "left_semi").select("node", "id", "label")
+    counts = counts.withColumn("label", F.coalesce("label", F.lit("None")))
+    peeled = CH.split_chains(own, packed, counts, dist.join(classes, "node"), run, False, f"tree-peeled-{step}")
+    peeled = peeled.withColumnRenamed("path", "node_id").withColumn("parent_id", _parent_path(F.col("node_id")))
+    return peeled, peeled.select(F.col("gkey").alias("node")).distinct()
+
+
+def _peel_loose(assign, nz, cnt, summ, counts, found, best, max_depth, peel_rows, step) -> tuple[DataFrame, DataFrame]:
     """(what :func:`_peel` gives, the nodes it was applied to) for large nodes whose best terms are in few rows."""
     w = Window.partitionBy("node").orderBy(F.desc(F.round("gain_ratio", TIE_DECIMALS)), F.asc("term"))   # a node's vocabulary
     cand = (found.withColumn("upto", F.sum("n_rows").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -329,7 +381,7 @@ def _peel_pass(assign, nz, cnt, summ, counts, found, best, max_depth, peel_rows,
 
 
 def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, checkpoint: bool = True,
-               local_cells: int = LOCAL_CELLS, copartition: bool = True, peel_rows: int = PEEL_ROWS) -> DataFrame:
+               local_cells: int | None = None, copartition: bool = True, peel_rows: int | None = None) -> DataFrame:
     """M2: grow the multiway gain-ratio tree; returns the node table.
 
     ``rows``: ``(id, label)``; ``nz``: ``(id, term, tf)`` with ``tf > 0``.
@@ -344,16 +396,27 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
     distributed.
 
     A large node whose best terms are in few rows is peeled: its counts and the rows (at most ``peel_rows``) that have
-    its best terms go to one task, which splits the node again and again along its zero branch (:func:`_peel`), so a
-    chain of hundreds of levels takes a few passes. Other large nodes split once per pass.
+    its best terms go to one task, which splits the node again and again along its zero branch
+    (:mod:`textlab.operators.chains`), so a chain of hundreds of levels takes a few passes. Other large nodes split once
+    per pass.
 
-    Once a level has to be split by distributed jobs, the non-zeros are hash-partitioned by ``id`` and
-    kept (memory, spilling to disk; rebuilt from lineage if an executor is lost), so every later join
-    with them shuffles only the rows' side. A tree finished entirely inside tasks never pays for it.
+    Rows are packed, one row an id, hash-partitioned by ``id`` and kept (memory, spilling to disk; rebuilt from lineage if
+    an executor is lost), so every join with them shuffles only the rows' side. Where an id repeats they are not, and the
+    smaller bounds hold (``local_cells``, ``peel_rows``: None for the bounds of this module).
     """
     from pyspark import StorageLevel
-    cached = False
-    row_nnz = nz.groupBy("id").agg(F.count(F.lit(1)).alias("row_nnz"))
+    spark, cached = rows.sparkSession, False
+    terms = CH.vocabulary(rows, nz) if checkpoint else None
+    if terms is None:
+        packed, loose, row_nnz = None, nz, nz.groupBy("id").agg(F.count(F.lit(1)).alias("row_nnz"))
+        local_cells = LOOSE_CELLS if local_cells is None else local_cells
+        peel_rows = LOOSE_PEEL_ROWS if peel_rows is None else peel_rows
+    else:
+        packed = loose = CH.pack(nz, terms, "tf").persist(StorageLevel.MEMORY_AND_DISK)
+        cached, row_nnz = True, packed.select("id", F.size("codes").alias("row_nnz"))
+        nz = CH.unpack(packed).join(CH.numbers(spark, terms), "code").select("id", "term", F.col("val").cast("long").alias("tf"))
+        local_cells = CH.LOCAL_CELLS if local_cells is None else local_cells
+        peel_rows = CH.PEEL_ROWS if peel_rows is None else peel_rows
     assign = (rows.join(row_nnz, "id", "left")
                   .select("id", "label", F.coalesce("row_nnz", F.lit(0)).cast("long").alias("row_nnz"),
                           F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"),
@@ -396,6 +459,10 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
         modes = {r[0]: r[1] for r in stats}
         if modes.get("local"):
             local_nodes = summ.filter(F.col("mode") == "local").select("node", "path", "split_value", "depth")
+            if packed is not None:
+                small = F.broadcast(local_nodes) if modes["local"] <= 100_000 else local_nodes
+                keep(_finished(assign.join(small.select("node"), "node"), local_nodes, packed, terms, max_depth), f"local-{depth}")
+        if modes.get("local") and packed is None:
             ra = assign.join(F.broadcast(local_nodes) if modes["local"] <= 100_000 else local_nodes, "node")
             base = ra.select("node", "path", "depth", "id", "label", "split_value", F.lit(None).cast("string").alias("term"),
                              F.lit(None).cast("long").alias("tf"))
@@ -411,23 +478,33 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
         split_nodes = None
         if modes.get("dist") and copartition and not cached:
             n_parts = int(nz.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            nz = nz.repartition(n_parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
+            nz = loose = nz.repartition(n_parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
             cached = True
         peeled = None
         none = summ.limit(0).select("node", F.lit(None).cast("string").alias("feature"))
         if modes.get("dist"):
             dist_nodes = summ.filter(F.col("mode") == "dist").select("node")
-            counts = value_counts(assign.join(dist_nodes, "node", "left_semi"), nz)
-            if checkpoint:
-                counts = materialize(counts, f"tree-counts-{depth}")
-            found = ratios_of(counts, cnt, summ)
-            if checkpoint:
-                found = materialize(found, f"tree-ratios-{depth}")
-            best = best_split(found)
-            best = best.filter(F.abs(F.round("gain_ratio", TIE_DECIMALS)) >= GAIN_EPS).select("node", F.col("term").alias("feature"))
-            if checkpoint and peel_rows:
+            open_rows, best, chains = assign.join(dist_nodes, "node", "left_semi"), none, None
+            if packed is not None and peel_rows:
+                counts = materialize(CH.value_counts(open_rows, packed), f"tree-counts-{depth}")
+                peeled, chains = _peel_pass(assign, packed, terms, cnt, summ, counts, max_depth, peel_rows, local_cells, depth)
+                dist_nodes = dist_nodes.join(chains, "node", "left_anti")
+                counts = (counts.join(dist_nodes, "node", "left_semi").join(CH.numbers(spark, terms), "code")
+                          .select("node", "term", F.col("val").cast("long").alias("v"), "label", "c"))
+            else:
+                counts = value_counts(open_rows, nz)
+                if checkpoint:
+                    counts = materialize(counts, f"tree-counts-{depth}")
+            if peeled is None or not dist_nodes.isEmpty():
+                found = ratios_of(counts, cnt, summ)
+                if checkpoint:
+                    found = materialize(found, f"tree-ratios-{depth}")
+                best = best_split(found)
+                best = best.filter(F.abs(F.round("gain_ratio", TIE_DECIMALS)) >= GAIN_EPS).select("node", F.col("term").alias("feature"))
+            if checkpoint and peel_rows and packed is None:
                 peeled, chains = _peel_pass(assign, nz, cnt, summ, counts, found, best, max_depth, peel_rows, depth)
                 best = best.join(chains, "node", "left_anti")
+            if peeled is not None:
                 keep(peeled.filter("kind = 'node'").select(*[c.split()[0] for c in NODE_SCHEMA.split(", ")]), f"peeled-{depth}")
                 summ = summ.join(chains.withColumn("_chain", F.lit(True)), "node", "left").withColumn(
                     "mode", F.when(F.col("_chain"), "chain").otherwise(F.col("mode"))).drop("_chain")
@@ -436,8 +513,7 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
         if modes.get("dist") or modes.get("leaf"):
             level = (summ.filter(~F.col("mode").isin("local", "chain")).join(best, "node", "left")
                          .select("node", F.col("path").alias("node_id"),
-                                 F.when(F.col("path") == "", F.lit(None))
-                                  .otherwise(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).alias("parent_id"),
+                                 _parent_path(F.col("path")).alias("parent_id"),
                                  "split_value", "depth", "feature",
                                  F.when(F.col("feature").isNull(), F.col("majority")).alias("class"),
                                  "majority", "n", F.col("feature").isNull().alias("is_leaf")))
@@ -470,7 +546,7 @@ def build_tree(rows: DataFrame, nz: DataFrame, max_depth: int | None = None, che
         depth += 1
     if checkpoint:
         if cached:                       # every level is a written table: the cached input can go
-            nz.unpersist()
+            loose.unpersist()
         return rows.sparkSession.read.parquet(*levels)
     out = levels[0]
     for lv in levels[1:]:
