@@ -63,7 +63,7 @@ def unpack(packed: DataFrame) -> DataFrame:
 
 def value_counts(assign: DataFrame, packed: DataFrame) -> DataFrame:
     """(node, code, val, label, c) from the non-zeros of the rows of ``assign`` (id, node, label)."""
-    cells = assign.select("id", "node", "label").join(packed, "id").select(
+    cells = assign.select("id", "node", "label").hint("shuffle_hash").join(packed, "id").select(
         "node", "label", F.inline(F.arrays_zip("codes", "vals")).alias("code", "val"))
     return cells.groupBy("node", "code", "val", "label").agg(F.count(F.lit(1)).alias("c"))
 
@@ -276,8 +276,10 @@ def split_chains(own: DataFrame, packed: DataFrame, counts: DataFrame, heads: Da
         for p in done[1:]:
             gone = gone.unionByName(p.filter("kind = 'row'").select("id"))
         wanted = F.broadcast(state.select(F.col("gkey").alias("node"), "cand", "lim"))
-        some = (own.join(wanted, "node").join(gone, "id", "left_anti").join(packed, "id")
-                .filter(F.arrays_overlap("codes", "cand")))
+        # hash tables of ids, which are few beside their cells: packed rows need no sort
+        here = own.join(wanted.select("node"), "node", "left_semi").join(gone.hint("shuffle_hash"), "id", "left_anti")
+        # what is wanted is looked at last, as it would travel with every row
+        some = here.hint("shuffle_hash").join(packed, "id").join(wanted, "node").filter(F.arrays_overlap("codes", "cand"))
         if exact:
             some = some.filter(F.exists(F.zip_with("codes", "vals", lambda c, x: x >= F.get(F.col("lim"), c)), lambda yes: yes))
         long = lined_up(state).unionByName(lined_up(some.select(F.col("node").alias("gkey"), "id", "label", "codes", "vals")))

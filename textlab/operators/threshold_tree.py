@@ -286,7 +286,7 @@ def grow(rows: DataFrame, nz: DataFrame, criterion: str = "gini", max_depth: int
             small = summary.filter("kind = 'small'")
             own = assign.join(small.select("node"), "node").select("node", "id", _named(classes))
             head = small.select("node", "path", F.length("path").alias("depth"))
-            (own.join(packed, "id", "left").unionByName(head, allowMissingColumns=True).groupBy("node")
+            (own.hint("shuffle_hash").join(packed, "id", "left").unionByName(head, allowMissingColumns=True).groupBy("node")
              .applyInArrow(finish_packed, NODES).write.parquet(f"{folder}/small-{turn}"))
             parts.append(f"{folder}/small-{turn}")
         elif "small" in seen:

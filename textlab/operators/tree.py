@@ -222,7 +222,7 @@ def _finished(own: DataFrame, heads: DataFrame, packed: DataFrame, terms: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _finish_packed(batches, terms, max_depth).to_batches()
 
-    cells = own.select("node", "id", "label").join(packed, "id", "left")
+    cells = own.select("node", "id", "label").hint("shuffle_hash").join(packed, "id", "left")
     one = heads.select("node", "path", "split_value", "depth")
     return cells.unionByName(one, allowMissingColumns=True).groupBy("node").applyInArrow(run, NODE_SCHEMA)
 
